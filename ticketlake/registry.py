@@ -107,3 +107,124 @@ def q_export_summary(spark, sf_dir):
 @register("export_summary_kv")
 def q_export_summary_kv(spark, sf_dir):
     return reports.export_summary_kv(_t(spark, sf_dir).notes)
+
+
+# --- lists, detail, search ---------------------------------------------------------
+from ticketlake.functions.paging import paginate  # noqa: E402
+from ticketlake.operators import lists, search  # noqa: E402
+from ticketlake.operators.filters import NoteQuery  # noqa: E402
+
+LIST_QUERY = NoteQuery(status="Open", q="red")
+AGENT_QUERY = NoteQuery(role="agent", user_id=2, priority="High", date_from="1996-01-01", date_to="1998-12-31")
+
+
+@register("notes_page")
+def q_notes_page(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.notes_page(t.notes, t.clients, t.users, t.categories, LIST_QUERY, paginate(2, 20))
+
+
+@register("notes_page_meta")
+def q_notes_page_meta(spark, sf_dir):
+    return lists.notes_page_meta(_t(spark, sf_dir).notes, LIST_QUERY, paginate(2, 20))
+
+
+@register("notes_page_agent")
+def q_notes_page_agent(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.notes_page(t.notes, t.clients, t.users, t.categories, AGENT_QUERY, paginate(1, 200))
+
+
+@register("notes_after_key")
+def q_notes_after_key(spark, sf_dir):
+    """Keyset page 2: rows after the last key of page 1 (equals offset page 2)."""
+    t = _t(spark, sf_dir)
+    first = lists.notes_page(t.notes, t.clients, t.users, t.categories, LIST_QUERY, paginate(1, 20))
+    u, i = lists.last_key_of(first)
+    return lists.notes_after_key(t.notes, t.clients, t.users, t.categories, LIST_QUERY, u, i, 20)
+
+
+@register("note_detail")
+def q_note_detail(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.note_detail(t.notes, t.clients, t.users, t.categories, 42)
+
+
+@register("title_search")
+def q_title_search(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return search.title_search(t.notes, t.clients, t.categories, "red")
+
+
+def part_candidates(spark, sf_dir):
+    """Candidate titles from the part table: the whole name for even keys,
+    the last word for odd keys."""
+    from pyspark.sql import functions as F
+    from ticketlake.sources.tables import raw
+    p = raw(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("bigint").alias("cand_id"),
+                    F.when(F.col("p_partkey") % 2 == 0, F.col("p_name"))
+                     .otherwise(F.element_at(F.split("p_name", " "), -1)).alias("q"))
+
+
+@register("title_search_batch")
+def q_title_search_batch(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return search.title_search_batch(t.notes, t.clients, t.categories, part_candidates(spark, sf_dir))
+
+
+@register("clients_page")
+def q_clients_page(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.clients_page(t.clients, t.notes, "00001", paginate(1, 20))
+
+
+@register("clients_page_meta")
+def q_clients_page_meta(spark, sf_dir):
+    return lists.clients_page_meta(_t(spark, sf_dir).clients, "00001", paginate(1, 20))
+
+
+@register("client_history")
+def q_client_history(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.client_history(t.notes, t.users, t.categories, 10)
+
+
+@register("client_document")
+def q_client_document(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.client_document(t.clients, t.notes, 10)
+
+
+@register("users_page")
+def q_users_page(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.users_page(t.users, t.notes, paginate(1, 20))
+
+
+@register("setup_flag")
+def q_setup_flag(spark, sf_dir):
+    return lists.setup_flag(_t(spark, sf_dir).users)
+
+
+@register("activity_page")
+def q_activity_page(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.activity_page(t.activity_logs, t.users, paginate(1, 30), AS_OF_EVENTS)
+
+
+@register("activity_meta")
+def q_activity_meta(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.activity_meta(t.activity_logs, t.users, AS_OF_EVENTS)
+
+
+@register("invitations_pending")
+def q_invitations_pending(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.invitations_pending(t.invitations, t.users, AS_OF_EVENTS)
+
+
+@register("invitation_states")
+def q_invitation_states(spark, sf_dir):
+    return lists.invitation_states(_t(spark, sf_dir).invitations, AS_OF_EVENTS)
