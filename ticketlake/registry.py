@@ -228,3 +228,102 @@ def q_invitations_pending(spark, sf_dir):
 @register("invitation_states")
 def q_invitation_states(spark, sf_dir):
     return lists.invitation_states(_t(spark, sf_dir).invitations, AS_OF_EVENTS)
+
+
+# --- tree, exports, quality ----------------------------------------------------------
+from ticketlake.operators import exports, quality, tree  # noqa: E402
+
+
+def cycle_proposals(spark, sf_dir):
+    """Re-parenting proposals derived from nation: root under its own child
+    (loop), child under another root (fine), child under itself (loop),
+    child under a missing id (walk ends)."""
+    from pyspark.sql import functions as F
+    from ticketlake.sources.tables import raw
+    n = raw(spark, sf_dir, "nation")
+    child = (F.col("n_nationkey") + 100).cast("bigint")
+    region = F.col("n_regionkey").cast("bigint")
+    return (n.select(region.alias("category_id"), child.alias("new_parent_id"))
+            .unionByName(n.select(child.alias("category_id"), ((region + 1) % 5).alias("new_parent_id")))
+            .unionByName(n.select(child.alias("category_id"), child.alias("new_parent_id")))
+            .unionByName(n.select(child.alias("category_id"), (child + 100).alias("new_parent_id"))))
+
+
+@register("categories_list")
+def q_categories_list(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return tree.categories_list(t.categories, t.notes)
+
+
+@register("category_tree")
+def q_category_tree(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return tree.category_tree(t.categories, t.notes)
+
+
+@register("category_rollup")
+def q_category_rollup(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return tree.category_rollup(spark, t.categories, t.notes)
+
+
+@register("category_cycles")
+def q_category_cycles(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return tree.cycle_check(spark, t.categories, cycle_proposals(spark, sf_dir))
+
+
+@register("category_delete_guard")
+def q_category_delete_guard(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return tree.delete_guard(t.categories, t.notes, t.categories.select("id"))
+
+
+@register("export_notes")
+def q_export_notes(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return exports.export_notes(t.notes, t.clients, t.users, t.categories)
+
+
+@register("pdf_top_issues")
+def q_pdf_top_issues(spark, sf_dir):
+    return exports.pdf_top_issues(_t(spark, sf_dir).notes)
+
+
+def _q_args(t):
+    return (t.users, t.clients, t.categories, t.notes, t.activity_logs, t.invitations)
+
+
+@register("orphans")
+def q_orphans(spark, sf_dir):
+    return quality.orphans(*_q_args(_t(spark, sf_dir)))
+
+
+@register("duplicates")
+def q_duplicates(spark, sf_dir):
+    return quality.duplicates(*_q_args(_t(spark, sf_dir)))
+
+
+@register("domain_violations")
+def q_domain_violations(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return quality.domain_violations(t.users, t.notes, t.invitations)
+
+
+@register("text_violations")
+def q_text_violations(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return quality.text_violations(t.users, t.clients, t.categories, t.notes)
+
+
+@register("pending_conflicts")
+def q_pending_conflicts(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return quality.pending_conflicts(t.users, t.invitations, AS_OF_EVENTS)
+
+
+@register("quality_summary")
+def q_quality_summary(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return quality.summary(quality.orphans(*_q_args(t)).unionByName(
+        quality.text_violations(t.users, t.clients, t.categories, t.notes)))
