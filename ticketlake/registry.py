@@ -327,3 +327,63 @@ def q_quality_summary(spark, sf_dir):
     t = _t(spark, sf_dir)
     return quality.summary(quality.orphans(*_q_args(t)).unionByName(
         quality.text_violations(t.users, t.clients, t.categories, t.notes)))
+
+
+# --- change jobs ----------------------------------------------------------------------
+from ticketlake.operators import changes  # noqa: E402
+
+
+def _changed(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return t, changes.apply_note_changes(t.notes, t.note_changes, t.clients)
+
+
+@register("notes_after_changes")
+def q_notes_after_changes(spark, sf_dir):
+    return _changed(spark, sf_dir)[1].notes
+
+
+@register("insert_notes")
+def q_insert_notes(spark, sf_dir):
+    return _changed(spark, sf_dir)[1].inserted
+
+
+@register("patch_notes")
+def q_patch_notes(spark, sf_dir):
+    from pyspark.sql import functions as F
+    r = _changed(spark, sf_dir)[1]
+    patched = r.applied.where(F.col("op") == "patch").select(F.col("note_id").alias("id")).distinct()
+    return (r.notes.join(patched, "id", "left_semi")
+            .select("id", "priority", "status", "description", "resolved_at", "updated_at"))
+
+
+@register("increment_notes")
+def q_increment_notes(spark, sf_dir):
+    from pyspark.sql import functions as F
+    r = _changed(spark, sf_dir)[1]
+    inc = r.applied.where(F.col("op") == "increment").select(F.col("note_id").alias("id")).distinct()
+    return r.notes.join(inc, "id", "left_semi").select("id", "counter", "updated_at")
+
+
+@register("delete_notes")
+def q_delete_notes(spark, sf_dir):
+    from pyspark.sql import functions as F
+    return _changed(spark, sf_dir)[1].deleted.select("id", "client_id", F.col("__del_seq").alias("deleted_by_seq"))
+
+
+@register("change_log")
+def q_change_log(spark, sf_dir):
+    return _changed(spark, sf_dir)[1].activity
+
+
+@register("counts_after_changes")
+def q_counts_after_changes(spark, sf_dir):
+    return _changed(spark, sf_dir)[1].client_counts
+
+
+@register("count_drift")
+def q_count_drift(spark, sf_dir):
+    from ticketlake.operators import quality
+    r = _changed(spark, sf_dir)[1]
+    stored = r.client_counts.withColumnRenamed("client_id", "id")
+    return quality.count_drift(stored, r.notes)

@@ -153,8 +153,12 @@ def derive_invitations(spark, raw_dir) -> DataFrame:
 
 
 def derive_note_changes(spark, raw_dir) -> DataFrame:
-    e = raw(spark, raw_dir, "events")
+    """The change set. Inserts also carry the new note's title (the name of
+    the part numbered by the event's ``k``) and agent (user ``k``)."""
+    e = raw(spark, raw_dir, "events").withColumn("__k", F.get_json_object("props", "$.k").cast("bigint"))
+    part = raw(spark, raw_dir, "part").select("p_partkey", "p_name")
     et, eid = F.col("event_type"), F.col("event_id")
+    e = e.join(part, (et == "purchase") & (F.col("__k") == F.col("p_partkey")), "left")
     is_delete = (et == "error") & (eid % 10 == 0)
     return e.select(
         eid.cast("bigint").alias("seq"),
@@ -169,6 +173,8 @@ def derive_note_changes(spark, raw_dir) -> DataFrame:
                                             (eid % 3 + 1).cast("int"))).alias("new_value"),
         F.when(et == "purchase", F.col("user_id")).cast("bigint").alias("client_id"),
         _ts(F.col("ts")).alias("changed_at"),
+        F.when(et == "purchase", F.coalesce(F.col("p_name"), F.lit("untitled"))).alias("title"),
+        F.when(et == "purchase", F.col("__k")).cast("bigint").alias("agent_id"),
     )
 
 
