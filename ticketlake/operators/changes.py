@@ -198,3 +198,23 @@ def floored_counts(clients: DataFrame, start: DataFrame, deltas: DataFrame) -> D
     x0 = F.coalesce("x0", F.lit(0)).cast("bigint")
     new = F.when(F.col("sn").isNull(), x0).otherwise(F.col("sn") - F.least(-x0, F.col("smin")))
     return j.select("client_id", new.cast("bigint").alias("notes_count"))
+
+
+# W15 --------------------------------------------------------------------------
+FOLD_MIN_CHARS = 4  # the form searches for duplicates from 4 typed characters
+
+
+def fold_duplicates(notes: DataFrame, clients: DataFrame, categories: DataFrame, changes: DataFrame) -> DataFrame:
+    """New notes whose title is contained in an existing note's title become
+    an increment of the best such note (highest counter, then lowest id);
+    the rest stay inserts. Matching is the batch duplicate search (top 1)."""
+    from ticketlake.operators.search import title_search_batch
+    new = changes.where(F.col("op") == "insert").select("seq", "note_id", "title")
+    cands = new.where(F.length("title") >= FOLD_MIN_CHARS).select(F.col("seq").alias("cand_id"),
+                                                                   F.col("title").alias("q"))
+    best = title_search_batch(notes, clients, categories, cands, top=1).select(
+        F.col("cand_id").alias("seq"), F.col("id").alias("__match"))
+    j = new.join(best, "seq", "left")
+    return j.select("seq", "note_id", "title",
+                    F.when(F.col("__match").isNull(), "insert").otherwise("increment").alias("decision"),
+                    F.coalesce("__match", "note_id").alias("target_id"))

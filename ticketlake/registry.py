@@ -387,3 +387,46 @@ def q_count_drift(spark, sf_dir):
     r = _changed(spark, sf_dir)[1]
     stored = r.client_counts.withColumnRenamed("client_id", "id")
     return quality.count_drift(stored, r.notes)
+
+
+# --- duplicate folding (W15) -----------------------------------------------------------
+@register("fold_duplicates")
+def q_fold_duplicates(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return changes.fold_duplicates(t.notes, t.clients, t.categories, t.note_changes)
+
+
+# --- streams (run with availableNow, read back from storage) --------------------------
+from ticketlake.streaming import jobs  # noqa: E402
+
+RATE_LIMIT_TEST = 1  # "2 or more requests per user per 15 minutes" (the real limits are 20 and 500)
+
+
+@register("activity_stream")
+def q_activity_stream(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    paths = jobs.new_paths(spark, "activity")
+    jobs.run_available_now(jobs.activity_stream(spark, sf_dir, t.users, paths))
+    return jobs.read_activity(spark, paths)
+
+
+@register("counts_stream")
+def q_counts_stream(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    paths = jobs.new_paths(spark, "counts")
+    jobs.run_available_now(jobs.counts_stream(spark, sf_dir, t.notes, t.clients, paths))
+    return jobs.read_counts(spark, paths, t.notes, t.clients)
+
+
+@register("rate_windows")
+def q_rate_windows(spark, sf_dir):
+    paths = jobs.new_paths(spark, "rate")
+    jobs.run_available_now(jobs.rate_windows_stream(spark, sf_dir, paths))
+    return jobs.read_rate_windows(spark, paths, RATE_LIMIT_TEST)
+
+
+@register("trend_stream")
+def q_trend_stream(spark, sf_dir):
+    paths = jobs.new_paths(spark, "trend")
+    jobs.run_available_now(jobs.trend_stream(spark, sf_dir, paths, AS_OF_NOTES, 6))
+    return jobs.read_trend(spark, paths)

@@ -153,9 +153,14 @@ def derive_invitations(spark, raw_dir) -> DataFrame:
 
 
 def derive_note_changes(spark, raw_dir) -> DataFrame:
-    """The change set. Inserts also carry the new note's title (the name of
-    the part numbered by the event's ``k``) and agent (user ``k``)."""
-    e = raw(spark, raw_dir, "events").withColumn("__k", F.get_json_object("props", "$.k").cast("bigint"))
+    return note_changes_from_events(spark, raw(spark, raw_dir, "events"), raw_dir)
+
+
+def note_changes_from_events(spark, events: DataFrame, raw_dir: str) -> DataFrame:
+    """The change set from events (batch or stream). Inserts also carry the
+    new note's title (the name of the part numbered by the event's ``k``) and
+    agent (user ``k``); the part lookup is a stream-static join on a stream."""
+    e = events.withColumn("__k", F.get_json_object("props", "$.k").cast("bigint"))
     part = raw(spark, raw_dir, "part").select("p_partkey", "p_name")
     et, eid = F.col("event_type"), F.col("event_id")
     e = e.join(part, (et == "purchase") & (F.col("__k") == F.col("p_partkey")), "left")
