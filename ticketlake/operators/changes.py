@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake import schemas
+from ticketlake.plans.joins import cut_lineage
 from ticketlake.plans.prefix import running
 
 NOTE_COLS = [f.name for f in schemas.NOTES.fields]
@@ -83,7 +84,7 @@ def _inserted(notes: DataFrame, changes: DataFrame, clients: DataFrame) -> DataF
 
 
 def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame) -> NoteChangeResult:
-    ins = _inserted(notes, changes, clients)
+    ins = cut_lineage(_inserted(notes, changes, clients))
     live = (notes.select("id", F.lit(-1).cast("bigint").alias("__start"))
             .unionByName(ins.select("id", "__start")))
     other = (changes.where(F.col("op").isin("patch", "increment", "delete"))
@@ -92,8 +93,9 @@ def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame)
              .where(F.col("seq") > F.col("__start")))
     dels = (other.where(F.col("op") == "delete").groupBy("note_id")
             .agg(F.min("seq").alias("__del")))
-    applied = (other.join(dels, "note_id", "left")
-               .where(F.col("__del").isNull() | (F.col("seq") <= F.col("__del"))).drop("__del"))
+    # applied changes are read by the fold, the log and the deletes: computed once
+    applied = cut_lineage(other.join(dels, "note_id", "left")
+                          .where(F.col("__del").isNull() | (F.col("seq") <= F.col("__del"))).drop("__del"))
 
     # one row per touched note
     is_patch = F.col("op") == "patch"
@@ -130,9 +132,9 @@ def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame)
     new_notes = merged.where(~F.col("__deleted")).drop("__deleted")
 
     activity = change_log(notes, ins, applied)
-    deleted = (merged.where(F.col("__deleted"))
-               .join(dels.select(F.col("note_id").alias("__nid"), F.col("__del").alias("__del_seq")),
-                     F.col("id") == F.col("__nid"))
+    del_seq = applied.where(F.col("op") == "delete").select(F.col("note_id").alias("__nid"),
+                                                              F.col("seq").alias("__del_seq"))
+    deleted = (merged.where(F.col("__deleted")).join(del_seq, F.col("id") == F.col("__nid"))
                .select("id", "client_id", "__del_seq"))
     counts = client_counts_after(notes, clients, ins, deleted)
     return NoteChangeResult(new_notes, ins.drop("__start"), applied, folded, activity, counts, deleted)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ticketlake.functions import expressions as E
 from ticketlake.functions.paging import Page, page_meta, take_page
 from ticketlake.operators.filters import NoteQuery, client_search, key_equals, pending_invitation
-from ticketlake.plans.joins import lookup_for_small
+from ticketlake.plans.joins import cut_lineage, lookup_for_small
 
 def NOTE_ORDER():
     return [F.col("updated_at").desc(), F.col("id").desc()]
@@ -25,7 +25,8 @@ def NOTE_ORDER():
 def enrich_notes(page: DataFrame, clients: DataFrame, users: DataFrame, categories: DataFrame,
                  agent_email: bool = False) -> DataFrame:
     """J1 / J3 on a bounded set of notes: client name and phone, agent name
-    (and e-mail), category name."""
+    (and e-mail), category name. The page is computed once."""
+    page = cut_lineage(page)
     out = lookup_for_small(page, "client_id", clients, "id", {"name": "client_name", "phone": "client_phone"})
     ucols = {"name": "agent_name"}
     if agent_email:
@@ -125,7 +126,7 @@ def clients_page(clients, notes, q: str | None, page: Page) -> DataFrame:
     """Active clients (optionally matching q), newest first, with a fresh
     distinct note count and last note update; the stored count is not used.
     Notes are aggregated for the page's clients only."""
-    rows = take_page(clients.where(client_search(q)), CLIENT_ORDER(), page)
+    rows = cut_lineage(take_page(clients.where(client_search(q)), CLIENT_ORDER(), page))
     keys = rows.select(F.col("id").alias("client_id"))
     agg = (notes.join(F.broadcast(keys), "client_id", "left_semi")
            .groupBy("client_id")
@@ -149,7 +150,8 @@ def USER_ORDER():
 
 def users_page(users, notes, page: Page) -> DataFrame:
     """Users (no password) with their note count, newest first."""
-    rows = take_page(users.select("id", "name", "email", "role", "active", "created_at"), USER_ORDER(), page)
+    rows = cut_lineage(take_page(users.select("id", "name", "email", "role", "active", "created_at"),
+                                 USER_ORDER(), page))
     keys = rows.select(F.col("id").alias("agent_id"))
     agg = (notes.join(F.broadcast(keys), "agent_id", "left_semi")
            .groupBy("agent_id").agg(F.count(F.lit(1)).cast("bigint").alias("notes_count")))
@@ -180,7 +182,7 @@ def _activity_labels(df: DataFrame, as_of) -> DataFrame:
 
 
 def activity_page(activity, users, page: Page, as_of) -> DataFrame:
-    rows = take_page(activity, ACTIVITY_ORDER(), page)
+    rows = cut_lineage(take_page(activity, ACTIVITY_ORDER(), page))
     rows = lookup_for_small(rows, "user_id", users, "id", {"name": "user_name", "role": "user_role"})
     return _activity_labels(rows, as_of)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions import expressions as E
-from ticketlake.plans.joins import lookup_for_small
+from ticketlake.plans.joins import cut_lineage, lookup_for_small
 
 def _count_status(s: str) -> Column:
     return F.count_if(F.col("status") == s).cast("bigint")
@@ -56,8 +56,8 @@ def status_priority_cube(notes: DataFrame) -> DataFrame:
 def top_issues(notes: DataFrame, categories: DataFrame, k: int = 10) -> DataFrame:
     """Top k notes by counter (id breaks ties), with the category name joined
     after the limit."""
-    top = (notes.select("id", "title", "counter", "status", "priority", "category_id")
-           .orderBy(F.col("counter").desc(), F.col("id").asc()).limit(k))
+    top = cut_lineage(notes.select("id", "title", "counter", "status", "priority", "category_id")
+                      .orderBy(F.col("counter").desc(), F.col("id").asc()).limit(k))
     out = lookup_for_small(top, "category_id", categories, "id", {"name": "category"})
     return out.select("id", "title", "counter", "status", "priority", "category")
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ticketlake import schemas
 from ticketlake.operators.filters import title_query_ok
+from ticketlake.plans.joins import cut_lineage
 
 TOP = 5
 MAX_TITLE = 255
@@ -46,11 +47,11 @@ def _names(rows: DataFrame, clients: DataFrame, categories: DataFrame) -> DataFr
 
 def title_search(notes, clients, categories, q: str) -> DataFrame:
     """GET /notes/search: top 5 title matches by counter (id breaks ties)."""
-    from ticketlake.plans.joins import lookup_for_small
+    from ticketlake.plans.joins import cut_lineage, lookup_for_small
     if not title_query_ok(q):
         return _names(notes.select(*RESULT_COLS).where(F.lit(False)), clients, categories)
-    top = (notes.where(F.ilike(F.col("title"), F.lit(f"%{q}%"))).select(*RESULT_COLS)
-           .orderBy(F.col("counter").desc(), F.col("id").asc()).limit(TOP))
+    top = cut_lineage(notes.where(F.ilike(F.col("title"), F.lit(f"%{q}%"))).select(*RESULT_COLS)
+                      .orderBy(F.col("counter").desc(), F.col("id").asc()).limit(TOP))
     out = lookup_for_small(top, "client_id", clients, "id", {"name": "client_name"})
     out = lookup_for_small(out, "category_id", categories, "id", {"name": "category_name"})
     return out.drop("client_id", "category_id")
@@ -78,8 +79,9 @@ def title_search_batch(notes, clients, categories, candidates: DataFrame, top: i
     client_name, category_name."""
     # 1. per-title top-k
     per_title = Window.partitionBy("title").orderBy(F.col("counter").desc(), F.col("id").asc())
-    title_top = (notes.select(*RESULT_COLS).withColumn("__rn", F.row_number().over(per_title))
-                 .where(F.col("__rn") <= top).drop("__rn"))
+    # computed once (one scan of notes), read by the four branches below
+    title_top = cut_lineage(notes.select(*RESULT_COLS).withColumn("__rn", F.row_number().over(per_title))
+                            .where(F.col("__rn") <= top).drop("__rn"))
     titles = title_top.select("title").distinct()
     # 2. key index over distinct titles, with key frequencies
     tkeys = _title_keys(titles)

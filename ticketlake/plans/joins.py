@@ -21,14 +21,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketlake.session import ensure_checkpoint_dir
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the shared checkpoint folder
+    (``spark.checkpoint.dir``), so a result used by several branches of a
+    plan is not recomputed per branch and survives a lost executor. Used for
+    bounded results (pages, top-k) and for intermediates read several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
 def lookup_for_small(small: DataFrame, small_key: str, dim: DataFrame, dim_key: str,
                      columns: dict[str, str]) -> DataFrame:
     """Left-join ``columns`` (dim column -> output alias) of ``dim`` onto a
     bounded result ``small`` on ``small.small_key = dim.dim_key``.
 
-    ``small`` must be bounded (page / top-k); its distinct keys are the only
-    broadcast data.
+    ``small`` must be bounded (page / top-k) and already computed
+    (``cut_lineage``); its distinct keys are the only broadcast data.
     """
     keys = small.select(F.col(small_key).alias("__k")).where(F.col("__k").isNotNull()).distinct()
     needed = dim.join(F.broadcast(keys), F.col(dim_key) == F.col("__k"), "left_semi")
