@@ -84,14 +84,19 @@ def q_notes_per_agent(spark, sf_dir):
     return reports.notes_per_agent(t.notes, t.users)
 
 
+def _since(months):
+    from ticketlake.functions import expressions as E
+    return E.months_before(E.lit_ts(AS_OF_NOTES), months)
+
+
 @register("trend_month")
 def q_trend_month(spark, sf_dir):
-    return reports.trend(_t(spark, sf_dir).notes, AS_OF_NOTES, "monthly", 6)
+    return reports.trend(_t(spark, sf_dir).notes_created_between(_since(6)), AS_OF_NOTES, "monthly", 6)
 
 
 @register("trend_week")
 def q_trend_week(spark, sf_dir):
-    return reports.trend(_t(spark, sf_dir).notes, AS_OF_NOTES, "weekly", 6)
+    return reports.trend(_t(spark, sf_dir).notes_created_between(_since(6)), AS_OF_NOTES, "weekly", 6)
 
 
 @register("report_counts")
@@ -132,7 +137,8 @@ def q_notes_page_meta(spark, sf_dir):
 @register("notes_page_agent")
 def q_notes_page_agent(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return lists.notes_page(t.notes, t.clients, t.users, t.categories, AGENT_QUERY, paginate(1, 200))
+    notes = t.notes_created_between(AGENT_QUERY.date_from, AGENT_QUERY.date_to)
+    return lists.notes_page(notes, t.clients, t.users, t.categories, AGENT_QUERY, paginate(1, 200))
 
 
 @register("notes_after_key")

@@ -1,24 +1,31 @@
 """The tracker's tables as DataFrames.
 
-Two ways to get them:
-
-* ``derive_tables(spark, raw_dir)`` builds the six tables (plus the change set
-  ``note_changes``) from the driver's TPC-H-like Parquet with DataFrame
-  operations only (FIXTURES.md section 3 gives the SQL meaning);
-* ``read_tables(spark, dir)`` reads tables written by ``materialize``.
-
-``materialize`` writes every table as Parquet; ``notes`` is partitioned by the
-month of ``created_at`` and sorted by ``updated_at`` inside files, so time range
-filters prune directories and Parquet min/max statistics skip row groups.
+* ``DERIVERS`` build the six tables (plus the change set ``note_changes``)
+  from the driver's TPC-H-like Parquet with DataFrame operations only
+  (FIXTURES.md section 3 gives the SQL meaning);
+* ``materialize`` writes them once as Parquet (a build job); ``notes`` is
+  partitioned by the month of ``created_at`` (range-partitioned, so a hot
+  month is split over tasks) and sorted by ``updated_at`` inside files;
+* ``load_tables(spark, dir)`` on a raw folder builds the tables once per
+  session and raw-data fingerprint into the shared checkpoint folder and
+  reads them from there; on a materialized folder it just reads.
+
+Queries then scan columnar tables with pruning instead of re-deriving the
+notes fact (a lineitem aggregation and three joins) in every plan.
+``Tables.notes_created_between`` adds the month partition filter for time
+range queries.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlake import schemas
 
@@ -203,11 +210,32 @@ class Tables:
         if name not in self._cache:
             if self.derived:
                 self._cache[name] = DERIVERS[name](self.spark, self.path)
+            elif name == "notes":
+                self._cache[name] = self._notes_files().drop(MONTH)
             else:
                 self._cache[name] = (self.spark.read.schema(schemas.SCHEMAS[name])
                                      .parquet(os.path.join(self.path, name)))
         return self._cache[name]
 
+    def _notes_files(self) -> DataFrame:
+        schema = T.StructType(schemas.NOTES.fields + [T.StructField(MONTH, T.DateType())])
+        return self.spark.read.schema(schema).parquet(os.path.join(self.path, "notes"))
+
+    def notes_created_between(self, lo=None, hi=None) -> DataFrame:
+        """Notes with the month-partition filter for created_at in [lo, hi]
+        (the exact filter is still the caller's)."""
+        if self.derived:
+            return self.notes
+        from ticketlake.functions.expressions import lit_ts
+        df = self._notes_files()
+        if lo is not None:
+            lo_c = lit_ts(lo) if not hasattr(lo, "_jc") else lo
+            df = df.where(F.col(MONTH) >= F.make_date(F.year(lo_c), F.month(lo_c), F.lit(1)))
+        if hi is not None:
+            hi_c = lit_ts(hi) if not hasattr(hi, "_jc") else hi
+            df = df.where(F.col(MONTH) <= F.make_date(F.year(hi_c), F.month(hi_c), F.lit(1)))
+        return df.drop(MONTH)
+
     users = property(lambda self: self.table("users"))
     clients = property(lambda self: self.table("clients"))
     categories = property(lambda self: self.table("categories"))
@@ -217,10 +245,38 @@ class Tables:
     note_changes = property(lambda self: self.table("note_changes"))
 
 
-def load_tables(spark: SparkSession, path: str) -> Tables:
-    """Raw driver Parquet (``*.parquet`` files) or a materialized table folder."""
-    derived = os.path.exists(os.path.join(path, "orders.parquet"))
-    return Tables(spark, path, derived=derived)
+MONTH = "created_month"
+RAW_INPUTS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+_BUILT: dict[tuple, str] = {}
+_BUILD_LOCK = threading.Lock()
+
+
+def _fingerprint(raw_dir: str) -> str:
+    h = hashlib.sha256()
+    for name in RAW_INPUTS:
+        p = os.path.join(raw_dir, f"{name}.parquet")
+        st = os.stat(p) if os.path.exists(p) else None
+        h.update(f"{name}:{st.st_size if st else -1}:{st.st_mtime_ns if st else -1};".encode())
+    return h.hexdigest()[:16]
+
+
+def load_tables(spark: SparkSession, path: str, build: bool = True) -> Tables:
+    """Tables of a raw driver folder (``*.parquet`` files) or of a
+    materialized folder. For a raw folder the tables are built once per
+    session and input fingerprint (``build=False`` derives them inside every
+    plan instead)."""
+    if not os.path.exists(os.path.join(path, "orders.parquet")):
+        return Tables(spark, path, derived=False)
+    if not build:
+        return Tables(spark, path, derived=True)
+    key = (spark.sparkContext.applicationId, os.path.abspath(path), _fingerprint(path))
+    with _BUILD_LOCK:
+        if key not in _BUILT:
+            from ticketlake.session import scratch_dir
+            out = scratch_dir(spark, "tables")
+            materialize(Tables(spark, path, derived=True), out)
+            _BUILT[key] = out
+    return Tables(spark, _BUILT[key], derived=False)
 
 
 def materialize(tables: Tables, out_dir: str, mode: str = "errorifexists") -> str:
@@ -230,9 +286,9 @@ def materialize(tables: Tables, out_dir: str, mode: str = "errorifexists") -> st
         w = df
         if name == "notes":
             # range partitioning splits a hot month over several tasks
-            w = (df.withColumn("created_month", F.make_date(F.year("created_at"), F.month("created_at"), F.lit(1)))
-                 .repartitionByRange("created_month", "updated_at").sortWithinPartitions("updated_at"))
-            w.write.mode(mode).partitionBy("created_month").parquet(os.path.join(out_dir, name))
+            w = (df.withColumn(MONTH, F.make_date(F.year("created_at"), F.month("created_at"), F.lit(1)))
+                 .repartitionByRange(MONTH, "updated_at").sortWithinPartitions(MONTH, "updated_at"))
+            w.write.mode(mode).partitionBy(MONTH).parquet(os.path.join(out_dir, name))
             continue
         w.write.mode(mode).parquet(os.path.join(out_dir, name))
     return out_dir
