@@ -43,11 +43,13 @@ def new_paths(spark: SparkSession, name: str) -> StreamPaths:
     return StreamPaths(os.path.join(base, "checkpoint"), os.path.join(base, "output"))
 
 
-def table_stream(spark: SparkSession, src_dir: str, table: str) -> DataFrame:
-    """A file stream over ``{table}.parquet`` files in ``src_dir``; the schema
-    comes from the Parquet footer (no data scan)."""
-    schema = raw(spark, src_dir, table).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+def table_stream(spark: SparkSession, src_dir: str, table: str, name_glob: str | None = None) -> DataFrame:
+    """A file stream over the files of one table in ``src_dir`` (file names
+    matching ``name_glob``, default ``{table}.parquet``); the schema comes
+    from the Parquet footers (no data scan)."""
+    glob = name_glob or f"{table}.parquet"
+    schema = spark.read.option("pathGlobFilter", glob).parquet(src_dir).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
             .option("maxFilesPerTrigger", 1000).parquet(src_dir))
 
 
@@ -132,9 +134,9 @@ def read_counts(spark, paths: StreamPaths, notes: DataFrame, clients: DataFrame)
 
 # ST3 --------------------------------------------------------------------------
 def rate_windows_stream(spark: SparkSession, src_dir: str, paths: StreamPaths,
-                        window: str = "15 minutes", late: str = "15 minutes"):
+                        window: str = "15 minutes", late: str = "15 minutes", name_glob: str | None = None):
     """Requests per user per epoch-aligned tumbling window (update mode)."""
-    ev = (table_stream(spark, src_dir, "events")
+    ev = (table_stream(spark, src_dir, "events", name_glob)
           .withColumn("__t", E.utc_instant(F.col("ts").cast("timestamp_ntz")))
           .withWatermark("__t", late))
     agg = ev.groupBy(F.window("__t", window).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("requests"))
