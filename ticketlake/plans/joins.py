@@ -18,6 +18,7 @@ Size discipline:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     plan is not recomputed per branch and survives a lost executor. Used for
     bounded results (pages, top-k) and for intermediates read several times."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first: writing a reliable checkpoint otherwise recomputes the input
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist(blocking=False)
+    return out
 
 
 def lookup_for_small(small: DataFrame, small_key: str, dim: DataFrame, dim_key: str,

@@ -436,3 +436,82 @@ def q_trend_stream(spark, sf_dir):
     paths = jobs.new_paths(spark, "trend")
     jobs.run_available_now(jobs.trend_stream(spark, sf_dir, paths, AS_OF_NOTES, 6))
     return jobs.read_trend(spark, paths)
+
+
+# --- client, user, category and invitation change jobs -------------------------------
+from ticketlake.operators import admin  # noqa: E402
+
+
+def _events(spark, sf_dir):
+    from ticketlake.sources.tables import raw
+    return raw(spark, sf_dir, "events")
+
+
+@register("patch_users")
+def q_patch_users(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return admin.apply_user_changes(t.users, admin.user_changes_from_events(_events(spark, sf_dir)))[0]
+
+
+@register("deactivate")
+def q_deactivate(spark, sf_dir):
+    from pyspark.sql import functions as F
+    t = _t(spark, sf_dir)
+    ev = _events(spark, sf_dir)
+    u = admin.apply_user_changes(t.users, admin.user_changes_from_events(ev))[1]
+    c = admin.apply_client_changes(t.clients, admin.client_changes_from_events(ev))[1]
+    return (u.where(F.col("op") == "deactivate").select(F.lit("users").alias("table_name"), "*")
+            .unionByName(c.where(F.col("op") == "deactivate").select(F.lit("clients").alias("table_name"), "*")))
+
+
+@register("upsert_clients")
+def q_upsert_clients(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return admin.apply_client_changes(t.clients, admin.client_changes_from_events(_events(spark, sf_dir)))[1]
+
+
+@register("clients_after_changes")
+def q_clients_after_changes(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return admin.apply_client_changes(t.clients, admin.client_changes_from_events(_events(spark, sf_dir)))[0]
+
+
+@register("category_changes")
+def q_category_changes(spark, sf_dir):
+    from ticketlake.sources.tables import raw
+    t = _t(spark, sf_dir)
+    ch = admin.category_changes_from_nation(raw(spark, sf_dir, "nation"))
+    return admin.apply_category_changes(spark, t.categories, t.notes, ch)[1]
+
+
+def removed_sets(spark, sf_dir):
+    """Rows to remove, from events: clients of error events with event_id
+    mod 10 = 0, users of view events with event_id mod 97 = 0, categories
+    100 + event_id mod 25 of click events with event_id mod 89 = 0."""
+    from pyspark.sql import functions as F
+    ev = _events(spark, sf_dir)
+    et, eid = F.col("event_type"), F.col("event_id")
+    rc = ev.where((et == "error") & (eid % 10 == 0)).select(F.col("user_id").cast("bigint").alias("id"))
+    ru = ev.where((et == "view") & (eid % 97 == 0)).select(F.col("user_id").cast("bigint").alias("id"))
+    rk = ev.where((et == "click") & (eid % 89 == 0)).select((eid % 25 + 100).cast("bigint").alias("id"))
+    return rc, ru, rk
+
+
+@register("fk_actions")
+def q_fk_actions(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rc, ru, rk = removed_sets(spark, sf_dir)
+    return admin.fk_summary(admin.fk_actions(t.notes, t.categories, t.activity_logs, t.invitations, rc, ru, rk))
+
+
+@register("invitation_lifecycle")
+def q_invitation_lifecycle(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return admin.invitation_lifecycle(t.invitations, admin.cancellations_from_invitations(t.invitations),
+                                      AS_OF_EVENTS)
+
+
+@register("signup_roles")
+def q_signup_roles(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return admin.signup_roles(t.users, t.invitations, admin.signups_from_invitations(t.invitations))
