@@ -8,7 +8,9 @@ from tests.conftest import SF_SMALL
 from tools.check_oracle import RAW, rows_of
 
 ORACLES = se.oracle_sql()
-NAMES = sorted(se.queries())
+# iterative loop rule: checked against a brute-force model in test_admin.py
+NO_ORACLE = {"category_changes"}
+NAMES = sorted(set(se.queries()) - NO_ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +25,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(NAMES) == set(ORACLES)
+    assert set(se.queries()) - NO_ORACLE == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", NAMES)
