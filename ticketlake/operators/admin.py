@@ -183,7 +183,7 @@ def loop_ids(tree: DataFrame, n_nodes: int) -> DataFrame:
     covers its whole loop. K small joins, lineage cut per step (the step
     joins the previous one with itself)."""
     st = tree.select("id", F.col("parent_id").alias("p"), F.col("id").alias("m"))
-    for _ in range(max(1, int(n_nodes).bit_length() + 1)):
+    for _ in range(max(1, int(n_nodes).bit_length())):  # 2**K > n_nodes
         nxt = st.select(F.col("id").alias("__b"), F.col("p").alias("__bp"), F.col("m").alias("__bm"))
         st = cut_lineage(st.join(nxt, F.col("p") == F.col("__b"), "left")
                          .select("id", F.col("__bp").alias("p"),
@@ -227,12 +227,13 @@ def apply_category_changes(spark, categories: DataFrame, notes: DataFrame, chang
 
     n_cats = categories.count()
     for _ in range(max_rounds):
-        t = cut_lineage(tree_with(refused))
+        t = tree_with(refused)
         loops = loop_ids(t.select("id", "parent_id"), n_cats)
         in_loop = t.join(loops, F.col("id") == F.col("member")).where(F.col("__edge_seq").isNotNull())
         latest = in_loop.groupBy("loop_id").agg(F.max("__edge_seq").alias("seq"))
         if latest.isEmpty():
             break
+        # the new refusals depend on the previous ones twice: cut the lineage per round
         refused = cut_lineage(refused.unionByName(latest.select("seq", F.lit("loop").alias("reason"))))
     t = tree_with(refused).drop("__edge_seq")
     # deletes apply after the edits of the batch (a delete is the last word on a row)

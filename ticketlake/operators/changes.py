@@ -140,6 +140,24 @@ def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame)
     return NoteChangeResult(new_notes, ins.drop("__start"), applied, folded, activity, counts, deleted)
 
 
+def write_version(result: NoteChangeResult, out_dir: str) -> dict[str, str]:
+    """Write the job's outputs as a new version folder (never the input's);
+    returns the paths. Each output is written once by Spark executors."""
+    import os
+    paths = {}
+    for name in ("notes", "inserted", "applied", "activity", "client_counts", "deleted"):
+        path = os.path.join(out_dir, name)
+        getattr(result, name).write.mode("errorifexists").parquet(path)
+        paths[name] = path
+    return paths
+
+
+def read_version(spark, paths: dict[str, str]) -> NoteChangeResult:
+    r = {k: spark.read.parquet(v) for k, v in paths.items()}
+    return NoteChangeResult(r["notes"], r["inserted"], r["applied"], None, r["activity"],
+                            r["client_counts"], r["deleted"])
+
+
 # W16 --------------------------------------------------------------------------
 def change_log(notes: DataFrame, ins: DataFrame, applied: DataFrame) -> DataFrame:
     """One activity row per applied change: action, target, title at that

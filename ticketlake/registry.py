@@ -339,9 +339,19 @@ def q_quality_summary(spark, sf_dir):
 from ticketlake.operators import changes  # noqa: E402
 
 
+_VERSIONS: dict[tuple, dict] = {}
+
+
 def _changed(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return t, changes.apply_note_changes(t.notes, t.note_changes, t.clients)
+    """The note change job over the derived change set, run once per table
+    build and written as a new version; the change queries read that version."""
+    from ticketlake.session import scratch_dir
+    t = _t(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, t.path)
+    if key not in _VERSIONS:
+        result = changes.apply_note_changes(t.notes, t.note_changes, t.clients)
+        _VERSIONS[key] = changes.write_version(result, scratch_dir(spark, "note-changes"))
+    return t, changes.read_version(spark, _VERSIONS[key])
 
 
 @register("notes_after_changes")
