@@ -69,3 +69,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     else:
         w.format(fmt).save(path)
     return path
+
+
+def append_activity(rows: DataFrame, table_path: str) -> str:
+    """Append activity rows (e.g. a change job's log) to the activity
+    table; appends add new files, existing files are never rewritten."""
+    from ticketlake import schemas
+    cols = [f.name for f in schemas.ACTIVITY_LOGS.fields]
+    rows.select(*cols).write.mode("append").parquet(table_path)
+    return table_path

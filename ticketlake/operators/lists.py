@@ -215,3 +215,18 @@ def invitation_state(as_of):
 
 def invitation_states(invitations, as_of) -> DataFrame:
     return invitations.select("id", "email", "role", invitation_state(as_of).alias("state"))
+
+
+# E9, E13, E21, E23, E24 -------------------------------------------------------
+def notes_display(notes, clients, users, categories, page: Page) -> DataFrame:
+    """A page of notes with the screen's derived values: the next status of
+    the status button, the agent's initials and first name, the created date
+    and month label, and an empty description shown as missing."""
+    rows = notes_page(notes, clients, users, categories, NoteQuery(), page)
+    return rows.select("id", "status", "agent_name",
+                       E.next_status(F.col("status")).alias("next_status"),
+                       E.initials(F.col("agent_name")).alias("agent_initials"),
+                       E.first_name(F.col("agent_name")).alias("agent_first_name"),
+                       E.date_string(F.col("created_at")).alias("created_date"),
+                       E.period_label(F.col("created_at"), with_year=True).alias("created_month"),
+                       E.blank_to_null(F.col("description")).alias("description"))

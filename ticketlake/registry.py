@@ -525,3 +525,9 @@ def q_invitation_lifecycle(spark, sf_dir):
 def q_signup_roles(spark, sf_dir):
     t = _t(spark, sf_dir)
     return admin.signup_roles(t.users, t.invitations, admin.signups_from_invitations(t.invitations))
+
+
+@register("notes_display")
+def q_notes_display(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return lists.notes_display(t.notes, t.clients, t.users, t.categories, paginate(1, 100))
