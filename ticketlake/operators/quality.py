@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake import schemas
-from ticketlake.functions.expressions import email_ok, lit_ts
+from ticketlake.functions.expressions import clean_email, email_ok
 from ticketlake.operators.filters import pending_invitation
 
 VIOLATION_COLS = ["rule", "table_name", "row_id", "value"]
@@ -96,6 +96,9 @@ def text_violations(users, clients, categories, notes) -> DataFrame:
     parts.append(_v(notes.where(F.col("counter").isNull() | (F.col("counter") < 1)), "counter_min", "notes", "id", "counter"))
     for table, df in (("users", users), ("clients", clients)):
         parts.append(_v(df.where(F.col("email").isNotNull() & ~email_ok(F.col("email"))), "email_form", table, "id", "email"))
+        # Stored e-mails are normalised (trimmed, lower case) before store and compare
+        parts.append(_v(df.where(F.col("email").isNotNull() & (F.col("email") != clean_email(F.col("email")))),
+                        "email_not_normalized", table, "id", "email"))
     return _union(parts)
 
 

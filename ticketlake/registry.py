@@ -531,3 +531,12 @@ def q_signup_roles(spark, sf_dir):
 def q_notes_display(spark, sf_dir):
     t = _t(spark, sf_dir)
     return lists.notes_display(t.notes, t.clients, t.users, t.categories, paginate(1, 100))
+
+
+@register("note_details_batch")
+def q_note_details_batch(spark, sf_dir):
+    """F14 for many keys: the details of every note a patch asks for."""
+    from pyspark.sql import functions as F
+    t = _t(spark, sf_dir)
+    ids = t.note_changes.where(F.col("op") == "patch").select(F.col("note_id").alias("id"))
+    return lists.notes_detail_batch(t.notes, t.clients, t.users, t.categories, ids)
