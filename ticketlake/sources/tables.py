@@ -4,8 +4,9 @@
   from the driver's TPC-H-like Parquet with DataFrame operations only
   (FIXTURES.md section 3 gives the SQL meaning);
 * ``materialize`` writes them once as Parquet (a build job); ``notes`` is
-  partitioned by the month of ``created_at`` (range-partitioned, so a hot
-  month is split over tasks) and sorted by ``updated_at`` inside files;
+  partitioned by the month of ``created_at`` (``rebalance``: AQE splits a hot
+  month and merges small ones into files of the advisory size) and sorted by
+  ``updated_at`` inside files;
 * ``load_tables(spark, dir)`` on a raw folder builds the tables once per
   session and raw-data fingerprint into the shared checkpoint folder and
   reads them from there; on a materialized folder it just reads.
@@ -285,9 +286,10 @@ def materialize(tables: Tables, out_dir: str, mode: str = "errorifexists") -> st
         df = tables.table(name)
         w = df
         if name == "notes":
-            # range partitioning splits a hot month over several tasks
+            # rebalance: AQE sizes the output partitions (a hot month is split,
+            # small months are merged) whatever spark.sql.shuffle.partitions is
             w = (df.withColumn(MONTH, F.make_date(F.year("created_at"), F.month("created_at"), F.lit(1)))
-                 .repartitionByRange(MONTH, "updated_at").sortWithinPartitions(MONTH, "updated_at"))
+                 .hint("rebalance", MONTH).sortWithinPartitions(MONTH, "updated_at"))
             w.write.mode(mode).partitionBy(MONTH).parquet(os.path.join(out_dir, name))
             continue
         w.write.mode(mode).parquet(os.path.join(out_dir, name))
