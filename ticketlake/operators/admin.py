@@ -180,14 +180,18 @@ def loop_ids(tree: DataFrame, n_nodes: int) -> DataFrame:
     walk. After K steps with 2**K > n_nodes a node in or under a loop still
     has an ancestor, which lies on the loop; these ancestors are exactly the
     loop members (on a loop the jump is a rotation), and a member's ``m``
-    covers its whole loop. K small joins, lineage cut per step (the step
+    covers its whole loop. K small joins, lineage cut per step (a step
     joins the previous one with itself)."""
     st = tree.select("id", F.col("parent_id").alias("p"), F.col("id").alias("m"))
-    for _ in range(max(1, int(n_nodes).bit_length())):  # 2**K > n_nodes
+    steps = max(1, int(n_nodes).bit_length())  # 2**steps > n_nodes
+    for k in range(1, steps + 1):
         nxt = st.select(F.col("id").alias("__b"), F.col("p").alias("__bp"), F.col("m").alias("__bm"))
-        st = cut_lineage(st.join(nxt, F.col("p") == F.col("__b"), "left")
-                         .select("id", F.col("__bp").alias("p"),
-                                 F.when(F.col("__b").isNull(), F.col("m")).otherwise(F.least("m", "__bm")).alias("m")))
+        st = (st.join(nxt, F.col("p") == F.col("__b"), "left")
+              .select("id", F.col("__bp").alias("p"),
+                      F.when(F.col("__b").isNull(), F.col("m")).otherwise(F.least("m", "__bm")).alias("m")))
+        # each step uses the previous one twice: cut the lineage per step so the
+        # plan does not double (every copy would also run its own jobs)
+        st = cut_lineage(st)
     members = st.where(F.col("p").isNotNull()).select(F.col("p").alias("member")).distinct()
     return members.join(st.select(F.col("id").alias("member"), F.col("m").alias("loop_id")), "member")
 
