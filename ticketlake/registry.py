@@ -340,6 +340,7 @@ from ticketlake.operators import changes  # noqa: E402
 
 
 _VERSIONS: dict[tuple, dict] = {}
+_VERSIONS_LOCK = __import__("threading").Lock()
 
 
 def _changed(spark, sf_dir):
@@ -348,9 +349,10 @@ def _changed(spark, sf_dir):
     from ticketlake.session import scratch_dir
     t = _t(spark, sf_dir)
     key = (spark.sparkContext.applicationId, t.path)
-    if key not in _VERSIONS:
-        result = changes.apply_note_changes(t.notes, t.note_changes, t.clients)
-        _VERSIONS[key] = changes.write_version(result, scratch_dir(spark, "note-changes"))
+    with _VERSIONS_LOCK:
+        if key not in _VERSIONS:
+            result = changes.apply_note_changes(t.notes, t.note_changes, t.clients)
+            _VERSIONS[key] = changes.write_version(result, scratch_dir(spark, "note-changes"))
     return t, changes.read_version(spark, _VERSIONS[key])
 
 
