@@ -163,7 +163,10 @@ def trend_stream(spark: SparkSession, src_dir: str, paths: StreamPaths, as_of: s
     customer): Monday-aligned 7-day windows (epoch day 0 is a Thursday, so
     the windows start 4 days later), total / resolved / open per week."""
     orders = table_stream(spark, src_dir, "orders")
-    cust = raw(spark, src_dir, "customer").select(F.col("c_custkey"))
+    # a note exists for an order whose customer (and the customer's nation) exists
+    cust = (raw(spark, src_dir, "customer").select("c_custkey", "c_nationkey")
+            .join(raw(spark, src_dir, "nation").select(F.col("n_nationkey")),
+                  F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey"))
     created = F.col("o_orderdate").cast("timestamp_ntz")
     since = E.months_before(E.lit_ts(as_of), months)
     n = (orders.join(cust, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
