@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ticketlake.functions import expressions as E
 from ticketlake.functions.paging import Page, page_meta, take_page
 from ticketlake.operators.filters import NoteQuery, client_search, key_equals, pending_invitation
-from ticketlake.plans.joins import cut_lineage, lookup_for_small
+from ticketlake.plans.joins import cut_lineage, lookup_for_small, within_broadcast_bound
 
 def NOTE_ORDER():
     return [F.col("updated_at").desc(), F.col("id").desc()]
@@ -27,12 +27,13 @@ def enrich_notes(page: DataFrame, clients: DataFrame, users: DataFrame, categori
     """J1 / J3 on a bounded set of notes: client name and phone, agent name
     (and e-mail), category name. The page is computed once."""
     page = cut_lineage(page)
-    out = lookup_for_small(page, "client_id", clients, "id", {"name": "client_name", "phone": "client_phone"})
+    b = within_broadcast_bound(page)
+    out = lookup_for_small(page, "client_id", clients, "id", {"name": "client_name", "phone": "client_phone"}, b)
     ucols = {"name": "agent_name"}
     if agent_email:
         ucols["email"] = "agent_email"
-    out = lookup_for_small(out, "agent_id", users, "id", ucols)
-    return lookup_for_small(out, "category_id", categories, "id", {"name": "category_name"})
+    out = lookup_for_small(out, "agent_id", users, "id", ucols, b)
+    return lookup_for_small(out, "category_id", categories, "id", {"name": "category_name"}, b)
 
 
 # K3 + F1-F7 + J1 --------------------------------------------------------------
@@ -127,7 +128,7 @@ def clients_page(clients, notes, q: str | None, page: Page) -> DataFrame:
     distinct note count and last note update; the stored count is not used.
     Notes are aggregated for the page's clients only."""
     rows = cut_lineage(take_page(clients.where(client_search(q)), CLIENT_ORDER(), page))
-    keys = rows.select(F.col("id").alias("client_id"))
+    keys = rows.select(F.col("id").alias("client_id"))  # <= 100 rows (a page)
     agg = (notes.join(F.broadcast(keys), "client_id", "left_semi")
            .groupBy("client_id")
            .agg(F.count_distinct("id").cast("bigint").alias("notes_count"),
@@ -152,7 +153,7 @@ def users_page(users, notes, page: Page) -> DataFrame:
     """Users (no password) with their note count, newest first."""
     rows = cut_lineage(take_page(users.select("id", "name", "email", "role", "active", "created_at"),
                                  USER_ORDER(), page))
-    keys = rows.select(F.col("id").alias("agent_id"))
+    keys = rows.select(F.col("id").alias("agent_id"))  # <= 100 rows (a page)
     agg = (notes.join(F.broadcast(keys), "agent_id", "left_semi")
            .groupBy("agent_id").agg(F.count(F.lit(1)).cast("bigint").alias("notes_count")))
     return (rows.join(agg, rows["id"] == agg["agent_id"], "left")

@@ -38,14 +38,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
+def within_broadcast_bound(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Size check before an explicit broadcast: counts at most max_rows + 1
+    rows of an already computed (checkpointed) result."""
+    return small.limit(max_rows + 1).count() <= max_rows
+
+
 def lookup_for_small(small: DataFrame, small_key: str, dim: DataFrame, dim_key: str,
-                     columns: dict[str, str]) -> DataFrame:
+                     columns: dict[str, str], bounded: bool | None = None) -> DataFrame:
     """Left-join ``columns`` (dim column -> output alias) of ``dim`` onto a
     bounded result ``small`` on ``small.small_key = dim.dim_key``.
 
-    ``small`` must be bounded (page / top-k) and already computed
-    (``cut_lineage``); its distinct keys are the only broadcast data.
+    ``small`` is a page / top-k already computed (``cut_lineage``); its
+    distinct keys are the only broadcast data. The bound is checked
+    (``bounded`` passes a check already made); beyond it the lookup is a
+    plain join sized by the planner.
     """
+    if bounded is None:
+        bounded = within_broadcast_bound(small)
+    if not bounded:
+        return left_lookup(small, small_key, dim, dim_key, columns)
     keys = small.select(F.col(small_key).alias("__k")).where(F.col("__k").isNotNull()).distinct()
     needed = dim.join(F.broadcast(keys), F.col(dim_key) == F.col("__k"), "left_semi")
     proj = needed.select(F.col(dim_key).alias("__dk"),
