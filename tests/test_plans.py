@@ -65,3 +65,18 @@ def test_no_python_udf(spark, name):
 def test_aggregates_are_partial_then_final(t):
     p = plan_of(reports.agent_performance(t.notes, t.users))
     assert "partial_count" in p
+
+
+def test_lookup_fallback_equals_broadcast_path(t):
+    from ticketlake.plans.joins import cut_lineage, lookup_for_small
+    page = cut_lineage(t.notes.orderBy("id").limit(30))
+    a = lookup_for_small(page, "client_id", t.clients, "id", {"name": "client_name"}, bounded=True)
+    b = lookup_for_small(page, "client_id", t.clients, "id", {"name": "client_name"}, bounded=False)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_summary_shares_one_grouping(spark, t):
+    from ticketlake.operators import exports
+    doc = exports.summary_document(t.notes, t.clients, t.users, t.categories)
+    assert sorted(map(tuple, doc["totals"].collect())) == sorted(map(tuple, reports.totals(t.notes, t.clients).collect()))
+    assert sorted(map(tuple, doc["by_status"].collect())) == sorted(map(tuple, reports.by_status(t.notes).collect()))

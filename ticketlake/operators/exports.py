@@ -51,9 +51,10 @@ def pdf_report(notes: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
 
 def summary_document(notes, clients, users, categories) -> dict[str, DataFrame]:
     """The combined summary as named DataFrames (each computed by Spark;
-    callers write or show them, nothing is assembled on the driver)."""
-    return {"totals": reports.totals(notes, clients), "by_status": reports.by_status(notes),
-            "by_priority": reports.by_priority(notes), "top_issues": reports.top_issues(notes, categories),
+    callers write or show them, nothing is assembled on the driver). The
+    three status/priority counts share one grouping of the notes."""
+    shared = reports.summary_from_cube(reports.status_priority_cube(notes), clients)
+    return {**shared, "top_issues": reports.top_issues(notes, categories),
             "by_category": reports.by_category(notes, categories),
             "agent_performance": reports.agent_performance(notes, users)}
 

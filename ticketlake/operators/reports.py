@@ -48,8 +48,23 @@ def by_priority(notes: DataFrame) -> DataFrame:
 
 def status_priority_cube(notes: DataFrame) -> DataFrame:
     """One shuffle for A2/A4/A5: counts per (status, priority); the small result
-    re-aggregates into totals, by_status and by_priority."""
-    return notes.groupBy("status", "priority").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    (at most |statuses| x |priorities| rows when the domains hold) is computed
+    once and re-aggregated into totals, by_status and by_priority."""
+    return cut_lineage(notes.groupBy("status", "priority").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+
+
+def summary_from_cube(cube: DataFrame, clients: DataFrame) -> dict[str, DataFrame]:
+    """totals / by_status / by_priority from one grouping of the notes."""
+    tot = cube.agg(F.sum("count").cast("bigint").alias("total_notes"),
+                   *[F.sum(F.when(F.col("status") == s, F.col("count")).otherwise(0)).cast("bigint").alias(a)
+                     for s, a in (("Open", "open_notes"), ("In Progress", "in_progress_notes"),
+                                  ("Resolved", "resolved_notes"))])
+    n_clients = clients.select(F.count(F.lit(1)).cast("bigint")).scalar()
+    totals_df = tot.select("*", n_clients.alias("total_clients"),
+                           E.pct_rounded(F.col("resolved_notes"), F.col("total_notes")).alias("resolution_rate"))
+    return {"totals": totals_df,
+            "by_status": cube.groupBy("status").agg(F.sum("count").cast("bigint").alias("count")),
+            "by_priority": cube.groupBy("priority").agg(F.sum("count").cast("bigint").alias("count"))}
 
 
 # K4 + J12 ---------------------------------------------------------------------
