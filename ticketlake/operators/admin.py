@@ -190,7 +190,7 @@ def loop_ids(tree: DataFrame, n_nodes: int) -> DataFrame:
                       F.when(F.col("__b").isNull(), F.col("m")).otherwise(F.least("m", "__bm")).alias("m")))
         # each step uses the previous one twice: cut the lineage per step so the
         # plan does not double (every copy would also run its own jobs)
-        st = cut_lineage(st)
+        st = cut_lineage(st, partitions=1)  # one row per category
     members = st.where(F.col("p").isNotNull()).select(F.col("p").alias("member")).distinct()
     return members.join(st.select(F.col("id").alias("member"), F.col("m").alias("loop_id")), "member")
 
@@ -216,7 +216,8 @@ def apply_category_changes(spark, categories: DataFrame, notes: DataFrame, chang
                     .when((F.col("op") == "patch") & F.col("parent_id").isNotNull() & F.col("__pid").isNull(),
                           "parent_not_found")
                     .when((F.col("op") == "patch") & (F.col("target_id") == F.col("parent_id")), "loop"))
-    c = cut_lineage(c.select("seq", "op", "target_id", "name", "parent_id", first_reason.alias("reason")))
+    c = cut_lineage(c.select("seq", "op", "target_id", "name", "parent_id", first_reason.alias("reason")),
+                    partitions=1)  # one row per category change
     refused = c.where(F.col("reason").isNotNull()).select("seq", "reason")
     deleted = c.where(F.col("reason").isNull() & (F.col("op") == "delete")).select("target_id", "seq")
 
@@ -237,7 +238,8 @@ def apply_category_changes(spark, categories: DataFrame, notes: DataFrame, chang
         if latest.isEmpty():
             break
         # the new refusals depend on the previous ones twice: cut the lineage per round
-        refused = cut_lineage(refused.unionByName(latest.select("seq", F.lit("loop").alias("reason"))))
+        refused = cut_lineage(refused.unionByName(latest.select("seq", F.lit("loop").alias("reason"))),
+                              partitions=1)
     t = tree_with(refused).drop("__edge_seq")
     # deletes apply after the edits of the batch (a delete is the last word on a row)
     gone = deleted.select(F.col("target_id").alias("__gone"))

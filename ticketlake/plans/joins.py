@@ -25,12 +25,17 @@ from pyspark.sql import functions as F
 from ticketlake.session import ensure_checkpoint_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Compute ``df`` once and keep it in the shared checkpoint folder
     (``spark.checkpoint.dir``), so a result used by several branches of a
     plan is not recomputed per branch and survives a lost executor. Used for
-    bounded results (pages, top-k) and for intermediates read several times."""
+    bounded results (pages, top-k) and for intermediates read several times.
+    ``partitions`` narrows a result known to be small (dimension-sized)
+    without a shuffle, so later stages do not run one task per empty
+    partition."""
     ensure_checkpoint_dir(df.sparkSession)
+    if partitions is not None:
+        df = df.coalesce(partitions)
     # persisted first: writing a reliable checkpoint otherwise recomputes the input
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = kept.checkpoint(eager=True)
