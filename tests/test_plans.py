@@ -80,3 +80,11 @@ def test_summary_shares_one_grouping(spark, t):
     doc = exports.summary_document(t.notes, t.clients, t.users, t.categories)
     assert sorted(map(tuple, doc["totals"].collect())) == sorted(map(tuple, reports.totals(t.notes, t.clients).collect()))
     assert sorted(map(tuple, doc["by_status"].collect())) == sorted(map(tuple, reports.by_status(t.notes).collect()))
+
+
+def test_page_lookup_is_broadcast_semi_join(t):
+    from ticketlake.plans.joins import cut_lineage, lookup_for_small
+    page = cut_lineage(t.notes.orderBy("id").limit(20))
+    p = plan_of(lookup_for_small(page, "client_id", t.clients, "id", {"name": "client_name"}, bounded=True))
+    assert "BroadcastHashJoin" in p and "LeftSemi" in p
+    assert "SortMergeJoin" not in p
