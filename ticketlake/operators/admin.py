@@ -359,3 +359,44 @@ def signup_roles(users: DataFrame, invitations: DataFrame, signups: DataFrame) -
     j = j.withColumn("reason", reason2)
     role = F.when(F.col("reason").isNull(), F.when(tok, F.col("__irole")).otherwise(F.lit("admin")))
     return j.select("seq", "email", "token_invitation_id", role.alias("role"), "reason")
+
+
+
+def invitations_after_signups(invitations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """An accepted sign-up with a token marks its invitation used at
+    the sign-up time (other invitations unchanged)."""
+    used = (decisions.where(F.col("reason").isNull() & F.col("token_invitation_id").isNotNull())
+            .select(F.col("token_invitation_id").alias("__iid"), F.col("attempt_at").alias("__at")))
+    j = invitations.join(used, F.col("id") == F.col("__iid"), "left")
+    return j.select(*[F.col(c) for c in invitations.columns if c != "used_at"],
+                    F.coalesce(F.col("__at"), F.col("used_at")).alias("used_at")).select(*invitations.columns)
+
+
+# W16 for the admin jobs -------------------------------------------------------
+def admin_change_log(clients_before: DataFrame, client_changes: DataFrame, client_decisions: DataFrame,
+                     users_before: DataFrame, user_changes: DataFrame, user_decisions: DataFrame,
+                     category_changes: DataFrame, category_decisions: DataFrame) -> DataFrame:
+    """Activity rows of the accepted admin changes, as the tracker logs them:
+    create_client / update_client / delete_client (deactivation), update_user
+    (deactivating a user is not logged), delete_category (a category patch is
+    not logged). target_name is the row's name; the actor is not carried by
+    the client and category change sets (NULL)."""
+    def ok(d):
+        return d.where(F.col("accepted")).select("seq")
+    cl_names = clients_before.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
+    cl = (client_changes.join(ok(client_decisions), "seq", "left_semi")
+          .join(cl_names, F.col("target_id") == F.col("__id"), "left")
+          .select(F.col("seq"), F.lit(None).cast("bigint").alias("user_id"),
+                  F.when(F.col("op") == "insert", "create_client").when(F.col("op") == "deactivate", "delete_client")
+                   .otherwise("update_client").alias("action"),
+                  F.lit("client").alias("target_type"), F.col("target_id"),
+                  F.coalesce(F.col("name"), F.col("__name")).alias("target_name"),
+                  F.col("changed_at").alias("created_at")))
+    us_names = users_before.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
+    us = (user_changes.join(ok(user_decisions), "seq", "left_semi").where(F.col("op") != "deactivate")
+          .join(us_names, F.col("target_id") == F.col("__id"), "left")
+          .select(F.col("seq"), F.col("actor_id").alias("user_id"), F.lit("update_user").alias("action"),
+                  F.lit("user").alias("target_type"), F.col("target_id"),
+                  F.when(F.col("op") == "name", F.col("new_value")).otherwise(F.col("__name")).alias("target_name"),
+                  F.col("changed_at").alias("created_at")))
+    return cl.unionByName(us)

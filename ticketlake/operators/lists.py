@@ -133,9 +133,10 @@ def clients_page(clients, notes, q: str | None, page: Page) -> DataFrame:
            .groupBy("client_id")
            .agg(F.count_distinct("id").cast("bigint").alias("notes_count"),
                 F.max("updated_at").alias("last_activity")))
+    # a stored notes_count is replaced by the fresh count, never duplicated
+    keep = [rows[c] for c in rows.columns if c not in ("notes_count", "last_activity")]
     return (rows.join(agg, rows["id"] == agg["client_id"], "left")
-            .select(*[rows[c] for c in rows.columns],
-                    F.coalesce(agg["notes_count"], F.lit(0)).cast("bigint").alias("notes_count"),
+            .select(*keep, F.coalesce(agg["notes_count"], F.lit(0)).cast("bigint").alias("notes_count"),
                     agg["last_activity"]))
 
 

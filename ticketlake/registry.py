@@ -542,3 +542,21 @@ def q_note_details_batch(spark, sf_dir):
     t = _t(spark, sf_dir)
     ids = t.note_changes.where(F.col("op") == "patch").select(F.col("note_id").alias("id"))
     return lists.notes_detail_batch(t.notes, t.clients, t.users, t.categories, ids)
+
+
+@register("admin_change_log")
+def q_admin_change_log(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    ev = _events(spark, sf_dir)
+    cch, uch = admin.client_changes_from_events(ev), admin.user_changes_from_events(ev)
+    _, cdec = admin.apply_client_changes(t.clients, cch)
+    _, udec = admin.apply_user_changes(t.users, uch)
+    return admin.admin_change_log(t.clients, cch, cdec, t.users, uch, udec, None, None)
+
+
+@register("invitations_after_signups")
+def q_invitations_after_signups(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    su = admin.signups_from_invitations(t.invitations)
+    dec = admin.signup_roles(t.users, t.invitations, su).join(su.select("seq", "attempt_at"), "seq")
+    return admin.invitations_after_signups(t.invitations, dec)
