@@ -51,3 +51,5 @@ def test_category_changes_match_model(spark, tables):
     changes = [r.asDict() for r in ch_df.collect()]
     assert got == _model(cats, used, changes)
     assert "loop" in got.values()
+    log = admin.category_change_log(tables.categories, ch_df, decisions).collect()
+    assert [(r.target_id, r.target_name) for r in log] == [(99, "UNUSED")]

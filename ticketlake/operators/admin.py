@@ -374,13 +374,11 @@ def invitations_after_signups(invitations: DataFrame, decisions: DataFrame) -> D
 
 # W16 for the admin jobs -------------------------------------------------------
 def admin_change_log(clients_before: DataFrame, client_changes: DataFrame, client_decisions: DataFrame,
-                     users_before: DataFrame, user_changes: DataFrame, user_decisions: DataFrame,
-                     category_changes: DataFrame, category_decisions: DataFrame) -> DataFrame:
-    """Activity rows of the accepted admin changes, as the tracker logs them:
-    create_client / update_client / delete_client (deactivation), update_user
-    (deactivating a user is not logged), delete_category (a category patch is
-    not logged). target_name is the row's name; the actor is not carried by
-    the client and category change sets (NULL)."""
+                     users_before: DataFrame, user_changes: DataFrame, user_decisions: DataFrame) -> DataFrame:
+    """Activity rows of the accepted client and user changes, as the tracker
+    logs them: create_client / update_client / delete_client (deactivation),
+    update_user (deactivating a user is not logged). target_name is the
+    row's name; the client change set carries no actor (NULL)."""
     def ok(d):
         return d.where(F.col("accepted")).select("seq")
     cl_names = clients_before.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
@@ -400,3 +398,13 @@ def admin_change_log(clients_before: DataFrame, client_changes: DataFrame, clien
                   F.when(F.col("op") == "name", F.col("new_value")).otherwise(F.col("__name")).alias("target_name"),
                   F.col("changed_at").alias("created_at")))
     return cl.unionByName(us)
+
+
+def category_change_log(categories_before: DataFrame, changes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """delete_category rows for accepted deletes (a category patch is not
+    logged by the tracker)."""
+    names = categories_before.select(F.col("id").alias("__id"), F.col("name").alias("target_name"))
+    acc = decisions.where(F.col("accepted") & (F.col("op") == "delete")).select("seq")
+    return (changes.join(acc, "seq", "left_semi").join(names, F.col("target_id") == F.col("__id"), "left")
+            .select("seq", F.lit(None).cast("bigint").alias("user_id"), F.lit("delete_category").alias("action"),
+                    F.lit("category").alias("target_type"), "target_id", "target_name"))

@@ -551,7 +551,7 @@ def q_admin_change_log(spark, sf_dir):
     cch, uch = admin.client_changes_from_events(ev), admin.user_changes_from_events(ev)
     _, cdec = admin.apply_client_changes(t.clients, cch)
     _, udec = admin.apply_user_changes(t.users, uch)
-    return admin.admin_change_log(t.clients, cch, cdec, t.users, uch, udec, None, None)
+    return admin.admin_change_log(t.clients, cch, cdec, t.users, uch, udec)
 
 
 @register("invitations_after_signups")
