@@ -88,3 +88,4 @@ def test_page_lookup_is_broadcast_semi_join(t):
     p = plan_of(lookup_for_small(page, "client_id", t.clients, "id", {"name": "client_name"}, bounded=True))
     assert "BroadcastHashJoin" in p and "LeftSemi" in p
     assert "SortMergeJoin" not in p
+    assert "GreaterThanOrEqual(id,ScalarSubquery" in p  # key range reaches the dimension scan

@@ -67,7 +67,12 @@ def lookup_for_small(small: DataFrame, small_key: str, dim: DataFrame, dim_key:
     if not bounded:
         return left_lookup(small, small_key, dim, dim_key, columns)
     keys = small.select(F.col(small_key).alias("__k")).where(F.col("__k").isNotNull()).distinct()
-    needed = dim.join(F.broadcast(keys), F.col(dim_key) == F.col("__k"), "left_semi")
+    # the keys' range, as scalar subqueries, reaches the Parquet reader as a
+    # runtime filter: row groups of a dimension written in key order are skipped
+    lo = keys.select(F.min("__k")).scalar()
+    hi = keys.select(F.max("__k")).scalar()
+    in_range = dim.where((F.col(dim_key) >= lo) & (F.col(dim_key) <= hi))
+    needed = in_range.join(F.broadcast(keys), F.col(dim_key) == F.col("__k"), "left_semi")
     proj = needed.select(F.col(dim_key).alias("__dk"),
                          *[F.col(c).alias(a) for c, a in columns.items()])
     return small.join(proj, F.col(small_key) == F.col("__dk"), "left").drop("__dk")

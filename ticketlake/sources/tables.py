@@ -294,6 +294,10 @@ def materialize(tables: Tables, out_dir: str, mode: str = "errorifexists") -> st
             w = (df.withColumn(MONTH, F.make_date(F.year("created_at"), F.month("created_at"), F.lit(1)))
                  .hint("rebalance", MONTH).sortWithinPartitions(MONTH, "updated_at"))
             w.write.mode(mode).partitionBy(MONTH).parquet(os.path.join(out_dir, name))
+        elif name in ("users", "clients", "categories"):
+            # dimensions in key order: Parquet min/max statistics let key-range
+            # filters (page lookups) skip row groups
+            df.sortWithinPartitions("id").write.mode(mode).parquet(os.path.join(out_dir, name))
         else:
             df.write.mode(mode).parquet(os.path.join(out_dir, name))
 
