@@ -60,3 +60,16 @@ def test_activity_stream_equals_batch(spark, tables):
     expect = (tables.activity_logs.join(u, F.col("user_id") == F.col("uid"), "left")
               .select("id", "action", "user_name"))
     assert _rows(got) == _rows(expect)
+
+
+def test_activity_stream_drops_repeated_events(spark, tables):
+    """The same events delivered twice (two files) give each id once."""
+    src = tempfile.mkdtemp(prefix="tl-dup-")
+    table = pq.read_table(os.path.join(SF_SMALL, "events.parquet"))
+    pq.write_table(table, os.path.join(src, "events_a.parquet"))
+    pq.write_table(table.slice(0, table.num_rows // 3), os.path.join(src, "events_b.parquet"))
+    paths = jobs.new_paths(spark, "test-dup")
+    q = jobs.activity_stream(spark, src, tables.users, paths, name_glob="events_*.parquet")
+    jobs.run_available_now(q)
+    got = jobs.read_activity(spark, paths)
+    assert got.count() == got.select("id").distinct().count() == table.num_rows

@@ -142,13 +142,16 @@ def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame)
 
 def write_version(result: NoteChangeResult, out_dir: str) -> dict[str, str]:
     """Write the job's outputs as a new version folder (never the input's);
-    returns the paths. Each output is written once by Spark executors."""
+    returns the paths. The outputs are independent jobs, submitted together."""
     import os
-    paths = {}
-    for name in ("notes", "inserted", "applied", "activity", "client_counts", "deleted"):
-        path = os.path.join(out_dir, name)
-        getattr(result, name).write.mode("errorifexists").parquet(path)
-        paths[name] = path
+    from concurrent.futures import ThreadPoolExecutor
+    names = ("notes", "inserted", "applied", "activity", "client_counts", "deleted")
+    paths = {name: os.path.join(out_dir, name) for name in names}
+    with ThreadPoolExecutor(max_workers=len(names)) as pool:
+        futures = [pool.submit(lambda n: getattr(result, n).write.mode("errorifexists").parquet(paths[n]), name)
+                   for name in names]
+        for f in futures:
+            f.result()
     return paths
 
 

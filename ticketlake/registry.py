@@ -560,3 +560,10 @@ def q_invitations_after_signups(spark, sf_dir):
     su = admin.signups_from_invitations(t.invitations)
     dec = admin.signup_roles(t.users, t.invitations, su).join(su.select("seq", "attempt_at"), "seq")
     return admin.invitations_after_signups(t.invitations, dec)
+
+
+@register("trend_stream_month")
+def q_trend_stream_month(spark, sf_dir):
+    paths = jobs.new_paths(spark, "trend-month")
+    jobs.run_available_now(jobs.trend_stream(spark, sf_dir, paths, AS_OF_NOTES, 6, period="monthly"))
+    return jobs.read_trend(spark, paths)
