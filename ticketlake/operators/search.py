@@ -16,8 +16,9 @@ Batch search without a cross join:
    literal character. Equi-join on that key, then verify with the exact
    ``ilike`` -- no candidate is dropped, no cap.
 4. Queries made only of wildcards match by length alone (the number of
-   ``_``); there are at most 256 such classes for titles up to 255
-   characters, so that side has a proven bound and is broadcast.
+   ``_``); a class longer than the longest title matches nothing, so at most
+   (longest title + 1) classes remain -- 256 for titles within their
+   255-character rule -- and that side is broadcast after a size check.
 5. Top 5 per query over the verified matches (again ``WindowGroupLimit``),
    then names of clients and categories for the result rows.
 """
@@ -29,10 +30,9 @@ from pyspark.sql import functions as F
 
 from ticketlake import schemas
 from ticketlake.operators.filters import title_query_ok
-from ticketlake.plans.joins import cut_lineage
+from ticketlake.plans.joins import cut_lineage, within_broadcast_bound
 
 TOP = 5
-MAX_TITLE = 255
 RESULT_COLS = ["id", "title", "counter", "status", "priority", "client_id", "category_id"]
 _SPECIAL = "[%_\\\\]"  # regex class: % _ \
 
@@ -102,8 +102,10 @@ def title_search_batch(notes, clients, categories, candidates: DataFrame, top: i
     # 4. wildcard-only queries: matches depend on the number of '_' only (<= 256 classes)
     wild = (queries.where(~F.col("lq").rlike("[^%_]"))
             .withColumn("u", F.length(F.regexp_replace("q", "%", ""))))
-    classes = wild.select("u").distinct().where(F.col("u") <= MAX_TITLE)
-    by_len = (titles.join(F.broadcast(classes), F.length("title") >= F.col("u"))
+    longest = titles.select(F.max(F.length("title"))).scalar()
+    classes = cut_lineage(wild.select("u").distinct().where(F.col("u") <= longest))
+    small = within_broadcast_bound(classes)
+    by_len = (titles.join(F.broadcast(classes) if small else classes, F.length("title") >= F.col("u"))
               .join(wild, "u").select("q", "title"))
     matched = keyed.unionByName(by_len)
     # 5. top-k per query over the matched titles' top-k rows
