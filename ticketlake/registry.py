@@ -144,9 +144,10 @@ def q_notes_page_agent(spark, sf_dir):
 @register("notes_after_key")
 def q_notes_after_key(spark, sf_dir):
     """Keyset page 2: rows after the last key of page 1 (equals offset page 2)."""
+    from ticketlake.functions.paging import take_page
     t = _t(spark, sf_dir)
-    first = lists.notes_page(t.notes, t.clients, t.users, t.categories, LIST_QUERY, paginate(1, 20))
-    u, i = lists.last_key_of(first)
+    first = take_page(t.notes.where(LIST_QUERY.predicate()), lists.NOTE_ORDER(), paginate(1, 20))
+    u, i = lists.last_key_of(first)  # the key the client holds after page 1
     return lists.notes_after_key(t.notes, t.clients, t.users, t.categories, LIST_QUERY, u, i, 20)
 
 
