@@ -7,12 +7,16 @@ tracker tables) and runs over them whole. Fixed clocks: notes end on
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlake.operators import reports
+from ticketlake.functions.paging import paginate
+from ticketlake.operators import admin, changes, exports, lists, quality, reports, search, tree
+from ticketlake.operators.filters import NoteQuery
 from ticketlake.sources.tables import load_tables
+from ticketlake.streaming import jobs
 
 AS_OF_NOTES = "2001-08-01 00:00:00"
 AS_OF_EVENTS = "2024-01-20 00:00:00"
@@ -115,9 +119,6 @@ def q_export_summary_kv(spark, sf_dir):
 
 
 # --- lists, detail, search ---------------------------------------------------------
-from ticketlake.functions.paging import paginate  # noqa: E402
-from ticketlake.operators import lists, search  # noqa: E402
-from ticketlake.operators.filters import NoteQuery  # noqa: E402
 
 LIST_QUERY = NoteQuery(status="Open", q="red")
 AGENT_QUERY = NoteQuery(role="agent", user_id=2, priority="High", date_from="1996-01-01", date_to="1998-12-31")
@@ -238,7 +239,6 @@ def q_invitation_states(spark, sf_dir):
 
 
 # --- tree, exports, quality ----------------------------------------------------------
-from ticketlake.operators import exports, quality, tree  # noqa: E402
 
 
 def cycle_proposals(spark, sf_dir):
@@ -337,11 +337,10 @@ def q_quality_summary(spark, sf_dir):
 
 
 # --- change jobs ----------------------------------------------------------------------
-from ticketlake.operators import changes  # noqa: E402
 
 
 _VERSIONS: dict[tuple, dict] = {}
-_VERSIONS_LOCK = __import__("threading").Lock()
+_VERSIONS_LOCK = threading.Lock()
 
 
 def _changed(spark, sf_dir):
@@ -416,7 +415,6 @@ def q_fold_duplicates(spark, sf_dir):
 
 
 # --- streams (run with availableNow, read back from storage) --------------------------
-from ticketlake.streaming import jobs  # noqa: E402
 
 RATE_LIMIT_TEST = 1  # "2 or more requests per user per 15 minutes" (the real limits are 20 and 500)
 
@@ -452,7 +450,6 @@ def q_trend_stream(spark, sf_dir):
 
 
 # --- client, user, category and invitation change jobs -------------------------------
-from ticketlake.operators import admin  # noqa: E402
 
 
 def _events(spark, sf_dir):
