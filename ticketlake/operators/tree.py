@@ -1,12 +1,13 @@
 """The category tree.
 
-The ancestor walk is a recursive CTE (Spark 4.1 ``WITH RECURSIVE`` planned as
-``UnionLoop``): ``up(start, cur, depth)`` holds every category with each of
-its ancestors. A walk that ends on a category without parent reached a root;
-a walk that ends on an id missing from the table stopped on a dangling
-parent; a walk still going at ``max_depth`` is in (or under) a loop. The walk
-is a join per level over the category dimension only; notes meet it after
-they are reduced to one row per category (aggregate, then join).
+The ancestor closure is a recursive CTE (Spark 4.1 ``WITH RECURSIVE`` planned
+as ``UnionLoop``): ``up(start, cur, depth)`` holds every category with each
+of its ancestors up to ``max_depth`` levels (used by the cycle check's
+"does the walk meet the category" test). Where a walk ends -- a root, a
+dangling parent id, or a loop -- comes from pointer jumping
+(``walk_ends``), exact at any depth. Both work on the category dimension
+only; notes meet them after they are reduced to one row per category
+(aggregate, then join).
 """
 
 from __future__ import annotations
@@ -36,14 +37,32 @@ def ancestor_walk(spark: SparkSession, categories: DataFrame, max_depth: int = M
 
 def walk_ends(spark, categories, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Per category: the last id of its upward walk and how the walk ended:
-    'root', 'dangling' (parent id not in the table) or 'loop'."""
-    up = ancestor_walk(spark, categories, max_depth)
-    last = up.groupBy("start").agg(F.max_by("cur", "depth").alias("last"), F.max("depth").alias("depth"))
-    c = categories.select(F.col("id").alias("__id"), F.col("parent_id").alias("__p"))
-    j = last.join(c, F.col("last") == F.col("__id"), "left")
+    'root', 'dangling' (parent id not in the table) or 'loop'.
+
+    Pointer jumping, exact at any depth: one step moves to the parent (a
+    root, and an id missing from the table, stay where they are); K
+    doublings with 2**K above the number of ids move every walk to its end,
+    and a walk that still moves after that is in or under a loop. K small
+    joins, lineage cut per step (a step joins the previous one with itself).
+    ``max_depth`` is unused (kept for the signature of the recursive walk)."""
+    from ticketlake.plans.joins import cut_lineage
+    cats = categories.select("id", "parent_id")
+    missing = (cats.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id"))
+               .join(cats.select("id"), "id", "left_anti").distinct())
+    step = (cats.select("id", F.coalesce("parent_id", "id").alias("s"))
+            .unionByName(missing.select("id", F.col("id").alias("s"))))
+    st = cut_lineage(step, partitions=1)
+    n = st.count()
+    for _ in range(max(1, int(n).bit_length())):
+        nxt = st.select(F.col("id").alias("__b"), F.col("s").alias("__bs"))
+        st = cut_lineage(st.join(nxt, F.col("s") == F.col("__b")).select("id", F.col("__bs").alias("s")),
+                         partitions=1)
+    c = cats.select(F.col("id").alias("__id"), F.col("parent_id").alias("__p"))
+    j = (st.join(cats.select(F.col("id").alias("start")), F.col("id") == F.col("start"), "left_semi")
+         .join(c, F.col("s") == F.col("__id"), "left"))
     end = (F.when(F.col("__id").isNull(), "dangling")
            .when(F.col("__p").isNull(), "root").otherwise("loop"))
-    return j.select("start", "last", "depth", end.alias("end"))
+    return j.select(F.col("id").alias("start"), F.col("s").alias("last"), end.alias("end"))
 
 
 # T1 ---------------------------------------------------------------------------
