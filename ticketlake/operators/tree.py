@@ -118,8 +118,15 @@ def cycle_check(spark, categories: DataFrame, proposals: DataFrame, max_depth: i
     """For proposals ``(category_id, new_parent_id)``: would the new parent make
     a loop? True when the ids are equal, when the walk up from the new parent
     meets the category, or when that walk is already in a loop. A NULL parent
-    never loops; a missing parent ends the walk."""
-    up = ancestor_walk(spark, categories, max_depth)
+    never loops; a missing parent ends the walk.
+
+    A walk without a loop visits fewer ids than there are categories, so the
+    closure is followed that far (within Spark's recursion level limit):
+    exact whenever the category count is below that limit; loops are
+    flagged exactly by ``walk_ends``."""
+    limit = int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100"))
+    depth = max(1, min(categories.count(), limit - 1, max_depth if max_depth != MAX_DEPTH else limit - 1))
+    up = ancestor_walk(spark, categories, depth)
     p = proposals.select("category_id", "new_parent_id").distinct()
     meets = (p.join(up, (F.col("start") == F.col("new_parent_id")) & (F.col("cur") == F.col("category_id")),
                     "left_semi").withColumn("__meets", F.lit(True)))
