@@ -128,8 +128,8 @@ def clients_page(clients, notes, q: str | None, page: Page) -> DataFrame:
     distinct note count and last note update; the stored count is not used.
     Notes are aggregated for the page's clients only."""
     rows = cut_lineage(take_page(clients.where(client_search(q)), CLIENT_ORDER(), page))
-    keys = rows.select(F.col("id").alias("client_id"))  # <= 100 rows (a page)
-    agg = (notes.join(F.broadcast(keys), "client_id", "left_semi")
+    keys = rows.select(F.col("id").alias("client_id"))  # <= 100 rows (a page), checked
+    agg = (notes.join(F.broadcast(keys) if within_broadcast_bound(rows) else keys, "client_id", "left_semi")
            .groupBy("client_id")
            .agg(F.count_distinct("id").cast("bigint").alias("notes_count"),
                 F.max("updated_at").alias("last_activity")))
@@ -154,8 +154,8 @@ def users_page(users, notes, page: Page) -> DataFrame:
     """Users (no password) with their note count, newest first."""
     rows = cut_lineage(take_page(users.select("id", "name", "email", "role", "active", "created_at"),
                                  USER_ORDER(), page))
-    keys = rows.select(F.col("id").alias("agent_id"))  # <= 100 rows (a page)
-    agg = (notes.join(F.broadcast(keys), "agent_id", "left_semi")
+    keys = rows.select(F.col("id").alias("agent_id"))  # <= 100 rows (a page), checked
+    agg = (notes.join(F.broadcast(keys) if within_broadcast_bound(rows) else keys, "agent_id", "left_semi")
            .groupBy("agent_id").agg(F.count(F.lit(1)).cast("bigint").alias("notes_count")))
     return (rows.join(agg, rows["id"] == agg["agent_id"], "left")
             .select(*[rows[c] for c in rows.columns],
