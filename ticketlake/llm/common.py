@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.session import ensure_checkpoint_dir
+from ticketlake.session import scratch_dir
 
 SLICE_BYTES = 4 << 20
 #: bound on memoised words or chunks in a Python worker
@@ -134,10 +134,13 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * (1.0 / (1 << 53))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table written in the shared folder (computed once,
+    unlike a checkpoint of a frame that isn't cached)."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "llm")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

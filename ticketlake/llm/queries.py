@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from ticketlake.llm import decontamination, licenses, quality_knn, quality_rules, sentencepiece_bpe, site_style
+from ticketlake.llm import (bagminhash, decontamination, licenses, line_templates, pii, quality_knn, quality_rules,
+                            secret_scan, sentencepiece_bpe, site_style)
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
     "op2_licenses": licenses.op2,
+    "op3_secret_scan": secret_scan.op3,
     "op4_quality_rules": quality_rules.op4,
+    "op5_pii": pii.op5,
     "op6_quality_knn": quality_knn.op6,
     "op7_main_text": site_style.op7,
     "op8_decontamination": decontamination.op8,
+    "op9_bagminhash": bagminhash.op9,
+    "op10_line_templates": line_templates.op10,
 }
 
 # None of them can be said in SQL as a whole (vocabulary merges, automata,
