@@ -50,11 +50,18 @@ def test_op1_equals_library(spark, documents):
     assert len(got) == len(documents)
     for i, text in documents:
         ids = lib.encode(text, add_eos=True)
-        assert got[i].n_tokens == len(ids) and got[i].agrees
+        assert got[i].n_tokens == len(ids) and got[i].agrees is not False
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_op1_checks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert {r.agrees for r in bpe.encode_decode(docs, MODEL, check=1).collect()} == {True}
+    row = bpe.encoded(docs.where("doc_id = 0"), MODEL).first()
+    assert row.decoded == docs.where("doc_id = 0").first().text and row.ids[-1] == 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab  ▁é日🙂\n\t</s>thexing\u0000"), max_size=40))
 def test_op1_odd_texts(text):
@@ -62,6 +69,10 @@ def test_op1_odd_texts(text):
     ids = p.library.encode(text, add_eos=True)
     assert p.encode(text) == ids
     assert p.decode(ids) == p.library.decode(ids)
+    t = bpe.tables(MODEL)
+    got, count = t.encode([text, "x", text])
+    assert got[:count[0]].tolist() == ids == got[len(got) - count[2]:].tolist()
+    assert t.decode(got[:count[0]]).decode() == p.library.decode(ids)
 
 
 def test_op2(spark, documents):

@@ -84,7 +84,7 @@ def signatures(n_docs: int, doc: np.ndarray, code: np.ndarray, weight: np.ndarra
     level, low = 1, 1
     while len(big := np.flatnonzero(weight > low)):
         width = low
-        parts.append((doc[big], C.mix(code[big] + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93)),
+        parts.append((doc[big], C.mix(code[big] + np.uint64(level * 0xD6E8FEB86659FD93 % 2 ** 64)),
                       np.full(len(big), float(width)), np.full(len(big), width),
                       np.minimum(weight[big] - low, width)))
         low, level = low * 2, level + 1
@@ -95,7 +95,7 @@ def signatures(n_docs: int, doc: np.ndarray, code: np.ndarray, weight: np.ndarra
     live = np.arange(len(at))
     step = 0
     while len(live):
-        r = C.mix(seed[live] + np.uint64(step + 1) * np.uint64(0xA0761D6478BD642F))
+        r = C.mix(seed[live] + np.uint64((step + 1) * 0xA0761D6478BD642F % 2 ** 64))
         x[live] -= np.log(C.uniform(r)) / rate[live]
         place = C.mix(r)
         slot = at[live] * slots + (place % np.uint64(slots)).astype(np.int64)

@@ -64,7 +64,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(text key, drop): line numbers that go, of every text that has some."""
+    """(text key, __drop__): line numbers that go, of every text that has some."""
     lines = C.cut(line_rows(docs))
     flat = lines.select("__t1__", "__t2__", "doc_id", "pos", F.explode("keys").alias("key"))
     # in fewer than DOCS lines, or in one text only: can't recur
@@ -80,7 +80,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     gone = (seen.join(bounded(C.cut(first)), "key")
             .select("__t1__", "__t2__", F.explode("all").alias("pos"), "first", here.alias("here"))
             .where(~F.col("here") | (F.col("pos") != F.col("first.at.pos"))))
-    return gone.groupBy("__t1__", "__t2__").agg(F.collect_set("pos").alias("drop"))
+    return gone.groupBy("__t1__", "__t2__").agg(F.collect_set("pos").alias("__drop__"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -90,10 +90,10 @@ def cleaned(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({"__t1__": text_key(F.col("text"))[0], "__t2__": text_key(F.col("text"))[1]})
     rows = rows.join(bounded(drop), ["__t1__", "__t2__"], "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop__"))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    return rows.select(*docs.columns, F.when(F.col("drop").isNull(), F.col("text")).otherwise(text).alias("__text__"),
-                       F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("__gone__"))
+    return rows.select(*docs.columns, F.when(F.col("__drop__").isNull(), F.col("text")).otherwise(text).alias("__text__"),
+                       F.when(F.col("__drop__").isNull(), 0).otherwise(F.size("__drop__")).cast("long").alias("__gone__"))
 
 
 def without_recurring(docs: DataFrame) -> DataFrame:

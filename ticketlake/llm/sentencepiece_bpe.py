@@ -6,12 +6,18 @@ leftmost on ties) is joined first, its new neighbours enter the agenda, and
 entries about symbols that are gone are skipped. Symbols without a piece fall
 back to their UTF-8 bytes.
 
-No piece of such a vocabulary continues a word over a following space mark,
-so a text splits in front of its space marks and each distinct chunk is
-encoded once in a worker (``chunked`` tells if the vocabulary allows it, else
-the text is one chunk). The memo is bounded. In every Arrow batch the chunks
-that are new to the worker are also encoded by the sentencepiece library; where
-the two differ the library's ids are used and the row's ``agrees`` is false.
+No piece of such a vocabulary continues a word over a following space mark, so
+a text splits in front of its space marks (``chunked`` tells if the vocabulary
+allows it, else the text is one chunk). A slice's distinct chunks are merged
+together: in each round every chunk joins the best pair of its agenda, all in
+numpy arrays. Chunks of more than ``LONG`` symbols have a heap each instead, so
+a text without spaces takes n log n steps. Decoding lays the pieces' bytes one
+after another.
+
+In every Arrow batch the texts whose hash is divisible by ``CHECK`` are also
+encoded and decoded by the sentencepiece library: ``agrees`` tells if all ids
+and the text were the same, and is null for texts that weren't compared. (The
+tests compare all.)
 
 Defined cases: a null or empty text has the end id only and decodes to the
 empty text; very long texts are encoded whole; repeated rows give repeated
@@ -23,8 +29,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import zlib
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ticketlake.llm import common as C
@@ -33,7 +42,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SCHEMA = ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean")
-MEMO = 250_000
+LONG, CHECK, SLICE, TOKENS = 48, 4, 6 << 20, 500_000
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 class Pieces:
@@ -161,61 +171,192 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class Coder:
-    """Chunk memo of one worker: ids joined by spaces, and decoded text."""
+def ragged(start: np.ndarray, size: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values[start[0]:start[0] + size[0]], then those of 1, 2, ..."""
+    end = np.cumsum(size)
+    total = int(end[-1]) if len(end) else 0
+    return values[np.repeat(start - (end - size), size) + np.arange(total)]
 
-    def __init__(self, path: str):
-        self.p = pieces(path)
-        self.ids: dict[str, str] = {}
-        self.out: dict[str, str] = {}
-        self.wrong: set[str] = set()
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > MEMO:
-            self.ids.clear()
-            self.out.clear()
-            self.wrong.clear()
-        new = [c for c in chunks if c not in self.ids]
-        lead = len(SPACE) if self.p.prefix else 0
-        theirs = self.p.library.encode([c[lead:] for c in new], num_threads=1) if new else []
-        for c, lib_ids in zip(new, theirs):
-            own = self.p.chunk_ids(c)
-            # a lone mark in front of an empty rest can't be put to the library
-            if own != lib_ids and c[lead:]:
-                self.wrong.add(c)
-                own = lib_ids
-            self.ids[c] = " ".join(map(str, own))
-            self.out[c] = self.p.surface(own)
 
+class Tables:
+    """A vocabulary as arrays. Symbols are piece ids, and one id more for each
+    character of a piece that is no piece itself."""
 
-@lru_cache(maxsize=2)
-def coder(path: str) -> Coder:
-    return Coder(path)
+    def __init__(self, path: str):
+        p = self.p = pieces(path)
+        ids = dict(p.ids)
+        for piece in p.ids:
+            for c in piece:
+                ids.setdefault(c, len(p.text) + len(ids))
+        self.size = max(ids.values()) + 1
+        self.char = np.full(0x110000, -1, np.int64)
+        for t, i in ids.items():
+            if len(t) == 1:
+                self.char[ord(t)] = i
+        pairs = sorted((ids[t[:k]] * self.size + ids[t[k:]], i, p.score[t]) for t, i in p.ids.items()
+                       for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids)
+        self.pair = np.array([x for x, _, _ in pairs], np.int64)
+        self.joined = np.array([x for _, x, _ in pairs] + [0], np.int64)
+        self.score = np.array([x for _, _, x in pairs] + [-np.inf], np.float32)
+        out = [bytes([p.byte[i]]) if i in p.byte else (t or "").replace(SPACE, " ").encode() for i, t in enumerate(p.text)]
+        out[p.unknown] = " ⁇ ".encode()
+        self.out, self.out_start, self.out_size = self.flat(out)
+        self.num, self.num_start, self.num_size = self.flat([b"%d " % i for i in range(len(p.text))])
+
+    @staticmethod
+    def flat(parts: list[bytes]):
+        size = np.array([len(x) for x in parts], np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+    def best(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pairs' places in the pair table (its last place: no piece)."""
+        key = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
+        at = np.searchsorted(self.pair, key)
+        at[at == len(self.pair)] = 0
+        return np.where(self.pair[at] == key, at, len(self.pair))
+
+    def merged(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge chunks (symbols one after another, chunk sizes): chunk, symbol
+        and first place of every symbol that is left, in order."""
+        chunk, place = np.repeat(np.arange(len(size)), size), np.arange(len(sym))
+        done = []
+        pair = np.full(len(sym), len(self.pair))
+        inner = np.flatnonzero(chunk[1:] == chunk[:-1])
+        pair[inner] = self.best(sym[inner], sym[inner + 1])
+        while len(sym):
+            score = self.score[pair]
+            first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+            top = np.maximum.reduceat(score, first)
+            count = np.diff(np.append(first, len(sym)))
+            over = np.repeat(np.isneginf(top), count)
+            if over.any():
+                done.append((chunk[over], sym[over], place[over]))
+                go = ~over
+                chunk, sym, place, pair, score = chunk[go], sym[go], place[go], pair[go], score[go]
+                top, count = top[~np.isneginf(top)], count[~np.isneginf(top)]
+                if not len(sym):
+                    break
+            at = np.flatnonzero(score == np.repeat(top, count))
+            at = at[np.concatenate(([True], chunk[at[1:]] != chunk[at[:-1]]))]  # the leftmost
+            sym[at] = self.joined[pair[at]]
+            stay = np.ones(len(sym), bool)
+            stay[at + 1] = False
+            pair[at] = pair[at + 1]
+            chunk, sym, place, pair = chunk[stay], sym[stay], place[stay], pair[stay]
+            at = at - np.arange(len(at))
+            for k in (at - 1, at):  # pairs with the new symbol
+                k = k[k >= 0]
+                k = k[k + 1 < len(sym)]
+                k = k[chunk[k] == chunk[k + 1]]
+                pair[k] = self.best(sym[k], sym[k + 1])
+        if not done:
+            return (np.zeros(0, np.int64),) * 3
+        chunk, sym, place = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(place, kind="stable")
+        return chunk[order], sym[order], place[order]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another (end ids included), and each text's number of ids."""
+        p = self.p
+        marked = [p.marked(t) for t in texts]
+        length = np.fromiter(map(len, marked), np.int64, len(marked))
+        points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(length)
+        lead = points == ord(SPACE) if p.chunked else np.zeros(len(points), bool)
+        begin = lead & ~np.concatenate(([False], lead[:-1])) if len(points) else lead
+        begin = begin.copy()
+        begin[(ends - length)[length > 0]] = True
+        start = np.flatnonzero(begin)
+        size = np.diff(np.append(start, len(points)))
+        # equal chunks are merged once
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * C._powers(_BASE, len(points))[:len(points)], out=sums[1:])
+        key = (sums[start + size] - sums[start]) * C._powers(pow(_BASE, -1, 1 << 64), len(points) + 1)[start]
+        _, where, which = np.unique(C.mix(key) ^ C.mix(size.astype(np.uint64)), return_index=True, return_inverse=True)
+        n = size[where]
+        short = n <= LONG
+        flat = ragged(start[where[short]], n[short], points)
+        chunk, sym, place = self.merged(self.char[flat], n[short])
+        chunk = np.flatnonzero(short)[chunk]
+        own = (sym >= 0) & (sym < len(p.text))
+        parts = [(chunk[own], place[own], np.zeros(int(own.sum()), np.int64), sym[own])]
+        for c, i in zip(chunk[~own], place[~own]):  # characters without a piece
+            parts.append(self.bytes_of(c, i, chr(flat[i])))
+        for c in np.flatnonzero(~short):
+            ids = np.array(p.chunk_ids(points[start[where[c]]:start[where[c]] + n[c]].tobytes().decode("utf-32-le")))
+            parts.append((np.full(len(ids), c), np.arange(len(ids)), np.zeros(len(ids), np.int64), ids))
+        chunk, place, sub, ids = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((sub, place, chunk))
+        ids = ids[order]
+        count = np.bincount(chunk, minlength=len(n)) if len(n) else np.zeros(0, np.int64)
+        first = np.cumsum(count) - count
+        each = count[which]
+        tokens = ragged(first[which], each, ids)
+        # per text, and an end id behind each
+        total = np.concatenate(([0], np.cumsum(each)))
+        text_end = total[np.searchsorted(start, ends, side="left")]
+        return np.insert(tokens, text_end, p.end), np.diff(np.concatenate(([0], text_end))) + 1
+
+    def bytes_of(self, chunk: int, place: int, char: str):
+        p = self.p
+        ids = [p.byte_id[b] for b in char.encode()] if p.byte_id else [p.unknown]
+        return (np.full(len(ids), chunk), np.full(len(ids), place), np.arange(len(ids)), np.array(ids))
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """Decimal ids, a space behind each."""
+        return ragged(self.num_start[ids], self.num_size[ids], self.num).tobytes()
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of one row's ids in UTF-8."""
+        raw = ragged(self.out_start[ids], self.out_size[ids], self.out).tobytes()
+        try:
+            raw.decode("utf-8")
+        except UnicodeDecodeError:  # byte pieces that spell no character
+            return self.p.decode(ids.tolist()).encode()
+        said = ids[(ids != self.p.end)][:1]
+        if self.p.prefix and len(said) and raw.startswith(b" ") and self.p.text[said[0]] is not None:
+            return raw[1:]
+        return raw
 
 
-def encode_decode(docs: DataFrame, model: str) -> DataFrame:
+@lru_cache(maxsize=2)
+def tables(path: str) -> Tables:
+    return Tables(path)
+
+
+def coded(batches, model: str, check: int):
+    """(slice of a batch, texts, ids, ids per text, agrees) of all slices."""
+    t = tables(model)
+    lib = t.p.library
+    for b in C.slices(batches, "text", SLICE):
+        texts = C.strings(b, "text")
+        ids, count = t.encode(texts)
+        ends = np.cumsum(count)
+        agrees: list = [None] * len(texts)
+        for k, text in enumerate(texts):
+            if zlib.crc32(text.encode()) % check == 0:
+                own = ids[ends[k] - count[k]:ends[k]]
+                theirs = lib.encode(text, add_eos=True, num_threads=1)
+                agrees[k] = own.tolist() == theirs and t.decode(own).decode() == lib.decode(theirs)
+        yield b, t, ids, ends - count, ends, agrees
+
+
+def encode_decode(docs: DataFrame, model: str, check: int = CHECK) -> DataFrame:
     """Per row: doc_id, n_tokens (end id included), digests of the ids and of
-    the decoded text, and whether the library agreed on every chunk."""
+    the decoded text, and whether the library agreed."""
 
     def run(batches):
-        code = coder(model)
-        p = code.p
-        for b in C.slices(batches, "text"):
-            texts = C.strings(b, "text")
-            cut = [p.chunks(p.marked(t)) for t in texts]
-            need = set().union(*cut)
-            code.learn(need)
-            n, ids_hash, out_hash, agrees = [], [], [], []
-            for chunks in cut:
-                ids = " ".join(map(code.ids.__getitem__, chunks))
-                ids = f"{ids} {p.end}" if ids else str(p.end)
-                text = "".join(map(code.out.__getitem__, chunks))
-                text = text[1:] if p.prefix and text.startswith(" ") else text
-                n.append(ids.count(" ") + 1)
-                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                out_hash.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
-                agrees.append(not code.wrong or code.wrong.isdisjoint(chunks))
-            yield C.record(b, ["doc_id"], n_tokens=n, ids_sha256=ids_hash, decoded_sha256=out_hash, agrees=agrees)
+        for b, t, ids, start, end, agrees in coded(batches, model, check):
+            ids_hash, out_hash = [], []
+            for i, j in zip(start, end):
+                digest = hashlib.sha256()
+                for k in range(i, j, TOKENS):
+                    part = t.spelled(ids[k:min(j, k + TOKENS)])
+                    digest.update(part[:-1] if k + TOKENS >= j else part)
+                ids_hash.append(digest.hexdigest())
+                out_hash.append(hashlib.sha256(t.decode(ids[i:j])).hexdigest())
+            yield C.record(b, ["doc_id"], n_tokens=end - start, ids_sha256=ids_hash, decoded_sha256=out_hash,
+                           agrees=pa.array(agrees, pa.bool_()))
 
     return C.mapped(docs.select("doc_id", "text"), run, SCHEMA)
 
@@ -224,17 +365,11 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     """Per row: doc_id, the token ids (end id last) and the decoded text."""
 
     def run(batches):
-        code = coder(model)
-        p = code.p
-        for b in C.slices(batches, "text"):
-            cut = [p.chunks(p.marked(t)) for t in C.strings(b, "text")]
-            code.learn(set().union(*cut))
-            ids, out = [], []
-            for chunks in cut:
-                ids.append([int(x) for c in chunks for x in code.ids[c].split()] + [p.end])
-                out.append(p.decode(ids[-1]))
-            import pyarrow as pa
-            yield C.record(b, ["doc_id"], ids=pa.array(ids, pa.list_(pa.int32())), decoded=pa.array(out, pa.string()))
+        for b, t, ids, start, end, _ in coded(batches, model, CHECK):
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(ids)).astype(np.int32)),
+                                             pa.array(ids.astype(np.int32)))
+            yield C.record(b, ["doc_id"], ids=lists,
+                           decoded=[t.decode(ids[i:j]).decode() for i, j in zip(start, end)])
 
     return C.mapped(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, decoded string")
 
