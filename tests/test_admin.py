@@ -20,6 +20,15 @@ def _model(cats, used, changes):
             refused[ch["seq"]] = "parent_not_found"
         elif ch["op"] == "patch" and ch["target_id"] == ch["parent_id"]:
             refused[ch["seq"]] = "loop"
+    gone = {}
+    for ch in sorted(changes, key=lambda c: c["seq"]):
+        if ch["op"] == "delete" and ch["seq"] not in refused:
+            gone.setdefault(ch["target_id"], ch["seq"])
+    for ch in changes:
+        if ch["seq"] not in refused and gone.get(ch["target_id"], ch["seq"]) < ch["seq"]:
+            refused[ch["seq"]] = "not_found"
+        elif ch["seq"] not in refused and ch["op"] == "patch" and gone.get(ch["parent_id"], ch["seq"]) < ch["seq"]:
+            refused[ch["seq"]] = "parent_not_found"
     while True:
         parent = {c["id"]: c["parent_id"] for c in cats}
         edge = {}
@@ -53,3 +62,106 @@ def test_category_changes_match_model(spark, tables):
     assert "loop" in got.values()
     log = admin.category_change_log(tables.categories, ch_df, decisions).collect()
     assert [(r.target_id, r.target_name) for r in log] == [(99, "UNUSED")]
+
+
+def test_cycle_check_at_depth(spark):
+    """A chain of 1,200 categories, a loop, and a dangling parent."""
+    from ticketlake.operators import tree
+    cats = [(i, "c", i - 1 if i else None) for i in range(1200)]
+    cats += [(5000, "l", 5001), (5001, "l", 5000), (5002, "under a loop", 5000), (6000, "d", 7000)]
+    df = spark.createDataFrame(cats, "id long, name string, parent_id long")
+    want = {(0, 1150): True, (3, 1199): True, (1199, 3): False, (7, 7): True, (1, 5002): True, (5000, 5001): True,
+            (4, 6000): False, (4, 7000): False, (4, None): False, (4, 99999): False, (7000, 6000): True}
+    props = spark.createDataFrame(list(want), "category_id long, new_parent_id long")
+    got = {(r.category_id, r.new_parent_id): r.circular for r in tree.cycle_check(df, props).collect()}
+    assert got == want
+    ends = {r.start: (r.end, r.depth) for r in tree.walk_ends(df).collect()}
+    assert ends[1199] == ("root", 1199) and ends[5002][0] == "loop" and ends[6000] == ("dangling", 1)
+
+
+def test_loops_never_get_into_the_table(spark):
+    cats = spark.createDataFrame([(i, f"c{i}", 0 if i else None) for i in range(40)], "id long, name string, parent_id long")
+    notes = spark.createDataFrame([], "category_id long")
+    ch = spark.createDataFrame([(i, "patch", 0, None, i) for i in range(1, 9)], "seq long, op string, target_id long, name string, parent_id long")
+    new, decisions = admin.apply_category_changes(spark, cats, notes, ch)
+    assert {r.id: r.parent_id for r in new.collect()}[0] is None
+    assert all(r.reason == "loop" for r in decisions.collect())
+
+
+def _signups_one_by_one(users, invitations, signups):
+    emails, admin_there = {u[0] for u in users}, any(u[1] == "admin" for u in users)
+    used, out = {i[0]: i[3] for i in invitations}, {}
+    by_id = {i[0]: i for i in invitations}
+    for seq, email, token, at in sorted(signups, key=lambda s: (s[3], s[0])):
+        if email in emails:
+            out[seq] = "email_exists"
+        elif token is not None:
+            inv = by_id.get(token)
+            if inv is None or (used[token] is not None and used[token] <= at) or inv[4] <= at:
+                out[seq] = "invalid_or_expired"
+            elif inv[1] != email:
+                out[seq] = "email_mismatch"
+            else:
+                out[seq], used[token] = inv[2], at
+                emails.add(email)
+                admin_there = admin_there or inv[2] == "admin"
+        elif admin_there:
+            out[seq] = "admin_exists"
+        else:
+            out[seq] = "admin"
+            emails.add(email)
+            admin_there = True
+    return out
+
+
+def test_signups_equal_one_by_one(spark):
+    import datetime as dt
+    import random
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    for seed in range(12):
+        rng = random.Random(seed)
+        users = [(f"u{i}", rng.choice(["agent", "admin"] if seed % 3 == 0 else ["agent"])) for i in range(3)]
+        names = [f"u{i}" for i in range(9)]
+        inv = [(i, rng.choice(names), rng.choice(["agent", "admin"] if seed % 2 else ["agent"]),
+                rng.choice([None, None, day(rng.randrange(9))]), day(rng.randrange(4, 14))) for i in range(8)]
+        su = [(i, rng.choice(names), rng.choice([None, *range(9)]), day(rng.randrange(8))) for i in range(30)]
+        got = admin.signup_roles(
+            spark.createDataFrame(users, "email string, role string"),
+            spark.createDataFrame(inv, "id long, email string, role string, used_at timestamp_ntz, expires_at timestamp_ntz"),
+            spark.createDataFrame(su, "seq long, email string, token_invitation_id long, attempt_at timestamp_ntz"))
+        assert {r.seq: r.reason or r.role for r in got.collect()} == _signups_one_by_one(users, inv, su), seed
+
+
+def _clients_one_by_one(clients, changes):
+    phones, out = dict(clients), {}
+    for seq, target, op, name, phone in sorted(changes):
+        if op == "insert" and target in phones:
+            out[seq] = "id_exists"
+        elif op != "insert" and target not in phones:
+            out[seq] = "not_found"
+        elif op in ("insert", "name") and not (name or "").strip():
+            out[seq] = "blank_name"
+        elif op in ("insert", "phone") and phone is not None and any(p == phone and c != target for c, p in phones.items()):
+            out[seq] = "phone_exists"
+        else:
+            out[seq] = None
+            if op == "insert" or (op == "phone" and phone is not None):
+                phones[target] = phone
+    return out, phones
+
+
+def test_client_changes_equal_one_by_one(spark):
+    import random
+    for seed in range(4):
+        rng = random.Random(seed)
+        clients = [(i, f"p{i}") for i in range(6)]
+        ch = [(s, rng.randrange(10), rng.choice(["insert", "phone", "phone", "name", "deactivate"]),
+               rng.choice(["n", "n", " "]), f"p{rng.randrange(9)}") for s in range(40)]
+        df = spark.createDataFrame([(i, f"c{i}", p, None, None, True, None) for i, p in clients],
+                                   "id long, name string, phone string, email string, company string, active boolean, created_at timestamp_ntz")
+        cdf = spark.createDataFrame([(*c, None, None) for c in ch],
+                                    "seq long, target_id long, op string, name string, phone string, email string, changed_at timestamp_ntz")
+        new, decisions = admin.apply_client_changes(df, cdf)
+        want, phones = _clients_one_by_one(clients, ch)
+        assert {r.seq: r.reason for r in decisions.collect()} == want, seed
+        assert {r.id: r.phone for r in new.collect()} == phones

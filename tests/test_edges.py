@@ -74,3 +74,69 @@ def test_client_list_counts_fresh(spark, tables):
         "ticketlake.functions.paging", fromlist=["paginate"]).paginate(1, 5))
     for r in page.collect():
         assert r.notes_count == tables.notes.where(F.col("client_id") == r.id).count()
+
+
+def test_rate_is_numeric_division(spark):
+    df = spark.createDataFrame([(23, 80), (0, 0), (1, 3)], "p long, w long")
+    assert [r.x for r in df.select(E.pct_rounded(F.col("p"), F.col("w")).alias("x")).collect()] == [28.8, None, 33.3]
+
+
+def test_backslash_in_searches(spark):
+    """A backslash makes the next character plain, wherever it stands."""
+    from ticketlake.operators.filters import like_pattern
+    from ticketlake.operators.search import title_search, title_search_batch
+    titles = ["100% sure", "100 percent", "back\\slash", "a_b", "axb", "%%%", "plain"]
+    notes = spark.createDataFrame([(i, t, 1, "Open", "Low", 1, None) for i, t in enumerate(titles)],
+                                  "id long, title string, counter int, status string, priority string, client_id long, category_id long")
+    dims = spark.createDataFrame([(1, "x")], "id long, name string")
+    want = {"100\\%": [0], "k\\\\s": [2], "a\\_b": [3], "a_b": [3, 4], "\\%\\%\\%": [5], "pl\\ain": [6], "100%": [0, 1], "zzz\\": []}
+    for q, ids in want.items():
+        assert sorted(r.id for r in title_search(notes, dims, dims, q).collect()) == ids, q
+    cands = spark.createDataFrame(list(enumerate(want)), "cand_id long, q string")
+    got = title_search_batch(notes, dims, dims, cands).collect()
+    assert {q: sorted(r.id for r in got if r.q == q) for q in want} == want
+
+
+def test_reports_are_sorted(spark, tables):
+    from ticketlake.operators import reports
+    for df, key, down in ((reports.by_category(tables.notes, tables.categories), "count", True),
+                          (reports.agent_performance(tables.notes, tables.users), "total_notes", True),
+                          (reports.notes_per_agent(tables.notes, tables.users), "notes", True),
+                          (reports.trend(tables.notes, "2001-08-01"), "period", False)):
+        values = [r[key] for r in df.collect()]
+        assert values == sorted(values, reverse=down) and values
+
+
+def test_broken_rows_break_every_rule(spark):
+    from ticketlake import registry
+    rules = {(r.rule, r.table_name) for r in registry.QUERIES["broken_rows"](spark, "/root/testdata/sf0.01").collect()}
+    assert {"orphan_client", "orphan_category", "orphan_parent", "orphan_log_user", "orphan_inviter", "unique_email", "unique_phone",
+            "domain_role", "domain_priority", "domain_status", "blank_name", "blank_action", "too_long_title", "too_long_company",
+            "too_long_action", "missing_agent_id", "counter_min", "email_form", "email_not_normalized"} <= {r for r, _ in rules}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    import pytest
+    from ticketlake.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_a_rewritten_part_file_is_seen(spark, tmp_path):
+    import shutil
+
+    from ticketlake.sources.tables import _fingerprint
+    spark.range(5).repartition(2).write.parquet(str(tmp_path / "orders.parquet"))
+    before = _fingerprint(spark, str(tmp_path))
+    assert before == _fingerprint(spark, str(tmp_path))
+    part = next((tmp_path / "orders.parquet").glob("part-*"))
+    shutil.copy(part, part.with_name("part-99999.parquet"))
+    assert before != _fingerprint(spark, str(tmp_path))

@@ -5,12 +5,14 @@ import pytest
 
 import __spark_entry__ as se
 from tests.conftest import SF_SMALL
+from ticketlake import registry
 from tools.check_oracle import RAW, rows_of
 
 ORACLES = se.oracle_sql()
 # iterative loop rule: checked against a brute-force model in test_admin.py
 NO_ORACLE = {"category_changes"}
-NAMES = sorted(set(se.queries()) - NO_ORACLE)
+# the training-data queries have their own tests
+NAMES = sorted(set(registry.QUERIES) - NO_ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(se.queries()) - NO_ORACLE == set(ORACLES)
+    assert set(registry.QUERIES) - NO_ORACLE <= set(ORACLES)
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -51,7 +51,7 @@ def test_rollup_equals_direct_on_children(seed):
     # seed notes are tagged on roots only, so the roll-up equals the direct report
     _, _, cats, notes, _ = seed
     spark = notes.sparkSession
-    got = {r.name: r["count"] for r in tree.category_rollup(spark, cats, notes).collect()}
+    got = {r.name: r["count"] for r in tree.category_rollup(cats, notes).collect()}
     assert got["Payment"] == 3 and got["Billing"] == 1
 
 

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
+from ticketlake import registry
 from ticketlake.streaming import jobs
 
 
@@ -24,11 +25,10 @@ def test_rate_windows_restart_equals_batch(spark):
     pq.write_table(table.slice(0, half), os.path.join(src, "events_1.parquet"))
     paths = jobs.new_paths(spark, "test-rate")
     jobs.run_available_now(jobs.rate_windows_stream(spark, src, paths, name_glob="events_*.parquet"))
-    first = jobs.read_latest(spark, paths.output, ["user_id", "window_start"]).count()
+    first = jobs.read_windows(spark, paths).count()
     pq.write_table(table.slice(half), os.path.join(src, "events_2.parquet"))
     jobs.run_available_now(jobs.rate_windows_stream(spark, src, paths, name_glob="events_*.parquet"))
-    got = jobs.read_latest(spark, paths.output, ["user_id", "window_start"]).select("user_id", "window_start",
-                                                                                    "requests")
+    got = jobs.read_windows(spark, paths).select("user_id", "window_start", "requests")
     ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
     expect = (ev.groupBy(F.col("user_id").cast("bigint").alias("user_id"),
                          F.window(F.col("ts").cast("timestamp"), "15 minutes").start.alias("w"))
@@ -73,3 +73,35 @@ def test_activity_stream_drops_repeated_events(spark, tables):
     jobs.run_available_now(q)
     got = jobs.read_activity(spark, paths)
     assert got.count() == got.select("id").distinct().count() == table.num_rows
+
+
+def test_late_and_repeated_rows_count_once(spark, tables, monkeypatch):
+    """Every second row arrives in a later batch, and all of them again; logs
+    are folded on the way. Nothing is lost or counted twice."""
+    monkeypatch.setattr(jobs, "COMPACT", 2)
+    for table, run, read, base in (
+            ("events", lambda s, p: jobs.activity_stream(spark, s, tables.users, p, name_glob="x_*.parquet"),
+             jobs.read_activity, "activity_stream"),
+            ("events", lambda s, p: jobs.rate_windows_stream(spark, s, p, name_glob="x_*.parquet"),
+             lambda sp, p: jobs.read_rate_windows(sp, p, 1), "rate_windows"),
+            ("events", lambda s, p: jobs.counts_stream(spark, s, tables.notes, tables.clients, p, raw_dir=SF_SMALL,
+                                                       name_glob="x_*.parquet"),
+             lambda sp, p: jobs.read_counts(sp, p, tables.notes, tables.clients), "counts_stream"),
+            ("orders", lambda s, p: jobs.trend_stream(spark, s, p, registry.AS_OF_NOTES, raw_dir=SF_SMALL,
+                                                      name_glob="x_*.parquet"), jobs.read_trend, "trend_stream")):
+        src, paths = tempfile.mkdtemp(prefix="tl-late-"), jobs.new_paths(spark, "test-late")
+        rows = pq.read_table(os.path.join(SF_SMALL, f"{table}.parquet"))
+        odd = [i for i in range(rows.num_rows) if i % 2]
+        for k, part in enumerate((rows.take(odd), rows, rows.take(odd[::-1]))):
+            pq.write_table(part, os.path.join(src, f"x_{k}.parquet"))
+            jobs.run_available_now(run(src, paths))
+        assert _rows(read(spark, paths).select(sorted(read(spark, paths).columns))) == _rows(
+            (d := registry.QUERIES[base](spark, SF_SMALL)).select(sorted(d.columns))), base
+
+
+def test_counts_of_notes_inserted_and_deleted_by_the_stream(spark):
+    """A delete counts whenever it arrives, if it was asked for after the insert."""
+    rows = [(1, 10, 5, None), (1, None, None, 9), (2, 10, 7, None), (2, None, None, 6), (3, 11, 8, None), (3, 10, 4, None)]
+    df = spark.createDataFrame(rows, jobs.NOTE_LOG)
+    got = {r.note_id: (r.client_id, r.ins_seq, r.del_seq) for r in jobs._note_states(df).collect()}
+    assert got == {1: (10, 5, 9), 2: (10, 7, 6), 3: (10, 4, None)}

@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake import schemas
+from ticketlake.functions import expressions as E
 from ticketlake.functions.expressions import lit_ts
 from ticketlake.plans.joins import cut_lineage
+from ticketlake.plans.prefix import running
 
 
 def fold_fields(base: DataFrame, changes: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -112,41 +114,76 @@ def client_changes_from_events(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp_ntz").alias("changed_at"))
 
 
+def client_decisions(clients: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes with ``reason`` (null: accepted), as if they came one by one
+    in the order of seq: inserts of an existing id, changes of a client that
+    isn't there yet, blank names, and phones that another client holds at that
+    moment are refused; a phone is free again once its holder has another.
+
+    A decision depends on earlier ones only, so deciding all from the last
+    round's acceptances is right for one more change at least in every round
+    and ends when a round changes nothing; chains of clients that wait for each
+    other's phones are short, and so are the rounds."""
+    there = clients.select(F.col("id").alias("target_id"), F.lit(True).alias("__there"))
+    c = changes.join(there, "target_id", "left")
+    insert = F.col("op") == "insert"
+    blank = (insert | (F.col("op") == "name")) & ~E.not_blank(F.coalesce("name", F.lit("")))
+    c = cut_lineage(c.withColumn("__there", F.coalesce("__there", F.lit(False))).withColumn("__blank", blank)
+                    .withColumn("__sets", F.col("phone").isNotNull() & F.col("op").isin("insert", "phone")))
+    asked = c.where("__sets").select("phone").distinct()
+    held = (clients.join(asked, "phone", "left_semi")
+            .select(F.lit(-1).cast("bigint").alias("start"), F.col("id").alias("client"), "phone"))
+    d = c.withColumn("reason", F.when(F.col("__blank"), "blank_name"))
+    before = None
+    while True:
+        ok = d.where(F.col("reason").isNull())
+        born = ok.where(insert).groupBy("target_id").agg(F.min("seq").alias("__born"))
+        claims = held.unionByName(ok.where("__sets").select(F.col("seq").alias("start"),
+                                                            F.col("target_id").alias("client"), "phone"))
+        # a client's claims follow one another; its snapshot phone ends with its first new one
+        moves = ok.where("__sets").groupBy("target_id").agg(F.min("seq").alias("__first"))
+        own = Window.partitionBy("client").orderBy("start")
+        claims = (claims.join(moves.withColumnRenamed("target_id", "client"), "client", "left")
+                  .withColumn("until", F.when(F.col("start") < 0, F.col("__first"))
+                              .otherwise(F.lead("start").over(own))))
+        claim = F.struct("start", "client", "until")
+        rows = (claims.select("phone", (F.col("start") * 2 + 1).alias("at"), claim.alias("v"), F.lit(None).cast("bigint").alias("seq"))
+                .unionByName(c.where("__sets").select("phone", (F.col("seq") * 2).alias("at"),
+                                                      F.lit(None).cast("struct<start:bigint,client:bigint,until:bigint>").alias("v"), "seq")))
+        last = running(rows, "phone", "at", "v", "__last", how="max").where(F.col("seq").isNotNull()).select("seq", "__last")
+        j = c.join(born, "target_id", "left").join(last, "seq", "left")
+        exists = F.col("__there") | F.coalesce(F.col("__born") < F.col("seq"), F.lit(False))
+        busy = (F.col("__last.client") != F.col("target_id")) & (
+            F.col("__last.until").isNull() | (F.col("__last.until") > F.col("seq")))
+        d = cut_lineage(j.withColumn("reason", F.when(insert & exists, "id_exists").when(~insert & ~exists, "not_found")
+                                     .when(F.col("__blank"), "blank_name").when(busy, "phone_exists"))
+                        .drop("__born", "__last"))
+        now = d.agg(F.count("reason").alias("n"), F.sum(F.hash("seq", "reason").cast("bigint")).alias("h")).first()
+        if now == before:
+            return d
+        before = now
+
+
 def apply_client_changes(clients: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns (new clients, decisions). Batch rule for the unique phone: a
-    change carrying a phone is refused when another client holds it in the
-    snapshot, or when another client claimed it earlier in the batch (the
-    first claim reserves the phone for the batch). Inserts of an existing id
-    and changes of a missing client are refused."""
-    cur = clients.select(F.col("id").alias("__cid"), F.col("phone").alias("__held_phone"))
-    c = changes.join(cur.select("__cid"), F.col("target_id") == F.col("__cid"), "left")
-    holders = clients.select(F.col("phone").alias("__hp"), F.col("id").alias("__holder"))
-    c = c.join(holders, F.col("phone") == F.col("__hp"), "left")
-    # earliest claim of each phone among changes not already blocked by the snapshot
-    free = c.where(F.col("phone").isNotNull() & (F.col("__holder").isNull() | (F.col("__holder") == F.col("target_id"))))
-    first = free.groupBy("phone").agg(F.min(F.struct("seq", "target_id")).alias("__first"))
-    c = c.join(first.select(F.col("phone").alias("__fp"), "__first"), F.col("phone") == F.col("__fp"), "left")
-    reason = (F.when((F.col("op") == "insert") & F.col("__cid").isNotNull(), "id_exists")
-              .when((F.col("op") != "insert") & F.col("__cid").isNull(), "not_found")
-              .when((F.col("op") == "insert") & (F.col("name").isNull() | (F.trim("name") == "")), "blank_name")
-              .when(F.col("phone").isNotNull() & F.col("__holder").isNotNull()
-                    & (F.col("__holder") != F.col("target_id")), "phone_exists")
-              .when(F.col("phone").isNotNull() & (F.col("__first.target_id") != F.col("target_id")), "phone_claimed"))
-    c = cut_lineage(c.withColumn("reason", reason))
+    """Returns (new clients, decisions). Operations: insert, deactivate, and a
+    change of name, phone, email or company to the column of that name."""
+    if "company" not in changes.columns:
+        changes = changes.withColumn("company", F.lit(None).cast("string"))
+    c = client_decisions(clients, changes)
     decisions = c.select("seq", "target_id", "op", F.col("reason").isNull().alias("accepted"), "reason")
     ok = c.where(F.col("reason").isNull())
-    new = (ok.where(F.col("op") == "insert").groupBy("target_id")
-           .agg(F.min(F.struct("seq", "name", "phone", "email", "changed_at")).alias("i"))
-           .select(F.col("target_id").alias("id"), F.col("i.name").alias("name"), F.col("i.phone").alias("phone"),
-                   F.col("i.email").alias("email"), F.lit(None).cast("string").alias("company"),
-                   F.lit(True).alias("active"), F.col("i.changed_at").alias("created_at"),
-                   F.col("i.changed_at").alias("updated_at")))
+    new = (ok.where(F.col("op") == "insert")
+           .select(F.col("target_id").alias("id"), "name", "phone", "email", "company",
+                   F.lit(True).alias("active"), F.col("changed_at").alias("created_at"),
+                   F.col("changed_at").alias("updated_at")))
     base = _with_updated(clients).unionByName(new)
+    value = F.when(F.col("op") == "deactivate", "false")
+    for f in ("name", "phone", "email", "company"):
+        value = value.when(F.col("op") == f, F.col(f))
     patches = (ok.where(F.col("op") != "insert")
                .select("seq", "target_id",
-                       F.when(F.col("op") == "deactivate", "active").otherwise("phone").alias("field"),
-                       F.when(F.col("op") == "deactivate", "false").otherwise(F.col("phone")).alias("new_value"),
-                       "changed_at"))
+                       F.when(F.col("op") == "deactivate", "active").otherwise(F.col("op")).alias("field"),
+                       value.alias("new_value"), "changed_at"))
     return fold_fields(base, patches, CLIENT_FIELDS), decisions
 
 
@@ -190,21 +227,22 @@ def loop_ids(tree: DataFrame, n_nodes: int) -> DataFrame:
                       F.when(F.col("__b").isNull(), F.col("m")).otherwise(F.least("m", "__bm")).alias("m")))
         # each step uses the previous one twice: cut the lineage per step so the
         # plan does not double (every copy would also run its own jobs)
-        st = cut_lineage(st, partitions=1)  # one row per category
+        st = cut_lineage(st)
     members = st.where(F.col("p").isNotNull()).select(F.col("p").alias("member")).distinct()
     return members.join(st.select(F.col("id").alias("member"), F.col("m").alias("loop_id")), "member")
 
 
-def apply_category_changes(spark, categories: DataFrame, notes: DataFrame, changes: DataFrame,
-                           max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def apply_category_changes(spark, categories: DataFrame, notes: DataFrame,
+                           changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Returns (new categories, decisions).
 
     Patches set ``name`` (kept when not given) and ``parent_id`` (cleared when
     not given). Deletes are refused while notes use the category; a deleted
-    category's children become roots. Loops: all accepted parent edges are
-    applied, loops are found by pointer jumping on old plus new edges, the
-    latest edge of each loop is refused, and this repeats until no loop with
-    a new edge is left (bounded by ``max_rounds``)."""
+    category's children become roots, and later changes don't find it. Loops:
+    all accepted parent edges are applied, loops are found by pointer jumping
+    on old plus new edges, the latest edge of each loop is refused, and this
+    repeats until no loop with a new edge is left: every round refuses one
+    edge at least, so it ends, and no loop gets into the table."""
     used = notes.where(F.col("category_id").isNotNull()).groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
     ex = categories.select(F.col("id").alias("__cid"))
     px = categories.select(F.col("id").alias("__pid"))
@@ -216,10 +254,17 @@ def apply_category_changes(spark, categories: DataFrame, notes: DataFrame, chang
                     .when((F.col("op") == "patch") & F.col("parent_id").isNotNull() & F.col("__pid").isNull(),
                           "parent_not_found")
                     .when((F.col("op") == "patch") & (F.col("target_id") == F.col("parent_id")), "loop"))
-    c = cut_lineage(c.select("seq", "op", "target_id", "name", "parent_id", first_reason.alias("reason")),
-                    partitions=1)  # one row per category change
+    c = cut_lineage(c.select("seq", "op", "target_id", "name", "parent_id", first_reason.alias("reason")))
+    # the first accepted delete of a row hides it from later changes
+    deleted = (c.where(F.col("reason").isNull() & (F.col("op") == "delete"))
+               .groupBy("target_id").agg(F.min("seq").alias("seq")))
+    hidden = deleted.select(F.col("target_id").alias("__did"), F.col("seq").alias("__dseq"))
+    c = (c.join(hidden, F.col("target_id") == F.col("__did"), "left").withColumnRenamed("__dseq", "__own").drop("__did")
+         .join(hidden, F.col("parent_id") == F.col("__did"), "left"))
+    c = cut_lineage(c.select("seq", "op", "target_id", "name", "parent_id", F.coalesce(
+        "reason", F.when(F.col("__own") < F.col("seq"), "not_found")
+        .when((F.col("op") == "patch") & (F.col("__dseq") < F.col("seq")), "parent_not_found")).alias("reason")))
     refused = c.where(F.col("reason").isNotNull()).select("seq", "reason")
-    deleted = c.where(F.col("reason").isNull() & (F.col("op") == "delete")).select("target_id", "seq")
 
     def tree_with(refused_df):
         ok = c.join(refused_df.select("seq"), "seq", "left_anti").where(F.col("op") == "patch")
@@ -230,7 +275,7 @@ def apply_category_changes(spark, categories: DataFrame, notes: DataFrame, chang
                         .alias("parent_id"), F.col("p.seq").alias("__edge_seq"))
 
     n_cats = categories.count()
-    for _ in range(max_rounds):
+    while True:
         t = tree_with(refused)
         loops = loop_ids(t.select("id", "parent_id"), n_cats)
         in_loop = t.join(loops, F.col("id") == F.col("member")).where(F.col("__edge_seq").isNotNull())
@@ -238,10 +283,9 @@ def apply_category_changes(spark, categories: DataFrame, notes: DataFrame, chang
         if latest.isEmpty():
             break
         # the new refusals depend on the previous ones twice: cut the lineage per round
-        refused = cut_lineage(refused.unionByName(latest.select("seq", F.lit("loop").alias("reason"))),
-                              partitions=1)
+        refused = cut_lineage(refused.unionByName(latest.select("seq", F.lit("loop").alias("reason"))))
     t = tree_with(refused).drop("__edge_seq")
-    # deletes apply after the edits of the batch (a delete is the last word on a row)
+    # no accepted edit of a row follows its delete
     gone = deleted.select(F.col("target_id").alias("__gone"))
     kept = t.join(gone, F.col("id") == F.col("__gone"), "left_anti")
     kept = (kept.join(gone, F.col("parent_id") == F.col("__gone"), "left")
@@ -335,33 +379,54 @@ def signups_from_invitations(invitations: DataFrame) -> DataFrame:
 
 
 def signup_roles(users: DataFrame, invitations: DataFrame, signups: DataFrame) -> DataFrame:
-    """Role for each sign-up or the reason it is refused: e-mail in use;
-    with a token: invitation unused and unexpired at that time and for the
-    same e-mail -> its role (first sign-up per invitation wins); without a
-    token: admin only when no admin exists."""
-    admins = users.where(F.col("role") == "admin").select(F.count(F.lit(1))).scalar()
+    """Role for each sign-up or the reason it is refused, as if they came one
+    by one in the order of (attempt_at, seq): e-mail in use (by a user or an
+    earlier accepted sign-up); with a token: invitation unused and unexpired at
+    that time and for the same e-mail -> its role; without a token: admin if
+    there is none yet.
+
+    A token's sign-ups are accepted for its invitation's e-mail only, so per
+    e-mail the first one that is valid by itself wins; of the sign-ups without
+    a token at most the first one whose e-mail is free then, before any admin
+    signed up by a token, becomes the admin."""
     inv = invitations.select(F.col("id").alias("__iid"), F.col("email").alias("__iemail"),
                              F.col("role").alias("__irole"), F.col("used_at").alias("__used"),
                              F.col("expires_at").alias("__exp"))
-    j = (signups.join(users.select(F.col("email").alias("__uemail")), F.col("email") == F.col("__uemail"), "left")
+    j = (signups.withColumn("__at", F.struct("attempt_at", "seq"))
+         .join(users.groupBy("email").agg(F.lit(True).alias("__taken")), "email", "left")
          .join(inv, F.col("token_invitation_id") == F.col("__iid"), "left"))
     tok = F.col("token_invitation_id").isNotNull()
-    reason = (F.when(F.col("__uemail").isNotNull(), "email_exists")
-              .when(tok & (F.col("__iid").isNull()
-                           | (F.col("__used").isNotNull() & (F.col("__used") <= F.col("attempt_at")))
-                           | (F.col("__exp") <= F.col("attempt_at"))), "invalid_or_expired")
+    unusable = (F.col("__iid").isNull() | (F.col("__used").isNotNull() & (F.col("__used") <= F.col("attempt_at")))
+                | (F.col("__exp") <= F.col("attempt_at")))
+    j = cut_lineage(j.withColumn("__by_token", tok & F.col("__taken").isNull() & ~unusable
+                                 & (F.col("__iemail") == F.col("email"))).withColumn("__unusable", unusable))
+    first = j.where("__by_token").groupBy("email").agg(
+        F.min(F.struct("__at", "__irole", "token_invitation_id")).alias("__first"))
+    # the admin grant: none if there is an admin, or one comes by token first
+    there = users.where(F.col("role") == "admin").select(F.count(F.lit(1))).scalar()
+    by_token = first.where(F.col("__first.__irole") == "admin").select(F.min("__first.__at")).scalar()
+    grant = (j.where(~tok & F.col("__taken").isNull()).join(first, "email", "left")
+             .where(F.col("__first").isNull() | (F.col("__at") < F.col("__first.__at")))
+             .agg(F.min(F.struct("__at", "email")).alias("__g"))
+             .where((there == 0) & F.col("__g").isNotNull() & (by_token.isNull() | (F.col("__g.__at") < by_token)))
+             .select(F.col("__g.email").alias("email"), F.col("__g.__at").alias("__grant")))
+    admin_at = F.least(by_token, grant.select("__grant").scalar())
+    won = (first.join(grant, "email", "full")
+           .select("email", F.least("__grant", F.col("__first.__at")).alias("__won"),
+                   F.when(F.col("__grant").isNull() | (F.col("__first.__at") < F.col("__grant")),
+                          F.col("__first.token_invitation_id")).alias("__token")))
+    spent = won.where(F.col("__token").isNotNull()).select(F.col("__token").alias("token_invitation_id"),
+                                                          F.col("__won").alias("__spent"))
+    j = j.join(won.select("email", "__won"), "email", "left").join(spent, "token_invitation_id", "left")
+    reason = (F.when(F.col("__taken") | (F.col("__won") < F.col("__at")), "email_exists")
+              .when(tok & (F.col("__unusable") | (F.col("__spent") < F.col("__at"))), "invalid_or_expired")
               .when(tok & (F.col("__iemail") != F.col("email")), "email_mismatch")
-              .when(~tok & (admins > 0), "admin_exists"))
-    first = (j.where(reason.isNull() & tok).groupBy("token_invitation_id").agg(F.min("seq").alias("__first")))
-    j = j.withColumn("reason", reason).join(first, "token_invitation_id", "left")
-    reason2 = F.when(F.col("reason").isNull() & tok & (F.col("seq") != F.col("__first")), "invalid_or_expired") \
-        .otherwise(F.col("reason"))
-    j = j.withColumn("reason", reason2)
+              .when(~tok & ((there > 0) | (admin_at < F.col("__at"))), "admin_exists"))
+    j = j.withColumn("reason", reason)
     role = F.when(F.col("reason").isNull(), F.when(tok, F.col("__irole")).otherwise(F.lit("admin")))
     return j.select("seq", "email", "token_invitation_id", role.alias("role"), "reason")
 
 
-
 def invitations_after_signups(invitations: DataFrame, decisions: DataFrame) -> DataFrame:
     """An accepted sign-up with a token marks its invitation used at
     the sign-up time (other invitations unchanged)."""

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake import schemas
+from ticketlake.functions.expressions import not_blank
 from ticketlake.plans.joins import cut_lineage
 from ticketlake.plans.prefix import running
 
@@ -64,17 +65,17 @@ def _valid_patch() -> Column:
 
 
 def _inserted(notes: DataFrame, changes: DataFrame, clients: DataFrame) -> DataFrame:
-    """First insert per new id whose client exists, with defaults."""
-    first = (changes.where(F.col("op") == "insert")
+    """First valid insert per new id (its client exists, its title isn't
+    blank), with defaults; the title is stored trimmed."""
+    first = (changes.where((F.col("op") == "insert") & not_blank(F.col("title")))
+             .join(clients.select(F.col("id").alias("__cid")), F.col("client_id") == F.col("__cid"), "left_semi")
              .groupBy("note_id")
              .agg(F.min(F.struct("seq", "client_id", "title", "agent_id", "changed_at")).alias("i"))
              .select("note_id", "i.*"))
-    ok = (first.join(notes.select(F.col("id").alias("__id")), F.col("note_id") == F.col("__id"), "left_anti")
-          .join(clients.select(F.col("id").alias("__cid")), F.col("client_id") == F.col("__cid"), "left_semi")
-          .where(F.col("title").isNotNull() & (F.trim("title") != "")))
+    ok = first.join(notes.select(F.col("id").alias("__id")), F.col("note_id") == F.col("__id"), "left_anti")
     return ok.select(
         F.col("note_id").alias("id"), "client_id", "agent_id",
-        F.lit(None).cast("bigint").alias("category_id"), "title",
+        F.lit(None).cast("bigint").alias("category_id"), F.trim("title").alias("title"),
         F.lit(None).cast("string").alias("description"),
         F.lit(schemas.DEFAULT_PRIORITY).alias("priority"), F.lit(schemas.DEFAULT_STATUS).alias("status"),
         F.lit(schemas.DEFAULT_COUNTER).cast("int").alias("counter"),
@@ -83,12 +84,27 @@ def _inserted(notes: DataFrame, changes: DataFrame, clients: DataFrame) -> DataF
         F.col("seq").alias("__start"))
 
 
-def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame) -> NoteChangeResult:
+def _targets_exist(patches: DataFrame, clients: DataFrame, categories: DataFrame | None) -> DataFrame:
+    """A client or category that a patch moves a note to must exist."""
+    for field, target in (("client_id", clients), ("category_id", categories)):
+        if target is None:
+            continue
+        known = target.select(F.col("id").alias("__tid"), F.lit(True).alias("__there"))
+        moves = (F.col("op") == "patch") & (F.col("field") == field) & F.col("new_value").isNotNull()
+        key = F.when(moves, F.col("new_value").try_cast("bigint"))
+        patches = (patches.join(known, key == F.col("__tid"), "left")
+                   .where(~moves | F.col("__there")).drop("__tid", "__there"))
+    return patches
+
+
+def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame,
+                       categories: DataFrame | None = None) -> NoteChangeResult:
     ins = cut_lineage(_inserted(notes, changes, clients))
     live = (notes.select("id", F.lit(-1).cast("bigint").alias("__start"))
             .unionByName(ins.select("id", "__start")))
     other = (changes.where(F.col("op").isin("patch", "increment", "delete"))
-             .where((F.col("op") != "patch") | _valid_patch())
+             .where((F.col("op") != "patch") | F.coalesce(_valid_patch(), F.lit(False))))
+    other = (_targets_exist(other, clients, categories)
              .join(live, F.col("note_id") == F.col("id")).drop("id")
              .where(F.col("seq") > F.col("__start")))
     dels = (other.where(F.col("op") == "delete").groupBy("note_id")

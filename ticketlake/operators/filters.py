@@ -27,10 +27,17 @@ def conjunction(preds: list[Column]) -> Column:
     return functools.reduce(operator.and_, preds, F.lit(True))
 
 
+def like_pattern(q: Column) -> Column:
+    """``%q%`` with the tracker's meaning: ``%`` and ``_`` are wildcards, a
+    backslash makes the next character a plain one (Spark takes it before a
+    wildcard or another backslash only, so it goes elsewhere)."""
+    return F.regexp_replace(F.concat(F.lit("%"), q, F.lit("%")), r"(?s)(\\[%_\\])|\\(.)", "$1$2")
+
+
 def contains_any(columns: list[str], q: str) -> Column:
     """case-insensitive contains on any column. The text is not escaped,
     so ``%`` and ``_`` act as wildcards, as in the tracker."""
-    pat = F.lit(f"%{q}%")
+    pat = like_pattern(F.lit(q))
     return functools.reduce(operator.or_, [F.ilike(F.col(c), pat) for c in columns])
 
 

@@ -1,9 +1,10 @@
 """Q1-Q8: the tracker's constraints as data-quality jobs.
 
 Each check returns violating rows with a rule name; ``summary`` counts them
-per rule. References are ``left_anti`` joins (planner picks the strategy by
-size), uniqueness is a grouped count, domains and text rules are row filters
-(pushed to the scan where possible). Nothing is collected.
+per rule. References are ``left_anti`` joins of the distinct keys (so a hot key
+costs one row per task), uniqueness is a grouped count, and all domain and text
+rules of a table are tested in one scan of it. Nothing is collected.
+``broken`` derives tables that break every rule.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ def orphans(users, clients, categories, notes, activity, invitations) -> DataFra
     """Foreign keys that point at no row."""
     def dangling(df, fk, target, table, rule):
         keys = target.select(F.col("id").alias("__ref"))
-        return _v(df.where(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("__ref"), "left_anti"),
-                  rule, table, "id", fk)
+        lost = (df.where(F.col(fk).isNotNull()).select(F.col(fk).alias("__fk")).distinct()
+                .join(keys, F.col("__fk") == F.col("__ref"), "left_anti"))
+        return _v(df.join(lost, F.col(fk) == F.col("__fk"), "left_semi"), rule, table, "id", fk)
     return _union([
         dangling(notes, "client_id", clients, "notes", "orphan_client"),
         dangling(notes, "agent_id", users, "notes", "orphan_agent"),
@@ -68,40 +70,77 @@ def incoming_conflicts(incoming: DataFrame, current: DataFrame, column: str) ->
     return incoming.join(current.select(column).distinct(), column, "left_semi")
 
 
+def row_rules(df: DataFrame, table: str, rules: list[tuple]) -> DataFrame:
+    """Violations of ``(rule, column, condition)`` rules in one scan."""
+    broken = F.array_compact(F.array(*(
+        F.when(cond, F.struct(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("value")))
+        for rule, c, cond in rules)))
+    return (df.select(F.col("id").cast("bigint").alias("row_id"), F.explode(broken).alias("b"))
+            .select("b.rule", F.lit(table).alias("table_name"), "row_id", "b.value"))
+
+
 # Q3 ---------------------------------------------------------------------------
 def domain_violations(users, notes, invitations) -> DataFrame:
-    def bad(df, col, allowed, table, rule):
-        return _v(df.where(F.col(col).isNull() | ~F.col(col).isin(*allowed)), rule, table, "id", col)
+    def bad(c, allowed):
+        return f"domain_{c}", c, F.col(c).isNull() | ~F.col(c).isin(*allowed)
     return _union([
-        bad(users, "role", schemas.ROLES, "users", "domain_role"),
-        bad(invitations, "role", schemas.ROLES, "invitations", "domain_role"),
-        bad(notes, "priority", schemas.PRIORITIES, "notes", "domain_priority"),
-        bad(notes, "status", schemas.STATUSES, "notes", "domain_status"),
+        row_rules(users, "users", [bad("role", schemas.ROLES)]),
+        row_rules(invitations, "invitations", [bad("role", schemas.ROLES)]),
+        row_rules(notes, "notes", [bad("priority", schemas.PRIORITIES), bad("status", schemas.STATUSES)]),
     ])
 
 
 # Q4, Q5, Q6 -------------------------------------------------------------------
-def text_violations(users, clients, categories, notes) -> DataFrame:
+NOT_BLANK = {"users": ["name", "email"], "clients": ["name", "phone"], "categories": ["name"], "notes": ["title"],
+             "activity_logs": ["action"], "invitations": ["email"]}
+NOT_NULL = {"notes": ["client_id", "agent_id"]}
+
+
+def text_violations(users, clients, categories, notes, activity, invitations) -> DataFrame:
     parts = []
-    for table, df, cols in (("users", users, ["name", "email"]), ("clients", clients, ["name", "phone"]),
-                            ("categories", categories, ["name"]), ("notes", notes, ["title"])):
-        for c in cols:
-            parts.append(_v(df.where(F.col(c).isNull() | (F.trim(F.col(c)) == "")), f"blank_{c}", table, "id", c))
-    for key, limit in schemas.MAX_LENGTH.items():
-        table, c = key.split(".")
-        df = {"users": users, "clients": clients, "categories": categories, "notes": notes}.get(table)
-        if df is None or c not in df.columns:
-            continue
-        parts.append(_v(df.where(F.length(F.col(c)) > limit), f"too_long_{c}", table, "id", c))
-    parts.append(_v(notes.where(F.col("counter").isNull() | (F.col("counter") < 1)), "counter_min", "notes", "id", "counter"))
-    for table, df in (("users", users), ("clients", clients)):
-        parts.append(_v(df.where(F.col("email").isNotNull() & ~email_ok(F.col("email"))), "email_form", table, "id", "email"))
-        # Stored e-mails are normalised (trimmed, lower case) before store and compare
-        parts.append(_v(df.where(F.col("email").isNotNull() & (F.col("email") != clean_email(F.col("email")))),
-                        "email_not_normalized", table, "id", "email"))
+    for table, df in (("users", users), ("clients", clients), ("categories", categories), ("notes", notes),
+                      ("activity_logs", activity), ("invitations", invitations)):
+        rules = [(f"blank_{c}", c, F.col(c).isNull() | (F.trim(F.col(c)) == "")) for c in NOT_BLANK[table]]
+        rules += [(f"missing_{c}", c, F.col(c).isNull()) for c in NOT_NULL.get(table, [])]
+        for key, limit in schemas.MAX_LENGTH.items():
+            t, c = key.split(".")
+            if t == table and c in df.columns:
+                rules.append((f"too_long_{c}", c, F.length(F.col(c)) > limit))
+        if table == "notes":
+            rules.append(("counter_min", "counter", F.col("counter").isNull() | (F.col("counter") < 1)))
+        if "email" in df.columns:
+            e = F.col("email")
+            rules.append(("email_form", "email", e.isNotNull() & ~email_ok(e)))
+            # Stored e-mails are normalised (trimmed, lower case) before store and compare
+            rules.append(("email_not_normalized", "email", e.isNotNull() & (e != clean_email(e))))
+        parts.append(row_rules(df, table, rules))
     return _union(parts)
 
 
+def broken(users, clients, categories, notes, activity, invitations) -> tuple[DataFrame, ...]:
+    """The six tables with values, by id modulo small primes, that break the
+    rules: for checking that every rule finds its rows."""
+    def put(df, **new):
+        return df.withColumns({c: F.coalesce(*(F.when(F.col("id") % m == r, F.lit(v)) for m, r, v in cases), F.col(c))
+                               for c, cases in new.items()})
+    gone = 99_999_999
+    lost = lambda df, c, m: df.withColumn(c, F.when(F.col("id") % m != 0, F.col(c)))
+    return (put(users, name=[(7, 3, "  ")], role=[(5, 1, "boss")],
+                email=[(11, 2, " User@EXAMPLE.com"), (13, 4, "nobody"), (17, 5, "user1@example.com")]),
+            lost(put(clients, phone=[(19, 1, "+1-555-0000002")], company=[(29, 1, "x" * 151)]), "name", 23),
+            put(categories, name=[(6, 1, "")], parent_id=[(7, 2, gone)]),
+            lost(lost(put(notes, status=[(97, 0, "Closed")], counter=[(83, 0, 0)], title=[(79, 0, "t" * 256)],
+                          client_id=[(73, 0, gone)], category_id=[(59, 0, gone)]), "agent_id", 71), "priority", 89),
+            put(activity, action=[(67, 0, "a" * 101), (53, 0, "")], user_id=[(61, 0, gone)]),
+            put(invitations, email=[(3, 0, "x y@z")], role=[(4, 1, "guest")], created_by=[(6, 2, gone)]))
+
+
+def all_rules(users, clients, categories, notes, activity, invitations) -> DataFrame:
+    """Violations of all rules about single tables and references."""
+    t = (users, clients, categories, notes, activity, invitations)
+    return _union([orphans(*t), duplicates(*t), domain_violations(users, notes, invitations), text_violations(*t)])
+
+
 # Q7 ---------------------------------------------------------------------------
 def pending_conflicts(users, invitations, as_of) -> DataFrame:
     """More than one pending invitation per e-mail; a pending invitation for

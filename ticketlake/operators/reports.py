@@ -107,14 +107,15 @@ def by_category(notes: DataFrame, categories: DataFrame) -> DataFrame:
     agg = notes_per_category(notes)
     return (roots.join(agg, roots["id"] == agg["category_id"], "left")
             .select("id", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"),
-                    F.col("occ").alias("total_occurrences")))
+                    F.col("occ").alias("total_occurrences"))
+            .orderBy(F.col("count").desc(), F.col("id").asc()))
 
 
 # E17, E18, N3 -----------------------------------------------------------------
 def category_share(notes: DataFrame, categories: DataFrame) -> DataFrame:
     """by_category plus percent of all root-tagged notes and the occurrences
     shown (count when occurrences are NULL or 0)."""
-    bc = by_category(notes, categories)
+    bc = cut_lineage(by_category(notes, categories))  # read twice: its rows and their sum
     total = bc.select(F.sum("count")).scalar()
     return bc.select("*",
                      E.pct_rounded(F.col("count"), total, 0).cast("bigint").alias("share_pct"),
@@ -145,7 +146,8 @@ def agent_performance(notes: DataFrame, users: DataFrame) -> DataFrame:
                     total.alias("total_notes"), resolved.alias("resolved"),
                     F.coalesce("o", F.lit(0)).cast("bigint").alias("open"),
                     E.pct_rounded(resolved, total).alias("resolution_rate"),
-                    F.round("h", 1).alias("avg_hours_to_resolve"))
+                    F.round("h", 1).alias("avg_hours_to_resolve")).orderBy(F.col("total_notes").desc(),
+                                                                           F.col("agent_id").asc())
 
 
 # A12 --------------------------------------------------------------------------
@@ -154,7 +156,8 @@ def notes_per_agent(notes: DataFrame, users: DataFrame) -> DataFrame:
     cnt = notes.groupBy("agent_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     return (agents.join(cnt, agents["id"] == cnt["agent_id"], "left")
             .select(F.col("id").alias("agent_id"), "name",
-                    F.coalesce("n", F.lit(0)).cast("bigint").alias("notes")))
+                    F.coalesce("n", F.lit(0)).cast("bigint").alias("notes"))
+            .orderBy(F.col("notes").desc(), F.col("agent_id").asc()))
 
 
 # A6, F12, E11, E13 ------------------------------------------------------------
@@ -168,7 +171,8 @@ def trend(notes: DataFrame, as_of, period: str = "monthly", months: int = 6) ->
             .agg(F.count(F.lit(1)).cast("bigint").alias("total"),
                  _count_status("Resolved").alias("resolved"),
                  _count_status("Open").alias("open"))
-            .withColumn("label", E.period_label(F.col("period"), with_year=period != "weekly")))
+            .withColumn("label", E.period_label(F.col("period"), with_year=period != "weekly"))
+            .orderBy("period"))
 
 
 # A7, E7 -----------------------------------------------------------------------

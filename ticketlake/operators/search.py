@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake import schemas
-from ticketlake.operators.filters import title_query_ok
+from ticketlake.operators.filters import like_pattern, title_query_ok
 from ticketlake.plans.joins import cut_lineage, within_broadcast_bound
 
 TOP = 5
@@ -50,7 +50,7 @@ def title_search(notes, clients, categories, q: str) -> DataFrame:
     from ticketlake.plans.joins import lookup_for_small
     if not title_query_ok(q):
         return _names(notes.select(*RESULT_COLS).where(F.lit(False)), clients, categories)
-    top = cut_lineage(notes.where(F.ilike(F.col("title"), F.lit(f"%{q}%"))).select(*RESULT_COLS)
+    top = cut_lineage(notes.where(F.ilike(F.col("title"), like_pattern(F.lit(q)))).select(*RESULT_COLS)
                       .orderBy(F.col("counter").desc(), F.col("id").asc()).limit(TOP))
     out = lookup_for_small(top, "client_id", clients, "id", {"name": "client_name"})
     out = lookup_for_small(out, "category_id", categories, "id", {"name": "category_name"})
@@ -93,12 +93,15 @@ def title_search_batch(notes, clients, categories, candidates: DataFrame, top: i
                      lambda g: F.concat(F.lit("3:"), g))
     q1 = F.transform(F.filter(_grams(F.col("lq"), 1), lambda g: ~g.rlike(_SPECIAL) & (F.length(g) == 1)),
                      lambda g: F.concat(F.lit("1:"), g))
-    qkeys = queries.select("q", F.explode(F.when(F.size(q3) > 0, q3).otherwise(q1)).alias("key"))
+    # wildcards made plain by a backslash, for queries without any other plain character
+    escaped = F.transform(F.regexp_extract_all("lq", F.lit(r"(?s)\\(.)"), 1), lambda g: F.concat(F.lit("1:"), g))
+    qkeys = queries.select("q", F.explode(F.when(F.size(q3) > 0, q3).when(F.size(q1) > 0, q1).otherwise(escaped))
+                           .alias("key"))
     # a query whose key never occurs in any title has no match: inner join drops it, which is exact
     chosen = (qkeys.join(freq, "key").groupBy("q")
               .agg(F.min_by("key", F.struct("freq", "key")).alias("key")))
     keyed = (chosen.join(tkeys, "key").select("q", "title")
-             .where(F.ilike(F.col("title"), F.concat(F.lit("%"), F.col("q"), F.lit("%")))))
+             .where(F.ilike(F.col("title"), like_pattern(F.col("q")))))
     # 4. wildcard-only queries: matches depend on the number of '_' only (<= 256 classes)
     wild = (queries.where(~F.col("lq").rlike("[^%_]"))
             .withColumn("u", F.length(F.regexp_replace("q", "%", ""))))

@@ -1,68 +1,56 @@
 """The category tree.
 
-The ancestor closure is a recursive CTE (Spark 4.1 ``WITH RECURSIVE`` planned
-as ``UnionLoop``): ``up(start, cur, depth)`` holds every category with each
-of its ancestors up to ``max_depth`` levels (used by the cycle check's
-"does the walk meet the category" test). Where a walk ends -- a root, a
-dangling parent id, or a loop -- comes from pointer jumping
-(``walk_ends``), exact at any depth. Both work on the category dimension
-only; notes meet them after they are reduced to one row per category
+Walks to the root are followed by pointer jumping (``jumps``), which is exact
+at any depth: table k of the doubling holds every category's 2**k-th ancestor,
+so a walk of d levels takes log2(d) joins. Where a walk ends -- a root, a
+dangling parent id, or a loop -- is ``walk_ends``; whether it meets a category
+is asked of the two depths' difference. All work on the category dimension
+only; notes meet it after they are reduced to one row per category
 (aggregate, then join).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.operators.reports import notes_per_category
+from ticketlake.plans.joins import cut_lineage
 
-MAX_DEPTH = 64
 
-_WALK = """
-WITH RECURSIVE up(start, cur, depth) AS (
-  SELECT id, id, 0 FROM {cats}
-  UNION ALL
-  SELECT up.start, c.parent_id, up.depth + 1
-  FROM up JOIN {cats} c ON c.id = up.cur
-  WHERE c.parent_id IS NOT NULL AND up.depth < {max_depth})
-SELECT start, cur, depth FROM up
-"""
-
-
-def ancestor_walk(spark: SparkSession, categories: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(start, cur, depth): cur is the depth-th ancestor of start (0 = itself)."""
-    return spark.sql(_WALK, cats=categories.select("id", "parent_id"), max_depth=int(max_depth))
-
-
-def walk_ends(spark, categories, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Per category: the last id of its upward walk and how the walk ended:
-    'root', 'dangling' (parent id not in the table) or 'loop'.
-
-    Pointer jumping, exact at any depth: one step moves to the parent (a
-    root, and an id missing from the table, stay where they are); K
-    doublings with 2**K above the number of ids move every walk to its end,
-    and a walk that still moves after that is in or under a loop. K small
-    joins, lineage cut per step (a step joins the previous one with itself).
-    ``max_depth`` is unused (kept for the signature of the recursive walk)."""
-    from ticketlake.plans.joins import cut_lineage
+def jumps(categories: DataFrame) -> list[DataFrame]:
+    """Tables (id, s, d) for k = 0, 1, ...: the walk of 2**k steps from id ends
+    at s after d steps (a root, and a parent id missing from the table, stay
+    where they are). 2**k of the last one exceeds the number of ids, so a walk
+    that still moves there is in or under a loop. Each table joins the one
+    before with itself, hence the cut per step."""
     cats = categories.select("id", "parent_id")
     missing = (cats.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id"))
                .join(cats.select("id"), "id", "left_anti").distinct())
-    step = (cats.select("id", F.coalesce("parent_id", "id").alias("s"))
-            .unionByName(missing.select("id", F.col("id").alias("s"))))
-    st = cut_lineage(step, partitions=1)
-    n = st.count()
-    for _ in range(max(1, int(n).bit_length())):
-        nxt = st.select(F.col("id").alias("__b"), F.col("s").alias("__bs"))
-        st = cut_lineage(st.join(nxt, F.col("s") == F.col("__b")).select("id", F.col("__bs").alias("s")),
-                         partitions=1)
+    moves = F.col("parent_id").isNotNull().cast("bigint")
+    st = cut_lineage(cats.select("id", F.coalesce("parent_id", "id").alias("s"), moves.alias("d"))
+                     .unionByName(missing.select("id", F.col("id").alias("s"), F.lit(0).cast("bigint").alias("d"))))
+    out = [st]
+    for _ in range(max(1, int(st.count()).bit_length())):
+        nxt = st.select(F.col("id").alias("__b"), F.col("s").alias("__bs"), F.col("d").alias("__bd"))
+        st = cut_lineage(st.join(nxt, F.col("s") == F.col("__b"))
+                         .select("id", F.col("__bs").alias("s"), (F.col("d") + F.col("__bd")).alias("d")))
+        out.append(st)
+    return out
+
+
+def walk_ends(categories: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
+    """Per category: the last id of its upward walk, the number of steps, and
+    how the walk ended: 'root', 'dangling' (parent id not in the table) or
+    'loop'."""
+    st = (tables or jumps(categories))[-1]
+    cats = categories.select("id", "parent_id")
     c = cats.select(F.col("id").alias("__id"), F.col("parent_id").alias("__p"))
     j = (st.join(cats.select(F.col("id").alias("start")), F.col("id") == F.col("start"), "left_semi")
          .join(c, F.col("s") == F.col("__id"), "left"))
     end = (F.when(F.col("__id").isNull(), "dangling")
            .when(F.col("__p").isNull(), "root").otherwise("loop"))
-    return j.select(F.col("id").alias("start"), F.col("s").alias("last"), end.alias("end"))
+    return j.select(F.col("id").alias("start"), F.col("s").alias("last"), F.col("d").alias("depth"), end.alias("end"))
 
 
 # T1 ---------------------------------------------------------------------------
@@ -98,11 +86,11 @@ def category_tree(categories: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 # T4 ---------------------------------------------------------------------------
-def category_rollup(spark, categories: DataFrame, notes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def category_rollup(categories: DataFrame, notes: DataFrame) -> DataFrame:
     """Per root: notes tagged on the root or any descendant, and their summed
     counter (NULL without notes). Categories under a loop or a dangling
     parent belong to no root."""
-    ends = walk_ends(spark, categories, max_depth).where(F.col("end") == "root")
+    ends = walk_ends(categories).where(F.col("end") == "root")
     cnt = notes_per_category(notes)
     per_root = (cnt.join(ends, F.col("category_id") == F.col("start"))
                 .groupBy(F.col("last").alias("root_id"))
@@ -114,30 +102,34 @@ def category_rollup(spark, categories: DataFrame, notes: DataFrame, max_depth: i
 
 
 # T3 ---------------------------------------------------------------------------
-def cycle_check(spark, categories: DataFrame, proposals: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def cycle_check(categories: DataFrame, proposals: DataFrame) -> DataFrame:
     """For proposals ``(category_id, new_parent_id)``: would the new parent make
     a loop? True when the ids are equal, when the walk up from the new parent
     meets the category, or when that walk is already in a loop. A NULL parent
     never loops; a missing parent ends the walk.
 
-    A walk without a loop visits fewer ids than there are categories, so the
-    closure is followed that far (within Spark's recursion level limit):
-    exact whenever the category count is below that limit; loops are
-    flagged exactly by ``walk_ends``."""
-    limit = int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100"))
-    depth = max(1, min(categories.count(), limit - 1, max_depth if max_depth != MAX_DEPTH else limit - 1))
-    up = ancestor_walk(spark, categories, depth)
-    p = proposals.select("category_id", "new_parent_id").distinct()
-    meets = (p.join(up, (F.col("start") == F.col("new_parent_id")) & (F.col("cur") == F.col("category_id")),
-                    "left_semi").withColumn("__meets", F.lit(True)))
-    loops = (walk_ends(spark, categories, max_depth).where(F.col("end") == "loop")
-             .select(F.col("start").alias("__lp"), F.lit(True).alias("__loop")))
-    j = (p.join(meets, ["category_id", "new_parent_id"], "left")
-         .join(loops, F.col("new_parent_id") == F.col("__lp"), "left"))
+    A walk without a loop meets the category if the ancestor that lies as many
+    levels up as the depths differ is the category; the proposals climb there
+    by the bits of that difference."""
+    tables = jumps(categories)
+    ends = walk_ends(categories, tables)
+    depth = tables[-1].select("id", "d")
+    p = (proposals.select("category_id", "new_parent_id").distinct()
+         .join(depth.select(F.col("id").alias("category_id"), F.col("d").alias("__dc")), "category_id", "left")
+         .join(depth.select(F.col("id").alias("new_parent_id"), F.col("d").alias("__dp")), "new_parent_id", "left")
+         .join(ends.where(F.col("end") == "loop").select(F.col("start").alias("new_parent_id"),
+                                                         F.lit(True).alias("__loop")), "new_parent_id", "left")
+         .withColumn("__up", F.col("__dp") - F.col("__dc")).withColumn("__at", F.col("new_parent_id")))
+    for k, st in enumerate(tables):
+        hop = st.select(F.col("id").alias("__at"), F.col("s").alias("__to"))
+        bit = (F.col("__up") > 0) & (F.shiftright("__up", k) % 2 == 1)
+        p = (p.join(hop, "__at", "left")
+             .withColumn("__at", F.when(bit, F.col("__to")).otherwise(F.col("__at"))).drop("__to"))
+    meets = (F.col("__up") >= 0) & (F.col("__at") == F.col("category_id"))
     circular = (F.when(F.col("new_parent_id").isNull(), F.lit(False))
                 .when(F.col("category_id") == F.col("new_parent_id"), F.lit(True))
-                .otherwise(F.coalesce(F.col("__meets"), F.lit(False)) | F.coalesce(F.col("__loop"), F.lit(False))))
-    return j.select("category_id", "new_parent_id", circular.alias("circular"))
+                .otherwise(F.coalesce(F.col("__loop"), F.lit(False)) | F.coalesce(meets, F.lit(False))))
+    return p.select("category_id", "new_parent_id", circular.alias("circular"))
 
 
 # T5 ---------------------------------------------------------------------------

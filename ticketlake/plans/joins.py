@@ -18,29 +18,23 @@ Size discipline:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.session import ensure_checkpoint_dir
+from ticketlake.session import scratch_dir
 
 
-def cut_lineage(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared checkpoint folder
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it as a table in the shared folder
     (``spark.checkpoint.dir``), so a result used by several branches of a
     plan is not recomputed per branch and survives a lost executor. Used for
     bounded results (pages, top-k) and for intermediates read several times.
-    ``partitions`` narrows a result known to be small (dimension-sized)
-    without a shuffle, so later stages do not run one task per empty
-    partition."""
-    ensure_checkpoint_dir(df.sparkSession)
-    if partitions is not None:
-        df = df.coalesce(partitions)
-    # persisted first: writing a reliable checkpoint otherwise recomputes the input
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = kept.checkpoint(eager=True)
-    kept.unpersist(blocking=False)
-    return out
+    Written once, unlike a reliable checkpoint, which computes its input twice
+    or needs it persisted; small results come back as one partition."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 MAX_BROADCAST_ROWS = 100_000
@@ -69,8 +63,9 @@ def lookup_for_small(small: DataFrame, small_key: str, dim: DataFrame, dim_key:
     keys = small.select(F.col(small_key).alias("__k")).where(F.col("__k").isNotNull()).distinct()
     # the keys' range, as scalar subqueries, reaches the Parquet reader as a
     # runtime filter: row groups of a dimension written in key order are skipped
+    # (two subqueries over different plans: merged into one, their fields aren't pushed)
     lo = keys.select(F.min("__k")).scalar()
-    hi = keys.select(F.max("__k")).scalar()
+    hi = small.select(F.max(small_key)).scalar()
     in_range = dim.where((F.col(dim_key) >= lo) & (F.col(dim_key) <= hi))
     needed = in_range.join(F.broadcast(keys), F.col(dim_key) == F.col("__k"), "left_semi")
     proj = needed.select(F.col(dim_key).alias("__dk"),

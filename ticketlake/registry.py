@@ -271,13 +271,13 @@ def q_category_tree(spark, sf_dir):
 @register("category_rollup")
 def q_category_rollup(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return tree.category_rollup(spark, t.categories, t.notes)
+    return tree.category_rollup(t.categories, t.notes)
 
 
 @register("category_cycles")
 def q_category_cycles(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return tree.cycle_check(spark, t.categories, cycle_proposals(spark, sf_dir))
+    return tree.cycle_check(t.categories, cycle_proposals(spark, sf_dir))
 
 
 @register("category_delete_guard")
@@ -319,8 +319,13 @@ def q_domain_violations(spark, sf_dir):
 
 @register("text_violations")
 def q_text_violations(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return quality.text_violations(t.users, t.clients, t.categories, t.notes)
+    return quality.text_violations(*_q_args(_t(spark, sf_dir)))
+
+
+@register("broken_rows")
+def q_broken_rows(spark, sf_dir):
+    """Every rule on tables derived to break it."""
+    return quality.all_rules(*quality.broken(*_q_args(_t(spark, sf_dir))))
 
 
 @register("pending_conflicts")
@@ -332,8 +337,8 @@ def q_pending_conflicts(spark, sf_dir):
 @register("quality_summary")
 def q_quality_summary(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return quality.summary(quality.orphans(*_q_args(t)).unionByName(
-        quality.text_violations(t.users, t.clients, t.categories, t.notes)))
+    return quality.summary(quality.all_rules(*_q_args(t)).unionByName(
+        quality.pending_conflicts(t.users, t.invitations, AS_OF_EVENTS)))
 
 
 # --- change jobs ----------------------------------------------------------------------
@@ -351,7 +356,7 @@ def _changed(spark, sf_dir):
     key = (spark.sparkContext.applicationId, t.path)
     with _VERSIONS_LOCK:
         if key not in _VERSIONS:
-            result = changes.apply_note_changes(t.notes, t.note_changes, t.clients)
+            result = changes.apply_note_changes(t.notes, t.note_changes, t.clients, t.categories)
             _VERSIONS[key] = changes.write_version(result, scratch_dir(spark, "note-changes"))
     return t, changes.read_version(spark, _VERSIONS[key])
 
@@ -449,6 +454,53 @@ def q_trend_stream(spark, sf_dir):
     return jobs.read_trend(spark, paths)
 
 
+def _redelivered(spark, sf_dir, table: str, key: str, start) -> None:
+    """Run a stream over ``table`` dealt into three parts that have nothing to
+    do with time; the parts arrive one after the other, the first one again
+    at the end, and the stream starts anew from its checkpoint each time."""
+    from pyspark.sql import functions as F
+    from ticketlake.session import scratch_dir
+    from ticketlake.sources.tables import raw
+    src = scratch_dir(spark, f"redelivered-{table}")
+    rows, part = raw(spark, sf_dir, table), F.pmod(F.xxhash64(key), F.lit(3))
+    for k in (2, 0, 1, 2):
+        rows.where(part == k).write.mode("append").parquet(src)
+        jobs.run_available_now(start(src))
+
+
+@register("activity_stream_redelivered")
+def q_activity_stream_redelivered(spark, sf_dir):
+    users, paths = _t(spark, sf_dir).users, jobs.new_paths(spark, "activity")
+    _redelivered(spark, sf_dir, "events", "event_id",
+                 lambda src: jobs.activity_stream(spark, src, users, paths, name_glob="*.parquet"))
+    return jobs.read_activity(spark, paths)
+
+
+@register("counts_stream_redelivered")
+def q_counts_stream_redelivered(spark, sf_dir):
+    t, paths = _t(spark, sf_dir), jobs.new_paths(spark, "counts")
+    _redelivered(spark, sf_dir, "events", "event_id",
+                 lambda src: jobs.counts_stream(spark, src, t.notes, t.clients, paths, raw_dir=sf_dir,
+                                                name_glob="*.parquet"))
+    return jobs.read_counts(spark, paths, t.notes, t.clients)
+
+
+@register("rate_windows_redelivered")
+def q_rate_windows_redelivered(spark, sf_dir):
+    paths = jobs.new_paths(spark, "rate")
+    _redelivered(spark, sf_dir, "events", "event_id",
+                 lambda src: jobs.rate_windows_stream(spark, src, paths, name_glob="*.parquet"))
+    return jobs.read_rate_windows(spark, paths, RATE_LIMIT_TEST)
+
+
+@register("trend_stream_redelivered")
+def q_trend_stream_redelivered(spark, sf_dir):
+    paths = jobs.new_paths(spark, "trend")
+    _redelivered(spark, sf_dir, "orders", "o_orderkey",
+                 lambda src: jobs.trend_stream(spark, src, paths, AS_OF_NOTES, 6, raw_dir=sf_dir, name_glob="*.parquet"))
+    return jobs.read_trend(spark, paths)
+
+
 # --- client, user, category and invitation change jobs -------------------------------
 
 

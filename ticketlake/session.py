@@ -3,13 +3,15 @@
 Library functions never change session settings; only ``get_session`` (used by
 tests, bench and the CLI) builds a session with sensible defaults. Shared
 storage for checkpoints, stream state and versioned outputs comes from
-``spark.checkpoint.dir``, which on a cluster must name a shared folder. A
-local folder is only chosen when the setting is missing (tests).
+``spark.checkpoint.dir``, which on a cluster must name a shared folder: without
+it a session on a cluster raises an error. A local folder is only chosen when
+the setting is missing and everything runs in one JVM (tests).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,9 +44,12 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder, setting a local one only if unset
+    and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ticketlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

@@ -252,25 +252,38 @@ _BUILT: dict[tuple, str] = {}
 _BUILD_LOCK = threading.Lock()
 
 
-def _fingerprint(raw_dir: str) -> str:
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files at or below a path of any store Spark can list, each with
+    its size and time; empty if there is nothing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return sorted(found)
+
+
+def _fingerprint(spark: SparkSession, raw_dir: str) -> str:
+    """Changes with any file of a raw table, also with one part of a folder."""
     h = hashlib.sha256()
     for name in RAW_INPUTS:
-        p = os.path.join(raw_dir, f"{name}.parquet")
-        st = os.stat(p) if os.path.exists(p) else None
-        h.update(f"{name}:{st.st_size if st else -1}:{st.st_mtime_ns if st else -1};".encode())
+        h.update(f"{name}={_files(spark, os.path.join(raw_dir, f'{name}.parquet'))};".encode())
     return h.hexdigest()[:16]
 
 
 def load_tables(spark: SparkSession, path: str, build: bool = True) -> Tables:
-    """Tables of a raw driver folder (``*.parquet`` files) or of a
-    materialized folder. For a raw folder the tables are built once per
-    session and input fingerprint (``build=False`` derives them inside every
-    plan instead)."""
-    if not os.path.exists(os.path.join(path, "orders.parquet")):
+    """Tables of a raw driver folder (``*.parquet`` files or folders) or of a
+    materialized folder, in any store Spark can list. For a raw folder the
+    tables are built once per session and input fingerprint (``build=False``
+    derives them inside every plan instead)."""
+    if not _files(spark, os.path.join(path, "orders.parquet")):
         return Tables(spark, path, derived=False)
     if not build:
         return Tables(spark, path, derived=True)
-    key = (spark.sparkContext.applicationId, os.path.abspath(path), _fingerprint(path))
+    key = (spark.sparkContext.applicationId, path.rstrip("/"), _fingerprint(spark, path))
     with _BUILD_LOCK:
         if key not in _BUILT:
             from ticketlake.session import scratch_dir

@@ -2,34 +2,41 @@
 
 Sources are file streams over the driver's Parquet folder (one table picked
 by ``pathGlobFilter``); on a cluster any streaming source with the same
-columns works. Every job
-
-* keeps its checkpoint (offsets, commits, state) in a fresh folder under the
-  shared ``spark.checkpoint.dir`` -- a lost executor or driver restarts from
-  it;
-* writes to storage, never to driver memory: append results go to a Parquet
-  file sink (exactly-once through the sink's commit log); aggregates run in
-  update mode and ``foreachBatch`` writes each micro-batch's changed rows
-  into its own ``batch_id=N`` partition with overwrite, so a retried batch
-  replaces itself (idempotent); readers keep the latest row per key;
-* uses watermarks on instants (event times are zone-less wall clocks, read
-  as UTC with zone-free expressions).
-
-``run_available_now`` drives a job over everything currently in the source
-and returns the result as a batch DataFrame read back from storage.
+columns works. No row is lost however late it comes, and none counts twice
+however often it is delivered: there is no watermark. Instead each job
+
+* keeps the offsets in a checkpoint under the shared ``spark.checkpoint.dir``;
+* writes every micro-batch in ``foreachBatch`` into its own ``batch=N`` folder
+  with overwrite, so a retried batch replaces itself;
+* keeps a log of the keys it has seen, partitioned by day: a batch's rows are
+  folded by key and anti-joined to the earlier batches' keys of the batch's
+  days (a redelivered row has the same time);
+* writes aggregates as per-batch differences, which readers add up by key, so
+  a late row is one more difference;
+* folds the batch folders of a log into one (``upto=N``) every ``COMPACT``
+  batches; readers take the newest one that is complete and the batches
+  behind it.
+
+``run_available_now`` drives a job over everything currently in the source;
+the ``read_*`` functions give the result as a batch DataFrame from storage.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlake.functions import expressions as E
 from ticketlake.session import scratch_dir
-from ticketlake.sources.tables import activity_from_events, raw
+from ticketlake.sources.tables import activity_from_events, note_changes_from_events, raw
+
+COMPACT = 32
+SEEN = "key bigint, day date"
 
 
 @dataclass
@@ -37,160 +44,243 @@ class StreamPaths:
     checkpoint: str
     output: str
 
+    def log(self, name: str) -> str:
+        return os.path.join(self.output, name)
+
 
 def new_paths(spark: SparkSession, name: str) -> StreamPaths:
     base = scratch_dir(spark, f"stream-{name}")
     return StreamPaths(os.path.join(base, "checkpoint"), os.path.join(base, "output"))
 
 
-def table_stream(spark: SparkSession, src_dir: str, table: str, name_glob: str | None = None) -> DataFrame:
+def table_stream(spark: SparkSession, src_dir: str, table: str, name_glob: str | None = None,
+                 files: int = 1000) -> DataFrame:
     """A file stream over the files of one table in ``src_dir`` (file names
     matching ``name_glob``, default ``{table}.parquet``); the schema comes
     from the Parquet footers (no data scan)."""
     glob = name_glob or f"{table}.parquet"
     schema = spark.read.option("pathGlobFilter", glob).parquet(src_dir).schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", 1000).parquet(src_dir))
-
-
-def _upsert_log(output: str, keys: list[str]):
-    """foreachBatch writer: the batch's updated rows into batch_id=N."""
-    def write(batch_df: DataFrame, batch_id: int) -> None:
-        (batch_df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").parquet(os.path.join(output, f"batch_id={batch_id}")))
-    return write
-
+            .option("maxFilesPerTrigger", files).parquet(src_dir))
+
+
+# Logs of per-batch folders ------------------------------------------------------
+def _parts(spark: SparkSession, log: str, before: int | None = None) -> tuple[list[str], int]:
+    """Folders that make up a log (up to batch ``before``, exclusive), and how
+    many of them are single batches."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(log)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return [], 0
+    found: dict[str, list[int]] = {"batch": [], "upto": []}
+    for status in fs.listStatus(top):
+        m = re.fullmatch(r"(batch|upto)=(\d+)", status.getPath().getName())
+        if m and (before is None or int(m[2]) < before) and fs.exists(
+                spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[m[1]].append(int(m[2]))
+    upto = max(found["upto"], default=-1)
+    batches = sorted(n for n in found["batch"] if n > upto)
+    return [*([f"{log}/upto={upto}"] if upto >= 0 else []), *(f"{log}/batch={n}" for n in batches)], len(batches)
+
+
+def read_log(spark: SparkSession, log: str, schema, before: int | None = None) -> DataFrame:
+    # each folder is read on its own: the seen log is partitioned by day below it
+    folders, _ = _parts(spark, log, before)
+    out = spark.createDataFrame([], schema)
+    for f in folders:
+        out = out.unionByName(spark.read.schema(out.schema).option("basePath", f).parquet(f))
+    return out
+
+
+def write_log(df: DataFrame, log: str, batch_id: int, fold: Callable[[DataFrame], DataFrame],
+              by: str | None = None) -> None:
+    """A batch's rows, and every COMPACT batches all rows so far, folded."""
+    def write(rows: DataFrame, folder: str) -> None:
+        w = rows.write.mode("overwrite")
+        (w.partitionBy(by) if by else w).parquet(folder)
+
+    spark = df.sparkSession
+    write(df, f"{log}/batch={batch_id}")
+    if _parts(spark, log, batch_id + 1)[1] >= COMPACT:
+        write(fold(read_log(spark, log, df.schema, batch_id + 1)), f"{log}/upto={batch_id}")
+
+
+def added(keys: list[str], values: list[str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.groupBy(*keys).agg(*(F.sum(v).cast("bigint").alias(v) for v in values))
+
+
+def fresh(batch: DataFrame, paths: StreamPaths, batch_id: int, key: str, at: Column) -> DataFrame:
+    """The batch's rows whose key no earlier batch had, one per key."""
+    spark = batch.sparkSession
+    rows = batch.dropDuplicates([key])
+    days = rows.agg(F.min(F.to_date(at)).alias("lo"), F.max(F.to_date(at)).alias("hi")).first()
+    seen = read_log(spark, paths.log("seen"), SEEN, batch_id)
+    if days.lo is not None:  # rows without a time stand under a null day
+        seen = seen.where(F.col("day").isNull() | F.col("day").between(F.lit(days.lo), F.lit(days.hi)))
+    return rows.join(seen.select(F.col("key").alias(key)), key, "left_anti")
+
+
+def _run(stream: DataFrame, paths: StreamPaths, key: str, at: Column,
+         each: Callable[[DataFrame, int], None]):
+    """Start the stream: ``each`` gets a batch's fresh rows and its number."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = fresh(batch, paths, batch_id, key, at).persist()
+        try:
+            each(rows, batch_id)
+            write_log(rows.select(F.col(key).cast("bigint").alias("key"), F.to_date(at).alias("day")),
+                      paths.log("seen"), batch_id, lambda df: df, by="day")
+        finally:
+            rows.unpersist()
+
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", paths.checkpoint)
+            .trigger(availableNow=True).start())
 
-def read_latest(spark: SparkSession, output: str, keys: list[str]) -> DataFrame:
-    """The latest row per key over all written micro-batches."""
-    df = spark.read.option("basePath", output).parquet(os.path.join(output, "batch_id=*"))
-    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-    latest = (df.groupBy(*keys)
-              .agg(F.max(F.struct(F.col("batch_id"), *[F.col(c) for c in cols])).alias("__r")))
-    return latest.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in cols])
 
-
-def _await(q) -> None:
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+def run_available_now(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
 
 
 # ST1 --------------------------------------------------------------------------
 def activity_stream(spark: SparkSession, src_dir: str, users: DataFrame, paths: StreamPaths,
-                    late: str = "1 hour", name_glob: str | None = None):
-    """Append-only activity feed enriched with the user (stream-static left
-    join), duplicates of an id dropped within the watermark."""
-    ev = activity_from_events(table_stream(spark, src_dir, "events", name_glob))
-    ev = (ev.withColumn("__t", E.utc_instant(F.col("created_at")))
-          .withWatermark("__t", late).dropDuplicatesWithinWatermark(["id"]))
+                    name_glob: str | None = None, files: int = 1000):
+    """Append-only activity feed enriched with the user, each id once."""
     u = users.select(F.col("id").alias("__uid"), F.col("name").alias("user_name"), F.col("role").alias("user_role"))
-    out = ev.join(u, F.col("user_id") == F.col("__uid"), "left").drop("__uid", "__t")
-    return (out.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", paths.checkpoint).trigger(availableNow=True).start(paths.output))
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        out = rows.join(u, F.col("user_id") == F.col("__uid"), "left").drop("__uid")
+        write_log(out, paths.log("rows"), batch_id, lambda df: df)
+
+    return _run(activity_from_events(table_stream(spark, src_dir, "events", name_glob, files)),
+                paths, "id", F.col("created_at"), each)
 
 
 def read_activity(spark, paths: StreamPaths) -> DataFrame:
-    return spark.read.parquet(paths.output)
+    folders, _ = _parts(spark, paths.log("rows"))
+    return spark.read.parquet(*folders)
 
 
 # ST2 --------------------------------------------------------------------------
-def counts_stream(spark: SparkSession, src_dir: str, notes: DataFrame, clients: DataFrame,
-                  paths: StreamPaths):
-    """Running notes_count deltas per client from the change stream: +1 per
-    insert of a new note for an existing client, -1 for the first delete of
-    an existing note (its client from the snapshot). Update mode; state is
-    one row per client plus one per deleted note."""
-    from ticketlake.sources.tables import note_changes_from_events
-    ch = note_changes_from_events(spark, table_stream(spark, src_dir, "events"), src_dir)
-    ids = notes.select(F.col("id").alias("__nid"), F.col("client_id").alias("__ncl"))
-    cl = clients.select(F.col("id").alias("__cid"))
-    ins = (ch.where(F.col("op") == "insert")
-           .join(ids, F.col("note_id") == F.col("__nid"), "left_anti")
-           .join(cl, F.col("client_id") == F.col("__cid"), "left_semi")
-           .select("client_id", F.lit(1).cast("bigint").alias("delta"), "changed_at"))
-    dels = (ch.where(F.col("op") == "delete")
-            .withColumn("__t", E.utc_instant(F.col("changed_at")))
-            .withWatermark("__t", "3650 days")
-            .dropDuplicates(["note_id"])
-            .join(ids, F.col("note_id") == F.col("__nid"))
-            .select(F.col("__ncl").alias("client_id"), F.lit(-1).cast("bigint").alias("delta"), "changed_at"))
-    agg = (ins.unionByName(dels).groupBy("client_id")
-           .agg(F.sum("delta").alias("delta"), F.count(F.lit(1)).alias("events")))
-    return (agg.writeStream.outputMode("update").foreachBatch(_upsert_log(paths.output, ["client_id"]))
-            .option("checkpointLocation", paths.checkpoint).trigger(availableNow=True).start())
+NOTE_LOG = "note_id bigint, client_id bigint, ins_seq bigint, del_seq bigint"
+
+
+def _note_states(df: DataFrame) -> DataFrame:
+    """Per note its first insert (by request number) and its last delete."""
+    first = F.min(F.when(F.col("ins_seq").isNotNull(), F.struct("ins_seq", "client_id")))
+    return (df.groupBy("note_id").agg(first.alias("i"), F.max("del_seq").alias("del_seq"))
+            .select("note_id", F.col("i.client_id").alias("client_id"), F.col("i.ins_seq").alias("ins_seq"), "del_seq"))
+
+
+def counts_stream(spark: SparkSession, src_dir: str, notes: DataFrame, clients: DataFrame, paths: StreamPaths,
+                  raw_dir: str | None = None, name_glob: str | None = None, files: int = 1000):
+    """Running notes_count differences per client from the change stream. A
+    log per note holds its first insert (with a title, for an existing
+    client, no note of the snapshot) and its last delete; a batch adds the
+    difference that it makes to the notes it touches, so the order of arrival
+    doesn't matter and notes inserted by the stream can be deleted by it."""
+    known = notes.select(F.col("id").alias("note_id"), F.col("client_id").alias("__snap"))
+    cl = clients.select(F.col("id").alias("client_id"))
+
+    def alive(inserted: str, deleted: str) -> Column:
+        there = F.col("__snap").isNotNull() | F.col(inserted).isNotNull()
+        gone = F.col(deleted).isNotNull() & (F.col("__snap").isNotNull() | (F.col(deleted) > F.col(inserted)))
+        return there & ~F.coalesce(gone, F.lit(False))
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        ch = note_changes_from_events(spark, rows, raw_dir or src_dir)
+        ins = (ch.where((F.col("op") == "insert") & E.not_blank(F.col("title"))).join(cl, "client_id", "left_semi")
+               .select("note_id", "client_id", F.col("seq").alias("ins_seq"), F.lit(None).cast("bigint").alias("del_seq")))
+        dels = (ch.where(F.col("op") == "delete")
+                .select("note_id", F.lit(None).cast("bigint").alias("client_id"),
+                        F.lit(None).cast("bigint").alias("ins_seq"), F.col("seq").alias("del_seq")))
+        now = _note_states(ins.unionByName(dels)).persist()
+        try:
+            earlier = read_log(spark, paths.log("notes"), NOTE_LOG, batch_id).join(now.select("note_id"), "note_id", "left_semi")
+            before = _note_states(earlier).select("note_id", F.col("client_id").alias("c0"), F.col("ins_seq").alias("i0"),
+                                                  F.col("del_seq").alias("d0"))
+            after = _note_states(earlier.unionByName(now))
+            j = after.join(before, "note_id", "left").join(known, "note_id", "left")
+            diff = (j.select(F.coalesce("__snap", "client_id").alias("client_id"),
+                             alive("ins_seq", "del_seq").cast("bigint").alias("delta"))
+                    .unionByName(j.select(F.coalesce("__snap", "c0").alias("client_id"),
+                                          (-alive("i0", "d0").cast("bigint")).alias("delta"))))
+            write_log(diff.where("delta != 0 and client_id is not null").groupBy("client_id")
+                      .agg(F.sum("delta").cast("bigint").alias("delta")),
+                      paths.log("counts"), batch_id, added(["client_id"], ["delta"]))
+            write_log(now, paths.log("notes"), batch_id, _note_states)
+        finally:
+            now.unpersist()
+
+    return _run(table_stream(spark, src_dir, "events", name_glob, files), paths, "event_id", F.col("ts"), each)
 
 
 def read_counts(spark, paths: StreamPaths, notes: DataFrame, clients: DataFrame) -> DataFrame:
-    """Stored count per client = recount of the snapshot + streamed delta,
+    """Count per client = recount of the snapshot + streamed differences,
     floored at 0 when read."""
-    d = read_latest(spark, paths.output, ["client_id"])
+    d = added(["client_id"], ["delta"])(read_log(spark, paths.log("counts"), "client_id bigint, delta bigint"))
     x0 = notes.groupBy("client_id").agg(F.count(F.lit(1)).cast("bigint").alias("x0"))
-    j = (clients.select(F.col("id").alias("client_id")).join(x0, "client_id", "left")
-         .join(d.select("client_id", "delta"), "client_id", "left"))
+    j = (clients.select(F.col("id").alias("client_id")).join(x0, "client_id", "left").join(d, "client_id", "left"))
     return j.select("client_id", F.greatest(F.coalesce("x0", F.lit(0)) + F.coalesce("delta", F.lit(0)),
                                             F.lit(0)).cast("bigint").alias("notes_count"))
 
 
 # ST3 --------------------------------------------------------------------------
+RATE = "user_id bigint, window_start timestamp_ntz, window_end timestamp_ntz, requests bigint"
+RATE_KEYS = ["user_id", "window_start", "window_end"]
+
+
 def rate_windows_stream(spark: SparkSession, src_dir: str, paths: StreamPaths,
-                        window: str = "15 minutes", late: str = "15 minutes", name_glob: str | None = None):
-    """Requests per user per epoch-aligned tumbling window (update mode)."""
-    ev = (table_stream(spark, src_dir, "events", name_glob)
-          .withColumn("__t", E.utc_instant(F.col("ts").cast("timestamp_ntz")))
-          .withWatermark("__t", late))
-    agg = ev.groupBy(F.window("__t", window).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("requests"))
-    out = agg.select(F.col("user_id").cast("bigint").alias("user_id"),
-                     E.utc_wall_clock(F.col("w.start")).alias("window_start"),
-                     E.utc_wall_clock(F.col("w.end")).alias("window_end"),
-                     F.col("requests").cast("bigint").alias("requests"))
-    return (out.writeStream.outputMode("update")
-            .foreachBatch(_upsert_log(paths.output, ["user_id", "window_start"]))
-            .option("checkpointLocation", paths.checkpoint).trigger(availableNow=True).start())
+                        window: str = "15 minutes", name_glob: str | None = None, files: int = 1000):
+    """Requests per user per epoch-aligned tumbling window."""
+    def each(rows: DataFrame, batch_id: int) -> None:
+        t = E.utc_instant(F.col("ts").cast("timestamp_ntz"))
+        out = (rows.groupBy(F.window(t, window).alias("w"), F.col("user_id").cast("bigint").alias("user_id"))
+               .agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
+               .select("user_id", E.utc_wall_clock(F.col("w.start")).alias("window_start"),
+                       E.utc_wall_clock(F.col("w.end")).alias("window_end"), "requests"))
+        write_log(out, paths.log("windows"), batch_id, added(RATE_KEYS, ["requests"]))
+
+    return _run(table_stream(spark, src_dir, "events", name_glob, files), paths, "event_id", F.col("ts"), each)
+
+
+def read_windows(spark, paths: StreamPaths) -> DataFrame:
+    return added(RATE_KEYS, ["requests"])(read_log(spark, paths.log("windows"), RATE))
 
 
 def read_rate_windows(spark, paths: StreamPaths, max_requests: int) -> DataFrame:
     """Windows above the limit (the request that exceeds ``max_requests``)."""
-    d = read_latest(spark, paths.output, ["user_id", "window_start"])
-    return (d.where(F.col("requests") > max_requests)
+    return (read_windows(spark, paths).where(F.col("requests") > max_requests)
             .select("user_id", "window_start", "window_end", "requests"))
 
 
 # ST4 --------------------------------------------------------------------------
+TREND = "period timestamp_ntz, total bigint, resolved bigint, open bigint"
+TREND_VALUES = ["total", "resolved", "open"]
+
+
 def trend_stream(spark: SparkSession, src_dir: str, paths: StreamPaths, as_of: str, months: int = 6,
-                 late: str = "30 days", period: str = "weekly"):
+                 period: str = "weekly", raw_dir: str | None = None, name_glob: str | None = None, files: int = 1000):
     """A6 trend as a stream over new orders (a note per order with a
-    customer): weekly = Monday-aligned 7-day windows (epoch day 0 is a
-    Thursday, so the windows start 4 days later); monthly = state per
-    calendar month of the created time. Total / resolved / open per period."""
-    orders = table_stream(spark, src_dir, "orders")
+    customer): total / resolved / open per week or calendar month."""
     # a note exists for an order whose customer (and the customer's nation) exists
-    cust = (raw(spark, src_dir, "customer").select("c_custkey", "c_nationkey")
-            .join(raw(spark, src_dir, "nation").select(F.col("n_nationkey")),
+    dims = raw_dir or src_dir
+    cust = (raw(spark, dims, "customer").select("c_custkey", "c_nationkey")
+            .join(raw(spark, dims, "nation").select(F.col("n_nationkey")),
                   F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey"))
     created = F.col("o_orderdate").cast("timestamp_ntz")
     since = E.months_before(E.lit_ts(as_of), months)
-    n = (orders.join(cust, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
-         .where(created >= since)
-         .select(E.utc_instant(created).alias("__t"),
-                 F.when(F.col("o_orderstatus") == "O", "Open")
-                  .when(F.col("o_orderstatus") == "P", "In Progress").otherwise("Resolved").alias("status"))
-         .withWatermark("__t", late))
-    counts = [F.count(F.lit(1)).cast("bigint").alias("total"),
-              F.count_if(F.col("status") == "Resolved").cast("bigint").alias("resolved"),
-              F.count_if(F.col("status") == "Open").cast("bigint").alias("open")]
-    if period == "weekly":
-        agg = n.groupBy(F.window("__t", "7 days", "7 days", "4 days").alias("w")).agg(*counts)
-        out = agg.select(E.utc_wall_clock(F.col("w.start")).alias("period"), "total", "resolved", "open")
-    else:
-        out = n.groupBy(E.trunc_month(E.utc_wall_clock(F.col("__t"))).alias("period")).agg(*counts)
-    return (out.writeStream.outputMode("update").foreachBatch(_upsert_log(paths.output, ["period"]))
-            .option("checkpointLocation", paths.checkpoint).trigger(availableNow=True).start())
 
+    def each(rows: DataFrame, batch_id: int) -> None:
+        out = (rows.join(cust, F.col("c_custkey") == F.col("o_custkey"), "left_semi").where(created >= since)
+               .groupBy(E.trunc_period(created, period).alias("period"))
+               .agg(F.count(F.lit(1)).cast("bigint").alias("total"),
+                    F.count_if(~F.col("o_orderstatus").isin("O", "P")).cast("bigint").alias("resolved"),
+                    F.count_if(F.col("o_orderstatus") == "O").cast("bigint").alias("open")))
+        write_log(out, paths.log("trend"), batch_id, added(["period"], TREND_VALUES))
 
-def read_trend(spark, paths: StreamPaths) -> DataFrame:
-    return read_latest(spark, paths.output, ["period"])
+    return _run(table_stream(spark, src_dir, "orders", name_glob, files), paths, "o_orderkey", created, each)
 
 
-def run_available_now(query) -> None:
-    _await(query)
+def read_trend(spark, paths: StreamPaths) -> DataFrame:
+    return added(["period"], TREND_VALUES)(read_log(spark, paths.log("trend"), TREND))
