@@ -42,8 +42,9 @@ NUMBERS = re.compile(
     r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])|(?<![\w-])3\d{14}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)"
-    r"|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))", re.A)
+    # marks may stick to the parts of a number
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[#*$%&!|]{0,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[#*$%&!|]{0,3}[ .-]?\d{2,4}){1,4}(?!\w)"
+    r"|(?<![\w(])\(\d{3}\)[#*$%&!|]{0,3} ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))", re.A)
 # Titles and their gender.
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Monsieur": "m", "Don": "m",
           "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Lady": "f", "Frau": "f", "Señora": "f", "Sra": "f",
