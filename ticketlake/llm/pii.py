@@ -52,6 +52,8 @@ TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Sr"
           "Κύριος": "m", "Κυρία": "f"}
 NAME = re.compile(r"\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True))
                   + r")\.? (?P<names>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+)?)")
+DIGIT = re.compile("[0-9]")
+CALLED = tuple(t + s for t in TITLES for s in (". ", " "))
 SYLLABLES = {"latin": ("bdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδκλμνπρστ", "αεηιο")}
 ENDINGS = {"latin": {"m": "o", "f": "a", "": "e"}, "cyrillic": {"m": "ей", "f": "а", "": "и"},
            "greek": {"m": "ος", "f": "α", "": "η"}}
@@ -156,7 +158,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
-    for m in NUMBERS.finditer(text):
+    for m in NUMBERS.finditer(text) if DIGIT.search(text) else ():
         kind, raw = m.lastgroup, m[0]
         if kind == "phone":
             code = re.match(r"\+\d{1,3}(?=\D)", raw)
@@ -167,7 +169,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "ip":
                 value = ".".join(str(int(p)) for p in raw.split("."))
         found.append((m.start(), m.end(), kind, value))
-    for m in NAME.finditer(text):
+    for m in NAME.finditer(text) if any(t in text for t in CALLED) else ():
         gender, at = TITLES[m["title"]], m.start("names")
         names = re.split(r"([ -])", m["names"])
         for i in range(0, len(names), 2):
