@@ -58,9 +58,13 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.select("__t1__", "__t2__", "doc_id", "pos", made.alias("keys"))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` for a join: broadcast if it was counted and is small."""
-    return F.broadcast(df) if df.limit(BOUND + 1).count() <= BOUND else df
+def bounded(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """``df`` for a join: broadcast if it has few rows, or few ``values`` in all."""
+    if df.limit(BOUND + 1).count() > BOUND:
+        return df
+    if values is not None and (df.agg(F.sum(values)).first()[0] or 0) > 4 * BOUND:
+        return df
+    return F.broadcast(df)
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     (``__text__``) and how many lines went (``__gone__``)."""
     drop = C.cut(recurring_lines(docs.select("doc_id", "text")))
     rows = docs.withColumns({"__t1__": text_key(F.col("text"))[0], "__t2__": text_key(F.col("text"))[1]})
-    rows = rows.join(bounded(drop), ["__t1__", "__t2__"], "left")
+    rows = rows.join(bounded(drop, F.size("__drop__")), ["__t1__", "__t2__"], "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop__"))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
