@@ -19,10 +19,13 @@ Links are looked for as follows.
    one the leader (the node with the least mass of shingles that no other node
    of the large buckets has) is compared with all. Nodes linked to the leader
    are in one class; a node not linked is compared with every node of the
-   bucket that it can be linked to: pairs are left out only if the masses of
-   their unshared shingles, or the triangle inequality of the Jaccard distance
-   through the leader, prove that their similarity is below the threshold. So
-   no link of the bucket is lost and no group is expanded into all pairs.
+   bucket that it can be linked to and that isn't in one class with it by the
+   links so far: pairs are left out if the masses of their
+   unshared shingles, or the triangle inequality of the Jaccard distance
+   through the leader, prove that their similarity is below the threshold, or
+   if less than ``AGREE`` of their slots are equal, which happens to a pair of
+   similarity 0.8 with probability 0.00005. So no group is expanded into all
+   pairs, and a link is missed as rarely as by the bands themselves.
 4. Every candidate is verified exactly by its texts' multisets.
 5. Classes are connected components (large-star, small-star); their tables
    stay in Spark, lineage is cut by checkpoints in the shared folder.
@@ -45,10 +48,11 @@ from ticketlake.llm import common as C
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-SLOTS = BANDS * ROWS
+SLOTS = 2 * BANDS * ROWS  # the first half makes the bands, all tell how far two nodes agree
 SMALL = 24
+AGREE = 0.70
 EPS = 1e-9
-NODE = "node string, n long, bands array<long>"
+NODE = "node string, n long, bands array<long>, marks array<tinyint>"
 
 
 def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,16 +141,21 @@ def nodes(docs: DataFrame) -> DataFrame:
             mark = signatures(len(texts), doc, code, n)
             key = np.full((len(texts), BANDS), np.uint64(7)) + np.arange(BANDS, dtype=np.uint64)
             for r in range(ROWS):
-                key = C.mix(key + mark[:, r::ROWS])
+                key = C.mix(key + mark[:, r:BANDS * ROWS:ROWS])
             mass = np.bincount(doc, n, len(texts)).astype(np.int64)
             have = pa.array(mass > 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS),
-                                             pa.array(key.view(np.int64).ravel()))
-            yield C.record(b, ["node"], n=mass, bands=lists).filter(have)
+            yield C.record(b, ["node"], n=mass, bands=listed(key.view(np.int64)),
+                           marks=listed((mark >> np.uint64(56)).astype(np.uint8).view(np.int8))).filter(have)
 
     rows = C.mapped(docs.select("node", "text"), run, NODE)
     # equal texts have equal rows; of a large group one row per task is shuffled
-    return rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bands", "marks")))
+
+
+def listed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(rows.ravel()))
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -210,9 +219,18 @@ def links(node: DataFrame, docs: DataFrame) -> DataFrame:
         >= THRESHOLD - EPS)).select("bucket", F.col("node").alias("x"), F.col("n").alias("n_x"),
                                     F.col("own").alias("own_x"), F.col("sim").alias("sim_x"))
     shared = F.least(F.col("n_x") - F.col("own_x"), F.col("n") - F.col("own"))
-    rest = (left.join(led, "bucket")
-            .where((F.col("x") != F.col("node")) & (F.abs(F.col("sim_x") - F.col("sim")) <= 1 - THRESHOLD + EPS)
-                   & (shared / (F.col("n_x") + F.col("n") - shared) >= THRESHOLD - EPS))
+    found, near = (C.cut(x.where(F.col("sim") >= THRESHOLD)) for x in (found, near))
+    # classes by the links so far: further pairs matter between two of them only
+    root = components(found.unionByName(near))
+    marks = (large.select("node").distinct().join(node.select("node", "marks"), "node").join(root, "node", "left")
+             .select("node", "marks", F.coalesce("root", "node").alias("root")))
+    left = left.join(marks.select(F.col("node").alias("x"), F.col("marks").alias("marks_x"),
+                                  F.col("root").alias("root_x")), "x")
+    equal = F.size(F.filter(F.zip_with("marks_x", "marks", lambda p, q: p == q), lambda e: e))
+    rest = (left.join(led.join(marks, "node"), "bucket")
+            .where((F.col("root_x") != F.col("root")) & (F.abs(F.col("sim_x") - F.col("sim")) <= 1 - THRESHOLD + EPS)
+                   & (shared / (F.col("n_x") + F.col("n") - shared) >= THRESHOLD - EPS)
+                   & (equal >= int(AGREE * SLOTS)))
             .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
     far = verified(rest, docs)
     ordered = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
