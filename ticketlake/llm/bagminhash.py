@@ -28,7 +28,7 @@ Links are looked for as follows.
    pairs, and a link is missed as rarely as by the bands themselves.
 4. Every candidate is verified exactly by its texts' multisets.
 5. Classes are connected components (large-star, small-star); their tables
-   stay in Spark, lineage is cut by checkpoints in the shared folder.
+   stay in Spark, lineage is cut by tables in the shared folder.
 
 Defined cases: a null text counts as empty; texts without words have no
 shingles and are near-duplicates of equal texts only; a class's id is its
@@ -158,11 +158,17 @@ def listed(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(rows.ravel()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, one row each."""
+    return C.cut(docs.select("node", "text").join(C.bounded(wanted), "node", "left_semi")
+                 .groupBy("node").agg(F.first("text").alias("text")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, sim) of distinct candidate pairs of nodes."""
-    pairs = pairs.distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = C.cut(docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    pairs = C.cut(pairs.distinct())
+    wanted = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = texts.join(C.bounded(wanted), "node", "left_semi")
     rows = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b"))
@@ -175,7 +181,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return C.mapped(rows, run, "a string, b string, sim double")
 
 
-def own_mass(large: DataFrame, docs: DataFrame) -> DataFrame:
+def own_mass(large: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, own): the mass of a node's shingles that no other node of
     ``large`` (distinct nodes) has."""
 
@@ -185,8 +191,8 @@ def own_mass(large: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(doc)), pa.array(code.view(np.int64)),
                                               pa.array(n.astype(np.int64))], ["node", "shingle", "n"])
 
-    texts = (docs.join(large, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    return (C.mapped(texts.select("node", "text"), run, "node string, shingle long, n long")
+    texts = texts.join(C.bounded(C.cut(large)), "node", "left_semi")
+    return (C.mapped(texts, run, "node string, shingle long, n long")
             .groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.sum("n").alias("n"))
             .where("nodes = 1").groupBy("node").agg(F.sum("n").alias("own")))
 
@@ -197,20 +203,22 @@ def links(node: DataFrame, docs: DataFrame) -> DataFrame:
         .select("node", "n", F.xxhash64("band", "key").alias("bucket"))
     sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1")
     member = C.cut(band.join(sizes, "bucket"))
+    # the texts of all nodes that share a bucket, fetched once
+    texts = texts_of(C.cut(member.select("node").distinct()), docs)
     small = member.where(F.col("size") <= SMALL).select("bucket", "node")
     pairs = (small.select("bucket", F.col("node").alias("a"))
              .join(small.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b"))
-    found = verified(pairs, docs)
+    found = verified(pairs, texts)
 
     large = member.where(F.col("size") > SMALL)
     if large.isEmpty():
         return found.where(F.col("sim") >= THRESHOLD)
-    own = own_mass(large.select("node").distinct(), docs)
+    own = own_mass(large.select("node").distinct(), texts)
     large = C.cut(large.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))))
     leader = large.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("m")) \
         .select("bucket", F.col("m.node").alias("leader"))
     led = large.join(leader, "bucket").where("node != leader")
-    near = C.cut(verified(led.select(F.col("leader").alias("a"), F.col("node").alias("b")), docs))
+    near = C.cut(verified(led.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts))
     led = C.cut(led.join(near.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim"),
                          ["leader", "node"]))
     # the most that a node can share with another one of at least the bucket's least mass
@@ -232,7 +240,7 @@ def links(node: DataFrame, docs: DataFrame) -> DataFrame:
                    & (shared / (F.col("n_x") + F.col("n") - shared) >= THRESHOLD - EPS)
                    & (equal >= int(AGREE * SLOTS)))
             .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
-    far = verified(rest, docs)
+    far = verified(rest, texts)
     ordered = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
     return (found.unionByName(ordered).unionByName(far).where(F.col("sim") >= THRESHOLD)
             .groupBy("a", "b").agg(F.max("sim").alias("sim")))
@@ -290,7 +298,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
              .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(key, "node")).alias("m"))
              .select(F.col(f"m.{key}").alias(key), F.col("m.node").alias(node)))
     rows = (docs.withColumn(node, F.md5(F.coalesce(F.col("text"), F.lit("")))).withColumn(key, order)
-            .join(first, [node, key], "left_semi"))
+            .join(C.bounded(C.cut(first)), [node, key], "left_semi"))
+    if keys.groupBy("node", order).count().where("count > 1").isEmpty():
+        return rows.select(*names)
     # equal rows of a class's first document
     one = Window.partitionBy(node, key).orderBy(F.col("doc_id").asc_nulls_last())
     return rows.withColumn("__n__", F.row_number().over(one)).where("__n__ = 1").select(*names)
