@@ -200,7 +200,7 @@ def own_mass(large: DataFrame, texts: DataFrame) -> DataFrame:
 def links(node: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, sim) of the verified links, a < b."""
     band = node.select("node", "n", F.posexplode("bands").alias("band", "key")) \
-        .select("node", "n", F.xxhash64("band", "key").alias("bucket"))
+        .select("node", "n", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1")
     member = C.cut(band.join(sizes, "bucket"))
     # the texts of all nodes that share a bucket, fetched once
@@ -230,15 +230,18 @@ def links(node: DataFrame, docs: DataFrame) -> DataFrame:
     found, near = (C.cut(x.where(F.col("sim") >= THRESHOLD)) for x in (found, near))
     # classes by the links so far: further pairs matter between two of them only
     root = components(found.unionByName(near))
-    marks = (large.select("node").distinct().join(node.select("node", "marks"), "node").join(root, "node", "left")
-             .select("node", "marks", F.coalesce("root", "node").alias("root")))
-    left = left.join(marks.select(F.col("node").alias("x"), F.col("marks").alias("marks_x"),
+    marks = (large.select("node").distinct().join(node.select("node", "marks", "bands"), "node").join(root, "node", "left")
+             .select("node", "marks", "bands", F.coalesce("root", "node").alias("root")))
+    left = left.join(marks.select(F.col("node").alias("x"), F.col("marks").alias("marks_x"), F.col("bands").alias("bands_x"),
                                   F.col("root").alias("root_x")), "x")
+    # a pair counts in the first bucket that it shares
+    earlier = F.size(F.filter(F.zip_with(F.slice("bands_x", 1, F.col("band")), F.slice("bands", 1, F.col("band")),
+                                         lambda p, q: p == q), lambda e: e))
     equal = F.size(F.filter(F.zip_with("marks_x", "marks", lambda p, q: p == q), lambda e: e))
     rest = (left.join(led.join(marks, "node"), "bucket")
             .where((F.col("root_x") != F.col("root")) & (F.abs(F.col("sim_x") - F.col("sim")) <= 1 - THRESHOLD + EPS)
                    & (shared / (F.col("n_x") + F.col("n") - shared) >= THRESHOLD - EPS)
-                   & (equal >= int(AGREE * SLOTS)))
+                   & (equal >= int(AGREE * SLOTS)) & (earlier == 0))
             .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
     far = verified(rest, texts)
     ordered = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
