@@ -1,0 +1,32 @@
+"""Cases of the second round's review."""
+
+from ticketlake.llm import site_style
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_op7_copies_of_a_page(spark):
+    """80 copies of a page count once: the wrapper of the articles stays."""
+    page = "<body><div class=page><article><p>Text {0} of its own, number {0}</p></article></div></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(max(0, i - 79))) for i in range(100)]
+    got = site_style.main_text(spark.createDataFrame(rows, PAGES).repartition(7)).collect()
+    assert all(r.text == "Text {0} of its own, number {0}".format(max(0, r.page_id - 79)) for r in got)
+    tree = site_style.style_tree(spark.createDataFrame(rows, PAGES).withColumn("host", site_style.F.lit("h")).repartition(7))
+    assert {r.pages for r in tree.collect()} == {21}
+
+
+def test_op7_wrapper_of_the_article():
+    """What holds the page's article stays, also where its path is low."""
+    page = site_style.Page("<body><div class=box><article><p>text</p></article></div><div class=box>same</div></body>")
+    assert page.main_text(frozenset(["/body/div.box"])) == "text"
+
+
+def test_op7_alike_cells(spark):
+    """Alike cells on one page, or in tables that differ from page to page, stay."""
+    cells = "<tr>" + "<td>yes</td>" * 30 + "</tr>"
+    rows = [(0, "http://one.org/", f"<article><p>Own text</p><table>{cells}</table></article>")]
+    rows += [(i, f"http://many.org/{i}", "<article><p>Text {}</p><table>{}</table></article>".format(
+        i, "".join("<tr><td>{}</td></tr>".format("yes" if k != i else "no") for k in range(60)))) for i in range(1, 31)]
+    got = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[0] == "Own text" + " yes" * 30
+    assert all(got[i].count("yes") == 59 and got[i].count("no") == 1 for i in range(1, 31))

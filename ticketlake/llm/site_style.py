@@ -2,17 +2,20 @@ r"""Operator 7: main text of web pages by site style trees.
 
 The DOMs of a host's pages merge into one style tree: a node is a path of
 element signatures (tag and class or id words, digits left out). In the first
-pass every page gives, for each node, a hash of the sequence of its children's
-signatures (presentation) and of its text (content); Spark counts them per host
-and node, pre-aggregated in each Arrow batch. A node's importance is
+pass every page gives, for each node, a hash of its children's signatures
+(presentation) and of its text (content), over all of the page's elements of
+that node in page order: a node counts once per page, however many alike
+elements it has there. Pages of a host with the same html count once (repeats
+go by a 128-bit hash of the html, in a batch and then in Spark). A node's
+importance is
 
     GAMMA * H(presentation) + (1 - GAMMA) * H(content),
 
-the entropies in units of the logarithm of the node's occurrences: 1 where each
-page differs, 0 where all are alike. Pages of the same content count once per
-batch and host. Nodes of less importance than ``LOW`` (inside the article
-``LOW_INSIDE``), seen on ``PAGES`` or more pages, are branches to remove. In the
-second pass each page loses its low branches, and those whose tag, class, id or
+the entropies in units of the logarithm of the node's distinct pages: 1 where
+each page differs, 0 where all are alike. Nodes of less importance than ``LOW``
+(inside the article ``LOW_INSIDE``), seen on ``PAGES`` or more distinct pages,
+are branches to remove. In the second pass each page loses its low branches,
+but for those that hold the page's article, and those whose tag, class, id or
 role says that they are menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or reader comments.
 
@@ -29,7 +32,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -47,6 +49,7 @@ TOKEN = re.compile(
     r"|[^<]+|<", re.S | re.I)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+NODE = ("path", "inside", "shape", "content")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +73,7 @@ class Page:
 
     def __init__(self, text: str):
         self.tag, self.path, self.parent, self.drop, self.inside = ["#"], [""], [-1], [False], [False]
+        self.holds = [False]   # is the article or main, or has it inside
         self.pieces: list[tuple[int, str]] = []   # element, text ("" is a block's edge)
         stack = [0]
         for m in TOKEN.finditer(text):
@@ -103,6 +107,12 @@ class Page:
             self.parent.append(top)
             self.drop.append(drop)
             self.inside.append(inside)
+            self.holds.append(False)
+            if inside and not drop and not self.inside[top]:
+                e = len(self.tag) - 1
+                while e >= 0 and not self.holds[e]:
+                    self.holds[e] = True
+                    e = self.parent[e]
             if not m[4].endswith("/"):
                 stack.append(len(self.tag) - 1)
 
@@ -123,13 +133,14 @@ class Page:
         return WORD.findall(" ".join(said))[:8]
 
     def signatures(self):
-        """(path, presentation hash, content hash) of every element that isn't
-        dropped by name."""
+        """(path, inside, presentation hash, content hash) of every node that
+        isn't dropped by name, over all its elements on the page."""
         n = len(self.tag)
         text, child = [[] for _ in range(n)], [[] for _ in range(n)]
         for e, t in self.pieces:
             if t:
                 text[e].append(t)
+        nodes: dict[str, tuple[bool, list, list]] = {}
         for e in range(n - 1, 0, -1):  # children come after their parent
             p = self.parent[e]
             sig = self.path[e].rsplit("/", 1)[1]
@@ -137,13 +148,18 @@ class Page:
                 child[p].append(sig)
             if not self.drop[e]:
                 whole = xxhash.xxh3_64_intdigest("".join(text[e]))
-                yield (self.path[e], xxhash.xxh3_64_intdigest(" ".join(child[e])) >> 1, whole >> 1, self.inside[e])
+                node = nodes.setdefault(self.path[e], (self.inside[e], [], []))
+                node[1].append(" ".join(child[e]))
+                node[2].append(str(whole))
                 text[p].append(f" {whole} ")  # a parent's content is its text and its children's hashes
+        for path, (inside, shapes, contents) in nodes.items():
+            yield (path, inside, xxhash.xxh3_64_intdigest("/".join(shapes)) >> 1,
+                   xxhash.xxh3_64_intdigest(" ".join(contents)) >> 1)
 
     def main_text(self, low: frozenset[str]) -> str:
         gone = list(self.drop)
         for e in range(1, len(gone)):
-            gone[e] = gone[e] or gone[self.parent[e]] or self.path[e] in low
+            gone[e] = gone[e] or gone[self.parent[e]] or (self.path[e] in low and not self.holds[e])
         kept = [(e, t) for e, t in self.pieces if not gone[e]]
         if any(self.inside[e] and t and not t.isspace() for e, t in kept):
             kept = [(e, t) for e, t in kept if self.inside[e]]
@@ -160,21 +176,24 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in C.slices(batches, "html"):
-            counts, seen = Counter(), set()
+            seen, out = set(), []
             for host, text in zip(b.column("host").to_pylist(), C.strings(b, "html")):
-                page = Page(text)
-                for path, shape, content, inside in page.signatures():
-                    counts[host, path, inside, 0, shape] += 1
-                    counts[host, path, inside, 1, content] += 1
-            keys = list(zip(*counts)) or [[]] * 5
+                raw = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+                if (host, raw) not in seen:
+                    seen.add((host, raw))
+                    out.append((host, raw, [dict(zip(NODE, x)) for x in Page(text).signatures()]))
+            host, raw, nodes = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.bool_()),
-                 pa.array(keys[3], pa.int32()), pa.array(keys[4], pa.int64()),
-                 pa.array(list(counts.values()), pa.int64())], ["host", "path", "inside", "kind", "sig", "n"])
-
-    rows = C.mapped(pages.select("host", "html"), run,
-                    "host string, path string, inside boolean, kind int, sig long, n long")
-    sums = (rows.groupBy("host", "path", "inside", "kind", "sig").agg(F.sum("n").alias("n"))
+                [pa.array(host, pa.string()), pa.array(raw, pa.binary()),
+                 pa.array(nodes, pa.list_(pa.struct(list(zip(NODE, (pa.string(), pa.bool_(), pa.int64(), pa.int64()))))))],
+                ["host", "page", "nodes"])
+
+    rows = C.mapped(pages.select("host", "html"), run, "host string, page binary, "
+                    "nodes array<struct<path: string, inside: boolean, shape: bigint, content: bigint>>")
+    rows = (rows.groupBy("host", "page").agg(F.first("nodes").alias("nodes"))  # a page's copies are alike
+            .select("host", F.inline("nodes"))
+            .select("host", "path", "inside", F.posexplode(F.array("shape", "content")).alias("kind", "sig")))
+    sums = (rows.groupBy("host", "path", "inside", "kind", "sig").agg(F.count("*").alias("n"))
             .groupBy("host", "path", "inside", "kind")
             .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn")))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(1.0)
@@ -184,8 +203,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    """(host, low): paths whose importance is low on enough pages. The article
-    itself and what holds it are never low."""
+    """(host, low): paths whose importance is low on enough pages. (What holds a
+    page's article stays there, see ``Page.main_text``.)"""
     # a host's distinct low paths are few: signatures hold no digits and no texts
     bound = F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW)
     return (tree.where((F.col("pages") >= PAGES) & (F.col("importance") < bound)
