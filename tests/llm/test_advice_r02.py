@@ -30,3 +30,12 @@ def test_op7_alike_cells(spark):
     got = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert got[0] == "Own text" + " yes" * 30
     assert all(got[i].count("yes") == 59 and got[i].count("no") == 1 for i in range(1, 31))
+
+
+def test_op7_words_behind_the_eighth():
+    long = "col-md-4 col-sm-6 hidden-xs pull-right"
+    text = lambda s: site_style.Page(s).main_text(frozenset())
+    assert text(f"<body><div class='{long} sidebar'>no</div><p>a</p><div class='{long} x' id=comments>no</div>") == "a"
+    assert text(f"<body><p>no</p><div class='{long} x' role=main>a</div>") == "a"
+    paths = site_style.Page(f"<div class='{long} one x'>a</div><div class='{long} two x'>b</div>").path
+    assert len(set(paths)) == 3 and all(p.count("/") == 1 for p in paths[1:])

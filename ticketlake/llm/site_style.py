@@ -1,7 +1,8 @@
 r"""Operator 7: main text of web pages by site style trees.
 
 The DOMs of a host's pages merge into one style tree: a node is a path of
-element signatures (tag and class or id words, digits left out). In the first
+element signatures (tag and all class, id or role words, digits left out; of
+more than ``SHOWN`` words the signature has the first and a hash of all). In the first
 pass every page gives, for each node, a hash of its children's signatures
 (presentation) and of its text (content), over all of the page's elements of
 that node in page order: a node counts once per page, however many alike
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.llm import common as C
 
-GAMMA, LOW, LOW_INSIDE, PAGES, SMALL = 0.2, 0.35, 0.08, 20, 20_000
+GAMMA, LOW, LOW_INSIDE, PAGES, SMALL, SHOWN = 0.2, 0.35, 0.08, 20, 20_000, 8
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|svg|textarea|select)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
@@ -103,7 +104,7 @@ class Page:
             drop = (self.drop[top] or name in DROP_TAGS or (name == "header" and not self.inside[top])
                     or any(w in DROP_WORDS and not (w == "header" and self.inside[top]) for w in words))
             self.tag.append(name)
-            self.path.append(f"{self.path[top]}/{'.'.join([name, *words])}")
+            self.path.append(f"{self.path[top]}/{self.signature(name, words)}")
             self.parent.append(top)
             self.drop.append(drop)
             self.inside.append(inside)
@@ -130,7 +131,15 @@ class Page:
         if "=" not in attributes:
             return []
         said = [(m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attributes)]
-        return WORD.findall(" ".join(said))[:8]
+        return WORD.findall(" ".join(said))
+
+    @staticmethod
+    def signature(name: str, words: list[str]) -> str:
+        """Tag and words; a long signature ends in a hash of all its words."""
+        whole = ".".join([name, *words])
+        if len(words) <= SHOWN:
+            return whole
+        return ".".join([name, *words[:SHOWN], xxhash.xxh3_128_hexdigest(whole)])
 
     def signatures(self):
         """(path, inside, presentation hash, content hash) of every node that
