@@ -1,6 +1,7 @@
 """Cases of the second round's review."""
 
-from ticketlake.llm import site_style
+from tests.llm.conftest import DOC, rows_of
+from ticketlake.llm import line_templates, site_style
 
 PAGES = "page_id long, url string, html string"
 
@@ -39,3 +40,12 @@ def test_op7_words_behind_the_eighth():
     assert text(f"<body><p>no</p><div class='{long} x' role=main>a</div>") == "a"
     paths = site_style.Page(f"<div class='{long} one x'>a</div><div class='{long} two x'>b</div>").path
     assert len(set(paths)) == 3 and all(p.count("/") == 1 for p in paths[1:])
+
+
+def test_op10_short_lines_and_pairs(spark):
+    """Short lines recur as they are; a passage in two texts stays in the first; blank lines stay."""
+    passage = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    texts = ["Les.\n\nfirst 1", "Les.\n\nPage 1", "Les.\n \nPage 2", f"a\n{passage}", f"b\n{passage}",
+             f"c\n{passage.replace('wxb', 'edited')}", "All rights reserved.\nx", "All rights reserved.\ny"]
+    got = {r.doc_id: r.text for r in line_templates.without_recurring(spark.createDataFrame(rows_of(texts), DOC)).collect()}
+    assert [got[i] for i in range(8)] == [texts[0], "\nPage 1", " \nPage 2", texts[3], "b", "c", texts[6], "y"]

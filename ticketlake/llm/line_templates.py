@@ -2,12 +2,13 @@ r"""Operator 10: line dedup by a fixed-depth log-template tree.
 
 Lines are parsed like log messages: the tree's first level is the number of
 tokens, the next ones are the ``LEAD`` leading tokens, and a leaf holds
-templates. Tokens with digits are variable fields everywhere (``<*>``). Behind
-the leading tokens a leaf's templates are the line itself and, for lines of
-``GENERAL`` tokens or more, the line with one of its ``SEGMENTS`` parts as a
-variable field, so that lines which differ in one place only fall under one
-template. Templates are known by 64-bit hashes; a line of fewer than
-``LEAST`` tokens has none.
+templates. Tokens with digits are variable fields (``<*>``), but for lines of
+``LEAD`` tokens or fewer, whose template is the exact line. Behind the leading
+tokens a leaf's templates are the line itself and, for lines of ``GENERAL``
+tokens or more, the line with one of its ``SEGMENTS`` parts as a variable field,
+so that lines which differ in one place only fall under one template. Templates
+are known by 64-bit hashes; a line of fewer than ``LEAST`` tokens, that is a
+blank one, has none.
 
 A template recurs if it stands in ``DOCS`` different texts or more (equal texts
 count as one). Its lines are dropped but for the first text that has it (by
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.llm import common as C
 
-LEAD, SEGMENTS, LEAST, GENERAL, DOCS, BOUND = 3, 4, 4, 12, 3, 500_000
+LEAD, SEGMENTS, LEAST, GENERAL, DOCS, BOUND = 3, 4, 1, 12, 2, 500_000
 LAST = 2 ** 63 - 1
 
 
@@ -40,13 +41,15 @@ def text_key(text: Column) -> list[Column]:
 def line_rows(docs: DataFrame) -> DataFrame:
     """(text key, doc_id, line number, template) of every line and template."""
     line = F.trim(F.col("line"))
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t]*[0-9][^ \t]*", "<*>")).otherwise(line)
+    long = F.size(F.split(line, " ")) > LEAD
+    masked = F.when(long & line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t]*[0-9][^ \t]*", "<*>")).otherwise(line)
     rows = (docs.where(F.col("text").isNotNull())
             .select(*text_key(F.col("text")), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"),
                     F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+            .where(F.col("line").rlike(r"\S"))
             .select("__t1__", "__t2__", "doc_id", "pos", F.split(masked, " ").alias("tok"))
             .withColumn("size", F.size("tok")).where(F.col("size") >= LEAST))
-    rest = F.col("size") - LEAD
+    rest = F.greatest(F.col("size") - LEAD, F.lit(0))
     part = F.ceil(rest / SEGMENTS).cast("int")
     segment = [F.xxhash64(F.slice("tok", F.lit(LEAD + 1) + i * part, part)) for i in range(SEGMENTS)]
     rows = rows.select("__t1__", "__t2__", "doc_id", "pos", "size",
