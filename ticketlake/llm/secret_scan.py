@@ -1,8 +1,10 @@
 r"""Operator 3: secret scan with a random forest against false positives.
 
-Candidates are white-space tokens that hold a run of ``SHORTEST`` or more
-characters of ``[A-Za-z0-9+/_-]`` with a digit, or such a run behind an
-assignment or after a word that names a secret. A random forest (Spark ML)
+Candidates are the runs of ``SHORTEST`` or more characters of
+``[A-Za-z0-9+/_-]`` in white-space tokens that hold a digit or an assignment, or
+follow a word that ends in ``:`` or ``=``. Every such run of a token is a
+candidate with the name that is assigned to it and its neighbours: the runs and
+marks around it in its token, else the words around the token. A random forest (Spark ML)
 scores each by its length, character classes and their transitions, distinct
 characters, dictionary coverage (the share of its letter trigrams that occur in
 the corpus' words seen ``COMMON`` times or more), hints that its source is a
@@ -35,7 +37,9 @@ from ticketlake.llm import common as C
 
 SHORTEST, COMMON, SAMPLE, TREES, DEPTH, CUT = 12, 5, 20_000, 24, 6, 0.5
 NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key)"
-RUN = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
+RUN = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
+# a run with the name that is assigned to it: {"name":"run", name=run
+NAMED = (r"(?:(?<=(?<![A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]{0,99})[\"'\\]{0,3}[=:]{1,2}>?[\"'\\(\[{]{0,4}))?" + RUN)
 ASSIGNED = r"^[\"'(\[{]*([A-Za-z][A-Za-z0-9_.-]*)\s*[=:]+"
 FEATURES = ["length", "digits", "uppers", "lowers", "marks", "transitions", "distinct", "hex", "coverage", "sample_path",
             "named", "named_before", "assigned", "quoted", "plain_after"]
@@ -47,24 +51,30 @@ def share(value, pattern: str):
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source, word (position), value, and the words around it."""
-    text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text") \
-        .where(text.rlike("[0-9]") | text.rlike(NAMES + r"[\"']?\s*[=:]"))
+    """doc_id, source, word (position of the token), at (of the run in it), name,
+    value, and what stands around it."""
+    rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), "text") \
+        .where(F.col("text").rlike(RUN))  # without a run no token is a candidate
     rows = rows.select("doc_id", "source", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
     found = F.filter(
         F.transform("w", lambda t, i: F.struct(
-            i.alias("word"), t.alias("token"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before"),
-            F.coalesce(F.get("w", i - 2), F.lit("")).alias("before2"),
-            F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"))),
+            i.alias("word"), t.alias("token"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("left"),
+            F.coalesce(F.get("w", i - 2), F.lit("")).alias("left2"),
+            F.coalesce(F.get("w", i + 1), F.lit("")).alias("right"))),
         lambda x: x["token"].rlike(RUN) & (x["token"].rlike("[0-9]") | x["token"].rlike(ASSIGNED)
-                                           | x["before"].rlike(r"[=:]$")))
-    return (rows.select("doc_id", "source", F.inline(found))
-            .withColumn("name", F.regexp_extract("token", ASSIGNED, 1))
-            # the longest runs hold the value; a name in front of "=" isn't part of it
-            .withColumn("value", F.regexp_extract(F.regexp_replace("token", ASSIGNED, ""), RUN, 0))
-            .withColumn("value", F.when(F.col("value") == "", F.regexp_extract("token", RUN, 0))
-                        .otherwise(F.col("value"))))
+                                           | x["left"].rlike(r"[=:]$")))
+    rows = (rows.select("doc_id", "source", F.inline(found))
+            .withColumns({"runs": F.regexp_extract_all("token", F.lit(RUN), 0),
+                          "names": F.regexp_extract_all("token", F.lit(NAMED), 1), "gaps": F.split("token", RUN)})
+            .select("*", F.posexplode("runs").alias("at", "value")))
+    piece = lambda k: F.concat(F.get("runs", k), F.get("gaps", k + 1))  # noqa: E731 - a run and the marks behind it
+    at = F.col("at")
+    return rows.select(
+        "doc_id", "source", "word", "at", "token", "value", F.get("names", at).alias("name"),
+        F.when(at == 0, F.col("left")).otherwise(piece(at - 1)).alias("before"),
+        F.when(at == 0, F.col("left2")).when(at == 1, F.col("left")).otherwise(piece(at - 2)).alias("before2"),
+        F.when(at + 1 < F.size("runs"), F.concat(F.get("gaps", at + 1), F.get("runs", at + 1)))
+        .otherwise(F.col("right")).alias("after"))
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -114,7 +124,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per finding: doc_id, word, value digest, length, rule label,
     probability, is_secret."""
     rows = C.cut(featured(C.cut(candidates(docs)), C.cut(dictionary(docs))))
-    labelled = (rows.where("label is not null").orderBy(F.xxhash64("value", "before", "after"), "value", "doc_id", "word")
+    labelled = (rows.where("label is not null").orderBy(F.xxhash64("value", "before", "after"), "value", "doc_id", "word", "at")
                 .limit(sample).select("label", *FEATURES))
     kinds = [r.label for r in labelled.select("label").distinct().collect()]  # two rows at most
     out = [F.col("doc_id").cast("long").alias("doc_id"), F.col("word").cast("long").alias("word"),
