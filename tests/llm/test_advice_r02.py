@@ -1,7 +1,11 @@
 """Cases of the second round's review."""
 
+from itertools import combinations
+
+import pytest
+
 from tests.llm.conftest import DOC, rows_of
-from ticketlake.llm import line_templates, secret_scan, site_style
+from ticketlake.llm import decontamination, line_templates, secret_scan, site_style
 
 PAGES = "page_id long, url string, html string"
 
@@ -64,3 +68,20 @@ def test_op3_every_run_of_a_token(spark):
     assert (3, "correcthorsebattery") in got and (4, "correcthorsebattery") in got  # whatever else the text has
     assert got[5, "ultramarineblue"] == "colour"
     assert (0, "secret_access_key") in got and (1, "//internal-host") in got
+
+
+@pytest.mark.parametrize("n", range(1, 20))
+def test_op8_short_items(n):
+    """Every choice of changed words that leaves 0.8 of a short item is found, one more isn't."""
+    words = [f"w{k}" for k in range(n)]
+    index = decontamination.Index([7], [" ".join(words)])
+    spare = n - decontamination.least_equal(n)
+
+    def text(changed):
+        return "before it " + " ".join("zz" if k in changed else w for k, w in enumerate(words)) + " behind"
+
+    texts = [text(x) for x in combinations(range(n), spare)]
+    found = {doc: equal for doc, _, _, _, equal in index.overlaps(texts)}
+    assert len(found) == len(texts) and all(e >= min(13, n - spare) for e in found.values())
+    inner = [x for x in combinations(range(1, n - 1), spare + 1)][:500] if n < 13 else []
+    assert not list(index.overlaps([text(x) for x in inner]))

@@ -8,15 +8,20 @@ side in the tasks). Each hit fixes an alignment of an item and a document; the
 words around it are compared one by one and the best stretch counts: +1 for an
 equal word, -``PENALTY`` for another, so that substitutions are tolerated. A
 stretch of ``MIN_WORDS`` equal words or more (items shorter than that: all of
-their words) with ``MIN_SHARE`` of its words equal is an overlap.
+their words) with ``MIN_SHARE`` of its words equal is an overlap. So is an
+alignment in which ``MIN_SHARE`` of all the item's words are equal, however the
+others are spread. Items of fewer than ``WHOLE`` words have seeds for that:
+``SMALL_MASKS`` (weight 4) lie over them in every place, and a length that these
+can miss with that many words changed gets more masks, so that no choice of
+changed words hides an item (``small_masks``).
 
 The index of one pass holds at most ``BLOCK_WORDS`` benchmark words, so what is
 broadcast is bounded; a larger benchmark takes several passes over the
 documents, in blocks of whole items.
 
-Words are lower-cased runs of letters and digits. Items of fewer words than
-``SHORTEST`` say nothing and are left out; items shorter than the masks are
-looked up by all their words.
+Words are lower-cased runs of letters and digits. An item of fewer than 5 words
+has no word to spare (four of five are ``MIN_SHARE``) and is looked up by all its
+words; an item without words says nothing.
 
 Defined cases: null and empty texts overlap nothing, on either side; an empty
 benchmark marks nothing; repeated items and rows give repeated results; a very
@@ -26,6 +31,9 @@ long text is read whole; extra columns are kept by ``clean`` and not read by
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +43,11 @@ from ticketlake.llm import common as C
 
 MASKS = ("1101011011", "1110100111", "1011101101")  # span 10, weight 7
 SPAN = 10
-SHORTEST, MIN_WORDS, MIN_SHARE, PENALTY = 5, 13, 0.8, 3
+SMALL_MASKS = ("1111", "11011", "10111", "11101", "110011", "101011", "1110111")
+MIN_WORDS, MIN_SHARE, PENALTY, WHOLE = 13, 0.8, 3, 20
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
+PART = 200_000
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, n_equal long"
 
 
@@ -54,6 +64,31 @@ def windows(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
+def least_equal(n: int) -> int:
+    """The fewest equal words that are MIN_SHARE of n."""
+    return next(k for k in range(n + 1) if k >= MIN_SHARE * n)
+
+
+@lru_cache(maxsize=WHOLE)
+def small_masks(n: int) -> tuple[str, ...]:
+    """Masks that, laid in every place of an item of n words, see it whichever
+    words MIN_SHARE allows to change."""
+    spare = n - least_equal(n)
+    if not spare:
+        return ("1" * n,)
+    laid = lambda m: [frozenset(at + k for k, c in enumerate(m) if c == "1") for at in range(n - len(m) + 1)]
+    masks = [m for m in SMALL_MASKS if len(m) <= n]
+    seeds = [x for m in masks for x in laid(m)]
+    for changed in combinations(range(n), spare):
+        if not any(x.isdisjoint(changed) for x in seeds):
+            kept = [k for k in range(n) if k not in changed]  # the closest four words that stay
+            at = min(range(len(kept) - 3), key=lambda i: kept[i + 3] - kept[i])
+            mask = "".join("1" if k in kept[at:at + 4] else "0" for k in range(kept[at], kept[at + 3] + 1))
+            masks.append(mask)
+            seeds += laid(mask)
+    return tuple(masks)
+
+
 class Index:
     """Masked windows of a block of items."""
 
@@ -61,12 +96,12 @@ class Index:
         self.words, counts = C.word_hashes(texts)
         self.ids = ids
         self.start = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-        short = sorted({int(c) for c in counts if SHORTEST <= c < SPAN})
-        self.masks = [*MASKS, *("1" * n for n in short)]
+        short = {int(c) for c in counts if 0 < c < WHOLE}
+        self.masks = [*MASKS, *sorted({m for n in short for m in small_masks(n)})]
         keys, item, place = [], [], []
         for salt, mask in enumerate(self.masks):
             for i, n in enumerate(counts):
-                if n < SHORTEST or (n < SPAN) != (salt >= len(MASKS)) or (n < SPAN and n != len(mask)):
+                if n < SPAN if salt < len(MASKS) else not 0 < n < WHOLE or mask not in small_masks(int(n)):
                     continue
                 w = windows(self.words[self.start[i]:self.start[i + 1]], mask, salt)
                 keys.append(w)
@@ -98,7 +133,8 @@ class Index:
             hit = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
             doc = np.searchsorted(ends, at, side="right")
             ok = at + len(mask) <= ends[doc]
-            found.append(np.stack([doc, self.item[hit], at - self.place[hit]], 1)[ok])
+            rows = np.stack([doc, self.item[hit], at - self.place[hit]], 1)[ok]
+            found.append(rows if salt < len(MASKS) else self.likely(h, starts, ends, rows))
         if not found:
             return
         # every alignment once; alignments of an item in a text are as many as its seeds at most
@@ -107,8 +143,23 @@ class Index:
             if best:
                 yield int(doc), int(item), int(best[0] - starts[doc]), best[1], best[2]
 
+    def likely(self, h, starts, ends, rows):
+        """The alignments of short items that have enough equal words at all."""
+        kept = []
+        for part in np.array_split(rows, len(rows) // PART + 1):
+            doc, item, shift = part.T
+            first, n = self.start[item], self.start[item + 1] - self.start[item]
+            equal = np.zeros(len(part), np.int64)
+            for k in range(WHOLE - 1):
+                at = shift + k
+                inside = (k < n) & (at >= starts[doc]) & (at < ends[doc])
+                equal += inside & (h[np.where(inside, at, 0)] == self.words[np.where(inside, first + k, 0)])
+            kept.append(part[(equal >= np.minimum(MIN_WORDS, n)) | (equal >= MIN_SHARE * n)])
+        return np.concatenate(kept)
+
     def best(self, h, doc_start, doc_end, item_start, item_end, shift):
-        """The best stretch of an alignment: first word, words, equal words."""
+        """The best stretch of an alignment, else the whole of it: first word,
+        words, equal words."""
         n = item_end - item_start
         lo, hi = max(shift, doc_start), min(shift + n, doc_end)
         same = h[lo:hi] == self.words[item_start + lo - shift:item_start + hi - shift]
@@ -119,7 +170,8 @@ class Index:
         equal = int(same[begin:end].sum())
         if equal >= min(MIN_WORDS, n) and equal >= MIN_SHARE * (end - begin):
             return lo + begin, end - begin, equal
-        return None
+        equal = int(same.sum())
+        return (lo, int(hi - lo), equal) if equal >= MIN_SHARE * n else None
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
