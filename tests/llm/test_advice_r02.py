@@ -1,11 +1,12 @@
 """Cases of the second round's review."""
 
+import re
 from itertools import combinations
 
 import pytest
 
 from tests.llm.conftest import DOC, rows_of
-from ticketlake.llm import decontamination, line_templates, secret_scan, site_style
+from ticketlake.llm import decontamination, line_templates, pii, secret_scan, site_style
 
 PAGES = "page_id long, url string, html string"
 
@@ -85,3 +86,34 @@ def test_op8_short_items(n):
     assert len(found) == len(texts) and all(e >= min(13, n - spare) for e in found.values())
     inner = [x for x in combinations(range(1, n - 1), spare + 1)][:500] if n < 13 else []
     assert not list(index.overlaps([text(x) for x in inner]))
+
+
+def test_op5_full_format(spark):
+    """All values of a format occur: its surrogates are distinct and none is its own value."""
+    values = [f"+7 {i:03d}" for i in range(1000)] + ["+7 5551234"]
+    found = spark.createDataFrame([(0, 0, "phone", v) for v in values], "t1 long, t2 long, kind string, value string")
+    moved = {r.value: r.other for r in pii.moved_entities(found, b"k").collect()}
+    final = {v: moved.get(v) or pii.surrogate("phone", v, b"k") for v in values}
+    assert len(set(final.values())) == len(values) and all(v != o for v, o in final.items())
+    assert all(re.fullmatch(r"\+7 \d{3}", final[v]) for v in values[:-1])
+
+
+def test_op5_cycle():
+    for size in (2, 3, 10, 97, 1000):
+        at, seen = 0, set()
+        for _ in range(size):
+            at = pii.cycled(at, size, b"k", "t")
+            seen.add(at)
+        assert at == 0 and len(seen) == size
+
+
+def test_op5_decimals_and_names():
+    kinds = lambda t: [(k.split("/")[0], t[i:j]) for i, j, k, _ in pii.entities(t)]
+    assert kinds("rose by +0.123 and +1.25, then +12.5; +0.1234567") == []
+    for phone in ("+1 (988) 555-2485", "+1.988.555.2485", "+49.3012345678", "+1.988 555 2485", "+1.988 (555) 2485"[:13]):
+        assert kinds(f"call {phone} now")[0][0] == "phone", phone
+    assert kinds("Dr Anna Maria Schmidt") == [("name", "Anna"), ("name", "Maria"), ("name", "Schmidt")]
+    roles = lambda t: [k.split("/")[1] for _, _, k, _ in pii.entities(t)]
+    assert roles("Dr Anna Maria Schmidt") == ["given", "given", "surname"]
+    assert roles("Frau Anna-Maria Meier-Schmidt") == ["given", "given", "surname", "surname"]
+    assert roles("Frau Anna Schmidt") == ["given", "surname"] and roles("Dr Miller") == ["surname"]

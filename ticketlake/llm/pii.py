@@ -18,6 +18,16 @@ an entity that occurs or another surrogate moves on to its next attempt, until
 none collides (distinct values in Spark, by grouping and joins). Only entities
 that moved are joined back to their texts.
 
+Where a format is so full that a surrogate can hardly be a value that doesn't
+occur (more than 1 / ``ROOM`` of it occurs, looked at for entities that still
+collide after ``TRIES`` attempts), all values of the format get the next one on a
+keyed cycle through the whole format (``FULL``): distinct among themselves and
+never the value itself, but possibly another value that occurs. Names have room
+always: later attempts draw more syllables.
+
+A sign, digits, one point and up to six digits are a signed decimal, not a
+phone number, and no country code begins with 0.
+
 Defined cases: null and empty texts are kept as they are, with 0 entities; a
 very long text is read whole; repeated rows give repeated results; extra
 columns are not read.
@@ -36,14 +46,14 @@ from pyspark.sql import functions as F
 from ticketlake.llm import common as C
 
 KEY = b"surrogates"
-MOVES = 64
+MOVES, TRIES, ROOM, FULL = 64, 6, 4, -1
 EMAIL = re.compile(r"[A-Za-z0-9_.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}")
 NUMBERS = re.compile(
     r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])|(?<![\w-])3\d{14}(?![\w-]))"
     # marks may stick to the parts of a number
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[#*$%&!|]{0,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[#*$%&!|]{0,3}[ .-]?\d{2,4}){1,4}(?!\w)"
+    r"|(?P<phone>(?<![\w+])\+(?!\d+\.\d{1,6}(?!\d|[ .-]?\(?\d))[1-9]\d{0,2}[#*$%&!|]{0,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[#*$%&!|]{0,3}[ .-]?\d{2,4}){1,4}(?!\w)"
     r"|(?<![\w(])\(\d{3}\)[#*$%&!|]{0,3} ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))", re.A)
 # Titles and their gender.
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Monsieur": "m", "Don": "m",
@@ -51,7 +61,7 @@ TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Sr"
           "Madame": "f", "Mme": "f", "Mlle": "f", "Doña": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f",
           "Κύριος": "m", "Κυρία": "f"}
 NAME = re.compile(r"\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True))
-                  + r")\.? (?P<names>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+)?)")
+                  + r")\.? (?P<names>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+)*)")
 DIGIT = re.compile("[0-9]")
 CALLED = tuple(t + s for t in TITLES for s in (". ", " "))
 SYLLABLES = {"latin": ("bdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδκλμνπρστ", "αεηιο")}
@@ -80,7 +90,23 @@ def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
             return value
 
 
-def reformat(text: str, key: bytes, tweak: str) -> str:
+def cycled(value: int, size: int, key: bytes, tweak: str) -> int:
+    """The value behind ``value`` on a keyed cycle through all of 0 .. size - 1."""
+    if size < 2:
+        return value
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    value = (permuted(value, size, key, tweak) + 1) % size
+    while True:  # the network backwards
+        left, right = value >> half, value & mask
+        for r in reversed(range(8)):
+            left, right = right ^ (prf(key, tweak, half, r, left) & mask), left
+        value = left << half | right
+        if value < size:
+            return value
+
+
+def reformat(text: str, key: bytes, tweak: str, move=permuted) -> str:
     """Letters to letters and digits to digits, by a bijection of the format."""
     radix = [10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 1 for c in text]
     number, size = 0, 1
@@ -89,7 +115,7 @@ def reformat(text: str, key: bytes, tweak: str) -> str:
             number = number * r + (ord(c) - 48 if r == 10 else ord(c.lower()) - 97)
             size *= r
     form = "".join("9" if r == 10 else "a" if r == 26 else c for c, r in zip(text, radix))
-    number, out = permuted(number, size, key, f"{tweak}\x1f{form.lower()}"), []
+    number, out = move(number, size, key, f"{tweak}\x1f{form.lower()}"), []
     for c, r in zip(reversed(text), reversed(radix)):
         if r == 1:
             out.append(c)
@@ -118,7 +144,7 @@ def made_name(name: str, gender: str, role: str, key: bytes, attempt: int) -> st
     seed = prf(key, "name", role, gender if role == "given" else "", name.lower(), attempt)
     first, vowels = SYLLABLES[script]
     out = ""
-    for _ in range(4):
+    for _ in range(4 + attempt // 8):  # later attempts have more room
         seed, a = divmod(seed, len(first))
         seed, b = divmod(seed, len(vowels))
         out += first[a] + vowels[b]
@@ -129,26 +155,27 @@ def made_name(name: str, gender: str, role: str, key: bytes, attempt: int) -> st
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical value."""
     tweak = f"{kind}\x1f{attempt}"
+    move = cycled if attempt == FULL else permuted
     if kind == "email":
         name, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{reformat(name + '@' + host, key, tweak + top)}.{top}"
+        return f"{reformat(name + '@' + host, key, tweak + top, move)}.{top}"
     if kind == "ip":
         n = 0
         for p in value.split("."):
             n = n * 256 + int(p)
-        n = permuted(n, 1 << 32, key, tweak)
+        n = move(n, 1 << 32, key, tweak)
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
     if kind == "card":
-        if luhn(value[:-1]) == int(value[-1]):
+        if attempt != FULL and luhn(value[:-1]) == int(value[-1]):
             body = value[0] + reformat(value[1:-1], key, tweak + "L" + value[0])
             return body + str(luhn(body))
-        return value[0] + reformat(value[1:], key, tweak + value[0])
+        return value[0] + reformat(value[1:], key, tweak + value[0], move)
     if kind == "phone":
         code, _, rest = value.rpartition(" ")
-        return f"{code} {reformat(rest, key, tweak + code)}"
+        return f"{code} {reformat(rest, key, tweak + code, move)}"
     if kind == "ssn":
-        return reformat(value, key, tweak)
+        return reformat(value, key, tweak, move)
     _, role, gender = kind.split("/")
     return made_name(value, gender, role, key, attempt).lower()
 
@@ -173,7 +200,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         gender, at = TITLES[m["title"]], m.start("names")
         names = re.split(r"([ -])", m["names"])
         for i in range(0, len(names), 2):
-            role = "given" if i == 0 and len(names) > 2 else "surname"
+            # given: the first of several parts, and those with a blank behind them
+            role = "given" if (i == 0 and len(names) > 2) or " " in names[i + 1:] else "surname"
             g = (gender or ("f" if names[i][-1:] in "aаα" else "m")) if role == "given" else ""
             found.append((at, at + len(names[i]), f"name/{role}/{g}", names[i].lower()))
             at += len(names[i]) + 1
@@ -233,11 +261,41 @@ def attempts(rows: DataFrame, key: bytes, attempt: int) -> DataFrame:
     return C.mapped(rows.select("kind", "value"), run, "kind string, value string, other string")
 
 
+def form(kind: str, value: str) -> tuple[str, float]:
+    """The format that holds a value's surrogates, and how many values it has."""
+    if kind == "ip":
+        return "", 2.0 ** 32
+    kept = 0
+    if kind == "email":
+        kept = len(value) - len(value.rpartition(".")[0])
+    elif kind == "phone":
+        kept = -len(value.rpartition(" ")[0])
+    elif kind == "card":
+        kept = -1
+    free, fixed = (value[-kept:], value[:-kept]) if kept < 0 else (value[:len(value) - kept], value[len(value) - kept:])
+    letters, digits = (sum(map(free.count, x)) for x in ("abcdefghijklmnopqrstuvwxyz", "0123456789"))
+    shape = re.sub("[0-9]", "9", re.sub("[a-z]", "a", free))
+    return f"{len(fixed)}{fixed}\x1f{shape}", 26.0 ** letters * 10.0 ** digits
+
+
+def formed(rows: DataFrame) -> DataFrame:
+    """(kind, value, form, size) of the values with a fixed format."""
+
+    def run(batches):
+        for b in batches:
+            out = [form(k, v) for k, v in zip(C.strings(b, "kind"), C.strings(b, "value"))]
+            yield C.record(b, ["kind", "value"], form=pa.array([x for x, _ in out], pa.string()),
+                           size=pa.array([x for _, x in out], pa.float64()))
+
+    return C.mapped(rows.select("kind", "value").where(~F.col("kind").startswith("name/")), run,
+                    "kind string, value string, form string, size double")
+
+
 def moved_entities(found: DataFrame, key: bytes) -> DataFrame | None:
     """(kind, value, other) of the entities whose first surrogate collided, with
     the surrogate that doesn't; None if none did."""
     known = C.cut(found.select("kind", "value").distinct())
-    taken, moved, rest = None, None, known
+    taken, moved, rest, full = None, None, known, None
     kind = F.split("kind", "/")[0]
     for attempt in range(MOVES):
         now = C.cut(attempts(rest, key, attempt).withColumn("type", kind))
@@ -253,8 +311,24 @@ def moved_entities(found: DataFrame, key: bytes) -> DataFrame | None:
         if attempt:
             moved = good.drop("type") if moved is None else moved.unionByName(good.drop("type"))
         if rest.isEmpty():
-            return moved
-    raise ValueError(f"surrogates still collide after {MOVES} attempts")
+            break
+        if attempt == TRIES or attempt == MOVES - 1:  # what has no room, at last all that is left
+            forms = C.cut(formed(rest).select("kind", "form").distinct())
+            crowded = (C.cut(formed(known)).join(forms, ["kind", "form"], "left_semi"))
+            least = crowded.groupBy("kind", "form").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+            if attempt == TRIES:
+                least = least.where(F.col("n") * ROOM > F.col("size"))
+            now_full = C.cut(attempts(crowded.join(least, ["kind", "form"], "left_semi"), key, FULL))
+            full = now_full if full is None else full.unionByName(now_full)
+            rest = C.cut(rest.join(full, ["kind", "value"], "left_anti"))
+            if rest.isEmpty():
+                break
+    else:
+        raise ValueError(f"surrogates still collide after {MOVES} attempts")
+    if full is not None:
+        full = C.cut(full.distinct())
+        moved = full if moved is None else moved.join(full, ["kind", "value"], "left_anti").unionByName(full)
+    return moved
 
 
 def anonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
