@@ -5,7 +5,8 @@ from itertools import combinations
 
 import pytest
 
-from tests.llm.conftest import DOC, rows_of
+import ticketlake.llm.queries as q
+from tests.llm.conftest import DOC, SF, rows_of
 from ticketlake.llm import decontamination, line_templates, pii, secret_scan, site_style
 
 PAGES = "page_id long, url string, html string"
@@ -56,6 +57,10 @@ def test_op10_short_lines_and_pairs(spark):
     assert [got[i] for i in range(8)] == [texts[0], "\nPage 1", " \nPage 2", texts[3], "b", "c", texts[6], "y"]
 
 
+def test_op1_compares_every_text(spark):
+    assert {r.agrees for r in q.QUERIES["op1_sentencepiece"](spark, SF).collect()} == {True}
+
+
 def test_op3_every_run_of_a_token(spark):
     texts = ['{"id":"x","secret_access_key":"wJalrXUtnFEMI7K7MDENG/bPxRfiCYzz"}',
              "https://internal-host.net/login?token=a8Hd72kfLq09ZmXw",
