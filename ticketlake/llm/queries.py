@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ticketlake.llm import (bagminhash, decontamination, licenses, line_templates, pii, quality_knn, quality_rules,
-                            secret_scan, sentencepiece_bpe, site_style)
+from ticketlake.llm import (bagminhash, decontamination, fill_in_middle, licenses, line_templates, pair_alignment, pii,
+                            quality_knn, quality_rules, secret_scan, sentencepiece_bpe, site_style, token_counts)
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
@@ -16,8 +16,11 @@ QUERIES = {
     "op8_decontamination": decontamination.op8,
     "op9_bagminhash": bagminhash.op9,
     "op10_line_templates": line_templates.op10,
+    "op11_pair_alignment": pair_alignment.op11,
+    "op12_fill_in_middle": fill_in_middle.op12,
+    "op13_token_counts": token_counts.op13,
 }
 
-# None of them can be said in SQL as a whole (vocabulary merges, automata,
+# The others can't be said in SQL as a whole (vocabulary merges, automata,
 # trained ensembles, DOMs, hashing schemes): tests/llm has the brute-force checks.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_fill_in_middle": fill_in_middle.SQL}
