@@ -1,67 +1,95 @@
-"""Category change job against a brute-force model of the same rule on the
-small fixture (no SQL oracle: the loop rule is iterative)."""
-
-from tests.conftest import SF_SMALL
-from ticketlake.operators import admin
-from ticketlake.sources.tables import raw
-
-
-def _model(cats, used, changes):
-    """Plain-Python model: validate, apply parent edges, refuse the latest
-    edge of each loop, repeat until no loop is left."""
-    ids = {c["id"] for c in cats}
-    refused = {}
-    for ch in changes:
-        if ch["target_id"] not in ids:
-            refused[ch["seq"]] = "not_found"
-        elif ch["op"] == "delete" and used.get(ch["target_id"], 0) > 0:
-            refused[ch["seq"]] = "in_use"
-        elif ch["op"] == "patch" and ch["parent_id"] is not None and ch["parent_id"] not in ids:
-            refused[ch["seq"]] = "parent_not_found"
-        elif ch["op"] == "patch" and ch["target_id"] == ch["parent_id"]:
-            refused[ch["seq"]] = "loop"
-    gone = {}
-    for ch in sorted(changes, key=lambda c: c["seq"]):
-        if ch["op"] == "delete" and ch["seq"] not in refused:
-            gone.setdefault(ch["target_id"], ch["seq"])
-    for ch in changes:
-        if ch["seq"] not in refused and gone.get(ch["target_id"], ch["seq"]) < ch["seq"]:
-            refused[ch["seq"]] = "not_found"
-        elif ch["seq"] not in refused and ch["op"] == "patch" and gone.get(ch["parent_id"], ch["seq"]) < ch["seq"]:
-            refused[ch["seq"]] = "parent_not_found"
-    while True:
-        parent = {c["id"]: c["parent_id"] for c in cats}
-        edge = {}
-        for ch in sorted(changes, key=lambda c: c["seq"]):
-            if ch["op"] == "patch" and ch["seq"] not in refused:
-                parent[ch["target_id"]] = ch["parent_id"]
-                edge[ch["target_id"]] = ch["seq"]
-        loops = set()
-        for start in parent:
-            seen, cur = [], start
-            while cur is not None and cur in parent and cur not in seen:
-                seen.append(cur)
-                cur = parent[cur]
-            if cur is not None and cur in seen:
-                loops.add(frozenset(seen[seen.index(cur):]))
-        cand = [max(edge[x] for x in lp if x in edge) for lp in loops if any(x in edge for x in lp)]
-        if not cand:
-            return refused
-        for seq in cand:  # the latest edge of each loop
-            refused[seq] = "loop"
-
-
-def test_category_changes_match_model(spark, tables):
-    ch_df = admin.category_changes_from_nation(raw(spark, SF_SMALL, "nation"))
-    _, decisions = admin.apply_category_changes(spark, tables.categories, tables.notes, ch_df)
-    got = {r.seq: r.reason for r in decisions.collect() if not r.accepted}
-    cats = [r.asDict() for r in tables.categories.collect()]
-    used = {r.category_id: r["count"] for r in tables.notes.groupBy("category_id").count().collect()}
-    changes = [r.asDict() for r in ch_df.collect()]
-    assert got == _model(cats, used, changes)
-    assert "loop" in got.values()
-    log = admin.category_change_log(tables.categories, ch_df, decisions).collect()
-    assert [(r.target_id, r.target_name) for r in log] == [(99, "UNUSED")]
+"""Change jobs against simulations that take one request after the other."""
+
+import random
+
+from ticketlake.operators import admin, category_edits
+
+CATS = "id long, name string, parent_id long"
+
+
+def _one_by_one(cats, used, requests):
+    tree, reasons, log = {i: [n, p] for i, n, p in cats}, {}, [i for i, _, _ in cats]
+    for seq, op, target, name, parent in sorted(requests):
+        up, chain = parent, []
+        while up is not None and up in tree and up not in chain:
+            chain.append(up)
+            up = tree[up][1]
+        round_ = up in chain or up == target
+        if (op == "insert" or (op == "patch" and name is not None)) and not (name or "").strip():
+            reason = "blank_name"
+        elif op == "patch" and parent == target:
+            reason = "loop"
+        elif op == "delete" and target in used:
+            reason = "in_use"
+        elif op == "insert" and target in log:
+            reason = "id_exists"
+        elif op != "insert" and target not in tree:
+            reason = "not_found"
+        elif op != "delete" and parent is not None and parent not in tree:
+            reason = "parent_not_found"
+        elif op == "patch" and (target in chain or round_):
+            reason = "loop"
+        else:
+            reason = None
+            if op == "insert":
+                tree[target] = [name, parent]
+                log.append(target)
+            elif op == "patch":
+                tree[target] = [tree[target][0] if name is None else name, parent]
+            else:
+                del tree[target]
+                for x in tree.values():
+                    x[1] = None if x[1] == target else x[1]
+        reasons[seq] = reason
+    return reasons, {i: tuple(x) for i, x in tree.items()}
+
+
+def _category_job(spark, cats, used, requests):
+    df = spark.createDataFrame([(*r, 7, None) for r in requests], category_edits.REQUEST.replace("parent_id bigint", "p bigint")) \
+        .withColumnRenamed("p", "parent_id").select("seq", "op", "target_id", "name", "parent_id", "actor_id", "changed_at")
+    base = spark.createDataFrame(cats, CATS)
+    d = category_edits.decided(base, spark.createDataFrame([(u, 1) for u in used], "category_id long, counter int"), df)
+    return ({r.seq: r.reason for r in d.collect()},
+            {r.id: (r.name, r.parent_id) for r in category_edits.after(base, d).collect()},
+            {r.seq: r.target_name for r in category_edits.change_log(d, base).collect()})
+
+
+def test_category_requests_equal_one_by_one(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        n = 8
+        cats = [(i, f"c{i}", None if i < 3 else rng.randrange(i)) for i in range(n)]
+        requests = [(s, rng.choice(["patch"] * 12 + ["insert", "insert", "delete"]), rng.randrange(n + 3),
+                     rng.choice([None, "n", f"name{s}", f"name{s}", " "] if s % 5 == 0 else [f"name{s}"]),
+                     rng.choice([None, *range(n + 4)])) for s in range(45)]
+        reasons, tree, log = _category_job(spark, cats, [2], requests)
+        assert (reasons, tree) == _one_by_one(cats, [2], requests), seed
+        assert "loop" in reasons.values() and len(log) > 0
+
+
+def test_category_patch_is_refused_by_the_tree_of_its_time(spark):
+    """2 may not go under 1 while 1 is under 2, although 1 becomes a root later."""
+    got, tree, _ = _category_job(spark, [(1, "a", None), (2, "b", None)], [], [
+        (1, "patch", 1, None, 2), (2, "patch", 2, None, 1), (3, "patch", 1, None, None)])
+    assert got == {1: None, 2: "loop", 3: None} and tree[2] == ("b", None)
+
+
+def test_category_walks_jump_over_untouched_chains(spark):
+    """A chain of 600 untouched categories, a loop of untouched ones, a touched chain of 12."""
+    cats = [(i, "c", i - 1 if i else None) for i in range(600)] + [(900, "l", 901), (901, "l", 900)]
+    cats += [(1000 + i, "t", 1000 + i - 1 if i else None) for i in range(12)]
+    requests = [(i + 1, "patch", 1000 + i, f"t{i}", 1000 + i - 1 if i else None) for i in range(12)]
+    requests += [(20, "patch", 0, None, 599), (21, "patch", 300, None, 599), (22, "patch", 599, None, None),
+                 (23, "patch", 0, None, 599), (24, "patch", 1000, None, 1011), (25, "patch", 900, None, 901),
+                 (26, "patch", 1000, None, 900)]
+    got, tree, _ = _category_job(spark, cats, [], requests)
+    assert (got, tree) == _one_by_one(cats, [], requests)
+    assert got[20] == got[21] == got[24] == "loop" and got[23] is None
+
+
+def test_category_requests_of_nothing(spark):
+    assert _category_job(spark, [(1, "a", None)], [], [])[:2] == ({}, {1: ("a", None)})
+    assert _category_job(spark, [], [], [(1, "insert", 5, "n", None), (2, "patch", 5, None, 5)])[0] == {1: None, 2: "loop"}
 
 
 def test_cycle_check_at_depth(spark):
@@ -79,15 +107,6 @@ def test_cycle_check_at_depth(spark):
     assert ends[1199] == ("root", 1199) and ends[5002][0] == "loop" and ends[6000] == ("dangling", 1)
 
 
-def test_loops_never_get_into_the_table(spark):
-    cats = spark.createDataFrame([(i, f"c{i}", 0 if i else None) for i in range(40)], "id long, name string, parent_id long")
-    notes = spark.createDataFrame([], "category_id long")
-    ch = spark.createDataFrame([(i, "patch", 0, None, i) for i in range(1, 9)], "seq long, op string, target_id long, name string, parent_id long")
-    new, decisions = admin.apply_category_changes(spark, cats, notes, ch)
-    assert {r.id: r.parent_id for r in new.collect()}[0] is None
-    assert all(r.reason == "loop" for r in decisions.collect())
-
-
 def _signups_one_by_one(users, invitations, signups):
     emails, admin_there = {u[0] for u in users}, any(u[1] == "admin" for u in users)
     used, out = {i[0]: i[3] for i in invitations}, {}
@@ -116,7 +135,6 @@ def _signups_one_by_one(users, invitations, signups):
 
 def test_signups_equal_one_by_one(spark):
     import datetime as dt
-    import random
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
     for seed in range(12):
         rng = random.Random(seed)
@@ -151,7 +169,6 @@ def _clients_one_by_one(clients, changes):
 
 
 def test_client_changes_equal_one_by_one(spark):
-    import random
     for seed in range(4):
         rng = random.Random(seed)
         clients = [(i, f"p{i}") for i in range(6)]

@@ -15,8 +15,6 @@ The change sets registered for checking are derived from the given tables
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,115 +185,6 @@ def apply_client_changes(clients: DataFrame, changes: DataFrame) -> tuple[DataFr
     return fold_fields(base, patches, CLIENT_FIELDS), decisions
 
 
-# Categories -----------------------------------------------------------
-def category_changes_from_nation(nation: DataFrame) -> DataFrame:
-    """Per nation n, in seq order: move child 100+n under root (r+1) mod 5;
-    for even n try to put root r under child 100+n (a loop unless the child
-    has moved away); delete 200+n (missing) and, for n = 0, the unused root
-    99; rename child 100+n when n mod 4 = 1 (no parent given: it is cleared)."""
-    n, r = F.col("n_nationkey").cast("bigint"), F.col("n_regionkey").cast("bigint")
-    base = [
-        (n * 10 + 1, F.lit("patch"), n + 100, F.lit(None).cast("string"), (r + 1) % 5, F.lit(True)),
-        (n * 10 + 2, F.lit("patch"), r, F.lit(None).cast("string"), n + 100, n % 2 == 0),
-        (n * 10 + 3, F.lit("delete"), n + 200, F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(True)),
-        (n * 10 + 4, F.lit("delete"), F.lit(99).cast("bigint"), F.lit(None).cast("string"),
-         F.lit(None).cast("bigint"), n == 0),
-        (n * 10 + 5, F.lit("patch"), n + 100, F.concat(F.lit("Renamed "), n.cast("string")),
-         F.lit(None).cast("bigint"), n % 4 == 1),
-    ]
-    parts = [nation.where(keep).select(seq.alias("seq"), op.alias("op"), tid.alias("target_id"),
-                                       name.alias("name"), parent.cast("bigint").alias("parent_id"))
-             for seq, op, tid, name, parent, keep in base]
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def loop_ids(tree: DataFrame, n_nodes: int) -> DataFrame:
-    """(member, loop_id) for every id on a parent loop, loop_id being the
-    smallest id of its loop, by pointer jumping: step k holds the 2**k-th
-    ancestor ``p`` and the minimum ``m`` over the first 2**k nodes of the
-    walk. After K steps with 2**K > n_nodes a node in or under a loop still
-    has an ancestor, which lies on the loop; these ancestors are exactly the
-    loop members (on a loop the jump is a rotation), and a member's ``m``
-    covers its whole loop. K small joins, lineage cut per step (a step
-    joins the previous one with itself)."""
-    st = tree.select("id", F.col("parent_id").alias("p"), F.col("id").alias("m"))
-    steps = max(1, int(n_nodes).bit_length())  # 2**steps > n_nodes
-    for k in range(1, steps + 1):
-        nxt = st.select(F.col("id").alias("__b"), F.col("p").alias("__bp"), F.col("m").alias("__bm"))
-        st = (st.join(nxt, F.col("p") == F.col("__b"), "left")
-              .select("id", F.col("__bp").alias("p"),
-                      F.when(F.col("__b").isNull(), F.col("m")).otherwise(F.least("m", "__bm")).alias("m")))
-        # each step uses the previous one twice: cut the lineage per step so the
-        # plan does not double (every copy would also run its own jobs)
-        st = cut_lineage(st)
-    members = st.where(F.col("p").isNotNull()).select(F.col("p").alias("member")).distinct()
-    return members.join(st.select(F.col("id").alias("member"), F.col("m").alias("loop_id")), "member")
-
-
-def apply_category_changes(spark, categories: DataFrame, notes: DataFrame,
-                           changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns (new categories, decisions).
-
-    Patches set ``name`` (kept when not given) and ``parent_id`` (cleared when
-    not given). Deletes are refused while notes use the category; a deleted
-    category's children become roots, and later changes don't find it. Loops:
-    all accepted parent edges are applied, loops are found by pointer jumping
-    on old plus new edges, the latest edge of each loop is refused, and this
-    repeats until no loop with a new edge is left: every round refuses one
-    edge at least, so it ends, and no loop gets into the table."""
-    used = notes.where(F.col("category_id").isNotNull()).groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    ex = categories.select(F.col("id").alias("__cid"))
-    px = categories.select(F.col("id").alias("__pid"))
-    c = (changes.join(ex, F.col("target_id") == F.col("__cid"), "left")
-         .join(px, F.col("parent_id") == F.col("__pid"), "left")
-         .join(used, F.col("target_id") == F.col("category_id"), "left"))
-    first_reason = (F.when(F.col("__cid").isNull(), "not_found")
-                    .when((F.col("op") == "delete") & (F.coalesce("n", F.lit(0)) > 0), "in_use")
-                    .when((F.col("op") == "patch") & F.col("parent_id").isNotNull() & F.col("__pid").isNull(),
-                          "parent_not_found")
-                    .when((F.col("op") == "patch") & (F.col("target_id") == F.col("parent_id")), "loop"))
-    c = cut_lineage(c.select("seq", "op", "target_id", "name", "parent_id", first_reason.alias("reason")))
-    # the first accepted delete of a row hides it from later changes
-    deleted = (c.where(F.col("reason").isNull() & (F.col("op") == "delete"))
-               .groupBy("target_id").agg(F.min("seq").alias("seq")))
-    hidden = deleted.select(F.col("target_id").alias("__did"), F.col("seq").alias("__dseq"))
-    c = (c.join(hidden, F.col("target_id") == F.col("__did"), "left").withColumnRenamed("__dseq", "__own").drop("__did")
-         .join(hidden, F.col("parent_id") == F.col("__did"), "left"))
-    c = cut_lineage(c.select("seq", "op", "target_id", "name", "parent_id", F.coalesce(
-        "reason", F.when(F.col("__own") < F.col("seq"), "not_found")
-        .when((F.col("op") == "patch") & (F.col("__dseq") < F.col("seq")), "parent_not_found")).alias("reason")))
-    refused = c.where(F.col("reason").isNotNull()).select("seq", "reason")
-
-    def tree_with(refused_df):
-        ok = c.join(refused_df.select("seq"), "seq", "left_anti").where(F.col("op") == "patch")
-        last = ok.groupBy("target_id").agg(F.max(F.struct("seq", "name", "parent_id")).alias("p"))
-        j = categories.join(last, F.col("id") == F.col("target_id"), "left")
-        return j.select("id", F.coalesce(F.col("p.name"), F.col("name")).alias("name"),
-                        F.when(F.col("p").isNotNull(), F.col("p.parent_id")).otherwise(F.col("parent_id"))
-                        .alias("parent_id"), F.col("p.seq").alias("__edge_seq"))
-
-    n_cats = categories.count()
-    while True:
-        t = tree_with(refused)
-        loops = loop_ids(t.select("id", "parent_id"), n_cats)
-        in_loop = t.join(loops, F.col("id") == F.col("member")).where(F.col("__edge_seq").isNotNull())
-        latest = in_loop.groupBy("loop_id").agg(F.max("__edge_seq").alias("seq"))
-        if latest.isEmpty():
-            break
-        # the new refusals depend on the previous ones twice: cut the lineage per round
-        refused = cut_lineage(refused.unionByName(latest.select("seq", F.lit("loop").alias("reason"))))
-    t = tree_with(refused).drop("__edge_seq")
-    # no accepted edit of a row follows its delete
-    gone = deleted.select(F.col("target_id").alias("__gone"))
-    kept = t.join(gone, F.col("id") == F.col("__gone"), "left_anti")
-    kept = (kept.join(gone, F.col("parent_id") == F.col("__gone"), "left")
-            .select("id", "name", F.when(F.col("__gone").isNotNull(), F.lit(None).cast("bigint"))
-                    .otherwise(F.col("parent_id")).alias("parent_id")))
-    decisions = (c.select("seq", "op", "target_id").join(refused, "seq", "left")
-                 .select("seq", "op", "target_id", F.col("reason").isNull().alias("accepted"), "reason"))
-    return kept, decisions
-
-
 # Foreign-key actions -----------------------------------------------------
 def fk_actions(notes: DataFrame, categories: DataFrame, activity: DataFrame, invitations: DataFrame,
                removed_clients: DataFrame, removed_users: DataFrame, removed_categories: DataFrame) -> dict:
@@ -463,13 +352,3 @@ def admin_change_log(clients_before: DataFrame, client_changes: DataFrame, clien
                   F.when(F.col("op") == "name", F.col("new_value")).otherwise(F.col("__name")).alias("target_name"),
                   F.col("changed_at").alias("created_at")))
     return cl.unionByName(us)
-
-
-def category_change_log(categories_before: DataFrame, changes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """delete_category rows for accepted deletes (a category patch is not
-    logged by the tracker)."""
-    names = categories_before.select(F.col("id").alias("__id"), F.col("name").alias("target_name"))
-    acc = decisions.where(F.col("accepted") & (F.col("op") == "delete")).select("seq")
-    return (changes.join(acc, "seq", "left_semi").join(names, F.col("target_id") == F.col("__id"), "left")
-            .select("seq", F.lit(None).cast("bigint").alias("user_id"), F.lit("delete_category").alias("action"),
-                    F.lit("category").alias("target_type"), "target_id", "target_name"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketlake.functions.paging import paginate
-from ticketlake.operators import admin, changes, exports, lists, quality, reports, search, tree
+from ticketlake.operators import admin, category_edits, changes, exports, lists, quality, reports, search, tree
 from ticketlake.operators.filters import NoteQuery
 from ticketlake.sources.tables import load_tables
 from ticketlake.streaming import jobs
@@ -348,6 +348,16 @@ _VERSIONS: dict[tuple, dict] = {}
 _VERSIONS_LOCK = threading.Lock()
 
 
+def _once(spark, t, name: str, job: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The results of a change job, run once per table build and kept as tables."""
+    from ticketlake.plans.joins import cut_lineage
+    key = (spark.sparkContext.applicationId, t.path, name)
+    with _VERSIONS_LOCK:
+        if key not in _VERSIONS:
+            _VERSIONS[key] = {k: cut_lineage(df) for k, df in job().items()}
+    return _VERSIONS[key]
+
+
 def _changed(spark, sf_dir):
     """The note change job over the derived change set, run once per table
     build and written as a new version; the change queries read that version."""
@@ -447,6 +457,15 @@ def q_rate_windows(spark, sf_dir):
     return jobs.read_rate_windows(spark, paths, RATE_LIMIT_TEST)
 
 
+@register("rate_windows_anchored")
+def q_rate_windows_anchored(spark, sf_dir):
+    """The limiter's own windows of two requests or more, with both of its limits and a low one."""
+    from ticketlake.operators.rate import LIMITS
+    paths = jobs.new_paths(spark, "rate")
+    jobs.run_available_now(jobs.rate_windows_stream(spark, sf_dir, paths))
+    return jobs.read_anchored_windows(spark, paths, LIMITS | {"test": 2}, at_least=2)
+
+
 @register("trend_stream")
 def q_trend_stream(spark, sf_dir):
     paths = jobs.new_paths(spark, "trend")
@@ -515,35 +534,58 @@ def q_patch_users(spark, sf_dir):
     return admin.apply_user_changes(t.users, admin.user_changes_from_events(_events(spark, sf_dir)))[0]
 
 
+def _client_job(spark, sf_dir):
+    """The clients after the client requests, and the decisions, once per table build."""
+    t = _t(spark, sf_dir)
+
+    def job():
+        new, decisions = admin.apply_client_changes(t.clients, admin.client_changes_from_events(_events(spark, sf_dir)))
+        return {"clients": new, "decisions": decisions}
+    return t, _once(spark, t, "clients", job)
+
+
 @register("deactivate")
 def q_deactivate(spark, sf_dir):
     from pyspark.sql import functions as F
-    t = _t(spark, sf_dir)
-    ev = _events(spark, sf_dir)
-    u = admin.apply_user_changes(t.users, admin.user_changes_from_events(ev))[1]
-    c = admin.apply_client_changes(t.clients, admin.client_changes_from_events(ev))[1]
+    t, r = _client_job(spark, sf_dir)
+    u = admin.apply_user_changes(t.users, admin.user_changes_from_events(_events(spark, sf_dir)))[1]
     return (u.where(F.col("op") == "deactivate").select(F.lit("users").alias("table_name"), "*")
-            .unionByName(c.where(F.col("op") == "deactivate").select(F.lit("clients").alias("table_name"), "*")))
+            .unionByName(r["decisions"].where(F.col("op") == "deactivate").select(F.lit("clients").alias("table_name"), "*")))
 
 
 @register("upsert_clients")
 def q_upsert_clients(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return admin.apply_client_changes(t.clients, admin.client_changes_from_events(_events(spark, sf_dir)))[1]
+    return _client_job(spark, sf_dir)[1]["decisions"]
 
 
 @register("clients_after_changes")
 def q_clients_after_changes(spark, sf_dir):
+    return _client_job(spark, sf_dir)[1]["clients"]
+
+
+def _category_job(spark, sf_dir):
+    """Decisions of the category requests, once per table build."""
+    from ticketlake.sources.tables import raw
     t = _t(spark, sf_dir)
-    return admin.apply_client_changes(t.clients, admin.client_changes_from_events(_events(spark, sf_dir)))[0]
+    return t, _once(spark, t, "categories", lambda: {"decisions": category_edits.decided(
+        t.categories, t.notes, category_edits.requests_from_nation(raw(spark, sf_dir, "nation")))})["decisions"]
 
 
 @register("category_changes")
 def q_category_changes(spark, sf_dir):
-    from ticketlake.sources.tables import raw
-    t = _t(spark, sf_dir)
-    ch = admin.category_changes_from_nation(raw(spark, sf_dir, "nation"))
-    return admin.apply_category_changes(spark, t.categories, t.notes, ch)[1]
+    return _category_job(spark, sf_dir)[1].selectExpr("seq", "op", "target_id", "reason is null as accepted", "reason")
+
+
+@register("categories_after_changes")
+def q_categories_after_changes(spark, sf_dir):
+    t, d = _category_job(spark, sf_dir)
+    return category_edits.after(t.categories, d)
+
+
+@register("category_change_log")
+def q_category_change_log(spark, sf_dir):
+    t, d = _category_job(spark, sf_dir)
+    return category_edits.change_log(d, t.categories)
 
 
 def removed_sets(spark, sf_dir):
@@ -599,7 +641,7 @@ def q_admin_change_log(spark, sf_dir):
     t = _t(spark, sf_dir)
     ev = _events(spark, sf_dir)
     cch, uch = admin.client_changes_from_events(ev), admin.user_changes_from_events(ev)
-    _, cdec = admin.apply_client_changes(t.clients, cch)
+    cdec = _client_job(spark, sf_dir)[1]["decisions"]
     _, udec = admin.apply_user_changes(t.users, uch)
     return admin.admin_change_log(t.clients, cch, cdec, t.users, uch, udec)
 

@@ -3,19 +3,23 @@
 Sources are file streams over the driver's Parquet folder (one table picked
 by ``pathGlobFilter``); on a cluster any streaming source with the same
 columns works. No row is lost however late it comes, and none counts twice
-however often it is delivered: there is no watermark. Instead each job
-
-* keeps the offsets in a checkpoint under the shared ``spark.checkpoint.dir``;
-* writes every micro-batch in ``foreachBatch`` into its own ``batch=N`` folder
-  with overwrite, so a retried batch replaces itself;
-* keeps a log of the keys it has seen, partitioned by day: a batch's rows are
-  folded by key and anti-joined to the earlier batches' keys of the batch's
-  days (a redelivered row has the same time);
+however often it is delivered. Each job
+
+* keeps the offsets and the keys it has seen in a checkpoint under the shared
+  ``spark.checkpoint.dir``: ``dropDuplicates`` on the key, whose state Spark
+  splits by the key's hash and keeps in RocksDB stores (on executors' disks, so
+  it may outgrow memory; each batch adds its new keys to the changelog in the
+  checkpoint, from which a lost executor's part is rebuilt). A key that comes
+  again with another time is still the same key. With ``horizon`` the keys are
+  forgotten once the event time has gone on by it, which ends the state's growth
+  where redelivery is known to stop;
+* evaluates a batch once, in ``foreachBatch``, into a ``run=N-N`` folder with
+  overwrite, so a retried batch replaces itself, and goes on from that folder;
 * writes aggregates as per-batch differences, which readers add up by key, so
   a late row is one more difference;
-* folds the batch folders of a log into one (``upto=N``) every ``COMPACT``
-  batches; readers take the newest one that is complete and the batches
-  behind it.
+* folds ``COMPACT`` runs of equal width into one (``run=A-B``), ``COMPACT`` of
+  these into the next width and so on: a row is written again log(batches)
+  times. Runs that a wider one covers are removed a batch later.
 
 ``run_available_now`` drives a job over everything currently in the source;
 the ``read_*`` functions give the result as a batch DataFrame from storage.
@@ -32,11 +36,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlake.functions import expressions as E
+from ticketlake.operators.rate import anchored_windows
 from ticketlake.session import scratch_dir
 from ticketlake.sources.tables import activity_from_events, note_changes_from_events, raw
 
 COMPACT = 32
-SEEN = "key bigint, day date"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @dataclass
@@ -53,6 +62,18 @@ def new_paths(spark: SparkSession, name: str) -> StreamPaths:
     return StreamPaths(os.path.join(base, "checkpoint"), os.path.join(base, "output"))
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the state store's settings; the
+    given session's are left alone."""
+    own = spark.newSession()
+    for k in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        if (v := spark.conf.get(k, None)) is not None:
+            own.conf.set(k, v)
+    for k, v in STATE_CONF.items():
+        own.conf.set(k, v)
+    return own
+
+
 def table_stream(spark: SparkSession, src_dir: str, table: str, name_glob: str | None = None,
                  files: int = 1000) -> DataFrame:
     """A file stream over the files of one table in ``src_dir`` (file names
@@ -60,79 +81,76 @@ def table_stream(spark: SparkSession, src_dir: str, table: str, name_glob: str |
     from the Parquet footers (no data scan)."""
     glob = name_glob or f"{table}.parquet"
     schema = spark.read.option("pathGlobFilter", glob).parquet(src_dir).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (stream_session(spark).readStream.schema(schema).option("pathGlobFilter", glob)
             .option("maxFilesPerTrigger", files).parquet(src_dir))
 
 
-# Logs of per-batch folders ------------------------------------------------------
-def _parts(spark: SparkSession, log: str, before: int | None = None) -> tuple[list[str], int]:
-    """Folders that make up a log (up to batch ``before``, exclusive), and how
-    many of them are single batches."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(log)
+# Logs of runs -------------------------------------------------------------------
+def _folders(spark: SparkSession, log: str) -> tuple[list[tuple[int, int]], object]:
+    """The complete runs (first batch, last batch) of a log, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    top = path(log)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return [], 0
-    found: dict[str, list[int]] = {"batch": [], "upto": []}
-    for status in fs.listStatus(top):
-        m = re.fullmatch(r"(batch|upto)=(\d+)", status.getPath().getName())
-        if m and (before is None or int(m[2]) < before) and fs.exists(
-                spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found[m[1]].append(int(m[2]))
-    upto = max(found["upto"], default=-1)
-    batches = sorted(n for n in found["batch"] if n > upto)
-    return [*([f"{log}/upto={upto}"] if upto >= 0 else []), *(f"{log}/batch={n}" for n in batches)], len(batches)
-
-
-def read_log(spark: SparkSession, log: str, schema, before: int | None = None) -> DataFrame:
-    # each folder is read on its own: the seen log is partitioned by day below it
-    folders, _ = _parts(spark, log, before)
-    out = spark.createDataFrame([], schema)
-    for f in folders:
-        out = out.unionByName(spark.read.schema(out.schema).option("basePath", f).parquet(f))
+    found = []
+    for status in fs.listStatus(top) if fs.exists(top) else ():
+        m = re.fullmatch(r"run=(\d+)-(\d+)", status.getPath().getName())
+        if m and fs.exists(path(status.getPath(), "_SUCCESS")):
+            found.append((int(m[1]), int(m[2])))
+    return found, fs
+
+
+def _covering(runs: list[tuple[int, int]], before: int | None = None) -> list[tuple[int, int]]:
+    """The widest runs up to batch ``before`` (exclusive), none inside another."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((r for r in runs if before is None or r[1] < before), key=lambda r: (r[0], -r[1])):
+        if not out or hi > out[-1][1]:
+            out.append((lo, hi))
     return out
 
 
-def write_log(df: DataFrame, log: str, batch_id: int, fold: Callable[[DataFrame], DataFrame],
-              by: str | None = None) -> None:
-    """A batch's rows, and every COMPACT batches all rows so far, folded."""
-    def write(rows: DataFrame, folder: str) -> None:
-        w = rows.write.mode("overwrite")
-        (w.partitionBy(by) if by else w).parquet(folder)
+def read_log(spark: SparkSession, log: str, schema, before: int | None = None, since: int = 0) -> DataFrame:
+    runs = [r for r in _covering(_folders(spark, log)[0], before) if r[0] >= since]
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{log}/run={lo}-{hi}" for lo, hi in runs))
+
 
+def write_log(df: DataFrame, log: str, batch_id: int, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Write a batch's rows and give them as read back. At batches COMPACT**k
+    (counted from 1) the runs of the last COMPACT**k batches become one, folded."""
     spark = df.sparkSession
-    write(df, f"{log}/batch={batch_id}")
-    if _parts(spark, log, batch_id + 1)[1] >= COMPACT:
-        write(fold(read_log(spark, log, df.schema, batch_id + 1)), f"{log}/upto={batch_id}")
+    runs, fs = _folders(spark, log)
+    covering = _covering(runs, batch_id)
+    for lo, hi in runs:  # covered before this batch began: no reader of this batch uses it
+        if hi < batch_id and (lo, hi) not in covering:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{log}/run={lo}-{hi}"), True)
+    df.write.mode("overwrite").parquet(f"{log}/run={batch_id}-{batch_id}")
+    width = 1
+    while (batch_id + 1) % (width * COMPACT) == 0:
+        width *= COMPACT
+    if width > 1:
+        first = batch_id + 1 - width
+        # a retried batch may find the wide run of its first try: the single runs are read
+        rows = read_log(spark, log, df.schema, batch_id, since=first) \
+            .unionByName(spark.read.schema(df.schema).parquet(f"{log}/run={batch_id}-{batch_id}"))
+        fold(rows).write.mode("overwrite").parquet(f"{log}/run={first}-{batch_id}")
+    return spark.read.schema(df.schema).parquet(f"{log}/run={batch_id}-{batch_id}")
 
 
 def added(keys: list[str], values: list[str]) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.groupBy(*keys).agg(*(F.sum(v).cast("bigint").alias(v) for v in values))
 
 
-def fresh(batch: DataFrame, paths: StreamPaths, batch_id: int, key: str, at: Column) -> DataFrame:
-    """The batch's rows whose key no earlier batch had, one per key."""
-    spark = batch.sparkSession
-    rows = batch.dropDuplicates([key])
-    days = rows.agg(F.min(F.to_date(at)).alias("lo"), F.max(F.to_date(at)).alias("hi")).first()
-    seen = read_log(spark, paths.log("seen"), SEEN, batch_id)
-    if days.lo is not None:  # rows without a time stand under a null day
-        seen = seen.where(F.col("day").isNull() | F.col("day").between(F.lit(days.lo), F.lit(days.hi)))
-    return rows.join(seen.select(F.col("key").alias(key)), key, "left_anti")
-
-
-def _run(stream: DataFrame, paths: StreamPaths, key: str, at: Column,
-         each: Callable[[DataFrame, int], None]):
-    """Start the stream: ``each`` gets a batch's fresh rows and its number."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = fresh(batch, paths, batch_id, key, at).persist()
-        try:
-            each(rows, batch_id)
-            write_log(rows.select(F.col(key).cast("bigint").alias("key"), F.to_date(at).alias("day")),
-                      paths.log("seen"), batch_id, lambda df: df, by="day")
-        finally:
-            rows.unpersist()
-
-    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", paths.checkpoint)
+def _run(stream: DataFrame, paths: StreamPaths, key: str, at: Column, each: Callable[[DataFrame, int], None],
+         horizon: str | None = None):
+    """Start the stream: ``each`` gets the rows of a batch whose key no earlier
+    row had, and the batch's number. It evaluates them once."""
+    if horizon:
+        fresh = (stream.withColumn("__at", E.utc_instant(at.cast("timestamp_ntz"))).withWatermark("__at", horizon)
+                 .dropDuplicatesWithinWatermark([key]).drop("__at"))
+    else:
+        fresh = stream.dropDuplicates([key])
+    return (fresh.writeStream.foreachBatch(each).option("checkpointLocation", paths.checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -143,8 +161,12 @@ def run_available_now(query) -> None:
 
 
 # ST1 --------------------------------------------------------------------------
+FEED = ("id bigint, user_id bigint, action string, target_type string, target_id bigint, meta string, "
+        "created_at timestamp_ntz, user_name string, user_role string")
+
+
 def activity_stream(spark: SparkSession, src_dir: str, users: DataFrame, paths: StreamPaths,
-                    name_glob: str | None = None, files: int = 1000):
+                    name_glob: str | None = None, files: int = 1000, horizon: str | None = None):
     """Append-only activity feed enriched with the user, each id once."""
     u = users.select(F.col("id").alias("__uid"), F.col("name").alias("user_name"), F.col("role").alias("user_role"))
 
@@ -153,12 +175,11 @@ def activity_stream(spark: SparkSession, src_dir: str, users: DataFrame, paths:
         write_log(out, paths.log("rows"), batch_id, lambda df: df)
 
     return _run(activity_from_events(table_stream(spark, src_dir, "events", name_glob, files)),
-                paths, "id", F.col("created_at"), each)
+                paths, "id", F.col("created_at"), each, horizon)
 
 
 def read_activity(spark, paths: StreamPaths) -> DataFrame:
-    folders, _ = _parts(spark, paths.log("rows"))
-    return spark.read.parquet(*folders)
+    return read_log(spark, paths.log("rows"), FEED)
 
 
 # ST2 --------------------------------------------------------------------------
@@ -173,7 +194,7 @@ def _note_states(df: DataFrame) -> DataFrame:
 
 
 def counts_stream(spark: SparkSession, src_dir: str, notes: DataFrame, clients: DataFrame, paths: StreamPaths,
-                  raw_dir: str | None = None, name_glob: str | None = None, files: int = 1000):
+                  raw_dir: str | None = None, name_glob: str | None = None, files: int = 1000, horizon: str | None = None):
     """Running notes_count differences per client from the change stream. A
     log per note holds its first insert (with a title, for an existing
     client, no note of the snapshot) and its last delete; a batch adds the
@@ -188,31 +209,27 @@ def counts_stream(spark: SparkSession, src_dir: str, notes: DataFrame, clients:
         return there & ~F.coalesce(gone, F.lit(False))
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        ch = note_changes_from_events(spark, rows, raw_dir or src_dir)
-        ins = (ch.where((F.col("op") == "insert") & E.not_blank(F.col("title"))).join(cl, "client_id", "left_semi")
-               .select("note_id", "client_id", F.col("seq").alias("ins_seq"), F.lit(None).cast("bigint").alias("del_seq")))
-        dels = (ch.where(F.col("op") == "delete")
-                .select("note_id", F.lit(None).cast("bigint").alias("client_id"),
-                        F.lit(None).cast("bigint").alias("ins_seq"), F.col("seq").alias("del_seq")))
-        now = _note_states(ins.unionByName(dels)).persist()
-        try:
-            earlier = read_log(spark, paths.log("notes"), NOTE_LOG, batch_id).join(now.select("note_id"), "note_id", "left_semi")
-            before = _note_states(earlier).select("note_id", F.col("client_id").alias("c0"), F.col("ins_seq").alias("i0"),
-                                                  F.col("del_seq").alias("d0"))
-            after = _note_states(earlier.unionByName(now))
-            j = after.join(before, "note_id", "left").join(known, "note_id", "left")
-            diff = (j.select(F.coalesce("__snap", "client_id").alias("client_id"),
-                             alive("ins_seq", "del_seq").cast("bigint").alias("delta"))
-                    .unionByName(j.select(F.coalesce("__snap", "c0").alias("client_id"),
-                                          (-alive("i0", "d0").cast("bigint")).alias("delta"))))
-            write_log(diff.where("delta != 0 and client_id is not null").groupBy("client_id")
-                      .agg(F.sum("delta").cast("bigint").alias("delta")),
-                      paths.log("counts"), batch_id, added(["client_id"], ["delta"]))
-            write_log(now, paths.log("notes"), batch_id, _note_states)
-        finally:
-            now.unpersist()
-
-    return _run(table_stream(spark, src_dir, "events", name_glob, files), paths, "event_id", F.col("ts"), each)
+        ch = note_changes_from_events(spark, rows, raw_dir or src_dir).where(
+            (F.col("op") == "delete") | ((F.col("op") == "insert") & E.not_blank(F.col("title"))))
+        insert = F.col("op") == "insert"
+        here = ch.join(cl.withColumn("__client", F.lit(True)), "client_id", "left").where(~insert | F.col("__client"))
+        now = write_log(_note_states(here.select(
+            "note_id", F.when(insert, F.col("client_id")).alias("client_id"), F.when(insert, F.col("seq")).alias("ins_seq"),
+            F.when(~insert, F.col("seq")).alias("del_seq"))), paths.log("notes"), batch_id, _note_states)
+        earlier = read_log(spark, paths.log("notes"), NOTE_LOG, batch_id).join(now.select("note_id"), "note_id", "left_semi")
+        before = _note_states(earlier).select("note_id", F.col("client_id").alias("c0"), F.col("ins_seq").alias("i0"),
+                                              F.col("del_seq").alias("d0"))
+        after = _note_states(earlier.unionByName(now))
+        j = after.join(before, "note_id", "left").join(known, "note_id", "left")
+        diff = (j.select(F.coalesce("__snap", "client_id").alias("client_id"),
+                         alive("ins_seq", "del_seq").cast("bigint").alias("delta"))
+                .unionByName(j.select(F.coalesce("__snap", "c0").alias("client_id"),
+                                      (-alive("i0", "d0").cast("bigint")).alias("delta"))))
+        write_log(diff.where("delta != 0 and client_id is not null").groupBy("client_id")
+                  .agg(F.sum("delta").cast("bigint").alias("delta")),
+                  paths.log("counts"), batch_id, added(["client_id"], ["delta"]))
+
+    return _run(table_stream(spark, src_dir, "events", name_glob, files), paths, "event_id", F.col("ts"), each, horizon)
 
 
 def read_counts(spark, paths: StreamPaths, notes: DataFrame, clients: DataFrame) -> DataFrame:
@@ -231,17 +248,22 @@ RATE_KEYS = ["user_id", "window_start", "window_end"]
 
 
 def rate_windows_stream(spark: SparkSession, src_dir: str, paths: StreamPaths,
-                        window: str = "15 minutes", name_glob: str | None = None, files: int = 1000):
-    """Requests per user per epoch-aligned tumbling window."""
+                        window: str = "15 minutes", name_glob: str | None = None, files: int = 1000,
+                        horizon: str | None = None):
+    """Requests per user per epoch-aligned tumbling window, and the requests
+    themselves for windows that start at a request (``read_anchored_windows``)."""
     def each(rows: DataFrame, batch_id: int) -> None:
-        t = E.utc_instant(F.col("ts").cast("timestamp_ntz"))
-        out = (rows.groupBy(F.window(t, window).alias("w"), F.col("user_id").cast("bigint").alias("user_id"))
-               .agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
+        rows = write_log(rows.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+                         .groupBy("user_id", "ts").agg(F.count(F.lit(1)).cast("bigint").alias("requests")),
+                         paths.log("requests"), batch_id, added(["user_id", "ts"], ["requests"]))
+        t = E.utc_instant(F.col("ts"))
+        out = (rows.groupBy(F.window(t, window).alias("w"), "user_id")
+               .agg(F.sum("requests").cast("bigint").alias("requests"))
                .select("user_id", E.utc_wall_clock(F.col("w.start")).alias("window_start"),
                        E.utc_wall_clock(F.col("w.end")).alias("window_end"), "requests"))
         write_log(out, paths.log("windows"), batch_id, added(RATE_KEYS, ["requests"]))
 
-    return _run(table_stream(spark, src_dir, "events", name_glob, files), paths, "event_id", F.col("ts"), each)
+    return _run(table_stream(spark, src_dir, "events", name_glob, files), paths, "event_id", F.col("ts"), each, horizon)
 
 
 def read_windows(spark, paths: StreamPaths) -> DataFrame:
@@ -254,13 +276,24 @@ def read_rate_windows(spark, paths: StreamPaths, max_requests: int) -> DataFrame
             .select("user_id", "window_start", "window_end", "requests"))
 
 
+REQUESTS = "user_id bigint, ts timestamp_ntz, requests bigint"
+
+
+def read_anchored_windows(spark, paths: StreamPaths, limits: dict[str, int], at_least: int = 1) -> DataFrame:
+    """Windows as the tracker's limiter counts them: a user's first request opens
+    one, and so does the first request at or after its end."""
+    requests = added(["user_id", "ts"], ["requests"])(read_log(spark, paths.log("requests"), REQUESTS))
+    return anchored_windows(requests, limits).where(F.col("requests") >= at_least)
+
+
 # ST4 --------------------------------------------------------------------------
 TREND = "period timestamp_ntz, total bigint, resolved bigint, open bigint"
 TREND_VALUES = ["total", "resolved", "open"]
 
 
 def trend_stream(spark: SparkSession, src_dir: str, paths: StreamPaths, as_of: str, months: int = 6,
-                 period: str = "weekly", raw_dir: str | None = None, name_glob: str | None = None, files: int = 1000):
+                 period: str = "weekly", raw_dir: str | None = None, name_glob: str | None = None, files: int = 1000,
+                 horizon: str | None = None):
     """A6 trend as a stream over new orders (a note per order with a
     customer): total / resolved / open per week or calendar month."""
     # a note exists for an order whose customer (and the customer's nation) exists
@@ -279,7 +312,7 @@ def trend_stream(spark: SparkSession, src_dir: str, paths: StreamPaths, as_of: s
                     F.count_if(F.col("o_orderstatus") == "O").cast("bigint").alias("open")))
         write_log(out, paths.log("trend"), batch_id, added(["period"], TREND_VALUES))
 
-    return _run(table_stream(spark, src_dir, "orders", name_glob, files), paths, "o_orderkey", created, each)
+    return _run(table_stream(spark, src_dir, "orders", name_glob, files), paths, "o_orderkey", created, each, horizon)
 
 
 def read_trend(spark, paths: StreamPaths) -> DataFrame:
