@@ -243,14 +243,14 @@ def test_op11_trees_blocks_and_flushes(spark, monkeypatch):
 def test_op11_small_bounds(monkeypatch):
     texts = odd_texts(100, 6)
     p = pairs.Pair(BYTES, PIECES)
-    whole = [np.sort(p.key[pairs.ragged(p.start[u], p.size[u])]) for t in texts for u, _, _ in [p.aligned([t])]]
+    whole = [np.sort(p.keys[p.pair[pairs.ragged(p.start[u], p.size[u])]]) for t in texts for u, _, _ in [p.aligned([t])]]
     monkeypatch.setattr(pairs, "WIDE", 3)
     monkeypatch.setattr(pairs, "MEMO", 2)
     p = pairs.Pair(BYTES, PIECES)
     for t, w in zip(texts, whole):
         u, _, _ = p.aligned([t])
-        assert np.array_equal(np.sort(p.key[pairs.ragged(p.start[u], p.size[u])]), w)
-    assert len(p.text) < 60
+        assert np.array_equal(np.sort(p.keys[p.pair[pairs.ragged(p.start[u], p.size[u])]]), w)
+    assert len(p.at) < 60
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 100_000])

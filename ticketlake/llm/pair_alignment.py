@@ -40,6 +40,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from ticketlake.llm import common as C
 from ticketlake.llm.units import SPLIT, parts
 
 SHARDS, FAN, GAMMA, LEVELS = 64, 32, 2.0, 40
-MEMO, FLUSH, WIDE, SLICE = 300_000, 1_000_000, 1 << 20, 2 << 20
+MEMO, FLUSH, WIDE, SLICE = 600_000, 1_000_000, 1 << 20, 2 << 20
 BLOCK = 96 << 20
 PARTIAL = "shard int, part long, keys binary, counts binary"
 KEYS = "shard int, part long, keys binary"
@@ -133,6 +134,43 @@ def verified(table: PerfectHash, own: np.ndarray, keys: np.ndarray) -> np.ndarra
     return at
 
 
+class Spans:
+    """Byte strings one after another."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray):
+        self.data, self.size = data, size
+        self.start = np.cumsum(size) - size
+
+    @classmethod
+    def of(cls, parts_: list[bytes]) -> "Spans":
+        return cls(np.frombuffer(b"".join(parts_), np.uint8), np.fromiter(map(len, parts_), np.int64, len(parts_)))
+
+    def join(self, at: np.ndarray) -> np.ndarray:
+        return self.data[ragged(self.start[at], self.size[at])]
+
+    def more(self, data: np.ndarray, size: np.ndarray) -> "Spans":
+        return Spans(np.concatenate([self.data, data]), np.concatenate([self.size, size]))
+
+
+def flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
+
+def distinct_values(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's place among them."""
+    order = np.argsort(x, kind="stable")
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return x[order[new]], which
+
+
+def distinct_only(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 # ---- alignment of units ---------------------------------------------------
 
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -157,8 +195,10 @@ class Pair:
             p = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode())
         self.width = len(self.b_bytes)
-        self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_raw, self.b_raw = Spans.of(self.a_bytes), Spans.of(self.b_bytes)
+        top = max(len(self.a_bytes), self.width)
+        self.said = Spans.of([b"%d" % i + end for end in (b",", b"|", b";") for i in range(top)])
+        self.top = top
         self.mark = self.b.piece_to_id("▁")
         self.clear()
 
@@ -176,12 +216,14 @@ class Pair:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.text: list[str] = []        # groups as decimal ids
         self.sums = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links; n_a is -1 if the bytes differ
+        self.text = Spans.of([])                # groups as decimal ids, each with ``;`` behind
         self.start = np.zeros(0, np.int64)      # a unit's distinct pairs, and in how many links each stands
         self.size = np.zeros(0, np.int64)
-        self.key = np.zeros(0, np.int64)
+        self.pair = np.zeros(0, np.int64)       # by their places in ``keys``
         self.links = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.int64)
+        self.known: tuple[np.ndarray, np.ndarray] = (self.keys, self.keys)  # keys in order, and their places
 
     def which(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all texts' units one after another, and each text's number
@@ -202,9 +244,8 @@ class Pair:
 
     def numbered(self, found: list) -> Iterator[np.ndarray]:
         """Lists of units as arrays of their numbers (arrays stay)."""
-        lists = [x for x in found if isinstance(x, list)]
         new, size = [], 0
-        for u in dict.fromkeys(u for x in lists for u in x if u not in self.at):
+        for u in set().union(*(x for x in found if isinstance(x, list))).difference(self.at):
             new.append(u)
             size += len(u)
             if size > WIDE:
@@ -217,49 +258,92 @@ class Pair:
 
     def add(self, units: list[str]) -> None:
         """Align new units."""
-        raw = [(" " + u).encode() for u in units]
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        spaced = [" " + u for u in units]
+        a_ids = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b_ids = self.b.encode(units, num_threads=1)
         for i, u in enumerate(units):
             if not u:
                 b_ids[i] = [self.mark]  # a lone space, which the library has for empty texts only
-        good = [b"".join([self.a_bytes[x] for x in p]) == r == b"".join([self.b_bytes[x] for x in q])
-                for p, q, r in zip(a_ids, b_ids, raw)]
-        self.at.update(zip(units, range(len(self.text), len(self.text) + len(units))))
+        raw = Spans.of([u.encode() for u in spaced])
+        good = self.same(raw, a_ids, self.a_raw) & self.same(raw, b_ids, self.b_raw)
+        base = len(self.at)
+        self.at.update(zip(units, range(base, base + len(units))))
         ok = np.flatnonzero(good)
+        if len(ok) < len(units):
+            a_ids, b_ids = [a_ids[i] for i in ok], [b_ids[i] for i in ok]
         sums = np.full((len(units), 4), -1, np.int64)
-        text = [""] * len(units)
-        size = np.zeros(len(units), np.int64)
+        size, text = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         keys = links = np.zeros(0, np.int64)
+        said = np.zeros(0, np.uint8)
         if len(ok):
-            a_ids, b_ids = [a_ids[i] for i in ok], [b_ids[i] for i in ok]
-            a, b = (np.array([x for p in q for x in p], np.int64) for q in (a_ids, b_ids))
-            a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            a, b = flat(a_ids), flat(b_ids)
+            a_end, b_end = np.cumsum(self.a_raw.size[a]), np.cumsum(self.b_raw.size[b])
             common = np.intersect1d(a_end, b_end, assume_unique=True)
             a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-            unit = np.searchsorted(np.cumsum([len(raw[i]) for i in ok]), common)
+            unit = np.searchsorted(np.cumsum(raw.size[ok]), common)
             na, nb = np.bincount(a_group, minlength=len(common)), np.bincount(b_group, minlength=len(common))
-            per = [np.bincount(unit, minlength=len(ok))]
-            first = np.cumsum(per[0]) - per[0]
-            sums[ok] = np.stack([np.add.reduceat(na, first), np.add.reduceat(nb, first), per[0],
+            groups = np.bincount(unit, minlength=len(ok))
+            first = np.cumsum(groups) - groups
+            sums[ok] = np.stack([np.add.reduceat(na, first), np.add.reduceat(nb, first), groups,
                                  np.add.reduceat(na * nb, first)], 1)
-            said = spelled(a, np.cumsum(na)), spelled(b, np.cumsum(nb))
-            groups = [f"{x}|{y}" for x, y in zip(*said)]
-            for i, f, n in zip(ok.tolist(), first.tolist(), per[0].tolist()):
-                text[i] = ";".join(groups[f:f + n])
+            said, width = self.spelled(a, na, b, nb)
+            text[ok] = np.add.reduceat(width, first)
             of, keys, links = self.distinct(a, a_group, b, b_group, unit)
             size[ok] = np.bincount(of, minlength=len(ok))
-        self.start = np.concatenate([self.start, len(self.key) + np.cumsum(size) - size])
+        self.start = np.concatenate([self.start, len(self.pair) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.key, self.links = np.concatenate([self.key, keys]), np.concatenate([self.links, links])
+        self.pair, self.links = np.concatenate([self.pair, self.placed(keys)]), np.concatenate([self.links, links])
         self.sums = np.concatenate([self.sums, sums])
-        self.text += text
+        self.text = self.text.more(said, text)
+
+    @staticmethod
+    def same(raw: "Spans", ids: list[list[int]], spans: "Spans") -> np.ndarray:
+        """Whether the tokens' bytes are the unit's, per unit."""
+        of = flat(ids)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        upto = np.concatenate(([0], np.cumsum(spans.size[of])))
+        ends = upto[np.cumsum(count)]
+        size = np.diff(np.concatenate(([0], ends)))
+        own = spans.join(of)
+        if len(own) == len(raw.data) and np.array_equal(size, raw.size) and np.array_equal(own, raw.data):
+            return np.ones(len(ids), bool)
+        return np.array([s == n and np.array_equal(own[e - s:e], raw.data[r:r + n])
+                         for e, s, r, n in zip(ends, size, raw.start, raw.size)], bool)
+
+    def spelled(self, a, na, b, nb) -> tuple[np.ndarray, np.ndarray]:
+        """The groups as text, one after another, and the length of each."""
+        n = na + nb
+        first = np.cumsum(n) - n
+        tokens = np.empty(len(a) + len(b), np.int64)
+        at = np.repeat(first - (np.cumsum(na) - na), na) + np.arange(len(a))
+        tokens[at] = a
+        at = np.repeat(first + na - (np.cumsum(nb) - nb), nb) + np.arange(len(b))
+        tokens[at] = b
+        tokens[first + na - 1] += self.top
+        tokens[first + n - 1] += 2 * self.top
+        return self.said.join(tokens), np.add.reduceat(self.said.size[tokens], first)
+
+    def placed(self, keys: np.ndarray) -> np.ndarray:
+        """The places of pair keys in ``keys``, new ones behind the others."""
+        order, places = self.known
+        found, which = distinct_values(keys)
+        at = np.minimum(np.searchsorted(order, found), max(0, len(order) - 1))
+        old = order[at] == found if len(order) else np.zeros(len(found), bool)
+        place = np.empty(len(found), np.int64)
+        place[old] = places[at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            place[new] = len(self.keys) + np.arange(len(new))
+            self.keys = np.concatenate([self.keys, found[new]])
+            places = np.argsort(self.keys, kind="stable")
+            self.known = self.keys[places], places
+        return place[which]
 
     def distinct(self, a, a_group, b, b_group, unit):
         """(unit, pair key, links) of the distinct pairs of each unit, sorted."""
         space = len(self.a_bytes) * self.width
-        ag, an = np.unique(a_group * len(self.a_bytes) + a, return_counts=True)
-        bg, bn = np.unique(b_group * self.width + b, return_counts=True)
+        ag, an = summed(a_group * len(self.a_bytes) + a, np.ones(len(a), np.int64))
+        bg, bn = summed(b_group * self.width + b, np.ones(len(b), np.int64))
         group, a = np.divmod(ag, len(self.a_bytes))
         b_of, b = np.divmod(bg, self.width)
         n = np.bincount(b_of, minlength=len(unit))
@@ -284,14 +368,6 @@ class Pair:
         return u[keep], doc[keep], good
 
 
-def spelled(ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
-    """The decimal ids of each stretch, joined by commas."""
-    said, at = list(map(str, ids.tolist())), 0
-    for end in ends.tolist():
-        yield ",".join(said[at:end]) if end - at > 1 else said[at]
-        at = end
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -336,12 +412,12 @@ def partial_counts(docs: DataFrame, byte_level: str, piece_model: str) -> DataFr
         held, size = [], 0
         for b in C.slices(batches, "text", SLICE):
             u, doc, _ = p.aligned(C.strings(b, "text"))
-            n = max(1, len(p.text))
-            doc, u = np.divmod(np.unique(doc * n + u), n)
-            keys, which = np.unique(p.key[ragged(p.start[u], p.size[u])], return_inverse=True)
-            doc = np.repeat(doc, p.size[u])
-            n = max(1, len(keys))
-            held.append((keys, np.bincount(np.unique(doc * n + which) % n, minlength=len(keys))))
+            n = len(p.keys)
+            pair_of = distinct_only(np.repeat(doc, p.size[u]) * n + p.pair[ragged(p.start[u], p.size[u])]) % max(1, n)
+            count = np.bincount(pair_of, minlength=n)
+            there = np.flatnonzero(count)
+            keys = p.keys[there]
+            held.append((keys, count[there]))
             size += len(keys)
             if size > 2 * FLUSH:
                 held = [summed(*(np.concatenate(x) for x in zip(*held)))]
@@ -471,11 +547,11 @@ class Found:
             self.of, self.known = p.at, np.zeros((0, 2), np.int64)
         if len(self.known) < len(p.start):
             self.known = np.concatenate([self.known, np.full((len(p.start) - len(self.known), 2), -1, np.int64)])
-        new = np.unique(units[self.known[units, 0] < 0])
+        new = distinct_only(units[self.known[units, 0] < 0])
         if len(new):
             size = p.size[new]
             at = ragged(p.start[new], size)
-            keys, links = p.key[at], p.links[at]
+            keys, links = p.keys[p.pair[at]], p.links[at]
             got = np.zeros((len(keys), 2), np.int64)
             shard = shard_of(keys, p.width)
             order = np.argsort(shard, kind="stable")
@@ -532,12 +608,13 @@ def alignment(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
     return rows
 
 
-def digest(p: Pair, units: np.ndarray, step: int = 1 << 16) -> str:
+def digest(p: Pair, units: np.ndarray, step: int = 1 << 18) -> str:
     if not len(units):
         return ""
     out = hashlib.sha256()
     for i in range(0, len(units), step):
-        out.update((";" * (i > 0) + ";".join(map(p.text.__getitem__, units[i:i + step].tolist()))).encode())
+        said = p.text.join(units[i:i + step])
+        out.update(said if i + step < len(units) else said[:-1])
     return out.hexdigest()
 
 
