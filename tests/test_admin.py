@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from ticketlake.operators import admin, category_edits
 
 CATS = "id long, name string, parent_id long"
@@ -54,14 +56,16 @@ def _category_job(spark, cats, used, requests):
             {r.seq: r.target_name for r in category_edits.change_log(d, base).collect()})
 
 
-def test_category_requests_equal_one_by_one(spark):
-    for seed in range(4):
+@pytest.mark.parametrize("few", [category_edits.FEW, 0])
+def test_category_requests_equal_one_by_one(spark, monkeypatch, few):
+    monkeypatch.setattr(category_edits, "FEW", few)
+    for seed in range(6 if few else 1):
         rng = random.Random(seed)
         n = 8
         cats = [(i, f"c{i}", None if i < 3 else rng.randrange(i)) for i in range(n)]
         requests = [(s, rng.choice(["patch"] * 12 + ["insert", "insert", "delete"]), rng.randrange(n + 3),
                      rng.choice([None, "n", f"name{s}", f"name{s}", " "] if s % 5 == 0 else [f"name{s}"]),
-                     rng.choice([None, *range(n + 4)])) for s in range(45)]
+                     rng.choice([None, *range(n + 4)])) for s in range(45 if few else 12)]
         reasons, tree, log = _category_job(spark, cats, [2], requests)
         assert (reasons, tree) == _one_by_one(cats, [2], requests), seed
         assert "loop" in reasons.values() and len(log) > 0
@@ -74,8 +78,10 @@ def test_category_patch_is_refused_by_the_tree_of_its_time(spark):
     assert got == {1: None, 2: "loop", 3: None} and tree[2] == ("b", None)
 
 
-def test_category_walks_jump_over_untouched_chains(spark):
+@pytest.mark.parametrize("few", [category_edits.FEW, 0])
+def test_category_walks_jump_over_untouched_chains(spark, monkeypatch, few):
     """A chain of 600 untouched categories, a loop of untouched ones, a touched chain of 12."""
+    monkeypatch.setattr(category_edits, "FEW", few)
     cats = [(i, "c", i - 1 if i else None) for i in range(600)] + [(900, "l", 901), (901, "l", 900)]
     cats += [(1000 + i, "t", 1000 + i - 1 if i else None) for i in range(12)]
     requests = [(i + 1, "patch", 1000 + i, f"t{i}", 1000 + i - 1 if i else None) for i in range(12)]

@@ -15,6 +15,11 @@ depends on earlier ones only, so every round is right for one more undecided
 request at least, in every tree at once, and a round that changes nothing has
 the one-by-one result. Only patches whose category is somebody's parent in the
 table or in a request can close a loop; no other one walks.
+
+A job's overhead outweighs a round's work when there are few requests: up to
+``FEW`` (requests x touched categories, counted) they are folded one after the
+other by one ``aggregate`` expression over their array, with the touched
+categories' parents in a map. Both ways give the same.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from ticketlake.operators.reports import notes_per_category
 from ticketlake.plans.joins import cut_lineage
 from ticketlake.plans.prefix import as_of
 
-LEVELS = 3  # levels of the walks per job
+FEW = 4_000_000  # up to so many (requests + walking patches) x touched categories are folded in one row
 FIRST = -1  # the seq of everything that was there before the requests
 REQUEST = "seq bigint, op string, target_id bigint, name string, parent_id bigint, actor_id bigint, changed_at timestamp_ntz"
 
@@ -101,15 +106,14 @@ def meeting(asks: DataFrame, versions: DataFrame) -> DataFrame:
                        F.lit(0).cast("bigint").alias("steps"))
     found = None
     while True:
-        for _ in range(LEVELS):
-            arrived = F.coalesce(F.col("round") | (F.col("node") == F.col("goal")), F.lit(False))
-            walk = as_of(walk, versions, "node", "seq", "v", "v")
-            power = F.expr("(steps & (steps + 1)) = 0")
-            walk = walk.select(
-                "seq", "goal",
-                F.when(arrived, F.col("goal")).otherwise(F.col("v.to")).alias("node"),
-                (arrived | F.coalesce(F.col("v.round") | (F.col("v.to") == F.col("mark")), F.lit(False))).alias("round"),
-                F.when(power, F.col("v.to")).otherwise(F.col("mark")).alias("mark"), (F.col("steps") + 1).alias("steps"))
+        arrived = F.coalesce(F.col("round") | (F.col("node") == F.col("goal")), F.lit(False))
+        walk = as_of(walk, versions, "node", "seq", "v", "v")
+        power = F.expr("(steps & (steps + 1)) = 0")
+        walk = walk.select(
+            "seq", "goal",
+            F.when(arrived, F.col("goal")).otherwise(F.col("v.to")).alias("node"),
+            (arrived | F.coalesce(F.col("v.round") | (F.col("v.to") == F.col("mark")), F.lit(False))).alias("round"),
+            F.when(power, F.col("v.to")).otherwise(F.col("mark")).alias("mark"), (F.col("steps") + 1).alias("steps"))
         walk = cut_lineage(walk)
         hit = walk.where(F.col("round") | (F.col("node") == F.col("goal"))).select("seq")
         found = hit if found is None else found.unionByName(hit)
@@ -132,16 +136,73 @@ def decided(categories: DataFrame, notes: DataFrame, requests: DataFrame) -> Dat
         *requests.columns,
         F.when(blank, "blank_name").when(patch & own, "loop").when(delete & F.col("__used"), "in_use").alias("first"),
         (patch & given & ~own & F.coalesce("__mother", F.lit(False))).alias("walks")))
-    touched = cut_lineage(c.select(F.col("target_id").alias("id")).distinct())
+    touched = c.select(F.col("target_id").alias("id")).distinct()
+    work = c.agg((F.count("seq") + F.count_if("walks")) * F.count_distinct("target_id")).first()[0]
     hop = cut_lineage(hops(categories, touched))
-    old = cut_lineage(over(categories.join(touched, "id", "left_semi").select(
-        F.col("id").alias("node"), F.lit(FIRST).cast("bigint").alias("start"), F.col("parent_id").alias("to")), "to", hop))
-    asks = cut_lineage(over(c.where("walks").select("seq", F.col("target_id").alias("goal"), F.col("parent_id").alias("node")),
-                            "node", hop))
-    edges = cut_lineage(over(c.select(F.col("target_id").alias("node"), F.col("seq").alias("start"), F.when(
-        ~delete, F.col("parent_id")).alias("to")), "to", hop))
+    old = over(categories.join(touched, "id", "left_semi").select(
+        F.col("id").alias("node"), F.lit(FIRST).cast("bigint").alias("start"), F.col("parent_id").alias("to")), "to", hop)
+    edges = over(c.select("seq", F.col("target_id").alias("node"), F.when(~delete, F.col("parent_id")).alias("to")), "to", hop)
+    if work <= FEW:
+        return folded(categories, c, old, edges).drop("first", "walks")
+    return in_rounds(categories, c, old, edges.withColumnRenamed("seq", "start")).drop("first", "walks")
+
+
+def folded(categories: DataFrame, c: DataFrame, old: DataFrame, edges: DataFrame) -> DataFrame:
+    """One request after the other in an ``aggregate`` over all of them."""
+    ids = categories.select("id").distinct()
+    known = ids.select(F.col("id").alias("target_id"), F.lit(True).alias("old_target"))
+    still = ids.join(c.select(F.col("target_id").alias("id")).distinct(), "id", "left_anti") \
+        .select(F.col("id").alias("parent_id"), F.lit(True).alias("fixed_parent"))
+    rows = (c.join(edges.select("seq", "to", "round"), "seq").join(known, "target_id", "left").join(still, "parent_id", "left")
+            .agg(F.sort_array(F.collect_list(F.struct(
+                "seq", "op", "target_id", "parent_id", "first", "walks", "to", "round",
+                F.coalesce("old_target", F.lit(False)).alias("old_target"),
+                F.coalesce("fixed_parent", F.lit(False)).alias("fixed_parent")))).alias("requests")))
+    tree = old.agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("to", "round")))).alias("tree"))
+
+    def climb(state, r):
+        """Whether the walk up from the request's parent meets its category or goes round."""
+        def step(w, _):
+            there = state["tree"][w["node"]]
+            over_ = w["hit"] | w["node"].isNull() | there.isNull()
+            return F.when(over_, w).otherwise(F.struct(
+                there["to"].alias("node"),
+                (there["round"] | F.coalesce(there["to"] == r["target_id"], F.lit(False))).alias("hit")))
+        start = F.struct(r["to"].alias("node"),
+                         (r["round"] | F.coalesce(r["to"] == r["target_id"], F.lit(False))).alias("hit"))
+        end = F.aggregate(F.sequence(F.lit(0), F.size(state["tree"])), start, step)
+        return end["hit"] | F.coalesce(F.map_contains_key(state["tree"], end["node"]), F.lit(False))
+
+    def decide(state, r):
+        insert, patch, delete = (r["op"] == o for o in ("insert", "patch", "delete"))
+        here = F.map_contains_key(state["tree"], r["target_id"])
+        parent = r["parent_id"].isNull() | r["fixed_parent"] | F.map_contains_key(state["tree"], r["parent_id"])
+        reason = F.coalesce(
+            r["first"],
+            F.when(insert & (r["old_target"] | F.array_contains(state["born"], r["target_id"])), "id_exists")
+             .when(~insert & ~here, "not_found").when(~delete & ~parent, "parent_not_found")
+             .when(r["walks"] & climb(state, r), "loop"))
+        rest = F.map_filter(state["tree"], lambda k, _: k != r["target_id"])
+        mine = F.create_map(r["target_id"], F.struct(r["to"].alias("to"), r["round"].alias("round")))
+        return F.struct(
+            F.when(reason.isNotNull(), state["tree"]).when(delete, rest).otherwise(F.map_concat(rest, mine)).alias("tree"),
+            F.when(reason.isNull() & insert, F.array_append(state["born"], r["target_id"])).otherwise(state["born"]).alias("born"),
+            F.array_append(state["said"], F.struct(r["seq"].alias("seq"), reason.alias("reason"))).alias("said"))
+    empty = F.array().cast("array<struct<seq:bigint,reason:string>>")
+    begin = F.struct(F.col("tree").alias("tree"), F.array().cast("array<bigint>").alias("born"), empty.alias("said"))
+    said = (rows.select("requests", tree.scalar().alias("tree"))
+            .select(F.explode(F.aggregate("requests", begin, decide)["said"]).alias("s")))
+    return c.join(said.select("s.seq", "s.reason"), "seq")
+
+
+def in_rounds(categories: DataFrame, c: DataFrame, old: DataFrame, edges: DataFrame) -> DataFrame:
+    """All requests decided again and again from the last round's acceptances."""
+    given, insert, delete = F.col("parent_id").isNotNull(), F.col("op") == "insert", F.col("op") == "delete"
+    asks = cut_lineage(c.where("walks").select("seq", F.col("target_id").alias("goal")).join(
+        edges.select(F.col("start").alias("seq"), F.col("to").alias("node"), "round"), "seq"))
     there = categories.select("id", F.lit(FIRST).cast("bigint").alias("born"), F.lit(None).cast("bigint").alias("dead"))
-    d = c.withColumn("reason", F.col("first"))
+    # any first guess leads to the one result; with refused walkers the first walks meet no loop
+    d = c.withColumn("reason", F.coalesce("first", F.when(F.col("walks"), "loop")))
     before = None
     while True:
         ok = d.where("reason is null")
@@ -155,8 +216,8 @@ def decided(categories: DataFrame, notes: DataFrame, requests: DataFrame) -> Dat
                     .withColumn(out, F.coalesce(F.col("__b") < F.col("seq"), F.lit(False)) & (
                         F.col("__d").isNull() | (F.col("__d") >= F.col("seq"))))
                     .withColumn(f"{out}_once", F.coalesce(F.col("__b") < F.col("seq"), F.lit(False))).drop("__b", "__d"))
-        versions = old.unionByName(edges.join(ok.select(F.col("seq").alias("start")), "start", "left_semi")) \
-            .select("node", F.struct("start", "to", "round").alias("v"))
+        versions = cut_lineage(old.unionByName(edges.join(ok.select(F.col("seq").alias("start")), "start", "left_semi"))
+                               .select("node", F.struct("start", "to", "round").alias("v")))
         loops = meeting(asks, versions).distinct().withColumn("__loop", F.lit(True))
         j = known(known(c, "target_id", "__t"), "parent_id", "__p").join(loops, "seq", "left")
         reason = F.coalesce("first", F.when(insert & F.col("__t_once"), "id_exists").when(~insert & ~F.col("__t"), "not_found")
@@ -164,7 +225,7 @@ def decided(categories: DataFrame, notes: DataFrame, requests: DataFrame) -> Dat
         d = cut_lineage(j.select(*c.columns, reason.alias("reason")))
         now = d.agg(F.count("reason"), F.sum(F.xxhash64("seq", "reason").cast("decimal(38,0)"))).first()
         if now == before:
-            return d.drop("first", "walks")
+            return d
         before = now
 
 
