@@ -381,7 +381,9 @@ def test_components(spark):
 def plain_lines(rows):
     """Lines that stay, per row, by the template definition."""
     def keys(line):
-        tok = ["<*>" if re.search("[0-9]", t) else t for t in line.strip(" ").split(" ")]
+        tok = line.strip(" ").split(" ")
+        if not all(re.search("[0-9]", t) or not t.strip() for t in tok):  # numbers alone stand for themselves
+            tok = ["<*>" if re.search("[0-9]", t) else t for t in tok]
         if len(tok) < line_templates.LEAST:
             return []
         head, rest = (len(tok), *tok[:line_templates.LEAD]), tok[line_templates.LEAD:]

@@ -12,21 +12,25 @@ a shingle stops once its next point lies behind the document's last slot.
 
 Links are looked for as follows.
 
-1. Texts that are equal are one node (by the MD5 of the text).
+1. Texts that are equal are one node (by the 128 bits of the text's MD5).
 2. ``BANDS`` bands of ``ROWS`` slots give each node its bucket keys; at a
    similarity of 0.8 two nodes share no bucket with probability 0.0001.
-3. In a bucket of up to ``SMALL`` nodes every pair is a candidate. In a larger
-   one the leader (the node with the least mass of shingles that no other node
-   of the large buckets has) is compared with all. Nodes linked to the leader
-   are in one class; a node not linked is compared with every node of the
-   bucket that it can be linked to and that isn't in one class with it by the
-   links so far: pairs are left out if the masses of their
-   unshared shingles, or the triangle inequality of the Jaccard distance
-   through the leader, prove that their similarity is below the threshold, or
-   if less than ``AGREE`` of their slots are equal, which happens to a pair of
-   similarity 0.8 with probability 0.00005. So no group is expanded into all
-   pairs, and a link is missed as rarely as by the bands themselves.
-4. Every candidate is verified exactly by its texts' multisets.
+3. Rounds. Every bucket has a leader: the node with the least rank, which is
+   its mass of shingles that no other node of the large buckets has (0 outside
+   large ones), then its key. First every node is compared with one leader, the
+   least-ranked of all its buckets, so a round has as many pairs as nodes however
+   large a group of copies is, and nearly all copies fall into one class. Then
+   only nodes are compared whose classes differ: a node with the leaders of its
+   other buckets, and the nodes of a bucket of up to ``SMALL`` with each other.
+   At last, in a larger bucket, a node that isn't linked to the leader meets the
+   nodes of other classes, but for pairs whose similarity the masses of their
+   unshared shingles or the triangle inequality of the Jaccard distance through
+   the leader prove to be below the threshold, or of whose slots less than
+   ``AGREE`` are equal, which happens to a pair of similarity 0.8 with probability
+   0.00005. So no group is expanded into all pairs, and two classes stay apart
+   wrongly as rarely as the bands themselves miss a pair.
+4. Every candidate is verified exactly by its texts' multisets. A leader's text
+   is copied per ``SHARE`` of its pairs, so no task has all pairs of one leader.
 5. Classes are connected components (large-star, small-star); their tables
    stay in Spark, lineage is cut by tables in the shared folder.
 
@@ -41,7 +45,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.llm import common as C
@@ -52,7 +56,9 @@ SLOTS = 2 * BANDS * ROWS  # the first half makes the bands, all tell how far two
 SMALL = 24
 AGREE = 0.70
 EPS = 1e-9
-NODE = "node string, n long, bands array<long>, marks array<tinyint>"
+SHARE = 256   # pairs per copy of a leader's text
+HOT = 10_000  # a node with more than this part of all rows is joined by broadcast; there are fewer than HOT such
+NODE = "node binary, n long, bands array<long>, marks array<tinyint>"
 
 
 def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,10 +131,14 @@ def similarity(a: str, b: str) -> float:
     return both / total if total else 0.0
 
 
+def node_of(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text with the text's node."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("node"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), node_of(text).alias("node"))
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -165,20 +175,35 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, sim) of distinct candidate pairs of nodes."""
+    """(a, b, sim) of distinct candidate pairs of nodes, ``a`` perhaps a leader of many."""
     pairs = C.cut(pairs.distinct())
-    wanted = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = texts.join(C.bounded(wanted), "node", "left_semi")
-    rows = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b"))
+    many = (pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SHARE)
+            .select("a", F.ceil(F.col("n") / SHARE).cast("int").alias("copies")))
+    many = C.cut(many)
+    pairs = (pairs.join(C.bounded(many), "a", "left")
+             .withColumn("copy", F.pmod(F.hash("b"), F.coalesce("copies", F.lit(1)))).drop("copies"))
+    left = (texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+            .join(pairs.select("a", "copy").distinct(), "a"))
+    rows = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            .join(left, ["a", "copy"]).select("a", "b", "text_a", "text_b", (
+                F.octet_length("text_a") + F.octet_length("text_b")).alias("bytes")))
 
     def run(batches):
-        for b in C.slices(batches, "text_a"):
-            sim = [similarity(x, y) for x, y in zip(C.strings(b, "text_a"), C.strings(b, "text_b"))]
-            yield C.record(b, ["a", "b"], sim=pa.array(sim, pa.float64()))
+        for batch in batches:
+            for b in by_bytes(batch, np.asarray(batch.column(batch.schema.get_field_index("bytes")), np.int64)):
+                sim = [similarity(x, y) for x, y in zip(C.strings(b, "text_a"), C.strings(b, "text_b"))]
+                yield C.record(b, ["a", "b"], sim=pa.array(sim, pa.float64()))
+
+    return C.mapped(rows, run, "a binary, b binary, sim double")
+
 
-    return C.mapped(rows, run, "a string, b string, sim double")
+def by_bytes(batch: pa.RecordBatch, size: np.ndarray):
+    """Runs of rows of at most ``C.SLICE_BYTES`` in all (one row at least)."""
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + C.SLICE_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def own_mass(large: DataFrame, texts: DataFrame) -> DataFrame:
@@ -192,61 +217,73 @@ def own_mass(large: DataFrame, texts: DataFrame) -> DataFrame:
                                               pa.array(n.astype(np.int64))], ["node", "shingle", "n"])
 
     texts = texts.join(C.bounded(C.cut(large)), "node", "left_semi")
-    return (C.mapped(texts, run, "node string, shingle long, n long")
+    return (C.mapped(texts, run, "node binary, shingle long, n long")
             .groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.sum("n").alias("n"))
             .where("nodes = 1").groupBy("node").agg(F.sum("n").alias("own")))
 
 
+def rooted(rows: DataFrame, root: DataFrame, key: str, out: str) -> DataFrame:
+    """``rows`` with the class so far of the node in ``key`` (its own without links)."""
+    return (rows.join(root.select(F.col("node").alias(key), F.col("root").alias(out)), key, "left")
+            .withColumn(out, F.coalesce(out, key)))
+
+
 def links(node: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, sim) of the verified links, a < b."""
+    """(a, b) of verified links that connect each class."""
     band = node.select("node", "n", F.posexplode("bands").alias("band", "key")) \
         .select("node", "n", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1")
     member = C.cut(band.join(sizes, "bucket"))
     # the texts of all nodes that share a bucket, fetched once
     texts = texts_of(C.cut(member.select("node").distinct()), docs)
-    small = member.where(F.col("size") <= SMALL).select("bucket", "node")
-    pairs = (small.select("bucket", F.col("node").alias("a"))
-             .join(small.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b"))
-    found = verified(pairs, texts)
-
-    large = member.where(F.col("size") > SMALL)
+    crowd = member.where(F.col("size") > SMALL).select("node").distinct()
+    own = own_mass(crowd, texts)
+    member = C.cut(member.join(crowd.withColumn("crowd", F.lit(True)).join(own, "node", "left"), "node", "left")
+                   .withColumn("own", F.coalesce("own", F.lit(0))).drop("crowd"))
+    leader = member.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("lead"))
+    led = C.cut(member.join(leader, "bucket").select(*member.columns, "lead"))
+    follower = led.where(F.col("node") != F.col("lead.node"))
+
+    # every node and the least-ranked leader around
+    first = follower.groupBy("node").agg(F.min("lead").alias("lead"))
+    found = C.cut(verified(first.select(F.col("lead.node").alias("a"), F.col("node").alias("b")), texts))
+    good = found.where(F.col("sim") >= THRESHOLD)
+    root = components(good)
+
+    # where classes still differ: all leaders around, and the pairs of small buckets
+    other = rooted(rooted(follower.select("node", F.col("lead.node").alias("leader")).distinct(), root, "node", "r"),
+                   root, "leader", "s").where(F.col("r") != F.col("s")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    small = C.cut(rooted(member.where(F.col("size") <= SMALL).select("bucket", "node"), root, "node", "r"))
+    x, y = (small.select("bucket", F.col("node").alias(k), F.col("r").alias(f"r_{k}")) for k in ("a", "b"))
+    near = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b"))).select("a", "b")
+    second = verified(other.unionByName(near).join(found, ["a", "b"], "left_anti"), texts)
+    found = C.cut(found.unionByName(second))
+    good = found.where(F.col("sim") >= THRESHOLD)
+    large = led.where(F.col("size") > SMALL)
     if large.isEmpty():
-        return found.where(F.col("sim") >= THRESHOLD)
-    own = own_mass(large.select("node").distinct(), texts)
-    large = C.cut(large.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))))
-    leader = large.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("m")) \
-        .select("bucket", F.col("m.node").alias("leader"))
-    led = large.join(leader, "bucket").where("node != leader")
-    near = C.cut(verified(led.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts))
-    led = C.cut(led.join(near.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim"),
-                         ["leader", "node"]))
+        return good.select("a", "b")
+
+    # in large buckets, nodes outside the leader's class and nodes of other classes
+    root = components(good)
+    sim = found.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim")
+    large = rooted(large.withColumn("leader", F.col("lead.node")).drop("lead").join(sim, ["leader", "node"], "left"), root, "node", "root")
+    large = C.cut(rooted(large, root, "leader", "lead_root").join(node.select("node", "marks", "bands"), "node"))
     # the most that a node can share with another one of at least the bucket's least mass
-    left = led.where((F.col("sim") < THRESHOLD) & (
-        (F.col("n") - F.col("own")) / (F.greatest("least", F.col("n") - F.col("own")) + F.col("own"))
-        >= THRESHOLD - EPS)).select("bucket", F.col("node").alias("x"), F.col("n").alias("n_x"),
-                                    F.col("own").alias("own_x"), F.col("sim").alias("sim_x"))
+    left = large.where((F.col("root") != F.col("lead_root")) & (
+        (F.col("n") - F.col("own")) / (F.greatest("least", F.col("n") - F.col("own")) + F.col("own")) >= THRESHOLD - EPS)) \
+        .select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "own", "sim", "root", "marks", "bands")))
     shared = F.least(F.col("n_x") - F.col("own_x"), F.col("n") - F.col("own"))
-    found, near = (C.cut(x.where(F.col("sim") >= THRESHOLD)) for x in (found, near))
-    # classes by the links so far: further pairs matter between two of them only
-    root = components(found.unionByName(near))
-    marks = (large.select("node").distinct().join(node.select("node", "marks", "bands"), "node").join(root, "node", "left")
-             .select("node", "marks", "bands", F.coalesce("root", "node").alias("root")))
-    left = left.join(marks.select(F.col("node").alias("x"), F.col("marks").alias("marks_x"), F.col("bands").alias("bands_x"),
-                                  F.col("root").alias("root_x")), "x")
     # a pair counts in the first bucket that it shares
     earlier = F.size(F.filter(F.zip_with(F.slice("bands_x", 1, F.col("band")), F.slice("bands", 1, F.col("band")),
                                          lambda p, q: p == q), lambda e: e))
     equal = F.size(F.filter(F.zip_with("marks_x", "marks", lambda p, q: p == q), lambda e: e))
-    rest = (left.join(led.join(marks, "node"), "bucket")
-            .where((F.col("root_x") != F.col("root")) & (F.abs(F.col("sim_x") - F.col("sim")) <= 1 - THRESHOLD + EPS)
-                   & (shared / (F.col("n_x") + F.col("n") - shared) >= THRESHOLD - EPS)
-                   & (equal >= int(AGREE * SLOTS)) & (earlier == 0))
-            .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
-    far = verified(rest, texts)
-    ordered = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
-    return (found.unionByName(ordered).unionByName(far).where(F.col("sim") >= THRESHOLD)
-            .groupBy("a", "b").agg(F.max("sim").alias("sim")))
+    apart = F.coalesce(F.abs(F.col("sim_x") - F.col("sim")) > 1 - THRESHOLD + EPS, F.lit(False))
+    rest = left.join(large.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & (
+        F.col("root_x") != F.col("root")) & ~apart & (shared / (F.col("n_x") + F.col("n") - shared) >= THRESHOLD - EPS)
+        & (equal >= int(AGREE * SLOTS)) & (earlier == 0)) \
+        .select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b"))
+    far = verified(rest, texts).where(F.col("sim") >= THRESHOLD)
+    return good.select("a", "b").unionByName(far.select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,31 +319,41 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, class_id, class_size, kept."""
     docs, root = grouped(docs)
-    rows = docs.select("doc_id", "node").join(root, "node", "left") \
-        .select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(least, "root").select("doc_id", "class_id", "class_size",
-                                           F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    node = C.cut(docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    linked = node.join(root, "node")
+    of = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    # a class of many nodes is one key here: its row goes to parts of its nodes
+    part = F.pmod(F.hash("node"), F.lit(64))
+    of = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    linked = linked.withColumn("part", part).join(of, ["root", "part"]).select("node", "class_id", "class_size")
+    alone = node.join(root, "node", "left_anti").select("node", F.col("least").alias("class_id"), F.col("n").alias("class_size"))
+    known = C.cut(linked.unionByName(alone).join(node.select("node", "n"), "node"))
+    many = known.agg(F.sum("n")).first()[0] or 0
+    hot = known.where(F.col("n") * HOT > many).drop("n")  # fewer than HOT rows
+    rows = docs.select("doc_id", "node").join(F.broadcast(hot), "node", "left")
+    done, rest = rows.where("class_size is not null"), rows.where("class_size is null").select("doc_id", "node")
+    done = done.unionByName(rest.join(known.where(F.col("n") * HOT <= many).drop("n"), "node"))
+    return done.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that are the first of their class."""
     names = docs.columns
-    node, key = "__node__", "__key__"
+    node, key, number = (C.free_name(names, x) for x in ("node", "key", "n"))
     keys, root = grouped(docs)
     # nulls last; a null doc_id shares the key of the largest one, which its node tells apart
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1))
-    first = (keys.select("node", order.alias(key)).groupBy("node").agg(F.min(key).alias(key))
-             .join(root, "node", "left")
-             .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(key, "node")).alias("m"))
-             .select(F.col(f"m.{key}").alias(key), F.col("m.node").alias(node)))
-    rows = (docs.withColumn(node, F.md5(F.coalesce(F.col("text"), F.lit("")))).withColumn(key, order)
+    own = C.cut(keys.select("node", order.alias("key")).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("n")))
+    first = (own.join(root, "node", "left")
+             .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("key", "node")).alias("m"))
+             .select(F.col("m.key").alias(key), F.col("m.node").alias(node)))
+    rows = (docs.withColumn(node, node_of(F.coalesce(F.col("text"), F.lit("")))).withColumn(key, order)
             .join(C.bounded(C.cut(first)), [node, key], "left_semi"))
     if keys.groupBy("node", order).count().where("count > 1").isEmpty():
         return rows.select(*names)
     # equal rows of a class's first document
     one = Window.partitionBy(node, key).orderBy(F.col("doc_id").asc_nulls_last())
-    return rows.withColumn("__n__", F.row_number().over(one)).where("__n__ = 1").select(*names)
+    return rows.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*names)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.session import scratch_dir
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: bound on memoised words or chunks in a Python worker
 MEMO_LIMIT = 400_000
 
@@ -62,7 +62,7 @@ def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _POWERS = {}
@@ -143,13 +143,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 4 << 20
 
 
 def bounded(keys: DataFrame) -> DataFrame:
-    """Rows of a few short keys for a join: broadcast if they are few (counted),
-    else left to a shuffle."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+    """Rows of a few short columns for a join: broadcast if they take at most
+    ``BROADCAST_BYTES`` (rows counted, a column at 48 bytes), else left to a shuffle."""
+    most = BROADCAST_BYTES // (48 * len(keys.columns))
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name`` with underscores, so that no column (case ignored) has it."""
+    lower = {t.lower() for t in taken}
+    name = f"__{name}__"
+    while name.lower() in lower:
+        name = f"_{name}_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

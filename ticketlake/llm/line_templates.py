@@ -42,7 +42,9 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """(text key, doc_id, line number, template) of every line and template."""
     line = F.trim(F.col("line"))
     long = F.size(F.split(line, " ")) > LEAD
-    masked = F.when(long & line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t]*[0-9][^ \t]*", "<*>")).otherwise(line)
+    free = F.regexp_replace(line, r"[^ \t]*[0-9][^ \t]*", "<*>")
+    # a line of numbers alone (a row of a table) has no constant token: it stands for itself
+    masked = F.when(long & line.rlike("[0-9]") & F.replace(free, F.lit("<*>"), F.lit("")).rlike(r"\S"), free).otherwise(line)
     rows = (docs.where(F.col("text").isNotNull())
             .select(*text_key(F.col("text")), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"),
                     F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -90,33 +92,36 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("__t1__", "__t2__").agg(F.collect_set("pos").alias("__drop__"))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with two more columns: the text without recurring lines
-    (``__text__``) and how many lines went (``__gone__``)."""
-    drop = C.cut(recurring_lines(docs.select("doc_id", "text")))
-    rows = docs.withColumns({"__t1__": text_key(F.col("text"))[0], "__t2__": text_key(F.col("text"))[1]})
-    rows = rows.join(bounded(drop, F.size("__drop__")), ["__t1__", "__t2__"], "left")
+def cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: the text without recurring
+    lines, and how many lines went."""
+    t1, t2, out, gone, drops = (C.free_name(docs.columns, x) for x in ("t1", "t2", "text", "gone", "drop"))
+    drop = C.cut(recurring_lines(docs.select("doc_id", "text"))) \
+        .withColumnsRenamed({"__t1__": t1, "__t2__": t2, "__drop__": drops})
+    first, second = text_key(F.col("text"))
+    rows = docs.withColumns({t1: first, t2: second})
+    rows = rows.join(bounded(drop, F.size(drops)), [t1, t2], "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop__"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drops))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    return rows.select(*docs.columns, F.when(F.col("__drop__").isNull(), F.col("text")).otherwise(text).alias("__text__"),
-                       F.when(F.col("__drop__").isNull(), 0).otherwise(F.size("__drop__")).cast("long").alias("__gone__"))
+    return rows.select(*docs.columns, F.when(F.col(drops).isNull(), F.col("text")).otherwise(text).alias(out),
+                       F.when(F.col(drops).isNull(), 0).otherwise(F.size(drops)).cast("long").alias(gone)), out, gone
 
 
 def without_recurring(docs: DataFrame) -> DataFrame:
     """``docs`` (all columns) with the recurring lines cut out of the text, and
     n_chars, if there, counted anew."""
-    rows = cleaned(docs)
-    new = {"text": F.col("__text__")}
+    rows, text, gone = cleaned(docs)
+    new = {"text": F.col(text)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__gone__") == 0, F.col("n_chars")).otherwise(
-            F.length("__text__").cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col(gone) == 0, F.col("n_chars")).otherwise(
+            F.length(text).cast(docs.schema["n_chars"].dataType))
     return rows.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """Per row: doc_id, lines, lines dropped, digest of the remaining text."""
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cleaned(docs).select(
+    rows, text, gone = cleaned(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.col("__gone__").alias("n_dropped"), F.sha2(F.coalesce("__text__", F.lit("")), 256).alias("text_sha256"))
+        F.col(gone).alias("n_dropped"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_sha256"))
