@@ -1,14 +1,7 @@
 """ST3: rate-limit windows that start at a key's own requests.
 
 The tracker's limiter opens a window at a key's first request and the next one
-at the first request at or after its end, so windows form a chain per key. A
-request that comes a window's length or more after the one before it opens a
-window whatever came earlier; these are the chain's certain starts. Within a
-stretch without such a gap every request points to the first one at or after its
-own end, and starts are followed along these pointers by doubling: step k adds
-what lies 2**k windows behind a start. A key that never pauses takes log2 of
-its number of windows steps; no window of Spark's holds a whole key
-(``plans.prefix``).
+at the first request at or after its end: a chain per key (``plans.chains``).
 """
 
 from __future__ import annotations
@@ -17,34 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.functions import expressions as E
+from ticketlake.plans.chains import BITS, chain
 from ticketlake.plans.joins import cut_lineage
 from ticketlake.plans.prefix import as_of
 
 LIMITS = {"auth": 20, "all": 500}  # requests per window of the tracker's two limiters
 WINDOW_US = 15 * 60 * 1_000_000
-BITS = 37  # buckets of some 19 hours of doubled microseconds
-
-
-def chain_starts(points: DataFrame, length: int) -> DataFrame:
-    """(key, at) of the window starts among the distinct ``points`` (key, at)."""
-    facts = points.select("key", F.struct(F.col("at").alias("start")).alias("v"))
-    back = points.select("key", F.struct((-F.col("at")).alias("start")).alias("v"))
-    p = as_of(points, facts, "key", "at", "v", "prev", bits=BITS)
-    certain = F.col("prev").isNull() | (F.col("at") - F.col("prev.start") >= length)
-    p = p.select("key", "at", certain.alias("sure"), (1 - F.col("at") - length).alias("ask"))
-    p = as_of(p, back, "key", "ask", "v", "next", bits=BITS)
-    p = cut_lineage(p.select("key", "at", "sure", (-F.col("next.start")).alias("next")))
-    starts = p.where("sure").select("key", "at")
-    # a pointer to a certain start adds nothing
-    sure = starts.select("key", F.col("at").alias("next"))
-    jump = cut_lineage(p.where("next is not null").select("key", "at", "next").join(sure, ["key", "next"], "left_anti")
-                       .select("key", "at", "next"))
-    while not jump.isEmpty():
-        more = starts.join(jump, ["key", "at"]).select("key", F.col("next").alias("at"))
-        starts = cut_lineage(starts.unionByName(more).distinct())
-        jump = cut_lineage(jump.join(jump.select("key", F.col("at").alias("next"), F.col("next").alias("far")), ["key", "next"])
-                           .select("key", "at", F.col("far").alias("next")))
-    return starts
 
 
 def anchored_windows(requests: DataFrame, limits: dict[str, int] = LIMITS, length: int = WINDOW_US) -> DataFrame:
@@ -53,7 +24,7 @@ def anchored_windows(requests: DataFrame, limits: dict[str, int] = LIMITS, lengt
     at = F.unix_micros(E.utc_instant(F.col("ts")))
     rows = cut_lineage(requests.where("user_id is not null and ts is not null")
                        .groupBy(F.col("user_id").alias("key"), at.alias("at")).agg(F.sum("requests").alias("n")))
-    starts = chain_starts(rows.select("key", "at"), length)
+    starts = chain(rows.select("key", "at", (F.col("at") + length).alias("until")))
     facts = starts.select("key", F.struct(F.col("at").alias("start")).alias("v"))
     rows = as_of(rows.withColumn("upto", F.col("at") + 1), facts, "key", "upto", "v", "w", bits=BITS)
     wall = lambda us: E.utc_wall_clock(F.timestamp_micros(us))

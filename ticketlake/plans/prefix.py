@@ -45,16 +45,18 @@ def running(df: DataFrame, key: str, order: str, value: str, out: str, how: str
     return j.withColumn(out, res).drop("__b", "__in", "__off")
 
 
-def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, value: str, out: str, bits: int = DEFAULT_BITS) -> DataFrame:
+def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, value: str, out: str, bits: int = DEFAULT_BITS,
+          start: str | None = None) -> DataFrame:
     """``asks`` with ``out`` = the ``value`` (a struct that begins with its own
     ``start``) of the fact of the same ``key`` with the largest ``start``
-    strictly before ``at``, NULL without one. Both sides go through one running
+    strictly before ``at``, NULL without one. With a column ``start`` of its own
+    for the facts' places, ``out`` is the largest ``value`` of the facts before. Both sides go through one running
     maximum, so neither a key with many facts nor one with many asks is joined
     all with all. ``(key, at)`` is unique among the asks and ``(key, start)``
     among the facts."""
     kind = facts.schema[value].dataType
     names = [c for c in asks.columns]
     rows = (asks.select(*names, (F.col(at) * 2).alias("__at"), F.lit(None).cast(kind).alias("__v"), F.lit(True).alias("__ask"))
-            .unionByName(facts.select(key, (F.col(f"{value}.start") * 2 + 1).alias("__at"), F.col(value).alias("__v")),
+            .unionByName(facts.select(key, (F.col(start or f"{value}.start") * 2 + 1).alias("__at"), F.col(value).alias("__v")),
                          allowMissingColumns=True))
     return running(rows, key, "__at", "__v", out, how="max", bits=bits).where("__ask").select(*names, out)

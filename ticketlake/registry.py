@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketlake.functions.paging import paginate
-from ticketlake.operators import admin, category_edits, changes, exports, lists, quality, reports, search, tree
+from ticketlake.operators import admin, category_edits, changes, exports, invites, lists, quality, reports, search, tree
 from ticketlake.operators.filters import NoteQuery
 from ticketlake.sources.tables import load_tables
 from ticketlake.streaming import jobs
@@ -615,6 +615,31 @@ def q_invitation_lifecycle(spark, sf_dir):
                                       AS_OF_EVENTS)
 
 
+def _invite_job(spark, sf_dir):
+    """Decisions of the invitation requests, once per table build, and all cancels."""
+    t, ev = _t(spark, sf_dir), _events(spark, sf_dir)
+    asked = invites.requests_from_events(ev)
+    cancels = invites.cancellations(asked).unionByName(admin.cancellations_from_invitations(t.invitations))
+    return t, cancels, _once(spark, t, "invites", lambda: {"decisions": invites.invite_users(
+        t.users, t.invitations, asked, cancels)})["decisions"]
+
+
+@register("invite_users")
+def q_invite_users(spark, sf_dir):
+    return _invite_job(spark, sf_dir)[2].drop("actor_id", "asked_at")
+
+
+@register("account_log")
+def q_account_log(spark, sf_dir):
+    """Invitations, cancels and logins (view events with event_id mod 13 = 0) as activity rows."""
+    from pyspark.sql import functions as F
+    t, cancels, decisions = _invite_job(spark, sf_dir)
+    logins = _events(spark, sf_dir).where((F.col("event_type") == "view") & (F.col("event_id") % 13 == 0)).select(
+        F.col("user_id").cast("bigint").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
+    states = admin.invitation_lifecycle(t.invitations, cancels, "2100-01-01 00:00:00")
+    return invites.account_log(t.users, decisions, t.invitations, cancels, states, logins)
+
+
 @register("signup_roles")
 def q_signup_roles(spark, sf_dir):
     t = _t(spark, sf_dir)
