@@ -41,3 +41,42 @@ def test_given_null_wins_and_resolved_at(spark, tables):
     assert 2 not in out  # deleted; the later increment is ignored
     log = {row.id: row for row in r.activity.collect()}
     assert log[3].meta.startswith('{"new_counter":') and 5 not in log
+
+
+def test_inserts_keep_given_fields(spark, tables):
+    """Priority, status, category and description as given; unknown ones are refused."""
+    rows = [(1, "High", "Resolved", 3, "text"), (2, None, None, None, " "), (3, "Urgent", None, None, None),
+            (4, "Low", "Closed", None, None), (5, "Low", None, 4711, None)]
+    ch = spark.createDataFrame(
+        [(s, 90_000_000 + s, "insert", None, None, 1, None, "New", 2, 2, p, st, c, d) for s, p, st, c, d in rows],
+        "seq long, note_id long, op string, field string, new_value string, client_id long, changed_at timestamp_ntz, "
+        "title string, agent_id long, actor_id long, priority string, status string, category_id long, description string")
+    r = changes.apply_note_changes(tables.notes.limit(0), ch, tables.clients, tables.categories)
+    got = {x.id - 90_000_000: (x.priority, x.status, x.category_id, x.description, x.resolved_at) for x in r.notes.collect()}
+    assert got == {1: ("High", "Resolved", 3, "text", None), 2: ("Medium", "Open", None, None, None)}
+    assert {x.user_id for x in r.activity.collect()} == {2}
+
+
+def test_permissions_at_the_time_of_the_change(spark, tables):
+    from ticketlake.operators import permissions
+    users = spark.createDataFrame([(1, "admin", True), (2, "agent", True), (3, "agent", True), (4, "agent", False)],
+                                  "id long, role string, active boolean")
+    uch = spark.createDataFrame([(10, 2, "role", "supervisor"), (20, 2, "role", "agent"), (30, 1, "deactivate", None),
+                                 (40, 4, "active", "true"), (50, 3, "role", "owner")],
+                                "seq long, target_id long, op string, new_value string")
+    dec = uch.selectExpr("seq", "op != 'role' or new_value != 'owner' as accepted")
+    notes = spark.createDataFrame([(7, 3)], "id long, agent_id long")
+    client = tables.clients.first().id
+    rows = [(5, 7, "patch", 2, None), (15, 7, "patch", 2, None), (25, 7, "patch", 2, None), (26, 7, "patch", 3, None),
+            (27, 7, "delete", 3, None), (28, 7, "delete", 1, None), (31, 7, "patch", 1, None), (35, 8, "insert", 3, "t"),
+            (34, 8, "patch", 3, None), (36, 8, "patch", 3, None), (37, 8, "patch", 2, None), (39, 7, "increment", 4, None),
+            (41, 7, "increment", 4, None), (42, 7, "increment", 9, None), (43, 99, "patch", 3, None), (44, 7, "patch", None, None),
+            (55, 7, "patch", 3, None)]
+    ch = spark.createDataFrame([(s, n, op, "description", "x", client, None, t, a, a) for s, n, op, a, t in rows],
+                               "seq long, note_id long, op string, field string, new_value string, client_id long, "
+                               "changed_at timestamp_ntz, title string, agent_id long, actor_id long")
+    d = permissions.note_permissions(notes, ch, tables.clients, tables.categories, users, uch, dec)
+    assert {r.seq: r.reason for r in d.collect()} == {
+        5: "not_owner", 15: None, 25: "not_owner", 26: None, 27: "forbidden", 28: None, 31: "inactive", 34: "not_owner",
+        35: None, 36: None, 37: "not_owner", 39: "inactive", 41: None, 42: "unknown_actor", 43: "not_owner",
+        44: "unknown_actor", 55: None}

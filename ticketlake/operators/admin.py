@@ -109,7 +109,7 @@ def client_changes_from_events(events: DataFrame) -> DataFrame:
         F.when(eid % 3 == 0, F.concat(F.lit("Client "), eid.cast("string"))).alias("name"),
         F.when(eid % 3 != 2, phone).alias("phone"),
         F.when(eid % 3 == 0, F.concat(F.lit("new"), eid.cast("string"), F.lit("@example.com"))).alias("email"),
-        F.col("ts").cast("timestamp_ntz").alias("changed_at"))
+        ((eid % 5) * 20).cast("bigint").alias("actor_id"), F.col("ts").cast("timestamp_ntz").alias("changed_at"))
 
 
 def client_decisions(clients: DataFrame, changes: DataFrame) -> DataFrame:
@@ -332,13 +332,13 @@ def admin_change_log(clients_before: DataFrame, client_changes: DataFrame, clien
     """Activity rows of the accepted client and user changes, as the tracker
     logs them: create_client / update_client / delete_client (deactivation),
     update_user (deactivating a user is not logged). target_name is the
-    row's name; the client change set carries no actor (NULL)."""
+    row's name."""
     def ok(d):
         return d.where(F.col("accepted")).select("seq")
     cl_names = clients_before.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
     cl = (client_changes.join(ok(client_decisions), "seq", "left_semi")
           .join(cl_names, F.col("target_id") == F.col("__id"), "left")
-          .select(F.col("seq"), F.lit(None).cast("bigint").alias("user_id"),
+          .select(F.col("seq"), F.col("actor_id").alias("user_id"),
                   F.when(F.col("op") == "insert", "create_client").when(F.col("op") == "deactivate", "delete_client")
                    .otherwise("update_client").alias("action"),
                   F.lit("client").alias("target_type"), F.col("target_id"),

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake import schemas
-from ticketlake.functions.expressions import not_blank
+from ticketlake.functions.expressions import blank_to_null, not_blank
 from ticketlake.plans.joins import cut_lineage
 from ticketlake.plans.prefix import running
 
@@ -64,24 +64,39 @@ def _valid_patch() -> Column:
             & ~(f.isin("client_id", "category_id") & v.isNotNull() & v.try_cast("bigint").isNull()))
 
 
-def _inserted(notes: DataFrame, changes: DataFrame, clients: DataFrame) -> DataFrame:
-    """First valid insert per new id (its client exists, its title isn't
-    blank), with defaults; the title is stored trimmed."""
-    first = (changes.where((F.col("op") == "insert") & not_blank(F.col("title")))
-             .join(clients.select(F.col("id").alias("__cid")), F.col("client_id") == F.col("__cid"), "left_semi")
-             .groupBy("note_id")
-             .agg(F.min(F.struct("seq", "client_id", "title", "agent_id", "changed_at")).alias("i"))
+GIVEN = {"actor_id": "bigint", "priority": "string", "status": "string", "category_id": "bigint", "description": "string"}
+
+
+def with_given(changes: DataFrame) -> DataFrame:
+    """The change set with the optional columns of ``GIVEN`` (NULL: not given)."""
+    return changes.withColumns({c: F.lit(None).cast(t) for c, t in GIVEN.items() if c not in changes.columns})
+
+
+def inserted(notes: DataFrame, changes: DataFrame, clients: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """First valid insert per new id (its client and its category, if given,
+    exist, its title isn't blank, priority and status are known ones), with
+    defaults for what isn't given; the title is stored trimmed."""
+    valid = (changes.where((F.col("op") == "insert") & not_blank(F.col("title"))
+                           & (F.col("priority").isNull() | F.col("priority").isin(*schemas.PRIORITIES))
+                           & (F.col("status").isNull() | F.col("status").isin(*schemas.STATUSES)))
+             .join(clients.select(F.col("id").alias("__cid")), F.col("client_id") == F.col("__cid"), "left_semi"))
+    if categories is not None:
+        known = categories.select(F.col("id").alias("__kid"), F.lit(True).alias("__there"))
+        valid = (valid.join(known, F.col("category_id") == F.col("__kid"), "left")
+                 .where(F.col("category_id").isNull() | F.col("__there")))
+    first = (valid.groupBy("note_id")
+             .agg(F.min(F.struct("seq", "client_id", "title", "agent_id", "changed_at", *GIVEN)).alias("i"))
              .select("note_id", "i.*"))
     ok = first.join(notes.select(F.col("id").alias("__id")), F.col("note_id") == F.col("__id"), "left_anti")
     return ok.select(
         F.col("note_id").alias("id"), "client_id", "agent_id",
-        F.lit(None).cast("bigint").alias("category_id"), F.trim("title").alias("title"),
-        F.lit(None).cast("string").alias("description"),
-        F.lit(schemas.DEFAULT_PRIORITY).alias("priority"), F.lit(schemas.DEFAULT_STATUS).alias("status"),
+        "category_id", F.trim("title").alias("title"), blank_to_null(F.col("description")).alias("description"),
+        F.coalesce("priority", F.lit(schemas.DEFAULT_PRIORITY)).alias("priority"),
+        F.coalesce("status", F.lit(schemas.DEFAULT_STATUS)).alias("status"),
         F.lit(schemas.DEFAULT_COUNTER).cast("int").alias("counter"),
         F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
         F.col("changed_at").alias("created_at"), F.col("changed_at").alias("updated_at"),
-        F.col("seq").alias("__start"))
+        F.col("seq").alias("__start"), F.col("actor_id").alias("__actor"))
 
 
 def _targets_exist(patches: DataFrame, clients: DataFrame, categories: DataFrame | None) -> DataFrame:
@@ -99,7 +114,8 @@ def _targets_exist(patches: DataFrame, clients: DataFrame, categories: DataFrame
 
 def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame,
                        categories: DataFrame | None = None) -> NoteChangeResult:
-    ins = cut_lineage(_inserted(notes, changes, clients))
+    changes = with_given(changes)
+    ins = cut_lineage(inserted(notes, changes, clients, categories))
     live = (notes.select("id", F.lit(-1).cast("bigint").alias("__start"))
             .unionByName(ins.select("id", "__start")))
     other = (changes.where(F.col("op").isin("patch", "increment", "delete"))
@@ -153,7 +169,7 @@ def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame,
     deleted = (merged.where(F.col("__deleted")).join(del_seq, F.col("id") == F.col("__nid"))
                .select("id", "client_id", "__del_seq"))
     counts = client_counts_after(notes, clients, ins, deleted)
-    return NoteChangeResult(new_notes, ins.drop("__start"), applied, folded, activity, counts, deleted)
+    return NoteChangeResult(new_notes, ins.drop("__start", "__actor"), applied, folded, activity, counts, deleted)
 
 
 def write_version(result: NoteChangeResult, out_dir: str) -> dict[str, str]:
@@ -181,16 +197,17 @@ def read_version(spark, paths: dict[str, str]) -> NoteChangeResult:
 def change_log(notes: DataFrame, ins: DataFrame, applied: DataFrame) -> DataFrame:
     """One activity row per applied change: action, target, title at that
     point, meta {"changes":[field]} for patches, {"new_counter":n} for
-    increments. No actor is carried by the change set, so user_id is NULL."""
+    increments; user_id is the change's actor."""
     touched = applied.select("note_id").distinct()
     start = (notes.select(F.col("id").alias("note_id"), "title", "counter")
              .unionByName(ins.select(F.col("id").alias("note_id"), "title", "counter"))
              .join(touched, "note_id", "left_semi"))
-    rows = (applied.select("seq", "note_id", "op", "field", "new_value", "changed_at")
+    rows = (applied.select("seq", "note_id", "op", "field", "new_value", "changed_at", "actor_id")
             .unionByName(start.select(F.lit(-1).cast("bigint").alias("seq"), "note_id",
                                       F.lit("start").alias("op"), F.lit(None).cast("string").alias("field"),
                                       F.col("title").alias("new_value"),
-                                      F.lit(None).cast("timestamp_ntz").alias("changed_at"))))
+                                      F.lit(None).cast("timestamp_ntz").alias("changed_at"),
+                                      F.lit(None).cast("bigint").alias("actor_id"))))
     rows = rows.join(start.select("note_id", F.col("counter").alias("__c0")), "note_id", "left")
     sets_title = (F.col("op") == "start") | ((F.col("op") == "patch") & (F.col("field") == "title"))
     rows = rows.withColumn("__t", F.when(sets_title, F.struct("seq", "new_value")))
@@ -202,10 +219,10 @@ def change_log(notes: DataFrame, ins: DataFrame, applied: DataFrame) -> DataFram
                   F.to_json(F.struct((F.col("__c0") + F.col("__ninc")).cast("bigint").alias("new_counter")))))
     action = F.element_at(F.create_map(*[x for k, v in ACTIONS.items() for x in (F.lit(k), F.lit(v))]), F.col("op"))
     upd = rows.where(F.col("op") != "start").select(
-        F.col("seq").alias("id"), F.lit(None).cast("bigint").alias("user_id"), action.alias("action"),
+        F.col("seq").alias("id"), F.col("actor_id").alias("user_id"), action.alias("action"),
         F.lit("note").alias("target_type"), F.col("note_id").alias("target_id"),
         F.col("__title.new_value").alias("target_name"), meta.alias("meta"), F.col("changed_at").alias("created_at"))
-    new = ins.select(F.col("__start").alias("id"), F.lit(None).cast("bigint").alias("user_id"),
+    new = ins.select(F.col("__start").alias("id"), F.col("__actor").alias("user_id"),
                      F.lit("create_note").alias("action"), F.lit("note").alias("target_type"),
                      F.col("id").alias("target_id"), F.col("title").alias("target_name"),
                      F.lit(None).cast("string").alias("meta"), F.col("created_at"))

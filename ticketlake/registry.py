@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketlake.functions.paging import paginate
-from ticketlake.operators import admin, category_edits, changes, exports, invites, lists, quality, reports, search, tree
+from ticketlake.operators import admin, category_edits, changes, exports, invites, lists, permissions, quality, reports, search, tree
 from ticketlake.operators.filters import NoteQuery
 from ticketlake.sources.tables import load_tables
 from ticketlake.streaming import jobs
@@ -358,15 +358,32 @@ def _once(spark, t, name: str, job: Callable[[], dict[str, DataFrame]]) -> dict[
     return _VERSIONS[key]
 
 
+def _permitted(spark, sf_dir):
+    """The note changes with the reason for refused ones, once per table build."""
+    t = _t(spark, sf_dir)
+
+    def job():
+        uch = admin.user_changes_from_events(_events(spark, sf_dir))
+        return {"changes": permissions.note_permissions(t.notes, t.note_changes, t.clients, t.categories, t.users, uch,
+                                                        admin.apply_user_changes(t.users, uch)[1])}
+    return t, _once(spark, t, "permissions", job)["changes"]
+
+
+@register("note_change_decisions")
+def q_note_change_decisions(spark, sf_dir):
+    return _permitted(spark, sf_dir)[1].selectExpr("seq", "op", "note_id", "actor_id", "reason is null as allowed", "reason")
+
+
 def _changed(spark, sf_dir):
-    """The note change job over the derived change set, run once per table
+    """The note change job over the permitted changes, run once per table
     build and written as a new version; the change queries read that version."""
     from ticketlake.session import scratch_dir
-    t = _t(spark, sf_dir)
+    t, changes_ = _permitted(spark, sf_dir)
+    allowed = changes_.where("reason is null").drop("reason")
     key = (spark.sparkContext.applicationId, t.path)
     with _VERSIONS_LOCK:
         if key not in _VERSIONS:
-            result = changes.apply_note_changes(t.notes, t.note_changes, t.clients, t.categories)
+            result = changes.apply_note_changes(t.notes, allowed, t.clients, t.categories)
             _VERSIONS[key] = changes.write_version(result, scratch_dir(spark, "note-changes"))
     return t, changes.read_version(spark, _VERSIONS[key])
 

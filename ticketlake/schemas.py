@@ -78,7 +78,9 @@ INVITATIONS = _struct(("id", L, False), ("email", S, False), ("role", S, False),
 # purpose (field given, value NULL).
 NOTE_CHANGES = _struct(("seq", L, False), ("note_id", L, False), ("op", S, False),
                        ("field", S, True), ("new_value", S, True), ("client_id", L, True),
-                       ("changed_at", TS, False), ("title", S, True), ("agent_id", L, True))
+                       ("changed_at", TS, False), ("title", S, True), ("agent_id", L, True),
+                       ("actor_id", L, True), ("priority", S, True), ("status", S, True), ("category_id", L, True),
+                       ("description", S, True))
 
 SCHEMAS = {
     "users": USERS, "clients": CLIENTS, "categories": CATEGORIES, "notes": NOTES,

@@ -166,13 +166,17 @@ def derive_note_changes(spark, raw_dir) -> DataFrame:
 
 def note_changes_from_events(spark, events: DataFrame, raw_dir: str) -> DataFrame:
     """The change set from events (batch or stream). Inserts also carry the
-    new note's title (the name of the part numbered by the event's ``k``) and
-    agent (user ``k``); the part lookup is a stream-static join on a stream."""
+    new note's title (the name of the part numbered by the event's ``k``), the
+    agent who makes it (user ``k`` mod 10), and for some priority, status,
+    category and description; the actor of other changes is user 0 (event_id mod 4
+    = 0 or 1), 1 (2) or event_id mod 10. The part lookup is a stream-static join
+    on a stream."""
     e = events.withColumn("__k", F.get_json_object("props", "$.k").cast("bigint"))
     part = raw(spark, raw_dir, "part").select("p_partkey", "p_name")
     et, eid = F.col("event_type"), F.col("event_id")
     e = e.join(part, (et == "purchase") & (F.col("__k") == F.col("p_partkey")), "left")
     is_delete = (et == "error") & (eid % 10 == 0)
+    new = et == "purchase"
     return e.select(
         eid.cast("bigint").alias("seq"),
         F.when(et == "purchase", eid + 10000000).otherwise(eid % 1500).cast("bigint").alias("note_id"),
@@ -187,7 +191,13 @@ def note_changes_from_events(spark, events: DataFrame, raw_dir: str) -> DataFram
         F.when(et == "purchase", F.col("user_id")).cast("bigint").alias("client_id"),
         _ts(F.col("ts")).alias("changed_at"),
         F.when(et == "purchase", F.coalesce(F.col("p_name"), F.lit("untitled"))).alias("title"),
-        F.when(et == "purchase", F.col("__k")).cast("bigint").alias("agent_id"),
+        F.when(new, F.col("__k") % 10).cast("bigint").alias("agent_id"),
+        F.when(new, F.col("__k") % 10).when(eid % 4 < 2, 0).when(eid % 4 == 2, 1).otherwise(eid % 10)
+         .cast("bigint").alias("actor_id"),
+        F.when(new, F.get(F.array(*[F.lit(p) for p in schemas.PRIORITIES]), (eid % 4).cast("int"))).alias("priority"),
+        F.when(new, F.get(F.array(*[F.lit(x) for x in schemas.STATUSES]), (F.floor(eid / 4) % 4).cast("int"))).alias("status"),
+        F.when(new & (eid % 6 != 0), eid % 25 + 100).cast("bigint").alias("category_id"),
+        F.when(new & (eid % 2 == 0), F.concat(F.lit("Reported "), eid.cast("string"))).alias("description"),
     )
 
 
