@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -243,12 +244,12 @@ def test_op11_trees_blocks_and_flushes(spark, monkeypatch):
 def test_op11_small_bounds(monkeypatch):
     texts = odd_texts(100, 6)
     p = pairs.Pair(BYTES, PIECES)
-    whole = [np.sort(p.keys[p.pair[pairs.ragged(p.start[u], p.size[u])]]) for t in texts for u, _, _ in [p.aligned([t])]]
+    whole = [np.sort(p.keys[p.pair[pairs.ragged(p.start[u], p.size[u])]]) for t in texts for u, _ in [p.aligned(pa.array([t]))]]
     monkeypatch.setattr(pairs, "WIDE", 3)
     monkeypatch.setattr(pairs, "MEMO", 2)
     p = pairs.Pair(BYTES, PIECES)
     for t, w in zip(texts, whole):
-        u, _, _ = p.aligned([t])
+        u, _ = p.aligned(pa.array([t]))
         assert np.array_equal(np.sort(p.keys[p.pair[pairs.ragged(p.start[u], p.size[u])]]), w)
     assert len(p.at) < 60
 
@@ -265,3 +266,17 @@ def test_op11_perfect_hash(n):
         with pytest.raises(ValueError):
             pairs.verified(h, own, np.array([2 ** 62 + 5]))
         assert sum(w.nbytes for w in h.words) * 8 < 4 * n + 64 * 45
+
+
+def test_op11_quick_encoder_equals_the_library(library):
+    """All code points beside letters, digits and spaces, and vocabulary entries beside each other."""
+    own = Tokenizer.from_file(BYTES)
+    own.encode_special_tokens = True
+    p = pairs.Pair(BYTES, PIECES)
+    assert p.a_encode.__self__.__class__.__module__.startswith("tiktoken")
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f" x{c}1{c}" for c in points[i:i + 500]) for i in range(0, len(points), 500)]
+    r = random.Random(4)
+    plain = [b.decode() for b in p.a_bytes[:50256] if b.isascii()]
+    texts += ["".join(r.choices(plain, k=200)) for _ in range(500)] + odd_texts(2000, 8)
+    assert [p.a_encode(t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]

@@ -37,6 +37,7 @@ result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +45,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,9 @@ from ticketlake.llm.units import SPLIT, parts
 SHARDS, FAN, GAMMA, LEVELS = 64, 32, 2.0, 40
 MEMO, FLUSH, WIDE, SLICE = 600_000, 1_000_000, 1 << 20, 2 << 20
 BLOCK = 96 << 20
+TOGETHER = 1 << 15  # characters of new units that are encoded as one text
+#: a space at the start of a text or behind white space
+BESIDE = "(?:^|[" + "".join(f"\\x{{{i:x}}}" for i in range(0x10000) if chr(i).isspace()) + "]) "
 PARTIAL = "shard int, part long, keys binary, counts binary"
 KEYS = "shard int, part long, keys binary"
 HASHED = "shard int, hash binary, keys binary"
@@ -179,6 +184,28 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
+#: fixed value: how byte-level vocabularies of this kind cut a text into words
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def by_ranks(path: str, words: list[bytes]):
+    """A quicker encoder of the same vocabulary: byte pairs by rank. It needs the
+    ids to be in the order of the merges, one merge per id behind the 256 bytes;
+    None for other vocabularies."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    vocab, merges = said["model"]["vocab"], said["model"]["merges"]
+    ids = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in merges]
+    before = said["pre_tokenizer"]
+    if said["normalizer"] or before["type"] != "ByteLevel" or not before.get("use_regex", True) \
+            or before["add_prefix_space"] or any(x >= y for x, y in zip(ids, ids[1:])) \
+            or len(vocab) != 256 + len(ids) or sorted(ids + [vocab[w] for w in vocab if len(w) == 1]) != list(range(len(vocab))):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=WORDS, special_tokens={}, mergeable_ranks={words[i]: i for i in vocab.values()})
+
+
 class Pair:
     """Two vocabularies and the alignment of units."""
 
@@ -190,6 +217,9 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         self.a_bytes = self.byte_level(self.a)
+        quick = by_ranks(byte_level, self.a_bytes)
+        self.a_encode = quick.encode_ordinary if quick else \
+            lambda t: self.a.encode_batch_fast([t], add_special_tokens=False)[0].ids
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             p = self.b.id_to_piece(i)
@@ -225,27 +255,34 @@ class Pair:
         self.keys = np.zeros(0, np.int64)
         self.known: tuple[np.ndarray, np.ndarray] = (self.keys, self.keys)  # keys in order, and their places
 
-    def which(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all texts' units one after another, and each text's number
-        of units. A unit is written without the space in front that each of them has."""
+    def which(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' units one after another, and the text of each. A
+        unit is written without the space in front that each of them has. Texts
+        without white space in front of a space are split and their units made
+        distinct by Arrow, the others one by one."""
         if len(self.at) > MEMO:
             self.clear()
-        found, count = [], []
-        for t in texts:
-            n = 0
-            for part, _ in parts(t) if t else ():
-                units = SPLIT(part)
-                n += len(units)
-                found.append(units)
-            count.append(n)
-            if len(found) > 1 << 10 or n > 1 << 18:
-                found = [np.concatenate([*self.numbered(found)])]
-        return np.concatenate([np.zeros(0, np.int64), *self.numbered(found)]), np.array(count, np.int64)
-
-    def numbered(self, found: list) -> Iterator[np.ndarray]:
-        """Lists of units as arrays of their numbers (arrays stay)."""
+        texts = pc.fill_null(texts, "")
+        odd = np.asarray(pc.match_substring_regex(texts, BESIDE))
+        plain = np.flatnonzero(~odd & (np.asarray(pc.binary_length(texts)) > 0))
+        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        coded = lists.flatten().dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        found = [[u for part, _ in parts(texts[i].as_py()) for u in SPLIT(part)] for i in np.flatnonzero(odd).tolist()]
+        self.learn(set(units).union(*found).difference(self.at))
+        numbers = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))[np.asarray(coded.indices)]
+        doc = np.repeat(plain, np.asarray(pc.list_value_length(lists)))
+        if found:
+            numbers = np.concatenate([numbers, *(np.fromiter(map(self.at.__getitem__, x), np.int64, len(x)) for x in found)])
+            doc = np.concatenate([doc, np.repeat(np.flatnonzero(odd), [len(x) for x in found])])
+            order = np.argsort(doc, kind="stable")
+            numbers, doc = numbers[order], doc[order]
+        return numbers, doc
+
+    def learn(self, units: set[str]) -> None:
+        """Align new units, a bounded number of characters at a time."""
         new, size = [], 0
-        for u in set().union(*(x for x in found if isinstance(x, list))).difference(self.at):
+        for u in units:
             new.append(u)
             size += len(u)
             if size > WIDE:
@@ -253,30 +290,63 @@ class Pair:
                 new, size = [], 0
         if new:
             self.add(new)
-        for x in found:
-            yield np.fromiter(map(self.at.__getitem__, x), np.int64, len(x)) if isinstance(x, list) else x
+
+    def encoded(self, units: list[str]):
+        """(A ids, how many each unit has, B ids, how many), for units that end in no
+        white space: behind one another, each with its space, they are a text whose
+        tokens end where the units end."""
+        parts_ = []
+        block, size = [], 0
+        for u in [*units, None]:
+            if block and (u is None or size > TOGETHER):
+                text = " " + " ".join(block)
+                raw = np.frombuffer(text.encode(), np.uint8)
+                ends = np.cumsum([len(x.encode()) + 1 for x in block])
+                a = np.array(self.a_encode(text), np.int64)
+                b = np.array(self.b.encode(text[1:], num_threads=1), np.int64)
+                counts = []
+                for ids, spans in ((a, self.a_raw), (b, self.b_raw)):
+                    at = np.cumsum(spans.size[ids])
+                    last = np.searchsorted(at, ends)
+                    if not (len(at) and at[-1] == len(raw) and np.array_equal(at[last], ends)
+                            and np.array_equal(spans.join(ids), raw)):
+                        return None
+                    counts.append(np.diff(np.concatenate(([-1], last))))
+                parts_.append((a, counts[0], b, counts[1]))
+                block, size = [], 0
+            if u is not None:
+                block.append(u)
+                size += len(u)
+        return tuple(np.concatenate(x) for x in zip(*parts_)) if parts_ else (np.zeros(0, np.int64),) * 4
 
     def add(self, units: list[str]) -> None:
         """Align new units."""
-        spaced = [" " + u for u in units]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b_ids = self.b.encode(units, num_threads=1)
-        for i, u in enumerate(units):
+        alone = [u for u in units if not u or u[-1].isspace() or "▁" in u]
+        together = [u for u in units if u and not u[-1].isspace() and "▁" not in u]
+        joint = self.encoded(together)
+        if joint is None:  # some unit's bytes differ from its tokens': each by itself
+            alone, together, joint = units, [], (np.zeros(0, np.int64),) * 4
+        units = together + alone
+        a_ids = [self.a_encode(" " + u) for u in alone]
+        b_ids = self.b.encode(alone, num_threads=1) if alone else []
+        for i, u in enumerate(alone):
             if not u:
                 b_ids[i] = [self.mark]  # a lone space, which the library has for empty texts only
-        raw = Spans.of([u.encode() for u in spaced])
-        good = self.same(raw, a_ids, self.a_raw) & self.same(raw, b_ids, self.b_raw)
+        raw = Spans.of([(" " + u).encode() for u in units])
+        some = Spans(raw.data[raw.start[len(together)] if alone else len(raw.data):], raw.size[len(together):])
+        good = np.concatenate([np.ones(len(together), bool),
+                               self.same(some, a_ids, self.a_raw) & self.same(some, b_ids, self.b_raw)])
         base = len(self.at)
         self.at.update(zip(units, range(base, base + len(units))))
         ok = np.flatnonzero(good)
-        if len(ok) < len(units):
-            a_ids, b_ids = [a_ids[i] for i in ok], [b_ids[i] for i in ok]
+        keep = good[len(together):]
+        a = np.concatenate([joint[0], flat([x for x, k in zip(a_ids, keep) if k])])
+        b = np.concatenate([joint[2], flat([x for x, k in zip(b_ids, keep) if k])])
         sums = np.full((len(units), 4), -1, np.int64)
         size, text = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         keys = links = np.zeros(0, np.int64)
         said = np.zeros(0, np.uint8)
         if len(ok):
-            a, b = flat(a_ids), flat(b_ids)
             a_end, b_end = np.cumsum(self.a_raw.size[a]), np.cumsum(self.b_raw.size[b])
             common = np.intersect1d(a_end, b_end, assume_unique=True)
             a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
@@ -358,14 +428,13 @@ class Pair:
         of, key = np.divmod(key, space)
         return of, key, links
 
-    def aligned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(units' numbers, text of each, whether each text has tokens)."""
-        u, count = self.which(texts)
-        doc = np.repeat(np.arange(len(texts)), count)
-        good = count > 0
+    def aligned(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(units' numbers, text of each) of the texts that have tokens."""
+        u, doc = self.which(texts)
+        good = np.ones(len(texts), bool)
         good[doc[self.sums[u, 0] < 0]] = False
         keep = good[doc]
-        return u[keep], doc[keep], good
+        return (u, doc) if keep.all() else (u[keep], doc[keep])
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +480,7 @@ def partial_counts(docs: DataFrame, byte_level: str, piece_model: str) -> DataFr
         p = pair(byte_level, piece_model)
         held, size = [], 0
         for b in C.slices(batches, "text", SLICE):
-            u, doc, _ = p.aligned(C.strings(b, "text"))
+            u, doc = p.aligned(b.column("text"))
             n = len(p.keys)
             pair_of = distinct_only(np.repeat(doc, p.size[u]) * n + p.pair[ragged(p.start[u], p.size[u])]) % max(1, n)
             count = np.bincount(pair_of, minlength=n)
@@ -589,15 +658,15 @@ def alignment(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
             p = pair(byte_level, piece_model)
             found = Found(p, held.value)
             for b in C.slices(batches, "text", SLICE):
-                texts = C.strings(b, "text")
-                u, doc, _ = p.aligned(texts)
-                sums = per_text(found.sums(u), doc, len(texts))
+                n = b.num_rows
+                u, doc = p.aligned(b.column("text"))
+                sums = per_text(found.sums(u), doc, n)
                 sums += np.stack([np.asarray(b.column(c)) for c in ("n_best", "count_sum")], 1)
                 if not last:
                     yield C.record(b, ["doc_id", "text"], n_best=sums[:, 0], count_sum=sums[:, 1])
                     continue
-                own = per_text(p.sums[u], doc, len(texts))
-                ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+                own = per_text(p.sums[u], doc, n)
+                ends = np.searchsorted(doc, np.arange(n + 1)).tolist()
                 digests = [digest(p, u[i:j]) for i, j in zip(ends, ends[1:])]
                 yield C.record(b, ["doc_id"], n_a=own[:, 0], n_b=own[:, 1], n_groups=own[:, 2], n_links=own[:, 3],
                                n_best=sums[:, 0], count_sum=sums[:, 1], groups_sha256=digests)
