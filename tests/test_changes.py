@@ -20,9 +20,24 @@ def test_one_batch_equals_two(tables):
 
 
 def test_counts_equal_recount(tables):
+    """Stored counts that were right stay right; drifted ones are found, and right after a repair."""
+    stored = changes.repaired_counts(tables.clients, tables.notes)
+    found = quality.count_drift(tables.clients, tables.notes)
+    assert found.count() == stored.where("repaired").count() > 0
+    for clients in (stored.drop("repaired"), tables.clients.drop("notes_count")):
+        r = changes.apply_note_changes(tables.notes, tables.note_changes, clients)
+        assert quality.count_drift(r.client_counts.withColumnRenamed("client_id", "id"), r.notes).count() == 0
     r = changes.apply_note_changes(tables.notes, tables.note_changes, tables.clients)
-    drift = quality.count_drift(r.client_counts.withColumnRenamed("client_id", "id"), r.notes)
-    assert drift.count() == 0
+    assert quality.count_drift(r.client_counts.withColumnRenamed("client_id", "id"), r.notes).count() > 0
+
+
+def test_older_tables_without_the_new_columns_are_read(spark, tables, tmp_path):
+    from ticketlake.sources.tables import Tables
+    tables.clients.drop("notes_count", "updated_at").write.parquet(str(tmp_path / "clients"))
+    tables.activity_logs.drop("target_name").write.parquet(str(tmp_path / "activity_logs"))
+    old = Tables(spark, str(tmp_path), derived=False)
+    assert old.clients.columns == tables.clients.columns and old.clients.where("notes_count is not null").isEmpty()
+    assert old.activity_logs.columns == tables.activity_logs.columns
 
 
 def test_given_null_wins_and_resolved_at(spark, tables):
@@ -80,3 +95,27 @@ def test_permissions_at_the_time_of_the_change(spark, tables):
         5: "not_owner", 15: None, 25: "not_owner", 26: None, 27: "forbidden", 28: None, 31: "inactive", 34: "not_owner",
         35: None, 36: None, 37: "not_owner", 39: "inactive", 41: None, 42: "unknown_actor", 43: "not_owner",
         44: "unknown_actor", 55: None}
+
+
+def test_offers_fold_among_themselves_as_one_by_one(spark, tables):
+    import random
+    rng = random.Random(11)
+    words = ["printer", "Printer jam", "printer jam on floor 2", "100% cpu", "100% CPU load", "a_b c", "a_b C d", "axb c d", "zz", "zz top hat",
+             "top hat", "back\\slash", "a back\\slash here"]
+    offers = [(s, 80_000_000 + s, rng.choice(words)) for s in range(60)]
+    ch = spark.createDataFrame([(s, n, "insert", None, None, 1, None, t, 2) for s, n, t in offers],
+                               "seq long, note_id long, op string, field string, new_value string, client_id long, "
+                               "changed_at timestamp_ntz, title string, agent_id long")
+    known = tables.notes.limit(1).withColumn("title", F.lit("my Top Hat")).withColumn("id", F.lit(5).cast("long"))
+    kept, want = [], {}
+    for s, n, t in offers:
+        low = t.lower()
+        if len(t) >= 4 and low in "my top hat":
+            want[s] = ("increment", 5)
+        elif len(t) >= 4 and (hit := next((m for m, u in kept if low in u), None)):
+            want[s] = ("increment", hit)
+        else:
+            want[s] = ("insert", n)
+            kept.append((n, low))
+    got = changes.fold_duplicates(known, tables.clients, tables.categories, ch).collect()
+    assert {r.seq: (r.decision, r.target_id) for r in got} == want

@@ -173,8 +173,9 @@ def apply_client_changes(clients: DataFrame, changes: DataFrame) -> tuple[DataFr
     new = (ok.where(F.col("op") == "insert")
            .select(F.col("target_id").alias("id"), "name", "phone", "email", "company",
                    F.lit(True).alias("active"), F.col("changed_at").alias("created_at"),
-                   F.col("changed_at").alias("updated_at")))
-    base = _with_updated(clients).unionByName(new)
+                   F.col("changed_at").alias("updated_at"), F.lit(0).cast("int").alias("notes_count")))
+    base = _with_updated(clients)
+    base = base.unionByName(new.select(*base.columns))
     value = F.when(F.col("op") == "deactivate", "false")
     for f in ("name", "phone", "email", "company"):
         value = value.when(F.col("op") == f, F.col(f))

@@ -52,7 +52,7 @@ class NoteChangeResult:
     folded: DataFrame         # one row per touched note: aggregated effect
     activity: DataFrame       # W16 rows to append to activity_logs
     client_counts: DataFrame  # W12 maintained notes_count per client
-    deleted: DataFrame        # W4 notes removed: id, client_id, __del_seq
+    deleted: DataFrame        # W4 notes removed: id, client_id, __del_seq, __deleted_at
 
 
 def _valid_patch() -> Column:
@@ -165,9 +165,9 @@ def apply_note_changes(notes: DataFrame, changes: DataFrame, clients: DataFrame,
 
     activity = change_log(notes, ins, applied)
     del_seq = applied.where(F.col("op") == "delete").select(F.col("note_id").alias("__nid"),
-                                                              F.col("seq").alias("__del_seq"))
+                                                              F.col("seq").alias("__del_seq"), F.col("changed_at").alias("__deleted_at"))
     deleted = (merged.where(F.col("__deleted")).join(del_seq, F.col("id") == F.col("__nid"))
-               .select("id", "client_id", "__del_seq"))
+               .select("id", "client_id", "__del_seq", "__deleted_at"))
     counts = client_counts_after(notes, clients, ins, deleted)
     return NoteChangeResult(new_notes, ins.drop("__start", "__actor"), applied, folded, activity, counts, deleted)
 
@@ -231,18 +231,41 @@ def change_log(notes: DataFrame, ins: DataFrame, applied: DataFrame) -> DataFram
 
 # W12 --------------------------------------------------------------------------
 def client_counts_after(notes: DataFrame, clients: DataFrame, ins: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Stored notes_count per client after the batch: the starting count (a
-    recount of the snapshot) moved +1 per insert and -1 per delete in seq
-    order with a floor at 0. With prefix sums S_k of the deltas and start x0,
-    the floored result is S_n - min(-x0, min_k S_k)."""
-    start = notes.groupBy("client_id").agg(F.count(F.lit(1)).cast("bigint").alias("x0"))
-    return floored_counts(clients, start, deltas_of(ins, deleted))
+    """notes_count and updated_at per client after the batch: the stored count (a
+    recount of the snapshot where the table has none) moved +1 per insert and
+    -1 per delete in seq order with a floor at 0; a client whose notes came or
+    went is touched. With prefix sums S_k of the deltas and start x0, the
+    floored result is S_n - min(-x0, min_k S_k). A count that has drifted stays
+    so until it is repaired (``repaired_counts``)."""
+    if "notes_count" in clients.columns:
+        start = clients.select(F.col("id").alias("client_id"), F.coalesce("notes_count", F.lit(0)).cast("bigint").alias("x0"))
+    else:
+        start = notes.groupBy("client_id").agg(F.count(F.lit(1)).cast("bigint").alias("x0"))
+    deltas = deltas_of(ins, deleted)
+    counts = floored_counts(clients, start, deltas)
+    if "updated_at" not in clients.columns:
+        return counts
+    last = deltas.groupBy("client_id").agg(F.max(F.struct("seq", "at")).alias("__last"))
+    return (counts.join(last, "client_id", "left")
+            .join(clients.select(F.col("id").alias("client_id"), F.col("updated_at").alias("__was")), "client_id")
+            .select("client_id", "notes_count", F.coalesce("__last.at", "__was").alias("updated_at")))
+
+
+def repaired_counts(clients: DataFrame, notes: DataFrame) -> DataFrame:
+    """Clients with the stored count set to a recount where it has drifted, and
+    whether it had. Counts are reduced to one row per client before the join."""
+    now = notes.groupBy(F.col("client_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    n = F.coalesce("__n", F.lit(0)).cast("int")
+    return (clients.join(now, "id", "left").withColumn("repaired", ~F.col("notes_count").eqNullSafe(n))
+            .select(*(n.alias(c) if c == "notes_count" else F.col(c) for c in clients.columns), "repaired"))
 
 
 def deltas_of(ins: DataFrame, deleted: DataFrame) -> DataFrame:
     """(client_id, seq, delta) for applied inserts (+1) and deletes (-1)."""
-    plus = ins.select("client_id", F.col("__start").alias("seq"), F.lit(1).cast("bigint").alias("delta"))
-    minus = deleted.select("client_id", F.col("__del_seq").alias("seq"), F.lit(-1).cast("bigint").alias("delta"))
+    plus = ins.select("client_id", F.col("__start").alias("seq"), F.lit(1).cast("bigint").alias("delta"),
+                      F.col("created_at").alias("at"))
+    minus = deleted.select("client_id", F.col("__del_seq").alias("seq"), F.lit(-1).cast("bigint").alias("delta"),
+                           F.col("__deleted_at").alias("at"))
     return plus.unionByName(minus)
 
 
@@ -261,16 +284,35 @@ FOLD_MIN_CHARS = 4  # the form searches for duplicates from 4 typed characters
 
 
 def fold_duplicates(notes: DataFrame, clients: DataFrame, categories: DataFrame, changes: DataFrame) -> DataFrame:
-    """New notes whose title is contained in an existing note's title become
-    an increment of the best such note (highest counter, then lowest id);
-    the rest stay inserts. Matching is the batch duplicate search (top 1)."""
+    """New notes, as if they were offered one by one in the order of seq. One whose
+    title (of ``FOLD_MIN_CHARS`` or more) is contained in an existing note's title
+    becomes an increment of the best such note (highest counter, then lowest id);
+    else one whose title is contained in that of an earlier offer that was
+    inserted becomes an increment of the first such offer's note; the rest stay
+    inserts. Existing titles are matched as the search does it (the batch search,
+    top 1), offers by their plain text without regard to case.
+
+    Of the offers that match no existing note, the first whose title contains a
+    given one is always inserted itself: whatever contained its title would
+    contain the given one too, and come earlier. So one search of the offers
+    among themselves, ranked by seq, gives what one after the other gives."""
     from ticketlake.operators.search import title_search_batch
-    new = changes.where(F.col("op") == "insert").select("seq", "note_id", "title")
-    cands = new.where(F.length("title") >= FOLD_MIN_CHARS).select(F.col("seq").alias("cand_id"),
-                                                                   F.col("title").alias("q"))
-    best = title_search_batch(notes, clients, categories, cands, top=1).select(
-        F.col("cand_id").alias("seq"), F.col("id").alias("__match"))
-    j = new.join(best, "seq", "left")
-    return j.select("seq", "note_id", "title",
-                    F.when(F.col("__match").isNull(), "insert").otherwise("increment").alias("decision"),
-                    F.coalesce("__match", "note_id").alias("target_id"))
+    new = cut_lineage(changes.where(F.col("op") == "insert").select("seq", "note_id", "title"))
+    long = F.length("title") >= FOLD_MIN_CHARS
+    cands = new.where(long).select(F.col("seq").alias("cand_id"), F.col("title").alias("q"))
+    best = cut_lineage(title_search_batch(notes, clients, categories, cands, top=1).select(
+        F.col("cand_id").alias("seq"), F.col("id").alias("__match")))
+    left = cut_lineage(new.where(long).join(best, "seq", "left_anti"))
+    # the offers as notes that rank by their first seq
+    first = left.groupBy("title").agg(F.min("seq").alias("id")).withColumn("counter", -F.col("id"))
+    offered = first.select(*(F.col(c) if c in first.columns else F.lit(None).cast(notes.schema[c].dataType).alias(c)
+                             for c in notes.columns))
+    plain = F.regexp_replace("title", r"([\\%_])", r"\\$1")
+    asked = left.select(F.col("seq").alias("cand_id"), plain.alias("q"))
+    earlier = (title_search_batch(offered, clients, categories, asked, top=1)
+               .where(F.col("id") < F.col("cand_id")).select(F.col("cand_id").alias("seq"), F.col("id").alias("__first")))
+    owner = new.select(F.col("seq").alias("__first"), F.col("note_id").alias("__owner"))
+    j = new.join(best, "seq", "left").join(earlier.join(owner, "__first").drop("__first"), "seq", "left")
+    target = F.coalesce("__match", "__owner")
+    return j.select("seq", "note_id", "title", F.when(target.isNull(), "insert").otherwise("increment").alias("decision"),
+                    F.coalesce(target, F.col("note_id")).alias("target_id"))

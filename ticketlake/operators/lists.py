@@ -114,7 +114,7 @@ def client_document(clients, notes, client_id: int) -> DataFrame:
     n = (notes.where(key_equals("client_id", int(client_id)))
          .agg(F.count(F.lit(1)).cast("bigint").alias("notes_count"),
               F.max("updated_at").alias("last_activity")))
-    return c.select("*", n.select("notes_count").scalar().alias("notes_count"),
+    return c.drop("notes_count").select("*", n.select("notes_count").scalar().alias("notes_count"),
                     n.select("last_activity").scalar().alias("last_activity"))
 
 

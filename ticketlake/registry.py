@@ -433,10 +433,21 @@ def q_counts_after_changes(spark, sf_dir):
 
 @register("count_drift")
 def q_count_drift(spark, sf_dir):
-    from ticketlake.operators import quality
+    """Q8 on the tables as they are: stored counts that a recount doesn't confirm."""
+    t = _t(spark, sf_dir)
+    return quality.count_drift(t.clients, t.notes)
+
+
+@register("count_drift_after_changes")
+def q_count_drift_after_changes(spark, sf_dir):
     r = _changed(spark, sf_dir)[1]
-    stored = r.client_counts.withColumnRenamed("client_id", "id")
-    return quality.count_drift(stored, r.notes)
+    return quality.count_drift(r.client_counts.withColumnRenamed("client_id", "id"), r.notes)
+
+
+@register("repaired_counts")
+def q_repaired_counts(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return changes.repaired_counts(t.clients, t.notes).select("id", "notes_count", "repaired")
 
 
 # --- duplicate folding (W15) -----------------------------------------------------------

@@ -59,16 +59,17 @@ def _struct(*fields):
 
 
 USERS = _struct(("id", L, False), ("name", S, False), ("email", S, False), ("role", S, False),
-                ("active", B, False), ("created_at", TS, False))
+                ("active", B, False), ("created_at", TS, False), ("updated_at", TS, True))
 CLIENTS = _struct(("id", L, False), ("name", S, False), ("phone", S, False), ("email", S, True),
-                  ("company", S, True), ("active", B, False), ("created_at", TS, False))
+                  ("company", S, True), ("active", B, False), ("notes_count", I, True), ("created_at", TS, False),
+                  ("updated_at", TS, True))
 CATEGORIES = _struct(("id", L, False), ("name", S, False), ("parent_id", L, True))
 NOTES = _struct(("id", L, False), ("client_id", L, False), ("agent_id", L, False),
                 ("category_id", L, True), ("title", S, False), ("description", S, True),
                 ("priority", S, False), ("status", S, False), ("counter", I, False),
                 ("resolved_at", TS, True), ("created_at", TS, False), ("updated_at", TS, False))
 ACTIVITY_LOGS = _struct(("id", L, False), ("user_id", L, True), ("action", S, False),
-                        ("target_type", S, True), ("target_id", L, True), ("meta", S, True),
+                        ("target_type", S, True), ("target_id", L, True), ("target_name", S, True), ("meta", S, True),
                         ("created_at", TS, False))
 INVITATIONS = _struct(("id", L, False), ("email", S, False), ("role", S, False),
                       ("created_by", L, True), ("used_at", TS, True), ("created_at", TS, False),

@@ -55,12 +55,19 @@ def derive_users(spark, raw_dir) -> DataFrame:
         F.when(k % 20 == 0, "admin").when(k % 20 == 1, "supervisor").otherwise("agent").alias("role"),
         (F.col("s_acctbal") >= 0).alias("active"),
         _day_offset_ts(k).alias("created_at"),
+        (_day_offset_ts(k) + F.make_dt_interval(days=(k % 30).cast("int"))).alias("updated_at"),
     )
 
 
 def derive_clients(spark, raw_dir) -> DataFrame:
+    """The stored ``notes_count`` has drifted: it is 2 too high for keys mod 50 = 7
+    and 0 for keys mod 50 = 13 (Q8 finds these)."""
     k = F.col("c_custkey")
-    return raw(spark, raw_dir, "customer").select(
+    here = raw(spark, raw_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(True).alias("__nation"))
+    owned = raw(spark, raw_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = (raw(spark, raw_dir, "customer").join(here, "c_nationkey", "left").join(owned, "c_custkey", "left")
+            .withColumn("__n", F.when(F.col("__nation"), F.coalesce("__n", F.lit(0))).otherwise(0)))
+    return rows.select(
         k.cast("bigint").alias("id"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("+1-555-"), F.lpad(k.cast("string"), 7, "0")).alias("phone"),
@@ -68,7 +75,9 @@ def derive_clients(spark, raw_dir) -> DataFrame:
          .otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com"))).alias("email"),
         F.col("c_mktsegment").alias("company"),
         (F.col("c_acctbal") >= 0).alias("active"),
+        F.when(k % 50 == 7, F.col("__n") + 2).when(k % 50 == 13, 0).otherwise(F.col("__n")).cast("int").alias("notes_count"),
         _day_offset_ts(k).alias("created_at"),
+        (_day_offset_ts(k) + F.make_dt_interval(days=(k % 60).cast("int"))).alias("updated_at"),
     )
 
 
@@ -141,6 +150,7 @@ def activity_from_events(events: DataFrame) -> DataFrame:
          .otherwise("delete_note").alias("action"),
         F.lit("note").alias("target_type"),
         (F.col("event_id") % 1500).cast("bigint").alias("target_id"),
+        F.when(et != "view", F.concat(F.lit("Note "), (F.col("event_id") % 1500).cast("string"))).alias("target_name"),
         F.col("props").alias("meta"),
         _ts(F.col("ts")).alias("created_at"),
     )

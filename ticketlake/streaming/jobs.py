@@ -161,7 +161,7 @@ def run_available_now(query) -> None:
 
 
 # ST1 --------------------------------------------------------------------------
-FEED = ("id bigint, user_id bigint, action string, target_type string, target_id bigint, meta string, "
+FEED = ("id bigint, user_id bigint, action string, target_type string, target_id bigint, target_name string, meta string, "
         "created_at timestamp_ntz, user_name string, user_role string")
 
 
