@@ -167,6 +167,7 @@ def apply_client_changes(clients: DataFrame, changes: DataFrame) -> tuple[DataFr
     change of name, phone, email or company to the column of that name."""
     if "company" not in changes.columns:
         changes = changes.withColumn("company", F.lit(None).cast("string"))
+    changes = changes.withColumn("email", E.clean_email(F.col("email")))
     c = client_decisions(clients, changes)
     decisions = c.select("seq", "target_id", "op", F.col("reason").isNull().alias("accepted"), "reason")
     ok = c.where(F.col("reason").isNull())
@@ -232,6 +233,15 @@ def fk_summary(result: dict) -> DataFrame:
                     .alias("restricted_users")))
 
 
+def fk_rows(result: dict) -> DataFrame:
+    """Every row that is left, with its reference: (table_name, id, ref)."""
+    refs = {"notes": "category_id", "categories": "parent_id", "activity_logs": "user_id", "invitations": "created_by"}
+    out = result["restricted_users"].select(F.lit("restricted_users").alias("table_name"), "id", F.lit(None).cast("bigint").alias("ref"))
+    for table, ref in refs.items():
+        out = out.unionByName(result[table].select(F.lit(table).alias("table_name"), "id", F.col(ref).alias("ref")))
+    return out
+
+
 # Invitation lifecycle ----------------------------------------------------
 def cancellations_from_invitations(invitations: DataFrame) -> DataFrame:
     """Cancel requests: every invitation whose id is a multiple of 7, two days
@@ -279,7 +289,9 @@ def signup_roles(users: DataFrame, invitations: DataFrame, signups: DataFrame) -
     e-mail the first one that is valid by itself wins; of the sign-ups without
     a token at most the first one whose e-mail is free then, before any admin
     signed up by a token, becomes the admin."""
-    inv = invitations.select(F.col("id").alias("__iid"), F.col("email").alias("__iemail"),
+    signups = signups.withColumn("email", E.clean_email(F.col("email")))
+    users = users.withColumn("email", E.clean_email(F.col("email")))
+    inv = invitations.select(F.col("id").alias("__iid"), E.clean_email(F.col("email")).alias("__iemail"),
                              F.col("role").alias("__irole"), F.col("used_at").alias("__used"),
                              F.col("expires_at").alias("__exp"))
     j = (signups.withColumn("__at", F.struct("attempt_at", "seq"))

@@ -59,6 +59,22 @@ def summary_document(notes, clients, users, categories) -> dict[str, DataFrame]:
             "agent_performance": reports.agent_performance(notes, users)}
 
 
+def summary_rows(document: dict[str, DataFrame]) -> DataFrame:
+    """S11 as one table (section, name, value): the totals by name, and of every
+    other section its label and its count."""
+    def rows(section: str, name: str, value: str) -> DataFrame:
+        return document[section].select(F.lit(section).alias("section"), F.col(name).alias("name"),
+                                        F.col(value).cast("double").alias("value"))
+    totals = document["totals"]
+    out = totals.select([F.col(c).cast("double").alias(c) for c in totals.columns]) \
+        .unpivot([], totals.columns, "name", "value").select(F.lit("totals").alias("section"), "name", "value")
+    for section, name, value in (("by_status", "status", "count"), ("by_priority", "priority", "count"),
+                                 ("top_issues", "title", "counter"), ("by_category", "name", "count"),
+                                 ("agent_performance", "agent_name", "total_notes")):
+        out = out.unionByName(rows(section, name, value))
+    return out
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
                 mode: str = "errorifexists") -> str:
     """S8 / S12 sink: write a DataFrame as Parquet or CSV (with header)."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ticketlake import schemas
-from ticketlake.functions.expressions import lit_ts
+from ticketlake.functions.expressions import clean_email, lit_ts
 
 
 def _given(v) -> bool:
@@ -112,6 +112,16 @@ def pending_invitation(as_of) -> Column:
     return F.col("used_at").isNull() & (F.col("expires_at") > lit_ts(as_of))
 
 
+def login_user(email: str) -> Column:
+    """the active user of an e-mail, however it is typed."""
+    return (clean_email(F.col("email")) == clean_email(F.lit(email))) & F.col("active")
+
+
+def unused_invitation(invitation_id: int) -> Column:
+    """an invitation by id that hasn't been used."""
+    return key_equals("id", int(invitation_id)) & F.col("used_at").isNull()
+
+
 def key_equals(column: str, value) -> Column:
     """point lookup."""
     return F.col(column) == F.lit(value)

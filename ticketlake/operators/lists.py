@@ -209,6 +209,24 @@ def invitations_pending(invitations, users, as_of) -> DataFrame:
             .orderBy(F.col("created_at").desc(), F.col("id").desc()))
 
 
+# E23 with the time -------------------------------------------------------------
+def invitations_display(invitations, as_of) -> DataFrame:
+    """The invitation list as shown: who, which role, sent when, state."""
+    return invitations.select("id", "email", E.title_case_snake(F.col("role")).alias("role_label"),
+                              E.datetime_string(F.col("created_at")).alias("sent"),
+                              E.datetime_string(F.col("expires_at")).alias("expires"),
+                              invitation_state(as_of).alias("state"))
+
+
+# E27 ----------------------------------------------------------------------------
+def changed_fields(activity) -> DataFrame:
+    """The meta of update rows read back: one row per changed field, in order."""
+    meta = F.from_json("meta", "changes array<string>")
+    return (activity.where(F.col("action") == "update_note")
+            .select("id", F.col("target_id").alias("note_id"), F.posexplode(meta["changes"]).alias("position", "field"))
+            .withColumn("position", F.col("position").cast("bigint")))
+
+
 # W13 states -------------------------------------------------------------------
 def invitation_state(as_of):
     return (F.when(F.col("used_at").isNotNull(), "used")

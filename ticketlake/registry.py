@@ -636,6 +636,53 @@ def q_fk_actions(spark, sf_dir):
     return admin.fk_summary(admin.fk_actions(t.notes, t.categories, t.activity_logs, t.invitations, rc, ru, rk))
 
 
+@register("fk_action_rows")
+def q_fk_action_rows(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rc, ru, rk = removed_sets(spark, sf_dir)
+    return admin.fk_rows(admin.fk_actions(t.notes, t.categories, t.activity_logs, t.invitations, rc, ru, rk))
+
+
+@register("summary_document")
+def q_summary_document(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return exports.summary_rows(exports.summary_document(t.notes, t.clients, t.users, t.categories))
+
+
+@register("invitations_display")
+def q_invitations_display(spark, sf_dir):
+    return lists.invitations_display(_t(spark, sf_dir).invitations, AS_OF_EVENTS)
+
+
+@register("changed_fields")
+def q_changed_fields(spark, sf_dir):
+    return lists.changed_fields(_changed(spark, sf_dir)[1].activity)
+
+
+@register("incoming_conflicts")
+def q_incoming_conflicts(spark, sf_dir):
+    """Client requests that bring a phone some client has in the table."""
+    t = _t(spark, sf_dir)
+    asked = admin.client_changes_from_events(_events(spark, sf_dir)).where("phone is not null")
+    return quality.incoming_conflicts(asked, t.clients, "phone").select("seq", "op", "phone")
+
+
+@register("login_lookup")
+def q_login_lookup(spark, sf_dir):
+    from ticketlake.operators.filters import login_user
+    return _t(spark, sf_dir).users.where(login_user(" USER3@Example.com")).select("id", "name", "role")
+
+
+@register("unused_invitation")
+def q_unused_invitation(spark, sf_dir):
+    """The last invitation that is unused, looked up by its id."""
+    from pyspark.sql import functions as F
+    from ticketlake.operators.filters import unused_invitation
+    inv = _t(spark, sf_dir).invitations
+    last = inv.where("used_at is null").agg(F.max("id")).first()[0]
+    return inv.where(unused_invitation(last or 0))
+
+
 @register("invitation_lifecycle")
 def q_invitation_lifecycle(spark, sf_dir):
     t = _t(spark, sf_dir)
