@@ -393,6 +393,21 @@ def q_notes_after_changes(spark, sf_dir):
     return _changed(spark, sf_dir)[1].notes
 
 
+@register("notes_snapshot")
+def q_notes_snapshot(spark, sf_dir):
+    """The snapshot after the changes, published by rewriting the touched months only."""
+    from ticketlake.session import scratch_dir
+    from ticketlake.sources import versions
+    t, r = _changed(spark, sf_dir)
+
+    def job():
+        root = scratch_dir(spark, "notes-snapshot")
+        versions.create(t.notes, root)
+        versions.replace_months(root, r.notes, versions.touched_months(t.notes, r))
+        return {"notes": versions.read(spark, root).drop(versions.MONTH)}
+    return _once(spark, t, "snapshot", job)["notes"]
+
+
 @register("insert_notes")
 def q_insert_notes(spark, sf_dir):
     return _changed(spark, sf_dir)[1].inserted
