@@ -7,12 +7,16 @@ phrase and identifier tag in one pass, overlapping ones too. Behind an
 identifier tag the licence expression of the raw line is read and evaluated by
 a shunting-yard parser: ``with`` binds before ``and`` before ``or``.
 
-An expression's value is its list of alternatives, each a set of licences
-(``a and (b or c)`` gives {a, b} and {a, c}); its labels are all licences
-named. The score is 1 - prod(1 - weight) over the distinct labels found,
+An expression is evaluated on its postfix form, in one pass over its tokens:
+``allowed`` tells whether the ``accept``ed licences are enough for all of a
+text's expressions (null without any), and ``expressions`` has them in factored
+form (equal operands once, in order; ``c or b and a`` gives ``(a and b) or c``),
+which is never longer than what was read. Its labels are all licences named. The
+score is 1 - prod(1 - weight) over the distinct labels found,
 the weights being how sure a phrase speaks of a licence.
 
-Defined cases: a null or empty text has no words, null positions, empty label
+Very long texts are scanned whole; phrases that start or end together all
+count. Defined cases: an empty table gives an empty result; a null or empty text has no words, null positions, empty label
 lists and score 0; an unreadable expression counts as an identifier without
 licences; repeated rows give repeated results; extra columns are not read.
 """
@@ -46,7 +50,9 @@ TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
 TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:_-]+)")
 RANK = {"or": 1, "and": 2, "with": 3}
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-          "labels string, score double, expressions string")
+          "labels string, score double, expressions string, allowed boolean")
+#: licences that ``allowed`` accepts by default
+ACCEPT = frozenset(["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0"])
 
 
 def parse(line: str) -> list[str] | None:
@@ -76,26 +82,40 @@ def parse(line: str) -> list[str] | None:
     return out + ops[::-1]
 
 
-def alternatives(postfix: list[str]) -> list[frozenset[str]]:
-    """The sets of licences under which the expression allows use, smallest
-    first; a set that contains another one is left out."""
-    stack: list[list[frozenset[str]]] = []
+def factored(postfix: list[str]) -> str:
+    """The expression as text: operands of equal operators in one list, repeated ones
+    once, in order, an inner list in parentheses. Its length is at most the
+    postfix form's with its signs, however its operators are nested."""
+    stack: list[tuple[str | None, set[str]]] = []
+
+    def inner(op, items):
+        return next(iter(items)) if op is None else f"({f' {op} '.join(sorted(items))})"
     for tok in postfix:
         if tok not in RANK:
-            stack.append([frozenset([tok])])
+            stack.append((None, {tok}))
             continue
         b, a = stack.pop(), stack.pop()
-        if tok == "or":
-            got = a + b
-        elif tok == "and":
-            got = [x | y for x in a for y in b]
+        if tok == "with":
+            stack.append((None, {f"{inner(*a)} with {inner(*b)}"}))
+            continue
+        lists = [x[1] if x[0] in (None, tok) else {inner(*x)} for x in (a, b)]
+        lists.sort(key=len)
+        lists[1] |= lists[0]
+        stack.append((tok if len(lists[1]) > 1 else None, lists[1]))
+    op, items = stack[0]
+    return next(iter(items)) if op is None else f" {op} ".join(sorted(items))
+
+
+def allowed(postfix: list[str], have) -> bool:
+    """Whether the licences in ``have`` are enough for the expression. What stands
+    behind ``with`` only adds permissions, so the licence before it decides."""
+    stack: list[bool] = []
+    for tok in postfix:
+        if tok not in RANK:
+            stack.append(tok in have)
         else:
-            got = [frozenset(f"{p} with {q}" for p in sorted(x) for q in sorted(y)) for x in a for y in b]
-        least: list[frozenset[str]] = []
-        for s in sorted(set(got), key=lambda s: (len(s), sorted(s))):
-            if not any(t <= s for t in least):
-                least.append(s)
-        stack.append(least)
+            b, a = stack.pop(), stack.pop()
+            stack.append(a or b if tok == "or" else a and b if tok == "and" else a)
     return stack[0]
 
 
@@ -110,10 +130,10 @@ def automaton():
     return a
 
 
-def scan_text(text: str, find) -> dict:
+def scan_text(text: str, find, accept: frozenset[str] = ACCEPT) -> dict:
     words = text.encode("utf-8").translate(C.WORD_BYTES).split()
     row = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None}
-    base, weight, said = set(), {}, []
+    base, weight, said, fine = set(), {}, [], True
     joined = f" {b' '.join(words).decode('utf-8')} "
     starts = []
     for end, phrase in find.iter(joined):
@@ -133,25 +153,27 @@ def scan_text(text: str, find) -> dict:
         for m in TAG_LINE.finditer(text):
             postfix = parse(m[1])
             if postfix:
-                ways = alternatives(postfix)
-                said.append(" or ".join(" and ".join(sorted(s)) for s in ways))
+                said.append(factored(postfix))
+                fine = fine and allowed(postfix, accept)
                 weight |= {f"spdx:{t}": 0.99 for t in postfix if t not in RANK}
     rest = 1.0
     for label in sorted(weight):
         rest *= 1 - weight[label]
     return row | {"base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(weight)),
-                  "score": 1 - rest if weight else 0.0, "expressions": "; ".join(said)}
+                  "score": 1 - rest if weight else 0.0, "expressions": "; ".join(said),
+                  "allowed": fine if said else None}
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, accept: frozenset[str] = ACCEPT) -> DataFrame:
     """One row per document row (see the module's text)."""
 
     def run(batches):
         find = automaton()
         kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(),
-                 "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "expressions": pa.string()}
+                 "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "expressions": pa.string(),
+                 "allowed": pa.bool_()}
         for b in C.slices(batches, "text"):
-            rows = [scan_text(t, find) for t in C.strings(b, "text")]
+            rows = [scan_text(t, find, accept) for t in C.strings(b, "text")]
             yield C.record(b, ["doc_id"], **{k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
 
     return C.mapped(docs.select("doc_id", "text"), run, SCHEMA)
