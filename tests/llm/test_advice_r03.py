@@ -1,11 +1,13 @@
 """Cases that reviews of the operators found."""
 
+import re
+
 import numpy as np
 
 from tests.llm.conftest import DOC, rows_of
 from tests.llm.test_brute import copies
 from ticketlake.llm import bagminhash as near
-from ticketlake.llm import line_templates
+from ticketlake.llm import line_templates, pii
 
 
 def test_op10_rows_of_numbers_stay(spark):
@@ -41,3 +43,14 @@ def test_op9_pairs_grow_with_nodes(spark, monkeypatch):
         assert {r.class_id for r in got if r.class_size > 1} <= {0, *range(n + 1)}
         per.append(sum(seen) / n)
     assert per[0] < 4 and per[1] < 1.3 * per[0] + 0.5
+
+
+def test_op5_names_without_a_title_and_keys(spark):
+    text = "Mr Peter Miller came. Peter Miller said hi to Peter Millers. Dr Andrea Rossi, Mr Andrea Rossi, Andrea Rossi."
+    docs = spark.createDataFrame(rows_of([text]), DOC)
+    out = pii.anonymised(docs).first().text
+    assert "Peter Miller " not in out and "Peter Millers" in out and "Andrea" not in out and "Rossi" not in out
+    one, two = re.findall(r"(?:Mr|Dr) (\w+ \w+)", out)[:2]
+    assert out.count(one) == 2 and out.count(two) == 3
+    assert pii.anonymised(docs).first().text == out
+    assert pii.anonymised(docs, b"k1").first().text != pii.anonymised(docs, b"k2").first().text

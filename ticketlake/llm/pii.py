@@ -1,7 +1,10 @@
 r"""Operator 5: personal data replaced by keyed surrogates.
 
 Entities are e-mail addresses, phone numbers, IPv4 addresses, payment cards,
-national numbers (ddd-dd-dddd) and personal names behind a title. An entity's
+national numbers (ddd-dd-dddd) and personal names behind a title, with the other
+places of the text where such a name of several parts stands. The key comes from
+the session's ``spark.ticketlake.pii.key``; without it every application draws one
+that nobody keeps. An entity's
 surrogate depends on the key and its canonical value only (addresses in lower
 case, numbers by their digits), so all its mentions, in any document and
 notation, get the same one: coreference is kept. Surrogates keep the type and
@@ -37,15 +40,18 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import secrets
 import re
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketlake.llm import common as C
 
-KEY = b"surrogates"
+KEY_CONF = "spark.ticketlake.pii.key"
+_DRAWN: dict[str, bytes] = {}
 MOVES, TRIES, ROOM, FULL = 64, 6, 4, -1
 EMAIL = re.compile(r"[A-Za-z0-9_.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}")
 NUMBERS = re.compile(
@@ -180,6 +186,28 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     return made_name(value, gender, role, key, attempt).lower()
 
 
+def mentions(text: str) -> list[tuple[int, str, str]]:
+    """(start, names, gender) of the names behind a title, and of all other places
+    where one of these names of several parts stands. A name has one gender in a
+    text: that of its first title that tells it."""
+    named = [(m.start("names"), m["names"], TITLES[m["title"]]) for m in NAME.finditer(text)]
+    told: dict[str, str] = {}
+    for _, said, gender in named:
+        if gender:
+            told.setdefault(said.lower(), gender)
+    full = {said for _, said, _ in named if " " in said}
+    if full:
+        find = ahocorasick.Automaton()
+        for said in full:
+            find.add_word(said, said)
+        find.make_automaton()
+        for end, said in find.iter(text):
+            at = end + 1 - len(said)
+            if not (text[at - 1:at].isalnum() or text[end + 1:end + 2].isalnum()):
+                named.append((at, said, ""))
+    return [(at, said, told.get(said.lower(), gender)) for at, said, gender in named]
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the text's entities, in order, apart."""
     found = []
@@ -196,9 +224,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "ip":
                 value = ".".join(str(int(p)) for p in raw.split("."))
         found.append((m.start(), m.end(), kind, value))
-    for m in NAME.finditer(text) if any(t in text for t in CALLED) else ():
-        gender, at = TITLES[m["title"]], m.start("names")
-        names = re.split(r"([ -])", m["names"])
+    for at, said, gender in mentions(text) if any(t in text for t in CALLED) else ():
+        names = re.split(r"([ -])", said)
         for i in range(0, len(names), 2):
             # given: the first of several parts, and those with a blank behind them
             role = "given" if (i == 0 and len(names) > 2) or " " in names[i + 1:] else "surname"
@@ -331,8 +358,15 @@ def moved_entities(found: DataFrame, key: bytes) -> DataFrame | None:
     return moved
 
 
-def anonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The key of ``KEY_CONF``; without one, a random key for this application."""
+    said = spark.conf.get(KEY_CONF, None)
+    return said.encode() if said else _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def anonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """One row per document row: doc_id, the text with surrogates, n_entities."""
+    key = key or key_of(docs.sparkSession)
     found = C.cut(entity_rows(docs))
     moved = moved_entities(found, key)
     rows = docs.select("doc_id", "text")
