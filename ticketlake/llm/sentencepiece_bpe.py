@@ -42,7 +42,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SCHEMA = ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean")
-LONG, CHECK, SLICE, TOKENS = 48, 1, 6 << 20, 500_000
+LONG, CHECK, SLICE, TOKENS = 48, 1, 3 << 19, 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
