@@ -54,14 +54,14 @@ def load(spark):
     """DataFrames with the library's schemas."""
     from ticketlake import schemas
     users = spark.createDataFrame(
-        [(i, n, e, r, True, AS_OF) for i, n, e, r in USERS], schemas.USERS)
+        [(i, n, e, r, True, AS_OF, AS_OF) for i, n, e, r in USERS], schemas.USERS)
     clients = spark.createDataFrame(
-        [(i, n, p, e, c, True, AS_OF) for i, n, p, e, c in CLIENTS], schemas.CLIENTS)
+        [(i, n, p, e, c, True, sum(x[1] == i for x in NOTES), AS_OF, AS_OF) for i, n, p, e, c in CLIENTS], schemas.CLIENTS)
     categories = spark.createDataFrame(CATEGORIES, schemas.CATEGORIES)
     notes = spark.createDataFrame(
         [(i, c, a, k, t, None, p, s, n, None, days_ago(cr), days_ago(up))
          for i, c, a, k, t, p, s, n, cr, up in NOTES], schemas.NOTES)
     activity = spark.createDataFrame(
-        [(j + 1, u, act, "note", tid, None, AS_OF - dt.timedelta(minutes=m))
-         for j, (u, act, tid, _name, m) in enumerate(ACTIVITY)], schemas.ACTIVITY_LOGS)
+        [(j + 1, u, act, "note", tid, name, None, AS_OF - dt.timedelta(minutes=m))
+         for j, (u, act, tid, name, m) in enumerate(ACTIVITY)], schemas.ACTIVITY_LOGS)
     return users, clients, categories, notes, activity

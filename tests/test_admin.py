@@ -59,7 +59,7 @@ def _category_job(spark, cats, used, requests):
 @pytest.mark.parametrize("few", [category_edits.FEW, 0])
 def test_category_requests_equal_one_by_one(spark, monkeypatch, few):
     monkeypatch.setattr(category_edits, "FEW", few)
-    for seed in range(6 if few else 1):
+    for seed in range(3 if few else 1):
         rng = random.Random(seed)
         n = 8
         cats = [(i, f"c{i}", None if i < 3 else rng.randrange(i)) for i in range(n)]
