@@ -38,7 +38,7 @@ def test_op9_pairs_grow_with_nodes(spark, monkeypatch):
     per = []
     for n in (120, 480):
         seen.clear()
-        texts = copies(np.random.default_rng(n), n, 120, 6)
+        texts = copies(np.random.default_rng(n), n, 120, 2)
         got = near.classes(spark.createDataFrame(rows_of(texts), DOC)).collect()
         assert {r.class_id for r in got if r.class_size > 1} <= {0, *range(n + 1)}
         per.append(sum(seen) / n)

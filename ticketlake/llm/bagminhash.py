@@ -228,8 +228,8 @@ def rooted(rows: DataFrame, root: DataFrame, key: str, out: str) -> DataFrame:
             .withColumn(out, F.coalesce(out, key)))
 
 
-def links(node: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of verified links that connect each class."""
+def linked(node: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of classes of several nodes, by verified links."""
     band = node.select("node", "n", F.posexplode("bands").alias("band", "key")) \
         .select("node", "n", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1")
@@ -247,8 +247,10 @@ def links(node: DataFrame, docs: DataFrame) -> DataFrame:
     # every node and the least-ranked leader around
     first = follower.groupBy("node").agg(F.min("lead").alias("lead"))
     found = C.cut(verified(first.select(F.col("lead.node").alias("a"), F.col("node").alias("b")), texts))
-    good = found.where(F.col("sim") >= THRESHOLD)
-    root = components(good)
+    # classes so far, as far as two steps from leader to leader tell: they only spare comparisons
+    star = C.cut(found.where(F.col("sim") >= THRESHOLD).select(F.col("b").alias("node"), F.col("a").alias("root")))
+    root = C.cut(star.join(star.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+                 .select("node", F.coalesce("next", "root").alias("root")))
 
     # where classes still differ: all leaders around, and the pairs of small buckets
     other = rooted(rooted(follower.select("node", F.col("lead.node").alias("leader")).distinct(), root, "node", "r"),
@@ -258,13 +260,12 @@ def links(node: DataFrame, docs: DataFrame) -> DataFrame:
     near = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b"))).select("a", "b")
     second = verified(other.unionByName(near).join(found, ["a", "b"], "left_anti"), texts)
     found = C.cut(found.unionByName(second))
-    good = found.where(F.col("sim") >= THRESHOLD)
+    root = C.cut(components(found.where(F.col("sim") >= THRESHOLD)))
     large = led.where(F.col("size") > SMALL)
     if large.isEmpty():
-        return good.select("a", "b")
+        return root
 
     # in large buckets, nodes outside the leader's class and nodes of other classes
-    root = components(good)
     sim = found.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim")
     large = rooted(large.withColumn("leader", F.col("lead.node")).drop("lead").join(sim, ["leader", "node"], "left"), root, "node", "root")
     large = C.cut(rooted(large, root, "leader", "lead_root").join(node.select("node", "marks", "bands"), "node"))
@@ -282,8 +283,15 @@ def links(node: DataFrame, docs: DataFrame) -> DataFrame:
         F.col("root_x") != F.col("root")) & ~apart & (shared / (F.col("n_x") + F.col("n") - shared) >= THRESHOLD - EPS)
         & (equal >= int(AGREE * SLOTS)) & (earlier == 0)) \
         .select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b"))
-    far = verified(rest, texts).where(F.col("sim") >= THRESHOLD)
-    return good.select("a", "b").unionByName(far.select("a", "b"))
+    far = C.cut(verified(rest, texts).where(F.col("sim") >= THRESHOLD))
+    if far.isEmpty():
+        return root
+    # links between classes: their roots are connected, the other nodes follow
+    top = C.cut(components(rooted(rooted(far, root, "a", "x"), root, "b", "y")
+                           .select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    moved = root.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left") \
+        .select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(top.join(root.select("node"), "node", "left_anti"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,7 +321,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and per node of a class of several texts its root."""
     docs = keyed(docs)
     node = C.cut(nodes(docs))
-    return docs, components(C.cut(links(node, docs)))
+    return docs, C.cut(linked(node, docs))
 
 
 def classes(docs: DataFrame) -> DataFrame:
