@@ -31,6 +31,18 @@ def test_counts_equal_recount(tables):
     assert quality.count_drift(r.client_counts.withColumnRenamed("client_id", "id"), r.notes).count() > 0
 
 
+def test_count_drift_runs_the_change_job(spark, tables):
+    """count_drift checks what the change job maintains, not the tables as they were before it."""
+    from tests.conftest import SF_SMALL
+    from ticketlake import registry
+    got = _snapshot(registry.QUERIES["count_drift"](spark, SF_SMALL))
+    r = registry._changed(spark, SF_SMALL)[1]
+    n = {x.client_id: x.n for x in r.notes.groupBy("client_id").agg(F.count("*").alias("n")).collect()}
+    assert got == sorted((x.client_id, x.notes_count, n.get(x.client_id, 0)) for x in r.client_counts.collect()
+                         if x.notes_count != n.get(x.client_id, 0))
+    assert got != _snapshot(registry.QUERIES["stored_count_drift"](spark, SF_SMALL))
+
+
 def test_older_tables_without_the_new_columns_are_read(spark, tables, tmp_path):
     from ticketlake.sources.tables import Tables
     tables.clients.drop("notes_count", "updated_at").write.parquet(str(tmp_path / "clients"))
