@@ -120,48 +120,61 @@ def client_decisions(clients: DataFrame, changes: DataFrame) -> DataFrame:
 
     A decision depends on earlier ones only, so deciding all from the last
     round's acceptances is right for one more change at least in every round
-    and ends when a round changes nothing; chains of clients that wait for each
-    other's phones are short, and so are the rounds."""
+    and ends when a round changes nothing. The first guess is that nobody gives
+    up a phone: one that is held stays with its holder, any other goes to its
+    first claimant. So the rounds are as many as phones are handed on in a row,
+    not as many as claims wait for each other. They see only the columns of the
+    claims; the whole changes are decided once, from what the rounds ended with."""
     there = clients.select(F.col("id").alias("target_id"), F.lit(True).alias("__there"))
     c = changes.join(there, "target_id", "left")
     insert = F.col("op") == "insert"
     blank = (insert | (F.col("op") == "name")) & ~E.not_blank(F.coalesce("name", F.lit("")))
     c = cut_lineage(c.withColumn("__there", F.coalesce("__there", F.lit(False))).withColumn("__blank", blank)
                     .withColumn("__sets", F.col("phone").isNotNull() & F.col("op").isin("insert", "phone")))
+    claims = c.where(F.col("__sets") | insert).select("seq", "target_id", "op", "phone", "__there", "__blank", "__sets")
     asked = c.where("__sets").select("phone").distinct()
-    held = (clients.join(asked, "phone", "left_semi")
-            .select(F.lit(-1).cast("bigint").alias("start"), F.col("id").alias("client"), "phone"))
-    d = c.withColumn("reason", F.when(F.col("__blank"), "blank_name"))
+    held = cut_lineage(clients.join(asked, "phone", "left_semi")
+                       .select(F.lit(-1).cast("bigint").alias("start"), F.col("id").alias("client"), "phone"))
+    valid = claims.where(~F.col("__blank") & (insert != F.col("__there")))
+    first = valid.where("__sets").groupBy("phone").agg(F.min(F.struct("seq", "target_id")).alias("__first"))
+    owner = (first.join(held.groupBy("phone").agg(F.max("client").alias("__holder")), "phone", "left")
+             .select("phone", F.coalesce("__holder", "__first.target_id").alias("__owner")))
+    ok = valid.join(owner, "phone", "left").where(~F.col("__sets") | (F.col("target_id") == F.col("__owner")))
     before = None
     while True:
-        ok = d.where(F.col("reason").isNull())
-        born = ok.where(insert).groupBy("target_id").agg(F.min("seq").alias("__born"))
-        claims = held.unionByName(ok.where("__sets").select(F.col("seq").alias("start"),
-                                                            F.col("target_id").alias("client"), "phone"))
-        # a client's claims follow one another; its snapshot phone ends with its first new one
-        moves = ok.where("__sets").groupBy("target_id").agg(F.min("seq").alias("__first"))
-        own = Window.partitionBy("client").orderBy("start")
-        claims = (claims.join(moves.withColumnRenamed("target_id", "client"), "client", "left")
-                  .withColumn("until", F.when(F.col("start") < 0, F.col("__first"))
-                              .otherwise(F.lead("start").over(own))))
-        claim = F.struct("start", "client", "until")
-        rows = (claims.select("phone", (F.col("start") * 2 + 1).alias("at"), claim.alias("v"), F.lit(None).cast("bigint").alias("seq"))
-                .unionByName(c.where("__sets").select("phone", (F.col("seq") * 2).alias("at"),
-                                                      F.lit(None).cast("struct<start:bigint,client:bigint,until:bigint>").alias("v"), "seq")))
-        last = running(rows, "phone", "at", "v", "__last", how="max").where(F.col("seq").isNotNull()).select("seq", "__last")
-        j = c.join(born, "target_id", "left").join(last, "seq", "left")
-        exists = F.col("__there") | F.coalesce(F.col("__born") < F.col("seq"), F.lit(False))
-        busy = (F.col("__last.client") != F.col("target_id")) & (
-            F.col("__last.until").isNull() | (F.col("__last.until") > F.col("seq")))
-        d = cut_lineage(j.withColumn("reason", F.when(insert & exists, "id_exists").when(~insert & ~exists, "not_found")
-                                     .when(F.col("__blank"), "blank_name").when(busy, "phone_exists"))
-                        .drop("__born", "__last"))
+        d = cut_lineage(_client_reasons(claims, ok, held))
         now = d.agg(F.count("reason").alias("n"), F.sum(F.hash("seq", "reason").cast("bigint")).alias("h")).first()
+        ok = d.where(F.col("reason").isNull())
         if now == before:
-            return d
+            return cut_lineage(_client_reasons(c, ok, held))
         before = now
 
 
+def _client_reasons(c: DataFrame, ok: DataFrame, held: DataFrame) -> DataFrame:
+    """The changes ``c`` with the ``reason`` that each has if ``ok`` are the accepted ones."""
+    insert = F.col("op") == "insert"
+    born = ok.where(insert).groupBy("target_id").agg(F.min("seq").alias("__born"))
+    sets = ok.where("__sets")
+    claims = held.unionByName(sets.select(F.col("seq").alias("start"), F.col("target_id").alias("client"), "phone"))
+    # a client's claims follow one another; its snapshot phone ends with its first new one
+    moves = sets.groupBy(F.col("target_id").alias("client")).agg(F.min("seq").alias("__first"))
+    own = Window.partitionBy("client").orderBy("start")
+    claims = (claims.join(moves, "client", "left")
+              .withColumn("until", F.when(F.col("start") < 0, F.col("__first"))
+                          .otherwise(F.lead("start").over(own))))
+    claim = F.struct("start", "client", "until")
+    rows = (claims.select("phone", (F.col("start") * 2 + 1).alias("at"), claim.alias("v"), F.lit(None).cast("bigint").alias("seq"))
+            .unionByName(c.where("__sets").select("phone", (F.col("seq") * 2).alias("at"),
+                                                  F.lit(None).cast("struct<start:bigint,client:bigint,until:bigint>").alias("v"), "seq")))
+    last = running(rows, "phone", "at", "v", "__last", how="max").where(F.col("seq").isNotNull()).select("seq", "__last")
+    j = c.join(born, "target_id", "left").join(last, "seq", "left")
+    exists = F.col("__there") | F.coalesce(F.col("__born") < F.col("seq"), F.lit(False))
+    busy = (F.col("__last.client") != F.col("target_id")) & (
+        F.col("__last.until").isNull() | (F.col("__last.until") > F.col("seq")))
+    return j.withColumn("reason", F.when(insert & exists, "id_exists").when(~insert & ~exists, "not_found")
+                        .when(F.col("__blank"), "blank_name").when(busy, "phone_exists")).drop("__born", "__last")
+
+
 def apply_client_changes(clients: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Returns (new clients, decisions). Operations: insert, deactivate, and a
     change of name, phone, email or company to the column of that name."""
