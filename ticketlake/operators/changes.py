@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ticketlake import schemas
 from ticketlake.functions.expressions import blank_to_null, not_blank
 from ticketlake.plans.joins import cut_lineage
-from ticketlake.plans.prefix import running
+from ticketlake.plans.prefix import running, running_all
 
 NOTE_COLS = [f.name for f in schemas.NOTES.fields]
 ACTIONS = {"insert": "create_note", "patch": "update_note", "increment": "increment_counter",
@@ -212,8 +212,7 @@ def change_log(notes: DataFrame, ins: DataFrame, applied: DataFrame) -> DataFram
     sets_title = (F.col("op") == "start") | ((F.col("op") == "patch") & (F.col("field") == "title"))
     rows = rows.withColumn("__t", F.when(sets_title, F.struct("seq", "new_value")))
     rows = rows.withColumn("__inc", (F.col("op") == "increment").cast("bigint"))
-    rows = running(rows, "note_id", "seq", "__t", "__title", how="max")
-    rows = running(rows, "note_id", "seq", "__inc", "__ninc", how="sum")
+    rows = running_all(cut_lineage(rows), "note_id", "seq", {"__title": ("__t", "max"), "__ninc": ("__inc", "sum")})
     meta = (F.when(F.col("op") == "patch", F.to_json(F.struct(F.array(F.col("field")).alias("changes"))))
             .when(F.col("op") == "increment",
                   F.to_json(F.struct((F.col("__c0") + F.col("__ninc")).cast("bigint").alias("new_counter")))))

@@ -2,7 +2,7 @@
 
 The users are a versioned dimension: every accepted user change opens a version
 of its user's role or activity from its seq on. A note change is joined as of its
-own seq with its actor's versions (``plans.prefix.as_of``), and with the note's
+own seq with its actor's versions (``plans.prefix.as_of_all``), and with the note's
 agent, which for a note of the same change set counts from its insert on. An
 unknown or inactive actor is refused, an agent may delete nothing and may patch
 only notes that he or she made.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators.changes import inserted, with_given
 from ticketlake.plans.joins import cut_lineage
-from ticketlake.plans.prefix import as_of
+from ticketlake.plans.prefix import as_of_all
 
 BEFORE = -1
 
@@ -37,8 +37,8 @@ def note_permissions(notes: DataFrame, changes: DataFrame, clients: DataFrame, c
     forbidden (an agent's delete), not_owner (an agent's patch of a note that
     somebody else made, or of no note)."""
     c = with_given(changes)
-    for field in ("role", "active"):
-        c = as_of(c, user_versions(users, user_changes, user_decisions, field), "actor_id", "seq", "v", f"__{field}")
+    c = as_of_all(c, {f"__{field}": user_versions(users, user_changes, user_decisions, field) for field in ("role", "active")},
+                  "actor_id", "seq", "v")
     known = users.select(F.col("id").alias("__uid"))
     c = c.join(known, F.col("actor_id") == F.col("__uid"), "left")
     active = F.col("__active.value").try_cast("boolean")

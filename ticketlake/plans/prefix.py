@@ -27,22 +27,31 @@ def running(df: DataFrame, key: str, order: str, value: str, out: str, how: str
             bits: int = DEFAULT_BITS) -> DataFrame:
     """Add column ``out`` = running ``how`` (sum or max) of ``value`` per ``key``
     over rows with ``order`` <= the row's order (``order`` unique per key)."""
-    if how not in ("sum", "max"):
-        raise ValueError(how)
-    agg = F.sum if how == "sum" else F.max
+    return running_all(df, key, order, {out: (value, how)}, bits)
+
+
+def running_all(df: DataFrame, key: str, order: str, outs: dict[str, tuple[str, str]],
+                bits: int = DEFAULT_BITS) -> DataFrame:
+    """``running`` for several columns (out -> (value, how)) in one pass. The plan
+    reads ``df`` twice, for the rows and for the buckets' totals, however many
+    columns there are; one pass after the other would read it 2**n times."""
+    if any(how not in ("sum", "max") for _, how in outs.values()):
+        raise ValueError(outs)
+    agg = {out: F.sum if how == "sum" else F.max for out, (_, how) in outs.items()}
     b = F.floor(F.col(order) / F.lit(1 << bits)).cast("bigint")
     d = df.withColumn("__b", b)
     inner = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__in", agg(value).over(inner))
-    totals = d.groupBy(key, "__b").agg(agg(value).alias("__tot"))
+    totals = d.groupBy(key, "__b").agg(*(agg[out](value).alias(f"__tot_{out}") for out, (value, _) in outs.items()))
+    d = d.withColumns({f"__in_{out}": agg[out](value).over(inner) for out, (value, _) in outs.items()})
     before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "__b", agg("__tot").over(before).alias("__off"))
+    offsets = totals.select(key, "__b", *(agg[out](f"__tot_{out}").over(before).alias(f"__off_{out}") for out in outs))
     j = d.join(offsets, [key, "__b"], "left")
-    if how == "sum":
-        res = F.coalesce(F.col("__off"), F.lit(0)) + F.col("__in")
-    else:
-        res = F.when(F.col("__off").isNull(), F.col("__in")).otherwise(F.greatest("__off", "__in"))
-    return j.withColumn(out, res).drop("__b", "__in", "__off")
+    cols = {}
+    for out, (_, how) in outs.items():
+        off, part = F.col(f"__off_{out}"), F.col(f"__in_{out}")
+        cols[out] = (F.coalesce(off, F.lit(0)) + part if how == "sum"
+                     else F.when(off.isNull(), part).otherwise(F.greatest(off, part)))
+    return j.withColumns(cols).drop("__b", *(f"{c}{out}" for out in outs for c in ("__in_", "__off_")))
 
 
 def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, value: str, out: str, bits: int = DEFAULT_BITS,
@@ -54,9 +63,18 @@ def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, value: str, out:
     maximum, so neither a key with many facts nor one with many asks is joined
     all with all. ``(key, at)`` is unique among the asks and ``(key, start)``
     among the facts."""
-    kind = facts.schema[value].dataType
+    return as_of_all(asks, {out: facts}, key, at, value, bits, start)
+
+
+def as_of_all(asks: DataFrame, facts: dict[str, DataFrame], key: str, at: str, value: str, bits: int = DEFAULT_BITS,
+              start: str | None = None) -> DataFrame:
+    """``as_of`` with several sets of facts (out -> facts) in one pass."""
+    kinds = {out: f.schema[value].dataType for out, f in facts.items()}
     names = [c for c in asks.columns]
-    rows = (asks.select(*names, (F.col(at) * 2).alias("__at"), F.lit(None).cast(kind).alias("__v"), F.lit(True).alias("__ask"))
-            .unionByName(facts.select(key, (F.col(start or f"{value}.start") * 2 + 1).alias("__at"), F.col(value).alias("__v")),
-                         allowMissingColumns=True))
-    return running(rows, key, "__at", "__v", out, how="max", bits=bits).where("__ask").select(*names, out)
+    rows = asks.select(*names, (F.col(at) * 2).alias("__at"), F.lit(True).alias("__ask"),
+                       *(F.lit(None).cast(kind).alias(f"__v_{out}") for out, kind in kinds.items()))
+    for out, f in facts.items():
+        rows = rows.unionByName(f.select(key, (F.col(start or f"{value}.start") * 2 + 1).alias("__at"),
+                                         F.col(value).alias(f"__v_{out}")), allowMissingColumns=True)
+    return (running_all(rows, key, "__at", {out: (f"__v_{out}", "max") for out in facts}, bits)
+            .where("__ask").select(*names, *facts))
