@@ -105,3 +105,18 @@ def test_counts_of_notes_inserted_and_deleted_by_the_stream(spark):
     df = spark.createDataFrame(rows, jobs.NOTE_LOG)
     got = {r.note_id: (r.client_id, r.ins_seq, r.del_seq) for r in jobs._note_states(df).collect()}
     assert got == {1: (10, 5, 9), 2: (10, 7, 6), 3: (10, 4, None)}
+
+
+def test_counts_state_keeps_keys_only_and_drops_unused_columns(spark, tables):
+    """A batch comes without the event's value, and the state store doesn't look its keys up to count them."""
+    src, paths, seen = tempfile.mkdtemp(prefix="tl-cols-"), jobs.new_paths(spark, "test-cols"), []
+    pq.write_table(pq.read_table(os.path.join(SF_SMALL, "events.parquet")), os.path.join(src, "x_0.parquet"))
+    run = jobs._run
+    try:
+        jobs._run = lambda stream, *a: seen.append(stream) or run(stream, *a)
+        jobs.run_available_now(jobs.counts_stream(spark, src, tables.notes, tables.clients, paths, raw_dir=SF_SMALL, name_glob="x_*.parquet"))
+    finally:
+        jobs._run = run
+    assert "value" not in seen[0].columns
+    assert seen[0].sparkSession.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"
+    assert _rows(jobs.read_counts(spark, paths, tables.notes, tables.clients)) == _rows(registry.QUERIES["counts_stream"](spark, SF_SMALL))
