@@ -16,11 +16,11 @@ def test_running_sum_and_max_match_plain_window(spark):
 
 
 def test_several_columns_in_one_pass_read_the_rows_twice(spark):
-    """running_all gives what one pass after the other gives, from two reads of its input instead of four."""
+    """running_all gives what one pass after the other gives, from fewer reads of its input."""
     from ticketlake.plans.prefix import running_all
     rows = spark.createDataFrame([(i % 3, i * 7 % 200, i % 5) for i in range(200)], "k long, o long, v long")
     one = running(running(rows, "k", "o", "v", "s", bits=3), "k", "o", "v", "m", how="max", bits=3)
     both = running_all(rows, "k", "o", {"s": ("v", "sum"), "m": ("v", "max")}, bits=3)
     assert sorted(map(tuple, both.select(one.columns).collect())) == sorted(map(tuple, one.collect()))
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
-    assert scans(both) * 2 == scans(one)
+    assert scans(both) == 2 < scans(one)

@@ -34,7 +34,7 @@ def running_all(df: DataFrame, key: str, order: str, outs: dict[str, tuple[str,
                 bits: int = DEFAULT_BITS) -> DataFrame:
     """``running`` for several columns (out -> (value, how)) in one pass. The plan
     reads ``df`` twice, for the rows and for the buckets' totals, however many
-    columns there are; one pass after the other would read it 2**n times."""
+    columns there are; one pass after the other reads it more often."""
     if any(how not in ("sum", "max") for _, how in outs.values()):
         raise ValueError(outs)
     agg = {out: F.sum if how == "sum" else F.max for out, (_, how) in outs.items()}
