@@ -42,7 +42,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SCHEMA = ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean")
-LONG, CHECK, SLICE, TOKENS = 48, 1, 3 << 19, 500_000
+#: in a slice, arrays take some 130 bytes for a byte of text at their most
+LONG, CHECK, SLICE, TOKENS = 48, 1, 1 << 18, 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -198,6 +199,7 @@ class Tables:
         self.pair = np.array([x for x, _, _ in pairs], np.int64)
         self.joined = np.array([x for _, x, _ in pairs] + [0], np.int64)
         self.score = np.array([x for _, _, x in pairs] + [-np.inf], np.float32)
+        self.byte_id = np.array([p.byte_id.get(b, p.unknown) for b in range(256)], np.int64)
         out = [bytes([p.byte[i]]) if i in p.byte else (t or "").replace(SPACE, " ").encode() for i, t in enumerate(p.text)]
         out[p.unknown] = " ⁇ ".encode()
         self.out, self.out_start, self.out_size = self.flat(out)
@@ -280,8 +282,8 @@ class Tables:
         chunk = np.flatnonzero(short)[chunk]
         own = (sym >= 0) & (sym < len(p.text))
         parts = [(chunk[own], place[own], np.zeros(int(own.sum()), np.int64), sym[own])]
-        for c, i in zip(chunk[~own], place[~own]):  # characters without a piece
-            parts.append(self.bytes_of(c, i, chr(flat[i])))
+        if not own.all():  # characters without a piece
+            parts.append(self.bytes_of(chunk[~own], place[~own], flat[place[~own]]))
         for c in np.flatnonzero(~short):
             ids = np.array(p.chunk_ids(points[start[where[c]]:start[where[c]] + n[c]].tobytes().decode("utf-32-le")))
             parts.append((np.full(len(ids), c), np.arange(len(ids)), np.zeros(len(ids), np.int64), ids))
@@ -297,10 +299,14 @@ class Tables:
         text_end = total[np.searchsorted(start, ends, side="left")]
         return np.insert(tokens, text_end, p.end), np.diff(np.concatenate(([0], text_end))) + 1
 
-    def bytes_of(self, chunk: int, place: int, char: str):
-        p = self.p
-        ids = [p.byte_id[b] for b in char.encode()] if p.byte_id else [p.unknown]
-        return (np.full(len(ids), chunk), np.full(len(ids), place), np.arange(len(ids)), np.array(ids))
+    def bytes_of(self, chunk: np.ndarray, place: np.ndarray, points: np.ndarray):
+        """The byte pieces (else the unknown one) of characters."""
+        if not self.p.byte_id:
+            return chunk, place, np.zeros(len(points), np.int64), np.full(len(points), self.p.unknown)
+        raw = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+        size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        sub = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(chunk, size), np.repeat(place, size), sub, self.byte_id[raw]
 
     def spelled(self, ids: np.ndarray) -> bytes:
         """Decimal ids, a space behind each."""
