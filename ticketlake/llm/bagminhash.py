@@ -351,13 +351,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keys, root = grouped(docs)
     # nulls last; a null doc_id shares the key of the largest one, which its node tells apart
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1))
-    own = C.cut(keys.select("node", order.alias("key")).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("n")))
-    first = (own.join(root, "node", "left")
-             .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("key", "node")).alias("m"))
-             .select(F.col("m.key").alias(key), F.col("m.node").alias(node)))
+    pair = C.cut(keys.select("node", order.alias("key")).groupBy("node", "key").agg(F.count("*").alias("n")))
+    own = pair.groupBy("node").agg(F.min("key").alias("key"))
+    first = C.cut(own.join(root, "node", "left")
+                  .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("key", "node")).alias("m"))
+                  .select(F.col("m.key").alias(key), F.col("m.node").alias(node)))
+    gone = C.cut(pair.select(F.col("key").alias(key), F.col("node").alias(node)).join(first, [node, key], "left_anti"))
+    # the fewer of those that stay and those that go: whole texts are only shuffled if both are many
+    keep = first.count() <= gone.count()
     rows = (docs.withColumn(node, node_of(F.coalesce(F.col("text"), F.lit("")))).withColumn(key, order)
-            .join(C.bounded(C.cut(first)), [node, key], "left_semi"))
-    if keys.groupBy("node", order).count().where("count > 1").isEmpty():
+            .join(C.bounded(first if keep else gone), [node, key], "left_semi" if keep else "left_anti"))
+    if pair.where("n > 1").isEmpty():
         return rows.select(*names)
     # equal rows of a class's first document
     one = Window.partitionBy(node, key).orderBy(F.col("doc_id").asc_nulls_last())

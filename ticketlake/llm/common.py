@@ -62,7 +62,7 @@ def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _POWERS = {}

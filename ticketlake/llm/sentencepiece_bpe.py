@@ -190,7 +190,7 @@ class Tables:
             for c in piece:
                 ids.setdefault(c, len(p.text) + len(ids))
         self.size = max(ids.values()) + 1
-        self.char = np.full(0x110000, -1, np.int64)
+        self.char = np.full(0x110000, -1, np.int32)
         for t, i in ids.items():
             if len(t) == 1:
                 self.char[ord(t)] = i
@@ -278,7 +278,7 @@ class Tables:
         n = size[where]
         short = n <= LONG
         flat = ragged(start[where[short]], n[short], points)
-        chunk, sym, place = self.merged(self.char[flat], n[short])
+        chunk, sym, place = self.merged(self.char[flat].astype(np.int64), n[short])
         chunk = np.flatnonzero(short)[chunk]
         own = (sym >= 0) & (sym < len(p.text))
         parts = [(chunk[own], place[own], np.zeros(int(own.sum()), np.int64), sym[own])]
