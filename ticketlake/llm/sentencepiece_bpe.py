@@ -44,6 +44,7 @@ CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SCHEMA = ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean")
 #: in a slice, arrays take some 130 bytes for a byte of text at their most
 LONG, CHECK, SLICE, TOKENS = 48, 1, 1 << 18, 500_000
+SLOT_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -199,6 +200,12 @@ class Tables:
         self.pair = np.array([x for x, _, _ in pairs], np.int64)
         self.joined = np.array([x for _, x, _ in pairs] + [0], np.int64)
         self.score = np.array([x for _, _, x in pairs] + [-np.inf], np.float32)
+        # a pair's place by its key's hash; keys whose slot another one took are searched for
+        slot = self.slot(self.pair)
+        self.at = np.zeros(1 << SLOT_BITS, np.int32)
+        self.at[slot] = np.arange(len(slot))
+        self.shared = np.zeros(1 << SLOT_BITS, bool)
+        self.shared[slot[self.at[slot] != np.arange(len(slot))]] = True
         self.byte_id = np.array([p.byte_id.get(b, p.unknown) for b in range(256)], np.int64)
         out = [bytes([p.byte[i]]) if i in p.byte else (t or "").replace(SPACE, " ").encode() for i, t in enumerate(p.text)]
         out[p.unknown] = " ⁇ ".encode()
@@ -212,10 +219,19 @@ class Tables:
 
     def best(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The pairs' places in the pair table (its last place: no piece)."""
+        none = len(self.pair)
+        if not none:
+            return np.zeros(len(left), np.int64)
         key = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
-        at = np.searchsorted(self.pair, key)
-        at[at == len(self.pair)] = 0
-        return np.where(self.pair[at] == key, at, len(self.pair))
+        slot = self.slot(key)
+        at = self.at[slot].astype(np.int64)
+        other = np.flatnonzero(self.shared[slot])
+        at[other] = np.minimum(np.searchsorted(self.pair, key[other]), none - 1)
+        return np.where(self.pair[at] == key, at, none)
+
+    @staticmethod
+    def slot(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - SLOT_BITS)
 
     def merged(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Merge chunks (symbols one after another, chunk sizes): chunk, symbol
